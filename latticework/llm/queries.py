@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm import fingerprint, htmltext, langid, packing, quality, sharding, toxicity
+from latticework.llm import fingerprint, htmltext, jaccard, langid, packing, quality, sharding, toxicity
 from latticework.llm.common import held_out, table
 
 
@@ -21,6 +21,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted", "evidence", "similarity")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = langid.identify(docs, langid.learn(langid.teaching(docs)))
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_toxicity": op2_toxicity,
+        "op3_jaccard_join": op3_jaccard_join,
         "op4_language_id": op4_language_id,
         "op7_fingerprints": op7_fingerprints,
         "op8_packing": op8_packing,

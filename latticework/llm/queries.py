@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm import fingerprint, htmltext, jaccard, langid, packing, quality, sharding, substrings, toxicity
+from latticework.llm import fingerprint, htmltext, jaccard, langid, packing, pieces, quality, sharding, substrings, toxicity
 from latticework.llm.common import held_out, table
 
 
@@ -31,6 +31,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.coded(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), "exact")
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -60,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op3_jaccard_join": op3_jaccard_join,
         "op4_language_id": op4_language_id,
+        "op5_sentencepiece": op5_sentencepiece,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_fingerprints": op7_fingerprints,
         "op8_packing": op8_packing,

@@ -15,7 +15,7 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[i
     """
     n = len(data)
     head = eights(data).byteswap()
-    order = np.argsort(head, kind="stable")
+    order = np.argsort(head)
     new = np.concatenate([[True], head[order[1:]] != head[order[:-1]]]) if n else np.zeros(0, bool)
     start = np.flatnonzero(new)
     rank = np.empty(n, np.int64)
@@ -29,10 +29,10 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[i
         at = np.flatnonzero(open_)
         suffix = order[at]
         follow = np.where(suffix + h < n, rank[np.minimum(suffix + h, n - 1)], -1)
-        sorted_ = np.lexsort((follow, rank[suffix]))
-        order[at], follow = suffix[sorted_], follow[sorted_]
-        group = rank[order[at]]
-        split = np.concatenate([[True], (group[1:] != group[:-1]) | (follow[1:] != follow[:-1])])
+        both = rank[suffix] * (n + 1) + follow + 1
+        sorted_ = np.argsort(both)
+        order[at], both = suffix[sorted_], both[sorted_]
+        split = np.concatenate([[True], both[1:] != both[:-1]])
         new = np.ones(n, bool)
         new[at] = split
         start = np.flatnonzero(new)

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from latticework.llm.anchors import GRAM, anchors
 from latticework.llm.common import BYTE_VALUE, U64, SpanHash, buffers, mix, partitions, rounds, stored
@@ -222,7 +223,7 @@ def compare(shards: DataFrame, window: int) -> DataFrame:
 
 
 def cut(found: DataFrame, window: int) -> DataFrame:
-    """found: doc_id, text, runs -> doc_id, n_bytes, n_removed, n_spans, kept."""
+    """found: doc_id, text, runs, rest -> doc_id, n_bytes, n_removed, n_spans, kept, rest."""
 
     def run(batches):
         for b in batches:
@@ -235,9 +236,10 @@ def cut(found: DataFrame, window: int) -> DataFrame:
                 np.add.at(edge, r["first"].astype(np.int64) + r["count"] - 1 + window, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 out.append((len(data), int(gone.sum()), int((gone & ~np.concatenate([[False], gone[:-1]])).sum()), data[~gone].tobytes()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i] for x in out], pa.int64()) for i in range(3)), pa.array([x[3] for x in out], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i] for x in out], pa.int64()) for i in range(3)), pa.array([x[3] for x in out], pa.binary()), b.column(3)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "rest"])
 
-    return found.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    numbers = [T.StructField(k, T.LongType()) for k in ("doc_id", "n_bytes", "n_removed", "n_spans")]
+    return found.mapInArrow(run, T.StructType([*numbers, T.StructField("kept", T.BinaryType()), found.schema["rest"]]))
 
 
 def picked(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -247,7 +249,7 @@ def picked(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining UTF-8 bytes) of each row of `docs`.
+    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining UTF-8 bytes) of each row of `docs`, and its other columns as `rest`.
 
     A byte goes if a string of `window` bytes covers it that also starts in a document with a smaller id; strings are
     judged on the whole input. Null texts count as empty. Rows without an id lose nothing and remove nothing.
@@ -257,7 +259,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
     Equal windows have equal anchors, so documents meet by anchor: whole contexts alike need no more; others' bytes
     are brought together by anchor and compared by suffix arrays of bounded size, merged by binary search.
     """
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    rest = F.struct(*(docs[c] for c in docs.columns if c != text_col))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
     one, two = F.xxhash64("text"), F.xxhash64(F.lit(1), "text", F.octet_length("text"))
     hashes = stored(rows.where("doc_id is not null").select("doc_id", one.alias("one"), two.alias("two"), F.octet_length("text").cast("long").alias("n")), "dedup-hashes")
     total = hashes.agg(F.sum("n")).first()[0] or 0
@@ -275,10 +278,10 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
     n_copies = copies.count()
     mark = F.broadcast(copies) if n_copies <= BROADCAST_IDS else copies
     rows = rows.join(mark.withColumn("copy", F.lit(True)), "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False)) & ~F.col("aside"))
-    own = rows.where("not copy and not aside").select("doc_id", "text")
+    own = rows.where("not copy and not aside").select("doc_id", "text", "rest")
 
     n_buckets = max(partitions(docs), -(-total // BUCKET_BYTES), 1)
-    found = stored(match(scatter(own, window, n_buckets), n_buckets), "dedup-matches")
+    found = stored(match(scatter(own.select("doc_id", "text"), window, n_buckets), n_buckets), "dedup-matches")
     asks = found.where("asks is not null").groupBy("doc_id").agg(F.collect_list("asks").alias("asks"))
     asks = stored(asks, "dedup-asks")
     weight = asks.agg(F.sum(F.expr("aggregate(asks, 0L, (a, x) -> a + octet_length(x))")).alias("n")).first()["n"] or 0
@@ -289,12 +292,31 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
     runs = stored(runs.groupBy("doc_id").agg(F.collect_list("runs").alias("runs")), "dedup-runs")
 
     ids = runs.select("doc_id")
-    touched = cut(picked(own, ids).join(runs, "doc_id").select("doc_id", "text", "runs"), window)
-    whole = picked(rows.where("not aside or doc_id is null").select("doc_id", "text", "copy"), ids, "left_anti")
+    touched = cut(picked(own, ids).join(runs, "doc_id").select("doc_id", "text", "runs", "rest"), window)
+    whole = picked(rows.where("not aside or doc_id is null").select("doc_id", "text", "copy", "rest"), ids, "left_anti")
     if odd:
-        whole = whole.unionByName(rows.where("aside and doc_id is not null").select("doc_id", "text", "copy"))
+        whole = whole.unionByName(rows.where("aside and doc_id is not null").select("doc_id", "text", "copy", "rest"))
     size = F.octet_length("text").cast("long")
     gone = F.col("copy") & (size >= window)
     none = F.lit(0).cast("long")
-    whole = whole.select("doc_id", size.alias("n_bytes"), F.when(gone, size).otherwise(none).alias("n_removed"), F.when(gone, F.lit(1).cast("long")).otherwise(none).alias("n_spans"), F.when(gone, F.lit(b"")).otherwise(F.col("text").cast("binary")).alias("kept"))
+    whole = whole.select("doc_id", size.alias("n_bytes"), F.when(gone, size).otherwise(none).alias("n_removed"), F.when(gone, F.lit(1).cast("long")).otherwise(none).alias("n_spans"), F.when(gone, F.lit(b"")).otherwise(F.col("text").cast("binary")).alias("kept"), "rest")
     return touched.unionByName(whole)
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows of `docs` with their columns, the text without what an earlier document has. A letter cut in two goes
+    whole. A column n_chars is counted anew; null texts become empty.
+    """
+    out = dedup(docs, window, id_col, text_col)
+
+    def text_of(batches):
+        for b in batches:
+            kept = pa.array([x.decode(errors="ignore") for x in b.column(0).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([kept, b.column(1)], ["text", "rest"])
+
+    whole = out.where("n_removed = 0").select(F.col("kept").cast("string").alias("text"), "rest")
+    less = out.where("n_removed > 0").select("kept", "rest").mapInArrow(text_of, T.StructType([T.StructField("text", T.StringType()), out.schema["rest"]]))
+    both = less.unionByName(whole)
+    text = F.col("text")
+    columns = [(text if c == text_col else F.length(text).cast(docs.schema[c].dataType) if c == "n_chars" else F.col("rest")[c]).alias(c) for c in docs.columns]
+    return both.select(*columns)

@@ -6,7 +6,6 @@ import base64
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -130,6 +129,7 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _stream(dealt: DataFrame, fields: str) -> DataFrame:
     names = [f.strip().split()[0] for f in fields.split(",")]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
     def run(batches):
         waiting = None  # id, code points, edited text, two fingerprints: all but near_next
@@ -156,6 +156,7 @@ def _stream(dealt: DataFrame, fields: str) -> DataFrame:
                         phrases.add(rest)
                     out.append(closed(signature(phrases)))
                     waiting = above = None
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=names), preserve_index=False) if out else pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())], names)
+            columns = list(zip(*out)) if out else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
     return dealt.mapInArrow(run, fields)

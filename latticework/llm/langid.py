@@ -18,6 +18,8 @@ FILTERS = 8  # of each width
 #: Bound of the labelled sample: so many windows of text of each language.
 SAMPLE_PER_LANG = 1500
 EPOCHS, BATCH, RATE = 12, 128, 0.01
+LEAST_STEPS = 600  # of training, where the sample is small
+MOST_PIECES = 8  # windows of one text, where few texts are labelled
 #: Texts whose language gets a lower score than this are rejected by the filter.
 MIN_SCORE = 0.5
 #: Capital ASCII letters read as small ones.
@@ -95,7 +97,7 @@ def train(texts: list[str], langs: list[str], seed: int = 5) -> ByteNet:
     params = [net.filters[w] for w in WIDTHS] + [net.bias, net.out, net.out_bias]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     step = 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(x)))):
         order = rng.permutation(len(x))
         for at in range(0, len(x), BATCH):
             take = order[at : at + BATCH]
@@ -142,9 +144,10 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     draw = F.pmod(F.xxhash64(F.lit(seed), id_col, F.octet_length(text_col)), F.lit(1_000_000))
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(1_000_000 * min(1, per_lang / n)))))
     text = F.col(text_col)
-    start = 1 + F.pmod(F.xxhash64(F.lit(seed + 1), id_col), F.greatest(F.lit(1), F.length(text) - WINDOW)).cast("int")
-    piece = F.substring(text, start, F.lit(WINDOW))
-    drawn = rows.where(draw < share[F.col(lang_col)]).select(piece.alias("text"), F.col(lang_col).alias("lang")).collect()
+    pieces = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, max(1, min(MOST_PIECES, per_lang // n)))))
+    start = 1 + F.pmod(F.xxhash64(F.lit(seed + 1), id_col, "piece"), F.greatest(F.lit(1), F.length(text) - WINDOW)).cast("int")
+    rows = rows.where(draw < share[F.col(lang_col)]).select(id_col, text_col, lang_col, F.explode(F.sequence(F.lit(1), pieces[F.col(lang_col)])).alias("piece"))
+    drawn = rows.select(F.substring(text, start, F.lit(WINDOW)).alias("text"), F.col(lang_col).alias("lang")).collect()
     drawn = sorted((r["lang"], r["text"]) for r in drawn)
     return train([t for _, t in drawn], [v for v, _ in drawn], seed)
 

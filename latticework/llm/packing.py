@@ -127,6 +127,8 @@ def packed(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str = "byte_bpe
         for b in batches:
             ids += b.column(0).to_pylist()
             found += [np.concatenate([bpe.encode(x), end]) for x in b.column(1).to_pylist()]
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, len(found[i])))  # not as the shuffle brings them
+        ids, found = [ids[i] for i in order], [found[i] for i in order]
         shard, names = TaskContext.get().partitionId(), ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
         pieces = pack(found, sequence)
         for at in range(0, len(pieces), 2000):

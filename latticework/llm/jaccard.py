@@ -99,7 +99,7 @@ def sketched(docs: DataFrame, words: int, trees: int, prefix: int, id_col: str,
 
 
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the sets numbered `left` with those numbered `right`."""
+    """Sizes of the intersections of the sets numbered `left` with the others numbered `right`; a set with itself isn't counted whole."""
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, column, count = np.unique(flat, return_inverse=True, return_counts=True)

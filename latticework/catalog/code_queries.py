@@ -1,0 +1,33 @@
+"""Queries of the code catalog over the sample project; their rows are held by tests, not by SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from latticework.catalog.code import Code, rules
+from latticework.catalog.sample import sources
+
+ROOT, ALLOW = "app", {"web": ["core"], "core": ["web"]}
+
+
+def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Code(sources(spark)).symbols
+
+
+def code_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Code(sources(spark)).definitions
+
+
+def code_impurity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Code(sources(spark)).impure
+
+
+def code_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules' findings in one bag."""
+    out = None
+    for rule in rules(Code(sources(spark)), ROOT, ALLOW).values():
+        out = rule.findings() if out is None else out.unionByName(rule.findings())
+    return out
+
+
+QUERIES = {f.__name__: f for f in (code_symbols, code_definitions, code_impurity, code_findings)}

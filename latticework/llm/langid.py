@@ -21,7 +21,7 @@ EPOCHS, BATCH, RATE = 12, 128, 0.01
 LEAST_STEPS = 600  # of training, where the sample is small
 MOST_PIECES = 8  # windows of one text, where few texts are labelled
 #: Texts whose language gets a lower score than this are rejected by the filter.
-MIN_SCORE = 0.5
+MIN_SCORE = 0.35
 #: Capital ASCII letters read as small ones.
 FOLD = np.arange(256)
 FOLD[65:91] += 32

@@ -103,6 +103,15 @@ def within(docs: DataFrame, vocabulary: dict[str, int], id_col: str, text_col: s
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, at array<int>, tf array<int>")
 
 
+def totals(batches):
+    """How many documents have each word of the vocabulary: a row for each word and task."""
+    n = np.zeros(MAX_TERMS, np.int64)
+    for b in batches:
+        n += np.bincount(b.column(0).flatten().to_numpy(zero_copy_only=False), minlength=MAX_TERMS)
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["t", "n"])
+
+
 def _counted(text: str | None, known) -> list[tuple[str, int]]:
     if not text:
         return []
@@ -142,7 +151,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     vocabulary = {r["word"]: i for i, r in enumerate(chosen)}
 
     counted = stored(within(docs, vocabulary, id_col, text_col), "toxicity-terms")
-    df = {r["t"]: r["n"] for r in counted.select(F.explode("at").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
+    df = {r["t"]: r["n"] for r in counted.select("at").mapInArrow(totals, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
     n_docs = counted.count()
     examples = Examples(vocabulary, np.array([math.log((n_docs + 1) / (df.get(i, 0) + 0.5)) for i in range(len(vocabulary))]))
     found = counted.join(F.broadcast(drawn), "doc_id").select("doc_id", "label", "at", "tf").collect()

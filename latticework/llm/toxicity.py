@@ -12,24 +12,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import held_out, stored
+from latticework.llm.common import held_out, partitions, stored
+from latticework.llm.jaccard import sets_of, signatures
 
 #: Bound of the labelled sample: about so many examples of each label.
 SAMPLE_PER_LABEL = 2500
 #: Bound of the vocabulary: words that tell the labels apart in the sample, by chi-squared.
 MAX_TERMS, MIN_EXAMPLES, MIN_CHI2 = 512, 5, 25.0
+#: Words count, and so do their beginnings of these lengths.
+PREFIXES = range(4, 10)
+#: Of examples alike in this many trees' minimum hashes only one chooses words: copies tell nothing new.
+COPY_TREES, COPY_PREFIX = 4, 2
 NEAREST = 12  # distinct examples that vote
 BLOCK = 32  # examples in a block of the index
+FIRST_BLOCKS = 4  # blocks that set the least cosine
 SOFT = 0.05  # added to a distance before it divides a vote
 PRIOR_VOTES = 0.5
 THRESHOLD = 0.3
 WORD = re.compile(r"\w+")
 
 
-def terms_of(text: str | None) -> Counter:
+def words_of(text: str | None) -> Counter:
     return Counter(WORD.findall(text.lower())) if text else Counter()
 
 
+def terms_of(word: str) -> list[str]:
+    """The word, and its beginnings marked by a star."""
+    return [word, *(word[:k] + "*" for k in PREFIXES if k < len(word))]
+
+
+class Known(dict):
+    """The numbers of each word's terms in the vocabulary; words are remembered as they come."""
+
+    def __init__(self, vocabulary: dict[str, int], most: int = 300_000) -> None:
+        self.vocabulary, self.most = vocabulary, most
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= self.most:
+            self.clear()
+        found = self[word] = tuple(self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary)
+        return found
+
+
 @dataclass
 class Examples:
     """Distinct vectors of the examples, with the votes for either label and the ids of some that have each."""
@@ -50,32 +74,45 @@ class Examples:
         """The index: by term, blocks of examples with the greatest weight in each, and the weights there."""
         order = sorted(range(len(self.vectors)), key=lambda i: sorted(self.vectors[i].items(), key=lambda x: -x[1]))
         self.vectors, self.votes, self.ids = [self.vectors[i] for i in order], self.votes[order], [self.ids[i] for i in order]
-        self.postings: dict[int, dict[int, list[tuple[int, float]]]] = {}
+        of: dict[int, list[tuple[int, float]]] = {}
         for i, v in enumerate(self.vectors):
             for t, w in v.items():
-                self.postings.setdefault(t, {}).setdefault(i // BLOCK, []).append((i, w))
-        self.most = {t: {b: max(w for _, w in entries) for b, entries in blocks.items()} for t, blocks in self.postings.items()}
+                of.setdefault(t, []).append((i, w))
+        #: By term: examples, weights, the block of each; the term's blocks and its greatest weight in each.
+        self.postings: dict[int, tuple[np.ndarray, ...]] = {}
+        for t, entries in of.items():
+            ids, weights = np.array([i for i, _ in entries]), np.array([w for _, w in entries])
+            blocks, start = np.unique(ids // BLOCK, return_index=True)
+            self.postings[t] = ids, weights, ids // BLOCK, blocks, np.maximum.reduceat(weights, start)
         self.empty = [i for i, v in enumerate(self.vectors) if not v]
         return self
 
     def nearest(self, query: dict[int, float], k: int = NEAREST) -> list[tuple[float, int]]:
-        """The k examples of greatest cosine above 0, exactly: blocks by falling upper bound until none can add one."""
+        """The k examples of greatest cosine above 0, exactly: the blocks of greatest bounds set a least cosine,
+        then all blocks whose bound reaches it are looked through.
+        """
         if not query:
             return [(1.0, i) for i in self.empty]
-        bound: dict[int, float] = {}
-        for t, q in query.items():
-            for b, w in self.most.get(t, {}).items():
-                bound[b] = bound.get(b, 0.0) + q * w
-        best: list[tuple[float, int]] = []
-        for b in sorted(bound, key=lambda b: (-bound[b], b)):
-            if len(best) == k and bound[b] < best[-1][0] - 1e-12:
+        known = [(self.postings[t], q) for t, q in query.items() if t in self.postings]
+        if not known:
+            return []
+        bound = np.zeros(-(-len(self.vectors) // BLOCK))
+        for (_, _, _, blocks, most), q in known:
+            bound[blocks] += q * most
+        first = np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]
+        chosen = np.zeros(len(bound), bool)
+        chosen[first[bound[first] > 0]] = True
+        for _ in range(2):
+            parts = [(p[0][chosen[p[2]]], q * p[1][chosen[p[2]]]) for p, q in known]
+            dot = np.bincount(np.concatenate([i for i, _ in parts]), np.concatenate([w for _, w in parts]), len(self.vectors))
+            best = np.flatnonzero(dot > 0)
+            best = best[np.lexsort((best, -np.round(dot[best], 12)))][:k]
+            least = dot[best[-1]] - 1e-9 if len(best) == k else 0.0
+            more = (bound >= least) & (bound > 0)
+            if not (more & ~chosen).any():
                 break
-            dot: dict[int, float] = {}
-            for t, q in query.items():
-                for i, w in self.postings.get(t, {}).get(b, ()):
-                    dot[i] = dot.get(i, 0.0) + q * w
-            best = sorted([*best, *((d, i) for i, d in dot.items())], key=lambda x: (-round(x[0], 12), x[1]))[:k]
-        return best
+            chosen |= more
+        return [(float(dot[i]), int(i)) for i in best]
 
     def score(self, at: tuple[int, ...], tf: tuple[int, ...]) -> tuple[float, list[int], list[float]]:
         """Share of distance-weighted votes for label 1; ids and similarities of the nearest examples."""
@@ -91,13 +128,16 @@ def within(docs: DataFrame, vocabulary: dict[str, int], id_col: str, text_col: s
     """doc_id and, of the words of each text that the vocabulary has, their numbers and counts."""
 
     def run(batches):
-        known = vocabulary.keys()
+        known = Known(vocabulary)
         for b in batches:
             at, tf = [], []
             for x in b.column(1).to_pylist():
-                found = sorted((vocabulary[w], n) for w, n in ((w, n) for w, n in _counted(x, known)))
-                at.append([t for t, _ in found])
-                tf.append([n for _, n in found])
+                found: dict[int, int] = {}
+                for w, n in words_of(x).items():
+                    for t in known[w]:
+                        found[t] = found.get(t, 0) + n
+                at.append(sorted(found))
+                tf.append([found[t] for t in at[-1]])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.int32()))], ["doc_id", "at", "tf"])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, at array<int>, tf array<int>")
@@ -112,12 +152,19 @@ def totals(batches):
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["t", "n"])
 
 
-def _counted(text: str | None, known) -> list[tuple[str, int]]:
-    if not text:
-        return []
-    words = WORD.findall(text.lower())
-    both = known & set(words)
-    return [(w, words.count(w)) for w in both]
+def apart(sample: DataFrame) -> DataFrame:
+    """Of near copies among some thousands of texts, one."""
+
+    def run(batches):
+        for b in batches:
+            for i, j, shingles, first in sets_of(b.column(0)):
+                keys = signatures(shingles, first, COPY_TREES, COPY_PREFIX).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *(pa.array(np.ascontiguousarray(keys[:, k])) for k in range(COPY_TREES))], ["text", "label", *(f"k{k}" for k in range(COPY_TREES))])
+
+    rows = sample.select("text", "label").mapInArrow(run, "text string, label int, " + ", ".join(f"k{k} long" for k in range(COPY_TREES)))
+    for k in range(COPY_TREES):
+        rows = rows.groupBy(f"k{k}").agg(F.min_by(F.struct("*"), F.struct("text", "label")).alias("r")).select("r.*")
+    return rows.select("text", "label")
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = SAMPLE_PER_LABEL, seed: int = 3) -> tuple[Examples, DataFrame]:
@@ -136,18 +183,28 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     sample = rows.join(F.broadcast(drawn), "doc_id")  # some thousands of ids
 
-    def words(batches):
+    def terms(batches):
+        seen, toxic = Counter(), Counter()
         for b in batches:
-            out = [(w, y) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for w in terms_of(x)]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.string()), pa.array([y for _, y in out], pa.int32())], ["word", "label"])
-
-    seen = sample.select("text", "label").mapInArrow(words, "word string, label int")
-    n1, n0 = (min(per_label, counts.get(x, 0)) for x in (1, 0))
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = {t for w in words_of(x) for t in terms_of(w)}
+                seen.update(own)
+                if y:
+                    toxic.update(own)
+        names = list(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[t] for t in names], pa.int64()), pa.array([toxic[t] for t in names], pa.int64())], ["word", "n", "a"])
+
+    chosen_from = stored(apart(sample), "toxicity-sample")
+    sizes = {r[0]: r[1] for r in chosen_from.groupBy("label").count().collect()}
+    seen = chosen_from.mapInArrow(terms, "word string, n long, a long")
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     a, b = F.col("a").cast("double"), (F.col("n") - F.col("a")).cast("double")
     n = float(max(1, n1 + n0))
     chi2 = n * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2.0)) / F.greatest(F.lit(1.0), n1 * float(n0) * (a + b) * F.greatest(F.lit(1.0), n - a - b))
-    table = seen.groupBy("word").agg(F.sum("label").alias("a"), F.count("*").alias("n")).where(F.col("n") >= MIN_EXAMPLES)
-    chosen = table.withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "word").limit(MAX_TERMS).collect()
+    table = seen.groupBy("word").agg(F.sum("a").alias("a"), F.sum("n").alias("n")).where(F.col("n") >= MIN_EXAMPLES).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2)
+    # Of terms that begin alike and were seen equally often, the longest says all.
+    table = table.groupBy("a", "n", F.substring("word", 1, PREFIXES[0]).alias("head")).agg(F.max(F.struct("chi2", F.length("word"), "word")).alias("w"))
+    chosen = table.select("w.chi2", "w.word").orderBy(F.desc("chi2"), "word").limit(MAX_TERMS).collect()
     vocabulary = {r["word"]: i for i, r in enumerate(chosen)}
 
     counted = stored(within(docs, vocabulary, id_col, text_col), "toxicity-terms")
@@ -189,6 +246,7 @@ def score(counted: DataFrame, examples: Examples, threshold: float = THRESHOLD)
             s = np.array([x[0] for x in out], float)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))], ["doc_id", "score", "predicted", "evidence", "similarity"])
 
+    counted = counted.repartition(partitions(counted))  # few bytes, but each a search
     return counted.mapInArrow(run, "doc_id long, score double, predicted int, evidence array<long>, similarity array<double>")
 
 

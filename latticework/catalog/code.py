@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from latticework.functions.docstrings import documented
 from latticework.functions.names import conforms, visibility
 from latticework.operators.graph import affected, chased, strong_components
 from latticework.operators.ranking import first_by
@@ -128,8 +129,10 @@ class Code:
         return Relation.of(df, anchor, ("file_path", "ord") if "ord" in df.columns else None)
 
 
-def rules(code: Code, root: str | None = None, allow: dict[str, list[str]] | None = None) -> dict[str, Rule]:
-    """The rules by name. root and allow: the package whose parts may import only what is allowed."""
+def rules(code: Code, root: str | None = None, allow: dict[str, list[str]] | None = None, recorded: DataFrame | None = None, complete_docstrings: bool = False) -> dict[str, Rule]:
+    """The rules by name. root and allow: the package whose parts may import only what is allowed. recorded: public
+    symbols known before (symbol_id), which arms the rule on new ones. complete_docstrings: all parameters must be told.
+    """
     s = code.relation(code.symbols)
     callable_ = field("kind").is_in("function", "class", "method")
     public = field("visibility").eq("public")
@@ -165,6 +168,26 @@ def rules(code: Code, root: str | None = None, allow: dict[str, list[str]] | Non
     local = candidates.with_lookup("origins", "symbol_id", origins).where(field("referenced", "bool")).where(not_(field("origins", "array").any_other_than(field("module"))))
     out["over-exposed-module-symbol"] = Rule("over-exposed-module-symbol", (Part(local, "{kind} '{name}' is used only in {module}", "file_path", "line"),))
 
+    if recorded is not None:
+        fresh = local.with_membership("recorded", "symbol_id", recorded).where(not_(field("recorded", "bool")))
+        out["born-private"] = Rule("born-private", (Part(fresh, "new {kind} '{name}' is used only in {module}: begin it with an underscore", "file_path", "line"),))
+
+    # What a package's __init__ passes on, and who uses it from outside the package.
+    passed = code.symbols.where("kind = 'import' and file_path like '%__init__.py'").join(code.definitions, "symbol_id")
+    package = F.col("module")
+    inside = passed.where(F.col("definition").startswith(F.concat(package, F.lit("."))))
+    users = elsewhere.select("definition", F.col("module").alias("user")).distinct()
+    outside = inside.select("definition", F.col("module").alias("owner")).join(users, "definition").where((F.col("user") != F.col("owner")) & ~F.col("user").startswith(F.concat("owner", F.lit(".")))).select(F.concat_ws("|", "owner", "definition").alias("key")).distinct()
+    exported = Relation.of(inside.withColumn("key", F.concat_ws("|", "module", "definition")), "symbol_id", ("file_path", "ord")).with_membership("outside", "key", outside)
+    out["over-exposed-export"] = Rule("over-exposed-export", (Part(exported.where(not_(field("outside", "bool"))), "'{name}' is exported by {module} but not used outside it", "file_path", "line"),))
+
+    # Imports from a module of what its package exports.
+    barrels = first_by(inside.withColumnRenamed("module", "barrel"), ["definition"], ["barrel"], ["barrel"])
+    direct = code.symbols.where("kind = 'import' and not file_path like '%__init__.py'").join(code.definitions, "symbol_id").join(barrels, "definition")
+    source = F.regexp_replace("imported_from", r"\.[^.]*$", "")
+    past = direct.withColumn("target", source).where((source != F.col("barrel")) & ~(F.col("module") == F.col("barrel")) & ~F.col("module").startswith(F.concat("barrel", F.lit("."))))
+    out["barrel-only"] = Rule("barrel-only", (Part(code.relation(past), "import '{name}' from {barrel}, not from {target}", "file_path", "line"),))
+
     test_path = F.col("file_path").rlike(r"(^|/)(tests?/|test_[^/]*\.py$)")
     tested = elsewhere.where(test_path).select("definition").distinct()
     shipped = elsewhere.where(~test_path).select("definition").distinct()
@@ -214,10 +237,14 @@ def rules(code: Code, root: str | None = None, allow: dict[str, list[str]] | Non
     returning = code.symbols.where("kind in ('function', 'method') and annotation is not null and annotation not in ('None', 'NoReturn')").join(made, "symbol_id").where("not any_used")
     out["unused-return-value"] = Rule("unused-return-value", (Part(code.relation(returning), "the result of '{name}' is never used in {n_calls} calls", "file_path", "line"),))
 
-    documented = F.regexp_extract_all("docstring", F.lit(r":param\s+(?:\w+\s+)?(\w+)\s*:"), F.lit(1))
-    signature = F.filter(F.transform("parameters", lambda p: p), lambda p: ~p.isin("self", "cls"))
-    drift = code.symbols.where("kind in ('function', 'method') and docstring like '%:param%'").withColumn("ghosts", F.array_except(documented, signature)).withColumn("ghost", F.explode("ghosts"))
-    out["docstring-drift"] = Rule("docstring-drift", (Part(code.relation(drift), "'{name}' documents '{ghost}', which it doesn't take", "file_path", "line"),))
+    signature = F.filter("parameters", lambda p: ~p.isin("self", "cls"))
+    told = code.symbols.where("kind in ('function', 'method')").withColumn("told", documented(F.col("docstring"))).where(F.size("told") > 0)
+    ghosts = told.withColumn("ghost", F.explode(F.array_except("told", signature)))
+    parts = [Part(code.relation(ghosts), "'{name}' documents '{ghost}', which it doesn't take", "file_path", "line")]
+    if complete_docstrings:
+        lacking = told.withColumn("lacking", F.explode(F.array_except(signature, F.col("told"))))
+        parts.append(Part(code.relation(lacking), "'{name}' doesn't document '{lacking}'", "file_path", "line"))
+    out["docstring-drift"] = Rule("docstring-drift", tuple(parts))
 
     changed = code.uses.where("kind in ('augment', 'subscript-write', 'delete')").select(F.col("bound").alias("changed")).union(code.uses.where("kind = 'attribute-call'").where(F.col("name").isin(*MUTATORS)).select("root_id"))
     lists = code.relation(code.symbols.where("kind = 'variable' and scope_kind in ('function', 'lambda') and annotation = 'list' and annotation_confidence = 'inferred'")).with_membership("changed", "symbol_id", changed)

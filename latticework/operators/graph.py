@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from latticework.sources.shared import stored
 
+#: Steps of a propagation between two writes to the shared folder.
+HOPS = 3
+
 
 def reachable(edges: DataFrame, seeds: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """Nodes that a path of edges (a to b) leads to from the seeds, with the length of the shortest; seeds have 0.
@@ -53,21 +56,23 @@ def strong_components(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     that reaches them, and takes from each colour those that reach its source; what is left goes on.
     """
     left = stored(edges.where("a <> b").select("a", "b").distinct(), "scc")
-    found = None
+    found, n_edges = None, left.count()
     for _ in range(most_rounds):
         while True:  # nodes without a way in or out are in no cycle
-            trimmed = stored(left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi"), "scc")
-            same = trimmed.count() == left.count()
-            left = trimmed
-            if same:
+            trimmed = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
+            trimmed, n_before = stored(trimmed, "scc"), n_edges
+            left, n_edges = trimmed, trimmed.count()
+            if n_edges == n_before:
                 break
-        if left.isEmpty():
+        if not n_edges:
             break
-        colour = stored(left.select(F.col("a").alias("node")).distinct().withColumn("colour", F.col("node")), "scc")
+        colour = left.select(F.col("a").alias("node"), F.col("a").alias("colour")).distinct()
         while True:
-            pushed = left.join(colour, left["a"] == colour["node"]).groupBy("b").agg(F.max("colour").alias("pushed"))
-            after = colour.join(pushed, colour["node"] == pushed["b"], "left").select("node", F.greatest("colour", F.coalesce("pushed", "colour")).alias("colour"), (F.coalesce("pushed", "colour") > F.col("colour")).alias("changed"))
-            after = stored(after, "scc")
+            after = colour
+            for _ in range(HOPS):  # several steps between two writes
+                pushed = left.join(after, left["a"] == after["node"]).groupBy(F.col("b").alias("node")).agg(F.max("colour").alias("pushed"))
+                after = after.join(pushed, "node", "left").select("node", F.greatest("colour", F.coalesce("pushed", "colour")).alias("colour"))
+            after = stored(after.join(colour.withColumnRenamed("colour", "was"), "node").select("node", "colour", (F.col("colour") > F.col("was")).alias("changed")), "scc")
             changed = not after.where("changed").isEmpty()
             colour = after.drop("changed")
             if not changed:
@@ -82,6 +87,7 @@ def strong_components(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
         seen = stored(seen, "scc")
         found = seen if found is None else found.unionByName(seen)
         left = stored(left.join(seen.select(F.col("node").alias("a")), "a", "left_anti").join(seen.select(F.col("node").alias("b")), "b", "left_anti"), "scc")
+        n_edges = left.count()
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     if found is None:

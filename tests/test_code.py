@@ -16,7 +16,8 @@ def code(spark):
 
 @pytest.fixture(scope="module")
 def found(code):
-    return rules(code, root="app", allow={"web": ["core"], "core": ["web"]})
+    recorded = code.sources.sparkSession.createDataFrame([("app.core.model:Model",)], "symbol_id string")
+    return rules(code, root="app", allow={"web": ["core"], "core": ["web"]}, recorded=recorded, complete_docstrings=True)
 
 
 def lines(rule):
@@ -55,6 +56,9 @@ EXPECTED = {
     "over-exposed-module-symbol": [("web/plain.py", 1, "function 'used_here' is used only in app.web.plain", "declared")],
     "test-only-production-code": [("core/store.py", 10, "function 'reset' is used by tests only", "declared")],
     "docstring-drift": [("core/model.py", 13, "'save' documents 'mode', which it doesn't take", "declared")],
+    "born-private": [("web/plain.py", 1, "new function 'used_here' is used only in app.web.plain: begin it with an underscore", "declared")],
+    "over-exposed-export": [("__init__.py", 1, "'Model' is exported by app but not used outside it", "declared")],
+    "barrel-only": [],
     "unused-return-value": [],
     "prefer-tuple": [("core/model.py", 35, "'rows' is never changed: a tuple would do", "heuristic")],
     "no-argument-mutation": [("core/model.py", 32, "argument 'items' is changed by .append()", "declared"), ("core/model.py", 33, "argument 'box' gets a new .count", "declared"), ("core/model.py", 34, "argument 'box' gets a new item", "declared")],
@@ -102,3 +106,27 @@ def test_refresh(spark, tmp_path):
     known = spark.createDataFrame(known, "path string, sha256 string")
     assert sorted(r["path"] for r in stale(now, known).collect()) == ["src/app/__init__.py", "src/app/core/__init__.py"]
     assert [r["path"] for r in removed(now, known).collect()] == ["src/gone.py"]
+
+
+def test_barrel_only(spark):
+    files = {"src/p/__init__.py": "from p.a import f, g\n", "src/p/a.py": "def f(): pass\ndef g(): pass\n", "src/q.py": "from p.a import f\nfrom p import g\nf()\ng()\n"}
+    code = Code(spark.createDataFrame([(p, c.encode()) for p, c in files.items()], "path string, content binary"))
+    found = rules(code)
+    assert [(r["path"], r["line"], r["message"]) for r in found["barrel-only"].findings().collect()] == [("src/q.py", 1, "import 'f' from p, not from p.a")]
+    assert found["over-exposed-export"].findings().count() == 0
+
+
+def test_docstring_styles(spark):
+    from pyspark.sql import functions as F
+
+    from latticework.functions.docstrings import documented, style
+
+    texts = {
+        "sphinx": "Do.\n\n:param a: x\n:param int b: y\n",
+        "google": "Do.\n\n    Args:\n        a: x\n            more: text\n        b (int): y\n\n    Returns:\n        c: z\n",
+        "numpy": "Do.\n\n    Parameters\n    ----------\n    a : int\n        x\n    b\n        y\n\n    Returns\n    -------\n    c\n",
+        None: "Do nothing.",
+    }
+    df = spark.createDataFrame([(k, v) for k, v in texts.items()], "k string, t string")
+    for r in df.select("k", style(F.col("t")).alias("s"), documented(F.col("t")).alias("d")).collect():
+        assert r["s"] == r["k"] and r["d"] == (["a", "b"] if r["k"] else [])

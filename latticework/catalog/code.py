@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from latticework.functions.docstrings import documented
 from latticework.functions.names import conforms, visibility
 from latticework.operators.graph import affected, chased, strong_components
+from latticework.operators.intervals import innermost
 from latticework.operators.ranking import first_by
 from latticework.plans.evidence import HEURISTIC, all_of, any_of, field, not_, weakened_when
 from latticework.plans.relation import Relation
@@ -96,6 +97,34 @@ class Code:
         both = both.withColumn("wanted", through).join(own, F.col("wanted") == F.col("through"), "left")
         return stored(both.withColumn("definition", F.coalesce("through", "definition")).drop("wanted", "through"), "code-uses")
 
+    @cached_property
+    def importers(self) -> DataFrame:
+        """Every import with what it means in the end: definition, symbol_id, file_path, line."""
+        return self.symbols.where("kind = 'import'").select("symbol_id", "file_path", "line").join(self.definitions, "symbol_id")
+
+    def references_to(self, definitions: DataFrame) -> DataFrame:
+        """Uses of the given definitions (one column), and how each gets there: direct, import_alias, barrel or receiver."""
+        wanted = definitions.select(F.col(definitions.columns[0]).alias("definition")).distinct()
+        passed = self.symbols.where("kind = 'import' and file_path like '%__init__.py'").join(self.definitions, "symbol_id").select("definition", F.lit(True).alias("in_barrel")).distinct()
+        found = self.uses.join(wanted, "definition").join(passed, "definition", "left")
+        named = self.symbols.where("kind = 'import'").select(F.col("symbol_id").alias("bound"), "imported_from").distinct()
+        found = found.join(first_by(named, ["bound"], ["imported_from"], ["imported_from"]), "bound", "left")
+        straight = F.concat(F.regexp_replace("imported_from", r"\.[^.]*$", ""), F.lit(":"), F.substring_index("imported_from", ".", -1))
+        how = F.when(F.col("symbol_id") == F.col("definition"), "direct").when(F.col("kind").startswith("attribute-"), "receiver").when(F.col("in_barrel") & (straight != F.col("definition")), "barrel").otherwise("import_alias")
+        return found.select("definition", "file_path", "line", "kind", how.alias("how"))
+
+    def visible_at(self, places: DataFrame) -> DataFrame:
+        """The names that can be read at each place (file_path, line): of each name the innermost scope's first declaration."""
+        scopes = self.raw["scopes"].select("file_path", "scope_id", "chain", "start_line", "end_line")
+        at = innermost(places.select("file_path", "line"), scopes, "file_path", "line", "start_line", "end_line", "scope_id", width=50)
+        top = self.raw["files"].select("file_path", "module")
+        at = at.join(top, "file_path").withColumn("scope_id", F.coalesce("innermost", "module"))
+        chain = at.join(scopes.select("file_path", "scope_id", "chain"), ["file_path", "scope_id"]).select("file_path", "line", F.posexplode("chain").alias("depth", "scope_id"))
+        kinds = self.raw["scopes"].select("file_path", "scope_id", F.col("kind").alias("scope"))
+        chain = chain.join(kinds, ["file_path", "scope_id"]).where("depth = 0 or scope <> 'class'")
+        names = self.symbols.where("kind <> 'star'").select("file_path", "scope_id", "name", "symbol_id", "ord")
+        return first_by(chain.join(names, ["file_path", "scope_id"]), ["file_path", "line", "name"], ["depth", "ord"], ["symbol_id"])
+
     @cached_property
     def calls(self) -> DataFrame:
         """Edges of the call graph: a, b."""

@@ -39,6 +39,20 @@ def test_definitions(code):
     assert got["app.core.model:store"] == "app.core.store"
 
 
+def test_references_and_importers(code, spark):
+    wanted = spark.createDataFrame([("app.core.model:Model",), ("app.core.store:write",)], "d string")
+    got = {(r["file_path"].removeprefix("src/app/"), r["line"], r["how"]) for r in code.references_to(wanted).where("kind not in ('write')").collect()}
+    assert got == {("web/view.py", 6, "barrel"), ("core/model.py", 20, "receiver")}
+    assert {r["file_path"] for r in code.importers.where("definition = 'app.core.model:Model'").collect()} == {"src/app/__init__.py", "src/app/web/view.py"}
+
+
+def test_visible(code, spark):
+    places = spark.createDataFrame([("src/app/core/model.py", 20)], "file_path string, line int")
+    got = {r["name"]: r["symbol_id"] for r in code.visible_at(places).collect()}
+    assert got["target"] == "app.core.model:Model.save.target" and got["self"] == "app.core.model:Model.save.self" and got["Model"] == "app.core.model:Model"
+    assert "_inner" not in got and "rows" not in got
+
+
 def test_impure(code):
     got = {r["function"]: r["depth"] for r in code.impure.collect()}
     assert got["app.core.store:write"] == 0 and got["app.core.model:Model.save"] == 1

@@ -15,6 +15,8 @@ from latticework.llm.suffixes import WindowTable, merge
 WINDOW = 50
 #: Bytes of text whose anchors a bucket holds on average.
 BUCKET_BYTES = 24 << 20
+#: Bytes of text whose anchors a task holds at a time before they are dealt out.
+SLICE_BYTES = 8 << 20
 #: Bytes of contexts in one suffix array, and in one task.
 ARRAY_BYTES, TASK_BYTES = 1 << 20, 4 << 20
 #: Contexts of one anchor that go to one task together; of more, blocks of so many meet in pairs.
@@ -62,13 +64,20 @@ def records(column: pa.Array, window: int) -> dict[str, np.ndarray]:
     return dict(zip(names, (np.concatenate(x) for x in zip(*parts))))
 
 
+def slices(batch: pa.RecordBatch):
+    """Parts of a batch of (id, text) of SLICE_BYTES of text or one longer text, and of few enough rows for their 16-bit numbers."""
+    _, at = buffers(batch.column(1))
+    for i, j in rounds(at, SLICE_BYTES):
+        for k in range(i, j, 60_000):
+            yield batch.slice(k, min(j - k, 60_000))
+
+
 def scatter(rows: DataFrame, window: int, n_buckets: int) -> DataFrame:
     """Anchors by bucket of their hash, packed; runs of windows that an earlier text of the same batch has are found here."""
 
     def run(batches):
         for whole in batches:
-            for at in range(0, len(whole), 60_000):
-                b = whole.slice(at, 60_000)
+            for b in slices(whole):
                 ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 r = records(b.column(1), window)
                 same = mix(r["key"].astype(U64) ^ mix(r["context"].astype(U64) + U64(5)))

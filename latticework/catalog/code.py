@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions.docstrings import documented
 from latticework.functions.names import conforms, visibility
-from latticework.operators.graph import affected, chased, strong_components
+from latticework.operators.graph import affected, ancestry, chased, strong_components
 from latticework.operators.intervals import innermost
 from latticework.operators.ranking import first_by
 from latticework.plans.evidence import HEURISTIC, all_of, any_of, field, not_, weakened_when
@@ -125,6 +125,29 @@ class Code:
         names = self.symbols.where("kind <> 'star'").select("file_path", "scope_id", "name", "symbol_id", "ord")
         return first_by(chain.join(names, ["file_path", "scope_id"]), ["file_path", "line", "name"], ["depth", "ord"], ["symbol_id"])
 
+    @cached_property
+    def bases(self) -> DataFrame:
+        """a is a class, b one of its bases, by its definition where that is among the sources, else by its text."""
+        told = self.symbols.where("kind = 'class'").select(F.col("symbol_id").alias("a"), "file_path", F.explode("parameters").alias("text"))
+        told = told.withColumn("root", F.substring_index("text", ".", 1)).withColumn("rest", F.when(F.col("text").contains("."), F.expr("substring(text, length(root) + 2)")))
+        names = first_by(self.symbols.where("is_module_level and kind in ('import', 'class')"), ["file_path", "name"], ["ord"], ["symbol_id"]).withColumnRenamed("name", "root")
+        found = told.join(names, ["file_path", "root"], "left").join(self.definitions, "symbol_id", "left")
+        meant = F.coalesce("definition", "symbol_id")
+        return found.select("a", F.when(meant.isNull(), F.col("text")).when(F.col("rest").isNotNull(), F.concat_ws(":", meant, F.col("rest"))).otherwise(meant).alias("b")).distinct()
+
+    @cached_property
+    def ancestors(self) -> DataFrame:
+        """node, ancestor, depth of classes."""
+        return ancestry(self.bases)
+
+    @cached_property
+    def overrides(self) -> DataFrame:
+        """Methods and the nearest ancestors' methods of that name."""
+        methods = self.symbols.where("kind = 'method'").select(F.col("scope_id").alias("node"), "name", F.col("symbol_id").alias("method")).distinct()
+        above = methods.select(F.col("node").alias("ancestor"), "name", F.col("method").alias("overridden"))
+        met = methods.join(self.ancestors, "node").join(above, ["ancestor", "name"])
+        return first_by(met, ["method"], ["depth", "overridden"], ["overridden"])
+
     @cached_property
     def calls(self) -> DataFrame:
         """Edges of the call graph: a, b."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: What tells the formats apart.
@@ -66,3 +67,18 @@ def blobs(captures: DataFrame, text_col: str, order_col: str) -> DataFrame:
     """A content-addressed store: for each distinct content its digest, size, first holder and number of holders."""
     digest = F.sha2(F.col(text_col).cast("binary"), 256)
     return captures.select(digest.alias("digest"), F.octet_length(text_col).cast("long").alias("bytes"), F.col(order_col)).groupBy("digest").agg(F.max("bytes").alias("bytes"), F.min(order_col).alias("first"), F.count("*").alias("holders"))
+
+
+def json_shape(text: Column) -> Column:
+    """The schema of a JSON text, NULL for any other text."""
+    parsed = F.try_parse_json(text)
+    return F.when(parsed.isNotNull(), F.schema_of_variant(parsed))
+
+
+def evicted(blobs: DataFrame, stored_at: str, bytes_: str, now: Column, ttl_days: int, most_bytes: int) -> DataFrame:
+    """What goes from a store: what is older than the time to live, then whole days, oldest first, beyond the size limit."""
+    day = F.to_date(stored_at)
+    old = F.col(stored_at) < now - F.make_dt_interval(F.lit(ttl_days))
+    days = blobs.where(~old).groupBy(day.alias("_day")).agg(F.sum(bytes_).alias("_b"))  # a row for each day
+    kept = days.withColumn("_total", F.sum("_b").over(W.orderBy(F.desc("_day")))).where(F.col("_total") <= most_bytes).select("_day")
+    return blobs.withColumn("_day", F.when(~old, day)).join(kept, "_day", "left_anti").drop("_day")

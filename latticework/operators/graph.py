@@ -94,3 +94,17 @@ def strong_components(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
     size = found.groupBy("colour").agg(F.count("*").alias("n"), F.min("node").alias("component")).where("n > 1")
     return found.join(size, "colour").select("node", "component")
+
+
+def ancestry(edges: DataFrame, most_depth: int = 32) -> DataFrame:
+    """node, ancestor, depth for all paths a to b, each pair at its least depth; a node in a cycle is its own ancestor."""
+    edges = edges.select("a", "b").distinct()
+    step = edges.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+    seen = front = stored(edges.select(F.col("a").alias("node"), F.col("b").alias("ancestor"), F.lit(1).alias("depth")), "ancestry")
+    for depth in range(2, most_depth + 1):
+        new = front.join(step, F.col("ancestor") == F.col("_a")).select("node", F.col("_b").alias("ancestor")).distinct()
+        front = stored(new.join(seen, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), "ancestry")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen

@@ -58,7 +58,7 @@ class Walk(ast.NodeVisitor):
         self.enter(self.module, "module", node, node.body)
 
     def visit_ClassDef(self, node):
-        self.declare(node.name, "class", node, ast.get_docstring(node), map(ast.unparse, node.decorator_list))
+        self.declare(node.name, "class", node, ast.get_docstring(node), map(ast.unparse, node.decorator_list), parameters=[ast.unparse(b) for b in node.bases])
         for x in [*node.decorator_list, *node.bases, *node.keywords]:
             self.visit(x)
         self.enter(node.name, "class", node, node.body)

@@ -144,3 +144,11 @@ def test_docstring_styles(spark):
     df = spark.createDataFrame([(k, v) for k, v in texts.items()], "k string, t string")
     for r in df.select("k", style(F.col("t")).alias("s"), documented(F.col("t")).alias("d")).collect():
         assert r["s"] == r["k"] and r["d"] == (["a", "b"] if r["k"] else [])
+
+
+def test_hierarchy(spark):
+    files = {"src/p/a.py": "class A:\n    def f(self): pass\n    def g(self): pass\n", "src/p/b.py": "from p.a import A\nimport p.a as m\nclass B(A):\n    def f(self): pass\nclass C(B, Exception):\n    def f(self): pass\n    def g(self): pass\nclass D(m.A): pass\n"}
+    code = Code(spark.createDataFrame([(p, c.encode()) for p, c in files.items()], "path string, content binary"))
+    got = {(r["node"], r["ancestor"], r["depth"]) for r in code.ancestors.collect()}
+    assert got == {("p.b:B", "p.a:A", 1), ("p.b:C", "p.b:B", 1), ("p.b:C", "Exception", 1), ("p.b:C", "p.a:A", 2), ("p.b:D", "p.a:A", 1)}
+    assert {(r["method"], r["overridden"]) for r in code.overrides.collect()} == {("p.b:B.f", "p.a:A.f"), ("p.b:C.f", "p.b:B.f"), ("p.b:C.g", "p.a:A.g")}

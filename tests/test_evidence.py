@@ -190,3 +190,11 @@ def test_streams(spark, tmp_path):
     events.write.parquet(str(tmp_path / "ev"))
     counts = ingest.run_once(spark.readStream.schema(events.schema).parquet(str(tmp_path / "ev")), "counts", str(tmp_path / "c2"), lambda s: ingest.windowed_counts(s, "ts", ["kind"]), mode="complete")
     assert sum(r["n"] for r in counts.collect()) == 100
+
+
+def test_json_shape_and_eviction(spark):
+    df = spark.createDataFrame([('{"a": [1]}',), ("{not",)], "t string")
+    assert [r[0] for r in df.select(captures.json_shape(F.col("t"))).collect()] == ["OBJECT<a: ARRAY<BIGINT>>", None]
+    rows = spark.sql("select id, timestamp'2024-01-10 00:00:00' - make_dt_interval(cast(id as int)) as at, 10 as bytes from range(6)")
+    gone = captures.evicted(rows, "at", "bytes", F.lit("2024-01-10 00:00:00").cast("timestamp"), ttl_days=4, most_bytes=30)
+    assert sorted(r["id"] for r in gone.collect()) == [3, 4, 5]

@@ -16,7 +16,7 @@ INVERSE = pow(BASE, -1, 1 << 64)
 #: A random 64-bit value for each byte.
 BYTE_VALUE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 #: Texts handled by one round of numpy, in bytes; a longer text is a round of its own.
-ROUND_BYTES = 1 << 20
+ROUND_BYTES = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -92,6 +92,16 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Bytes that Spark hands to Python at a time, where the session allows more: a worker holds several copies of them.
+BATCH_BYTES = 4 << 20
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """The same rows; from now on the session's batches for Python have about BATCH_BYTES at most."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; only where it is unset, as in tests, one of our own."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from latticework.llm.anchors import GRAM, anchors
-from latticework.llm.common import BYTE_VALUE, U64, SpanHash, buffers, mix, partitions, rounds, stored
+from latticework.llm.common import BYTE_VALUE, U64, SpanHash, buffers, in_batches, mix, partitions, rounds, stored
 from latticework.llm.suffixes import WindowTable, merge
 
 WINDOW = 50
 #: Bytes of text whose anchors a bucket holds on average.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 16 << 20
 #: Bytes of text whose anchors a task holds at a time before they are dealt out.
 SLICE_BYTES = 8 << 20
 #: Bytes of contexts in one suffix array, and in one task.
@@ -101,7 +101,7 @@ def scatter(rows: DataFrame, window: int, n_buckets: int) -> DataFrame:
                     out.append((int(k), None, head + b"".join((number.astype("<u2") if n == "row" else r[n][i:j]).tobytes() for n, _ in FIELDS)))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "doc_id", "packed"])
 
-    return rows.mapInArrow(run, "bucket int, doc_id long, packed binary")
+    return in_batches(rows).mapInArrow(run, "bucket int, doc_id long, packed binary")
 
 
 def unpacked(blobs: list[bytes]) -> dict[str, np.ndarray]:
@@ -172,7 +172,7 @@ def match(scattered: DataFrame, n_buckets: int) -> DataFrame:
                     packed, empty = pa.array([x for _, x in part], pa.binary()), none(len(part), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.int64()), *((packed, empty) if at == 1 else (empty, packed))], ["doc_id", "runs", "asks"])
 
-    return rows.mapInArrow(run, "doc_id long, runs binary, asks binary")
+    return in_batches(rows).mapInArrow(run, "doc_id long, runs binary, asks binary")
 
 
 def contexts(asked: DataFrame, window: int) -> DataFrame:
@@ -196,7 +196,7 @@ def contexts(asked: DataFrame, window: int) -> DataFrame:
     def batch(out):
         return pa.RecordBatch.from_arrays([pa.array([(x[0] + (1 << 63)) % (1 << 64) - (1 << 63) for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.binary())], ["unit", "doc_id", "first", "bytes"])
 
-    return asked.mapInArrow(run, "unit long, doc_id long, first long, bytes binary")
+    return in_batches(asked).mapInArrow(run, "unit long, doc_id long, first long, bytes binary")
 
 
 def compare(shards: DataFrame, window: int) -> DataFrame:
@@ -228,7 +228,7 @@ def compare(shards: DataFrame, window: int) -> DataFrame:
             found = runs_by_doc(doc[i:j][piece], runs)
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["doc_id", "runs"])
 
-    return shards.mapInArrow(run, "doc_id long, runs binary")
+    return in_batches(shards).mapInArrow(run, "doc_id long, runs binary")
 
 
 def cut(found: DataFrame, window: int) -> DataFrame:
@@ -248,7 +248,7 @@ def cut(found: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i] for x in out], pa.int64()) for i in range(3)), pa.array([x[3] for x in out], pa.binary()), b.column(3)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "rest"])
 
     numbers = [T.StructField(k, T.LongType()) for k in ("doc_id", "n_bytes", "n_removed", "n_spans")]
-    return found.mapInArrow(run, T.StructType([*numbers, T.StructField("kept", T.BinaryType()), found.schema["rest"]]))
+    return in_batches(found).mapInArrow(run, T.StructType([*numbers, T.StructField("kept", T.BinaryType()), found.schema["rest"]]))
 
 
 def picked(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import held_out, partitions, stored
+from latticework.llm.common import held_out, in_batches, partitions, stored
 from latticework.llm.jaccard import sets_of, signatures
 
 #: Bound of the labelled sample: about so many examples of each label.
@@ -140,7 +140,7 @@ def within(docs: DataFrame, vocabulary: dict[str, int], id_col: str, text_col: s
                 tf.append([found[t] for t in at[-1]])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.int32()))], ["doc_id", "at", "tf"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, at array<int>, tf array<int>")
+    return in_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, at array<int>, tf array<int>")
 
 
 def totals(batches):
@@ -196,7 +196,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     chosen_from = stored(apart(sample), "toxicity-sample")
     sizes = {r[0]: r[1] for r in chosen_from.groupBy("label").count().collect()}
-    seen = chosen_from.mapInArrow(terms, "word string, n long, a long")
+    seen = in_batches(chosen_from).mapInArrow(terms, "word string, n long, a long")
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     a, b = F.col("a").cast("double"), (F.col("n") - F.col("a")).cast("double")
     n = float(max(1, n1 + n0))
@@ -247,7 +247,7 @@ def score(counted: DataFrame, examples: Examples, threshold: float = THRESHOLD)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))], ["doc_id", "score", "predicted", "evidence", "similarity"])
 
     counted = counted.repartition(partitions(counted))  # few bytes, but each a search
-    return counted.mapInArrow(run, "doc_id long, score double, predicted int, evidence array<long>, similarity array<double>")
+    return in_batches(counted).mapInArrow(run, "doc_id long, score double, predicted int, evidence array<long>, similarity array<double>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U64 = np.uint64
 #: Odd multiplier of the polynomial hash; 1 - BASE has one factor of two only.
@@ -96,10 +100,25 @@ def work_dir(spark: SparkSession, name: str) -> str:
 BATCH_BYTES = 4 << 20
 
 
-def in_batches(df: DataFrame) -> DataFrame:
-    """The same rows; from now on the session's batches for Python have about BATCH_BYTES at most."""
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow, from now on in the session's batches of about BATCH_BYTES at most. When a task ends, its worker,
+    which Spark keeps for later tasks, gives what it no longer needs back to the system.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df
+
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

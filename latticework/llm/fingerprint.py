@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import U64, in_batches, mix, partitions
+from latticework.llm.common import U64, map_batches, mix, partitions
 
 #: Smallest hashes kept of a text's phrases.
 KEPT = 128
@@ -86,7 +86,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint_of(x) for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "fingerprint"])
 
-    return in_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
+    return map_batches(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), run, "doc_id long, fingerprint string")
 
 
 def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,4 +159,4 @@ def _stream(dealt: DataFrame, fields: str) -> DataFrame:
             columns = list(zip(*out)) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
-    return in_batches(dealt).mapInArrow(run, fields)
+    return map_batches(dealt, run, fields)

@@ -10,7 +10,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from latticework.llm.common import in_batches
+from latticework.llm.common import map_batches
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|template|noscript|iframe|svg|textarea|select|head|object|canvas|audio|video|math)(?=[\s>/])(?:[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>.*?(?:</\1\s*>|(?=<body[\s>])|\Z)|<(/?)([a-z][a-z0-9:-]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<(/?)([a-z][a-z0-9:-]*)([^>]*)>|<[!?][^>]*>|</[^>]*>""", re.S | re.I)
 #: Elements that begin and end a block.
@@ -215,4 +215,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([main_text(x) for x in b.column(2).to_pylist()], pa.string())], ["page_id", "url", "text"])
 
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html"))
-    return in_batches(rows).mapInArrow(run, "page_id long, url string, text string")
+    return map_batches(rows, run, "page_id long, url string, text string")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import BYTE_VALUE, U64, SpanHash, buffers, in_batches, mix, partitions, rounds, stored
+from latticework.llm.common import BYTE_VALUE, U64, SpanHash, buffers, map_batches, mix, partitions, rounds, stored
 from latticework.llm.components import components
 from latticework.llm.quality import SPACE, spans
 
@@ -95,7 +95,7 @@ def sketched(docs: DataFrame, words: int, trees: int, prefix: int, id_col: str,
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][keep]), pa.array(one[keep].view(np.int64)), pa.array(two[keep].view(np.int64)), pa.array(size[keep].astype(np.int64)), pa.ListArray.from_arrays(at, flat)], ["doc_id", "s1", "s2", "n", "keys"])
 
     rows = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return in_batches(rows).mapInArrow(run, "doc_id long, s1 long, s2 long, n long, keys array<long>")
+    return map_batches(rows, run, "doc_id long, s1 long, s2 long, n long, keys array<long>")
 
 
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -216,7 +216,7 @@ def jaccard_join(docs: DataFrame, similarity: Fraction = SIMILARITY, words: int
             found = [s[f[k] : f[k + 1]].tobytes() for i, j, s, f in sets_of(b.column(1), n_words) for k in range(j - i)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(4), pa.array(found, pa.binary())], ["rep", "component", "copies", "blocks", "shingles"])
 
-    whole = in_batches(texts).select("rep", "text", "component", "copies", "blocks").mapInArrow(shingle, "rep long, component long, copies long, blocks int, shingles binary")
+    whole = map_batches(texts.select("rep", "text", "component", "copies", "blocks"), shingle, "rep long, component long, copies long, blocks int, shingles binary")
     whole = whole.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     whole = whole.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     units = whole.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "copies", "block", "blocks", "shingles")
@@ -244,7 +244,7 @@ def jaccard_join(docs: DataFrame, similarity: Fraction = SIMILARITY, words: int
         if key is not None:
             yield done()
 
-    found = stored(in_batches(units).mapInArrow(check, "rep long, other long, links long, many boolean"), "jaccard-links")
+    found = stored(map_batches(units, check, "rep long, other long, links long, many boolean"), "jaccard-links")
     links = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
     classes = found.where("other is not null and not many").select(F.col("other").alias("rep"), F.col("rep").alias("class_id"))
     joined = found.where("other is not null and many").select(F.col("rep").alias("a"), F.col("other").alias("b"))

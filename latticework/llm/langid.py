@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import buffers, held_out, in_batches, rounds
+from latticework.llm.common import buffers, held_out, map_batches, rounds
 
 WINDOW = 256  # bytes
 WIDTHS = (2, 3, 4)  # of the filters, in bytes
@@ -183,7 +183,7 @@ def identify(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: st
             best, score = predicted(net, b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[best], pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return in_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return map_batches(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), run, "doc_id long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, net: ByteNet, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
@@ -195,7 +195,7 @@ def keep_known(docs: DataFrame, net: ByteNet, text_col: str = "text", min_score:
             best, score = predicted(net, b.column(where))
             yield b.filter(pa.array((best >= 0) & (score >= min_score)))
 
-    return in_batches(docs).mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def teaching(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import in_batches, partitions
+from latticework.llm.common import map_batches, partitions
 from latticework.llm.tokens import byte_bpe
 
 SEQUENCE = 2048
@@ -137,4 +137,4 @@ def packed(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str = "byte_bpe
             tokens = pa.array([found[d][s : s + n].astype("<u4").tobytes() for d, s, n, _, _ in part], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d in doc], pa.int64()), pa.array(start), pa.array(length), tokens, pa.array([len(found[d]) for d in doc], pa.int64()), pa.array((shard << 40) + number), pa.array(offset)], names)
 
-    return in_batches(rows).mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return map_batches(rows, run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm.anchors import eights
-from latticework.llm.common import in_batches
+from latticework.llm.common import map_batches
 from latticework.llm.suffixes import suffix_array
 
 MARK = "▁"  # stands for a space
@@ -210,7 +210,7 @@ def coded(docs: DataFrame, model: str = "piece_bpe_32k", id_col: str = "doc_id",
                 exact = [x == y.replace(MARK, " ") for x, y in zip(back, texts[i:j])]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array(back, pa.string()), pa.array(exact)], ["doc_id", "ids", "decoded", "exact"])
 
-    return in_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary, decoded string, exact boolean")
+    return map_batches(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), run, "doc_id long, ids binary, decoded string, exact boolean")
 
 
 def decoded(coded_docs: DataFrame, model: str = "piece_bpe_32k") -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from latticework.llm.common import BYTE_VALUE, U64, SpanHash, buffers, in_batches, mix, per_text, rounds
+from latticework.llm.common import BYTE_VALUE, U64, SpanHash, buffers, map_batches, mix, per_text, rounds
 
 #: Lengths of the n-grams of words, and the greatest share of a text's word characters that repeats of each may cover.
 NGRAMS = {5: 0.5, 8: 0.4, 13: 0.4}
@@ -117,7 +117,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(r[k]) for k in [*COLUMNS, "base_failed", "kept"])], ["doc_id", *COLUMNS, "base_failed", "kept"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return in_batches(rows).mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in COLUMNS) + ", base_failed boolean, kept boolean")
+    return map_batches(rows, run, "doc_id long, " + ", ".join(f"{k} long" for k in COLUMNS) + ", base_failed boolean, kept boolean")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -128,4 +128,4 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(judged(b.column(where))["kept"]))
 
-    return in_batches(docs).mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from latticework.llm.anchors import GRAM, anchors
-from latticework.llm.common import BYTE_VALUE, U64, SpanHash, buffers, in_batches, mix, partitions, rounds, stored
+from latticework.llm.common import BYTE_VALUE, U64, SpanHash, buffers, map_batches, mix, partitions, rounds, stored
 from latticework.llm.suffixes import WindowTable, merge
 
 WINDOW = 50
@@ -101,7 +101,7 @@ def scatter(rows: DataFrame, window: int, n_buckets: int) -> DataFrame:
                     out.append((int(k), None, head + b"".join((number.astype("<u2") if n == "row" else r[n][i:j]).tobytes() for n, _ in FIELDS)))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "doc_id", "packed"])
 
-    return in_batches(rows).mapInArrow(run, "bucket int, doc_id long, packed binary")
+    return map_batches(rows, run, "bucket int, doc_id long, packed binary")
 
 
 def unpacked(blobs: list[bytes]) -> dict[str, np.ndarray]:
@@ -172,7 +172,7 @@ def match(scattered: DataFrame, n_buckets: int) -> DataFrame:
                     packed, empty = pa.array([x for _, x in part], pa.binary()), none(len(part), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.int64()), *((packed, empty) if at == 1 else (empty, packed))], ["doc_id", "runs", "asks"])
 
-    return in_batches(rows).mapInArrow(run, "doc_id long, runs binary, asks binary")
+    return map_batches(rows, run, "doc_id long, runs binary, asks binary")
 
 
 def contexts(asked: DataFrame, window: int) -> DataFrame:
@@ -196,7 +196,7 @@ def contexts(asked: DataFrame, window: int) -> DataFrame:
     def batch(out):
         return pa.RecordBatch.from_arrays([pa.array([(x[0] + (1 << 63)) % (1 << 64) - (1 << 63) for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.binary())], ["unit", "doc_id", "first", "bytes"])
 
-    return in_batches(asked).mapInArrow(run, "unit long, doc_id long, first long, bytes binary")
+    return map_batches(asked, run, "unit long, doc_id long, first long, bytes binary")
 
 
 def compare(shards: DataFrame, window: int) -> DataFrame:
@@ -228,11 +228,11 @@ def compare(shards: DataFrame, window: int) -> DataFrame:
             found = runs_by_doc(doc[i:j][piece], runs)
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["doc_id", "runs"])
 
-    return in_batches(shards).mapInArrow(run, "doc_id long, runs binary")
+    return map_batches(shards, run, "doc_id long, runs binary")
 
 
-def cut(found: DataFrame, window: int) -> DataFrame:
-    """found: doc_id, text, runs, rest -> doc_id, n_bytes, n_removed, n_spans, kept, rest."""
+def cut(found: DataFrame, window: int, whole_letters: bool) -> DataFrame:
+    """found: doc_id, text, runs, rest -> doc_id, n_bytes, n_removed, n_spans, kept, rest. With whole_letters, kept has no part of a letter."""
 
     def run(batches):
         for b in batches:
@@ -244,11 +244,17 @@ def cut(found: DataFrame, window: int) -> DataFrame:
                 np.add.at(edge, r["first"].astype(np.int64), 1)
                 np.add.at(edge, r["first"].astype(np.int64) + r["count"] - 1 + window, -1)
                 gone = np.cumsum(edge[:-1]) > 0
-                out.append((len(data), int(gone.sum()), int((gone & ~np.concatenate([[False], gone[:-1]])).sum()), data[~gone].tobytes()))
+                counts = len(data), int(gone.sum()), int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
+                if whole_letters:
+                    letter = np.cumsum((data & 0xC0) != 0x80) - 1
+                    broken = np.zeros(len(data), bool)
+                    broken[letter[gone]] = True
+                    gone = broken[letter]
+                out.append((*counts, data[~gone].tobytes()))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i] for x in out], pa.int64()) for i in range(3)), pa.array([x[3] for x in out], pa.binary()), b.column(3)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "rest"])
 
     numbers = [T.StructField(k, T.LongType()) for k in ("doc_id", "n_bytes", "n_removed", "n_spans")]
-    return in_batches(found).mapInArrow(run, T.StructType([*numbers, T.StructField("kept", T.BinaryType()), found.schema["rest"]]))
+    return map_batches(found, run, T.StructType([*numbers, T.StructField("kept", T.BinaryType()), found.schema["rest"]]))
 
 
 def picked(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -257,7 +263,7 @@ def picked(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame
     return docs.join(ids, "doc_id", how)
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", whole_letters: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining UTF-8 bytes) of each row of `docs`, and its other columns as `rest`.
 
     A byte goes if a string of `window` bytes covers it that also starts in a document with a smaller id; strings are
@@ -301,7 +307,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
     runs = stored(runs.groupBy("doc_id").agg(F.collect_list("runs").alias("runs")), "dedup-runs")
 
     ids = runs.select("doc_id")
-    touched = cut(picked(own, ids).join(runs, "doc_id").select("doc_id", "text", "runs", "rest"), window)
+    touched = cut(picked(own, ids).join(runs, "doc_id").select("doc_id", "text", "runs", "rest"), window, whole_letters)
     whole = picked(rows.where("not aside or doc_id is null").select("doc_id", "text", "copy", "rest"), ids, "left_anti")
     if odd:
         whole = whole.unionByName(rows.where("aside and doc_id is not null").select("doc_id", "text", "copy", "rest"))
@@ -316,16 +322,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     """All rows of `docs` with their columns, the text without what an earlier document has. A letter cut in two goes
     whole. A column n_chars is counted anew; null texts become empty.
     """
-    out = dedup(docs, window, id_col, text_col)
-
-    def text_of(batches):
-        for b in batches:
-            kept = pa.array([x.decode(errors="ignore") for x in b.column(0).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([kept, b.column(1)], ["text", "rest"])
-
-    whole = out.where("n_removed = 0").select(F.col("kept").cast("string").alias("text"), "rest")
-    less = out.where("n_removed > 0").select("kept", "rest").mapInArrow(text_of, T.StructType([T.StructField("text", T.StringType()), out.schema["rest"]]))
-    both = less.unionByName(whole)
+    out = dedup(docs, window, id_col, text_col, whole_letters=True)
+    both = out.select(F.col("kept").cast("string").alias("text"), "rest")
     text = F.col("text")
     columns = [(text if c == text_col else F.length(text).cast(docs.schema[c].dataType) if c == "n_chars" else F.col("rest")[c]).alias(c) for c in docs.columns]
     return both.select(*columns)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import held_out, in_batches, partitions, stored
+from latticework.llm.common import held_out, map_batches, partitions, stored
 from latticework.llm.jaccard import sets_of, signatures
 
 #: Bound of the labelled sample: about so many examples of each label.
@@ -140,7 +140,7 @@ def within(docs: DataFrame, vocabulary: dict[str, int], id_col: str, text_col: s
                 tf.append([found[t] for t in at[-1]])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.int32()))], ["doc_id", "at", "tf"])
 
-    return in_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, at array<int>, tf array<int>")
+    return map_batches(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), run, "doc_id long, at array<int>, tf array<int>")
 
 
 def totals(batches):
@@ -161,7 +161,7 @@ def apart(sample: DataFrame) -> DataFrame:
                 keys = signatures(shingles, first, COPY_TREES, COPY_PREFIX).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *(pa.array(np.ascontiguousarray(keys[:, k])) for k in range(COPY_TREES))], ["text", "label", *(f"k{k}" for k in range(COPY_TREES))])
 
-    rows = sample.select("text", "label").mapInArrow(run, "text string, label int, " + ", ".join(f"k{k} long" for k in range(COPY_TREES)))
+    rows = map_batches(sample.select("text", "label"), run, "text string, label int, " + ", ".join(f"k{k} long" for k in range(COPY_TREES)))
     for k in range(COPY_TREES):
         rows = rows.groupBy(f"k{k}").agg(F.min_by(F.struct("*"), F.struct("text", "label")).alias("r")).select("r.*")
     return rows.select("text", "label")
@@ -196,7 +196,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     chosen_from = stored(apart(sample), "toxicity-sample")
     sizes = {r[0]: r[1] for r in chosen_from.groupBy("label").count().collect()}
-    seen = in_batches(chosen_from).mapInArrow(terms, "word string, n long, a long")
+    seen = map_batches(chosen_from, terms, "word string, n long, a long")
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     a, b = F.col("a").cast("double"), (F.col("n") - F.col("a")).cast("double")
     n = float(max(1, n1 + n0))
@@ -208,7 +208,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     vocabulary = {r["word"]: i for i, r in enumerate(chosen)}
 
     counted = stored(within(docs, vocabulary, id_col, text_col), "toxicity-terms")
-    df = {r["t"]: r["n"] for r in counted.select("at").mapInArrow(totals, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
+    df = {r["t"]: r["n"] for r in map_batches(counted.select("at"), totals, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
     n_docs = counted.count()
     examples = Examples(vocabulary, np.array([math.log((n_docs + 1) / (df.get(i, 0) + 0.5)) for i in range(len(vocabulary))]))
     found = counted.join(F.broadcast(drawn), "doc_id").select("doc_id", "label", "at", "tf").collect()
@@ -247,7 +247,7 @@ def score(counted: DataFrame, examples: Examples, threshold: float = THRESHOLD)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))], ["doc_id", "score", "predicted", "evidence", "similarity"])
 
     counted = counted.repartition(partitions(counted))  # few bytes, but each a search
-    return in_batches(counted).mapInArrow(run, "doc_id long, score double, predicted int, evidence array<long>, similarity array<double>")
+    return map_batches(counted, run, "doc_id long, score double, predicted int, evidence array<long>, similarity array<double>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -135,7 +135,7 @@ def train(texts: list[str], langs: list[str], seed: int = 5) -> ByteNet:
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG, seed: int = 5) -> ByteNet:
     """Train on about `per_lang` windows of each language of `labelled`, from a hashed place in each text drawn.
 
-    Rows with a null text or lang teach nothing. Without any, the network knows no language.
+    Rows with a null text or lang teach nothing, windows alike count once. Without any, the network knows no language.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # a row for each language
@@ -147,7 +147,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     pieces = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, max(1, min(MOST_PIECES, per_lang // n)))))
     start = 1 + F.pmod(F.xxhash64(F.lit(seed + 1), id_col, "piece"), F.greatest(F.lit(1), F.length(text) - WINDOW)).cast("int")
     rows = rows.where(draw < share[F.col(lang_col)]).select(id_col, text_col, lang_col, F.explode(F.sequence(F.lit(1), pieces[F.col(lang_col)])).alias("piece"))
-    drawn = rows.select(F.substring(text, start, F.lit(WINDOW)).alias("text"), F.col(lang_col).alias("lang")).collect()
+    drawn = rows.select(F.substring(text, start, F.lit(WINDOW)).alias("text"), F.col(lang_col).alias("lang")).distinct().collect()
     drawn = sorted((r["lang"], r["text"]) for r in drawn)
     return train([t for _, t in drawn], [v for v, _ in drawn], seed)
 

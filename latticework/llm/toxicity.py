@@ -170,12 +170,13 @@ def apart(sample: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = SAMPLE_PER_LABEL, seed: int = 3) -> tuple[Examples, DataFrame]:
     """Examples from about `per_label` rows of each label that aren't held out, and the counted words of all documents.
 
-    How often a word occurs in documents is counted over all of them. Rows without an id or a label teach nothing;
-    without any example every score is 0.
+    How often a word occurs in documents is counted over all of them. Rows without an id or a label teach nothing; of
+    several labels for an id the greatest counts, and rows alike count once; without any example every score is 0.
     """
     spark = docs.sparkSession
     labels = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out())
+    labels = labels.groupBy("doc_id").agg(F.max("label").alias("label"))  # one for each id, however often it is there
     counts = {r[0]: r[1] for r in labels.groupBy("label").count().collect()}
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000))
     share = F.when(F.col("label") == 1, int(1e6 * min(1, per_label / max(1, counts.get(1, 0))))).otherwise(int(1e6 * min(1, per_label / max(1, counts.get(0, 0)))))
@@ -211,7 +212,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     df = {r["t"]: r["n"] for r in map_batches(counted.select("at"), totals, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
     n_docs = counted.count()
     examples = Examples(vocabulary, np.array([math.log((n_docs + 1) / (df.get(i, 0) + 0.5)) for i in range(len(vocabulary))]))
-    found = counted.join(F.broadcast(drawn), "doc_id").select("doc_id", "label", "at", "tf").collect()
+    found = counted.join(F.broadcast(drawn), "doc_id").select("doc_id", "label", "at", "tf").distinct().collect()
     by_vector: dict[tuple, list] = {}
     held = Counter(r["label"] for r in found)
     weight = [counts.get(y, 0) / held[y] if held[y] else 0.0 for y in (0, 1)]

@@ -199,6 +199,7 @@ def jaccard_join(docs: DataFrame, similarity: Fraction = SIMILARITY, words: int
     distinct = sketch.join(members.select("s1", "s2", F.col("rep").alias("doc_id")), ["s1", "s2", "doc_id"], "left_semi")
     keyed = distinct.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
     met = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("other")).where("hub < other").select("key", "hub")
+    met = stored(met, "jaccard-met")  # a plain table: then Spark splits keys that very many sets share
     edges = keyed.join(met, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     groups = components(edges, "jaccard-candidates")
     groups = groups.join(members.select(F.col("rep").alias("node"), "copies", "n"), "node")

@@ -1,4 +1,6 @@
-"""Packing by lexical retrieval: shards with a BM25 index each, whose nearest unused documents fill a seed's window."""
+"""Packing by lexical retrieval: each document goes to the nearest of all seeds by BM25, groups of seeds are dealt into
+shards, and in a shard the nearest unused documents fill a seed's window.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import map_batches, partitions
+from latticework.llm.common import map_batches, partitions, stored, work_dir
 from latticework.llm.tokens import byte_bpe
 
 SEQUENCE = 2048
@@ -15,14 +17,23 @@ END = 1  # the id after each document
 #: Bytes of text in a shard, on average: what a task holds.
 SHARD_BYTES = 8 << 20
 K1, B = 1.2, 0.75
-#: Terms of a seed, those of greatest weight, that the index is asked for.
-QUERY_TERMS = 32
+TERMS = 65536
+#: Documents, and ids, after which a block of postings is full.
+BLOCK, BLOCK_IDS = 4096, 4 << 20
+#: Rows of at most so many documents are broadcast to their ids, more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+#: A term is scored by matrix product if it has more than one in so many pairs of a pair of blocks, else by its postings.
+DENSE = 400
+
+
+def inverse(df: np.ndarray, n: int) -> np.ndarray:
+    return np.log1p((n - df + 0.5) / (df + 0.5))
 
 
 class BM25:
-    """Postings of the shard's documents by token id."""
+    """Postings of documents by token id. Weights are by the documents at hand, or by idf and mean size of a whole table."""
 
-    def __init__(self, docs: list[np.ndarray]) -> None:
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray | None = None, mean: float | None = None) -> None:
         self.n = n = len(docs)
         size = np.array([len(d) for d in docs], np.int64)
         kind = np.int32 if n * 65536 < 1 << 31 else np.int64
@@ -31,34 +42,146 @@ class BM25:
         head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         tf = np.diff(np.append(head, len(key)))
         key = key[head]
-        term, self.doc = key // n, (key % n).astype(np.int64)
-        self.start = np.searchsorted(term, np.arange(65537))
+        self.term, self.doc = term, _ = key // n, (key % n).astype(np.int64)
+        self.start = np.searchsorted(term, np.arange(TERMS + 1))
         df = np.diff(self.start)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * size / max(1.0, size.mean()))
+        idf = inverse(df, n) if idf is None else idf
+        norm = K1 * (1 - B + B * size / max(1.0, size.mean() if mean is None else mean))
+        self.tf = tf
         self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])
         by_doc = np.argsort(self.doc, kind="stable")
         by_doc = by_doc[df[term[by_doc]] > 1]  # a term of one document finds no other
-        self.of, self.of_weight = term[by_doc], self.weight[by_doc]
+        self.of = term[by_doc]
         self.of_start = np.searchsorted(self.doc[by_doc], np.arange(n + 1))
 
     def scores(self, seed: int) -> np.ndarray:
-        terms, weight = self.of[self.of_start[seed] : self.of_start[seed + 1]], self.of_weight[self.of_start[seed] : self.of_start[seed + 1]]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(weight, -QUERY_TERMS)[-QUERY_TERMS:]]
+        terms = self.of[self.of_start[seed] : self.of_start[seed + 1]]
         spans = [slice(self.start[t], self.start[t + 1]) for t in terms]
         if not spans:
             return np.zeros(self.n)
         return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
 
 
-def pack(docs: list[np.ndarray], sequence: int = SEQUENCE) -> list[tuple[int, int, int, int, int]]:
+def best_seeds(d: dict[str, np.ndarray], s: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each document of a block the place and score of its nearest seed of another block, over all terms they share."""
+    nd, ns = len(d["rows"]), len(s["rows"])
+    d_at, s_at = np.searchsorted(d["term"], np.arange(TERMS + 1)), np.searchsorted(s["term"], np.arange(TERMS + 1))
+    n_s = np.diff(s_at)
+    met = np.diff(d_at) * n_s
+    dense = np.flatnonzero(met * DENSE > nd * ns)
+    out = np.zeros((nd, ns), np.float32)
+    for at in range(0, len(dense), 1024):
+        part = dense[at : at + 1024]
+        column = np.full(TERMS, -1)
+        column[part] = np.arange(len(part))
+        left, right = np.zeros((nd, len(part)), np.float32), np.zeros((len(part), ns), np.float32)
+        for m, x, by_doc in ((left, d, True), (right, s, False)):
+            c = column[x["term"]]
+            on = c >= 0
+            if by_doc:
+                m[x["doc"][on], c[on]] = x["weight"][on]
+            else:
+                m[c[on], x["doc"][on]] = 1
+        out += left @ right
+    met[dense] = 0
+    posting = np.flatnonzero(met[d["term"]])
+    each = n_s[d["term"][posting]]
+    upto, flat, first = np.cumsum(each), out.reshape(-1), 0
+    while first < len(posting):
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + (2 << 20), "right")))
+        p, e = posting[first:last], each[first:last]
+        seed = np.arange(e.sum()) + np.repeat(s_at[d["term"][p]] - (np.cumsum(e) - e), e)
+        np.add.at(flat, np.repeat(d["doc"][p].astype(np.int64) * ns, e) + s["doc"][seed], np.repeat(d["weight"][p], e))
+        first = last
+    best = out.argmax(1)
+    return best, out[np.arange(nd), best]
+
+
+PARTS = {"rows": np.int64, "size": np.int64, "doc": np.uint16, "term": np.uint16, "tf": np.uint32}
+
+
+def grouped(coded: DataFrame, sequence: int) -> tuple[DataFrame, np.ndarray, float]:
+    """row, seed: for each row the nearest of all seeds (a seed's own row for itself and for what shares no term with
+    any); the idf of all terms; the mean size. Seeds are drawn by hash, one for each window, from half the rows at most.
+
+    Every document is scored against every seed, block by block, and a partial maximum by row leaves each task: the work
+    grows with the square of the table. Rows are ordered by a frequent id first, so that blocks of different languages
+    share few terms; that changes no result.
+    """
+    spark, codes = coded.sparkSession, coded.select("row", "key", "codes")
+
+    def count(batches):
+        df, rows, size = np.zeros(TERMS, np.int64), 0, 0
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                x = np.frombuffer(x, np.uint16)
+                df += np.bincount(np.unique(x), minlength=TERMS)
+                rows, size = rows + 1, size + len(x)
+        term = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(term, [-1, -2])), pa.array(np.append(df[term], [rows, size]))], ["term", "n"])
+
+    found = {r["term"]: r["n"] for r in map_batches(coded.select("codes"), count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # one row an id of the vocabulary
+    n, size = found.pop(-1, 0), found.pop(-2, 0)
+    df = np.zeros(TERMS, np.int64)
+    df[list(found)] = list(found.values())
+    idf, mean = inverse(df, n), size / max(1, n)
+    idf[END] = 0
+    share = min(0.5, mean / sequence)
+    codes = codes.withColumn("is_seed", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+    def blocks(batches):
+        held: dict[bool, tuple[list, list]] = {False: ([], []), True: ([], [])}
+        size = {False: 0, True: 0}
+
+        def block(seed):
+            rows, ids = held[seed]
+            sizes = [len(x) for x in ids]
+            index = BM25(ids, idf, mean)
+            held[seed], size[seed] = ([], []), 0
+            on = index.weight > 0
+            data = {"rows": np.array(rows), "size": np.array(sizes), "doc": index.doc[on], "term": index.term[on], "tf": index.tf[on]}
+            return pa.RecordBatch.from_arrays([pa.array([seed]), *(pa.array([data[k].astype(t).tobytes()], pa.binary()) for k, t in PARTS.items())], ["seed", *PARTS])
+
+        for b in batches:
+            for row, ids, seed in zip(*(b.column(i).to_pylist() for i in range(3))):
+                held[seed][0].append(row)
+                held[seed][1].append(np.frombuffer(ids, np.uint16))
+                size[seed] += len(held[seed][1][-1])
+                if len(held[seed][0]) == BLOCK or size[seed] > BLOCK_IDS:
+                    yield block(seed)
+        for seed in (False, True):
+            if held[seed][0]:
+                yield block(seed)
+
+    schema, path = "seed boolean, " + ", ".join(f"{k} binary" for k in PARTS), work_dir(spark, "packing-blocks")
+    ranged = codes.repartitionByRange(max(1, -(-size // (8 << 20))), "key", "row").sortWithinPartitions("key", "row")
+    map_batches(ranged.select("row", "codes", "is_seed"), blocks, schema).write.parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    one = [F.col(k).alias(f"d_{k}") for k in PARTS]
+    pairs = table.where("not seed").select(*one).crossJoin(table.where("seed").select("rows", "doc", "term"))
+
+    def nearest(batches):
+        for b in batches:
+            for x in b.to_pylist():
+                d = {k: np.frombuffer(x[f"d_{k}"], t) for k, t in PARTS.items()}
+                s = {k: np.frombuffer(x[k], PARTS[k]) for k in ("rows", "doc", "term")}
+                norm = K1 * (1 - B + B * d["size"] / max(1.0, mean))
+                d["weight"] = (idf[d["term"]] * d["tf"] * (K1 + 1) / (d["tf"] + norm[d["doc"]])).astype(np.float32)
+                best, score = best_seeds(d, s)
+                on = score > 0
+                yield pa.RecordBatch.from_arrays([pa.array(d["rows"][on]), pa.array(score[on]), pa.array(s["rows"][best[on]])], ["row", "score", "seed"])
+
+    near = map_batches(pairs, nearest, "row long, score float, seed long").groupBy("row").agg(F.max(F.struct("score", "seed"))["seed"].alias("seed"))
+    return near, idf, mean
+
+
+def pack(docs: list[np.ndarray], sequence: int = SEQUENCE, idf: np.ndarray | None = None, mean: float | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset). Every sequence is full, but that the ids left in the
     end are cut into sequences whose lengths are powers of two.
     """
     if not docs:
         return []
-    index, n = BM25(docs), len(docs)
+    index, n = BM25(docs, idf, mean), len(docs)
     free = np.ones(n, bool)
     out: list[tuple[int, int, int, int, int]] = []
     number, used, following = 0, 0, 0
@@ -114,23 +237,42 @@ def packed(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str = "byte_bpe
     Null and empty texts are documents of the end id only. Null ids and repeated rows are kept, each row packed as a
     document of its own. An empty table gives an empty table. Other columns are not carried.
     """
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+
+    def code(batches):
+        bpe, end = byte_bpe(tokenizer), np.array([END], np.uint16)
+        for b in batches:
+            found = [np.concatenate([bpe.encode(x), end]) for x in b.column(2).to_pylist()]
+            often = [np.bincount(x[x >= 512], minlength=1).argmax() for x in found]  # not single bytes
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(often, pa.int64()), pa.array([len(x.encode()) for x in b.column(2).to_pylist()], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["row", "doc_id", "key", "size", "codes"])
+
+    coded = stored(map_batches(rows, code, "row long, doc_id long, key long, size long, codes binary"), "packing")
+    total = coded.agg(F.sum("size")).first()[0] or 0
     n_shards = max(partitions(docs), -(-total // shard_bytes), 1)
-    shard = F.pmod(F.xxhash64(F.monotonically_increasing_id(), "doc_id"), F.lit(n_shards)).cast("int")  # by row: rows may be alike
-    rows = rows.repartitionById(n_shards, shard)
+    near, idf, mean = grouped(coded, sequence)
+    near = stored(near, "packing-near")
+    few = near.count() <= BROADCAST_ROWS
+    rows = coded.join(F.broadcast(near) if few else near, "row", "left").withColumn("seed", F.coalesce("seed", "row"))
+    most = shard_bytes // 4  # a larger group is dealt out among several shards
+    hot = stored(coded.select("row", "size").join(near, "row", "left").groupBy(F.coalesce("seed", "row").alias("seed")).agg(F.sum("size").alias("bytes")).where(F.col("bytes") > most), "packing-hot")
+    rows = rows.join(F.broadcast(hot), "seed", "left")
+    salt = F.coalesce(F.pmod(F.xxhash64("row"), F.ceil(F.col("bytes") / most)), F.lit(0))
+    shard = F.pmod(F.xxhash64("seed", salt), F.lit(n_shards)).cast("int")
+    rows = rows.select("doc_id", "seed", "row", "codes", shard.alias("shard"))
+    rows = rows.repartitionById(n_shards, "shard").drop("shard")
 
     def run(batches):
         from pyspark import TaskContext
 
-        bpe, ids, found, end = byte_bpe(tokenizer), [], [], np.array([END], np.uint16)
+        ids, seeds, found = [], [], []
         for b in batches:
             ids += b.column(0).to_pylist()
-            found += [np.concatenate([bpe.encode(x), end]) for x in b.column(1).to_pylist()]
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, len(found[i])))  # not as the shuffle brings them
+            seeds += zip(b.column(1).to_pylist(), b.column(2).to_pylist())
+            found += [np.frombuffer(x, np.uint16) for x in b.column(3).to_pylist()]
+        order = sorted(range(len(ids)), key=lambda i: (seeds[i][0], seeds[i][0] != seeds[i][1], seeds[i][1]))  # groups, each by its seed and then by row
         ids, found = [ids[i] for i in order], [found[i] for i in order]
         shard, names = TaskContext.get().partitionId(), ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-        pieces = pack(found, sequence)
+        pieces = pack(found, sequence, idf, mean)
         for at in range(0, len(pieces), 2000):
             part = pieces[at : at + 2000]
             doc, start, length, number, offset = (np.array(x, np.int64) for x in zip(*part))

@@ -253,6 +253,31 @@ def test_neighbours_are_lexical():
         assert int(scores.argmax()) % 3 == seed % 3
 
 
+def test_neighbours_of_the_whole_table_meet(spark):
+    """Topics of few documents each, dealt over many shards: windows are of one topic."""
+    rng = np.random.default_rng(5)
+    vocabulary = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(25)] for _ in range(40)]
+    rows = [(i, " ".join(rng.choice(vocabulary[i % 40], 60))) for i in range(1200)]
+    out = packing.packed(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), shard_bytes=8 << 10).collect()
+    windows = defaultdict(Counter)
+    for r in out:
+        windows[r["sequence_id"]][r["doc_id"] % 40] += r["length"]
+    assert len({r["sequence_id"] >> 40 for r in out}) > 20
+    alike = sum(c.most_common(1)[0][1] for c in windows.values()) / sum(r["length"] for r in out)
+    assert alike > 0.6
+
+
+def test_nearest_seeds_by_all_terms():
+    rng = np.random.default_rng(6)
+    docs = [np.append(rng.zipf(1.3, 200) % 5000 + 2, 1).astype(np.uint16) for _ in range(90)]
+    index = packing.BM25(docs)
+    d = {"rows": np.arange(90), "doc": index.doc.astype(np.uint16), "term": index.term.astype(np.uint16), "weight": index.weight.astype(np.float32)}
+    on = index.doc < 30
+    best, score = packing.best_seeds(d, {"rows": np.arange(30), "doc": d["doc"][on], "term": d["term"][on]})
+    want = np.array([[index.weight[(index.doc == i) & np.isin(index.term, docs[j])].sum() for j in range(30)] for i in range(90)])
+    assert np.allclose(score, want.max(1), rtol=1e-4) and np.allclose(want[np.arange(90), best], want.max(1), rtol=1e-4)
+
+
 def test_buffers_of_a_slice():
     import pyarrow as pa
 

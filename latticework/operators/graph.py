@@ -32,10 +32,10 @@ def affected(calls: DataFrame, seeds: DataFrame) -> DataFrame:
     return reachable(calls.select(F.col("b").alias("a"), F.col("a").alias("b")), seeds)
 
 
-def chased(aliases: DataFrame, most_hops: int = 32) -> DataFrame:
+def chased(aliases: DataFrame, most_hops: int = 1000) -> DataFrame:
     """Where each alias leads at last: name, final, hops. aliases: name, target, one row for each name.
 
-    A chain that comes back to a name it has passed stops at that name.
+    A chain that comes back to a name it has passed stops at that name. Stops when no chain is open.
     """
     aliases = aliases.select("name", "target")
     step = aliases.select(F.col("name").alias("_name"), F.col("target").alias("_target"))
@@ -47,8 +47,8 @@ def chased(aliases: DataFrame, most_hops: int = 32) -> DataFrame:
         moved = going.select("name", F.when(ended, F.col("final")).otherwise(F.col("_target")).alias("final"), F.when(ended, F.col("passed")).otherwise(F.concat("passed", F.array("final"))).alias("passed"), F.when(ended, F.col("hops")).otherwise(F.col("hops") + 1).alias("hops"), ended.alias("done"))
         now = stored(now.where("done").unionByName(moved), "chased")
         if now.where("not done").isEmpty():
-            break
-    return now.select("name", "final", "hops")
+            return now.select("name", "final", "hops")
+    raise RuntimeError(f"chains still open after {most_hops} hops")
 
 
 def strong_components(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 
 from latticework.catalog.code import Code, rules
 from latticework.catalog.sample import FILES, sources
+from latticework.operators import graph
 from latticework.sources.python_code import read_sources, removed, stale
 
 
@@ -152,3 +153,10 @@ def test_hierarchy(spark):
     got = {(r["node"], r["ancestor"], r["depth"]) for r in code.ancestors.collect()}
     assert got == {("p.b:B", "p.a:A", 1), ("p.b:C", "p.b:B", 1), ("p.b:C", "Exception", 1), ("p.b:C", "p.a:A", 2), ("p.b:D", "p.a:A", 1)}
     assert {(r["method"], r["overridden"]) for r in code.overrides.collect()} == {("p.b:B.f", "p.a:A.f"), ("p.b:C.f", "p.b:B.f"), ("p.b:C.g", "p.a:A.g")}
+
+
+def test_long_chains_end(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(35)], "name int, target int")
+    assert {tuple(r) for r in graph.chased(chain).collect()} == {(i, 35, 35 - i) for i in range(35)}
+    with pytest.raises(RuntimeError):
+        graph.chased(chain, most_hops=3)

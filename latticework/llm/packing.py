@@ -1,282 +1,267 @@
-"""Packing by lexical retrieval: each document goes to the nearest of all seeds by BM25, groups of seeds are dealt into
-shards, and in a shard the nearest unused documents fill a seed's window.
+"""Packing by lexical retrieval: documents are ordered by the pivots they are nearest to, cut into shards, and in each
+shard a BM25 index returns the nearest unused documents for a seed, which fill its window.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import map_batches, partitions, stored, work_dir
+from latticework.llm.common import map_batches, partitions, stored
 from latticework.llm.tokens import byte_bpe
 
 SEQUENCE = 2048
 END = 1  # the id after each document
-#: Bytes of text in a shard, on average: what a task holds.
-SHARD_BYTES = 8 << 20
+#: Ids and documents of a shard: what one index holds at a time.
+SHARD_IDS, SHARD_ROWS = 1 << 20, 8192
+#: Bytes of ids in a task, and rows; a task packs one shard after another.
+TASK_BYTES, TASK_ROWS = 16 << 20, 200_000
 K1, B = 1.2, 0.75
 TERMS = 65536
-#: Documents, and ids, after which a block of postings is full.
-BLOCK, BLOCK_IDS = 4096, 4 << 20
-#: Rows of at most so many documents are broadcast to their ids, more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
-#: A term is scored by matrix product if it has more than one in so many pairs of a pair of blocks, else by its postings.
-DENSE = 400
+#: Bound of the pivots: so many documents, drawn by hash; each document's nearest of them, in order, are its key.
+PIVOTS, NEAREST = 64, 8
+#: Ids of the pivots that are scored: whole texts, but texts of at most so many ids are drawn.
+PIVOT_IDS = 8192
 
 
 def inverse(df: np.ndarray, n: int) -> np.ndarray:
     return np.log1p((n - df + 0.5) / (df + 0.5))
 
 
+def weights(tf: np.ndarray, size: np.ndarray, idf: np.ndarray, mean: float) -> np.ndarray:
+    """BM25 weights of terms in documents of that size."""
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / max(1.0, mean)))
+
+
+def counted(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and count of every term of every document, by document and term."""
+    key = np.concatenate(docs).astype(np.int64) + (np.repeat(np.arange(len(docs)), [len(d) for d in docs]) << 16)
+    key.sort()
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[head] >> 16, key[head] & 0xFFFF, np.diff(np.append(head, len(key)))
+
+
 class BM25:
-    """Postings of documents by token id. Weights are by the documents at hand, or by idf and mean size of a whole table."""
-
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray | None = None, mean: float | None = None) -> None:
-        self.n = n = len(docs)
-        size = np.array([len(d) for d in docs], np.int64)
-        kind = np.int32 if n * 65536 < 1 << 31 else np.int64
-        key = np.concatenate(docs).astype(kind) * kind(n) + np.repeat(np.arange(n, dtype=kind), size)
-        key.sort()
-        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        tf = np.diff(np.append(head, len(key)))
-        key = key[head]
-        self.term, self.doc = term, _ = key // n, (key % n).astype(np.int64)
-        self.start = np.searchsorted(term, np.arange(TERMS + 1))
-        df = np.diff(self.start)
-        idf = inverse(df, n) if idf is None else idf
-        norm = K1 * (1 - B + B * size / max(1.0, size.mean() if mean is None else mean))
-        self.tf = tf
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])
-        by_doc = np.argsort(self.doc, kind="stable")
-        by_doc = by_doc[df[term[by_doc]] > 1]  # a term of one document finds no other
-        self.of = term[by_doc]
-        self.of_start = np.searchsorted(self.doc[by_doc], np.arange(n + 1))
+    """Postings of a shard's documents by token id, weighted by idf and mean size of the whole table."""
+
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
+        self.n = len(docs)
+        doc, term, tf = counted(docs)
+        weight = weights(tf, np.array([len(d) for d in docs])[doc], idf[term], mean)
+        self.of, self.of_start = term, np.searchsorted(doc, np.arange(self.n + 1))
+        by_term = np.argsort(term, kind="stable")
+        self.doc, self.weight = doc[by_term], weight[by_term]
+        self.start = np.searchsorted(term[by_term], np.arange(TERMS + 1))
 
     def scores(self, seed: int) -> np.ndarray:
+        """Of every document, by all terms of the seed."""
         terms = self.of[self.of_start[seed] : self.of_start[seed + 1]]
-        spans = [slice(self.start[t], self.start[t + 1]) for t in terms]
-        if not spans:
-            return np.zeros(self.n)
-        return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
-
-
-def best_seeds(d: dict[str, np.ndarray], s: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """For each document of a block the place and score of its nearest seed of another block, over all terms they share."""
-    nd, ns = len(d["rows"]), len(s["rows"])
-    d_at, s_at = np.searchsorted(d["term"], np.arange(TERMS + 1)), np.searchsorted(s["term"], np.arange(TERMS + 1))
-    n_s = np.diff(s_at)
-    met = np.diff(d_at) * n_s
-    dense = np.flatnonzero(met * DENSE > nd * ns)
-    out = np.zeros((nd, ns), np.float32)
-    for at in range(0, len(dense), 1024):
-        part = dense[at : at + 1024]
-        column = np.full(TERMS, -1)
-        column[part] = np.arange(len(part))
-        left, right = np.zeros((nd, len(part)), np.float32), np.zeros((len(part), ns), np.float32)
-        for m, x, by_doc in ((left, d, True), (right, s, False)):
-            c = column[x["term"]]
-            on = c >= 0
-            if by_doc:
-                m[x["doc"][on], c[on]] = x["weight"][on]
-            else:
-                m[c[on], x["doc"][on]] = 1
-        out += left @ right
-    met[dense] = 0
-    posting = np.flatnonzero(met[d["term"]])
-    each = n_s[d["term"][posting]]
-    upto, flat, first = np.cumsum(each), out.reshape(-1), 0
-    while first < len(posting):
-        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + (2 << 20), "right")))
-        p, e = posting[first:last], each[first:last]
-        seed = np.arange(e.sum()) + np.repeat(s_at[d["term"][p]] - (np.cumsum(e) - e), e)
-        np.add.at(flat, np.repeat(d["doc"][p].astype(np.int64) * ns, e) + s["doc"][seed], np.repeat(d["weight"][p], e))
-        first = last
-    best = out.argmax(1)
-    return best, out[np.arange(nd), best]
-
-
-PARTS = {"rows": np.int64, "size": np.int64, "doc": np.uint16, "term": np.uint16, "tf": np.uint32}
-
-
-def grouped(coded: DataFrame, sequence: int) -> tuple[DataFrame, np.ndarray, float]:
-    """row, seed: for each row the nearest of all seeds (a seed's own row for itself and for what shares no term with
-    any); the idf of all terms; the mean size. Seeds are drawn by hash, one for each window, from half the rows at most.
-
-    Every document is scored against every seed, block by block, and a partial maximum by row leaves each task: the work
-    grows with the square of the table. Rows are ordered by a frequent id first, so that blocks of different languages
-    share few terms; that changes no result.
-    """
-    spark, codes = coded.sparkSession, coded.select("row", "key", "codes")
+        first, size = self.start[terms], self.start[terms + 1] - self.start[terms]
+        at = np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)
+        return np.bincount(self.doc[at], self.weight[at], self.n)
+
+
+class Pivots:
+    """Documents of a bounded sample, in an order in which each is followed by the nearest that is left."""
+
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
+        self.idf, self.mean = idf, mean
+        if docs:
+            near = np.array([BM25(docs, idf, mean).scores(i) for i in range(len(docs))])
+            order, free = [0], np.ones(len(docs), bool)
+            free[0] = False
+            while free.any():
+                order.append(int(np.where(free, near[order[-1]], -1.0).argmax()))
+                free[order[-1]] = False
+            docs = [docs[i] for i in order]
+        self.table = np.zeros((TERMS, len(docs)), np.float32)
+        for i, d in enumerate(docs):
+            self.table[np.unique(d), i] = 1
+
+    def keys(self, docs: list[np.ndarray], most: int = 1 << 15) -> np.ndarray:
+        """For each document the numbers of its nearest pivots, nearest first, by BM25 over all its terms, as one number."""
+        n = self.table.shape[1]
+        out = np.zeros(len(docs), np.int64)
+        if n < 2:
+            return out
+        doc, term, tf = counted(docs)
+        weight = weights(tf, np.array([len(d) for d in docs])[doc], self.idf[term], self.mean).astype(np.float32)
+        start = np.searchsorted(doc, np.arange(len(docs) + 1))
+        first = 0
+        while first < len(docs):  # some documents at a time, a long one alone
+            last = max(first + 1, int(np.searchsorted(start, start[first] + most, "right")) - 1)
+            a, b = start[first], start[last]
+            scores = np.add.reduceat(self.table[term[a:b]] * weight[a:b, None], start[first:last] - a, axis=0)
+            nearest = np.argsort(-scores, axis=1, kind="stable")[:, :NEAREST]
+            for k in range(nearest.shape[1]):
+                out[first:last] = out[first:last] * PIVOTS + nearest[:, k]
+            first = last
+        return out
+
+
+class Packer:
+    """Fills windows of `sequence` ids from one shard after another; finish() cuts the last ids into powers of two."""
+
+    def __init__(self, sequence: int, idf: np.ndarray, mean: float) -> None:
+        self.sequence, self.idf, self.mean = sequence, idf, mean
+        self.number, self.used = 0, 0
+        self.window: list[tuple] = []  # pieces of the open one: name, start, ids, length of the document, sequence, offset
+
+    def put(self, name, ids: np.ndarray, start: int) -> int:
+        """A piece of a document into the open window; how many ids went."""
+        length = min(len(ids) - start, self.sequence - self.used)
+        self.window.append((name, start, ids[start : start + length], len(ids), self.number, self.used))
+        self.used += length
+        return length
+
+    def closed(self) -> list[tuple]:
+        out, self.window = self.window, []
+        self.number, self.used = self.number + 1, 0
+        return out
+
+    def pack(self, names: list, docs: list[np.ndarray]) -> Iterator[list[tuple]]:
+        """The windows filled by a shard's documents. A window's seed is what is left of the document that the last one
+        ended in, or the first unused document; then come the nearest unused ones to it.
+        """
+        index, n = BM25(docs, self.idf, self.mean), len(docs)
+        free = np.ones(n, bool)
+        following = 0
+        while True:
+            while following < n and not free[following]:
+                following += 1
+            if following == n:
+                return
+            seed, start = following, 0
+            free[seed] = False
+            while seed is not None:
+                doc, scores = seed, None
+                while True:
+                    start += self.put(names[doc], docs[doc], start)
+                    if self.used == self.sequence:
+                        yield self.closed()
+                        seed = doc if start < len(docs[doc]) else None
+                        break
+                    if scores is None:
+                        scores = index.scores(seed)
+                        scores[~free] = -1
+                    doc = int(scores.argmax())
+                    if scores[doc] < 0:
+                        seed = None  # no document of the shard is left
+                        break
+                    free[doc], scores[doc], start = False, -1, 0
+
+    def finish(self) -> list[tuple]:
+        """What no window was full of, in sequences whose lengths are powers of two."""
+        left, out, offset = self.used, [], 0
+        room = 1 << (left.bit_length() - 1) if left else 0
+        for name, start, ids, size, _, _ in self.window:
+            while len(ids):
+                take = min(len(ids), room - offset)
+                out.append((name, start, ids[:take], size, self.number, offset))
+                left, start, ids, offset = left - take, start + take, ids[take:], offset + take
+                if offset == room:
+                    self.number, offset = self.number + 1, 0
+                    room = 1 << (left.bit_length() - 1) if left else 0
+        self.window, self.used = [], 0
+        return out
+
+
+def statistics(coded: DataFrame) -> tuple[np.ndarray, float, int, int]:
+    """idf of all terms, the mean size, the number of ids and of rows, over the whole table."""
 
     def count(batches):
         df, rows, size = np.zeros(TERMS, np.int64), 0, 0
         for b in batches:
-            for x in b.column(0).to_pylist():
-                x = np.frombuffer(x, np.uint16)
-                df += np.bincount(np.unique(x), minlength=TERMS)
-                rows, size = rows + 1, size + len(x)
+            docs = [np.frombuffer(x, np.uint16) for x in b.column(0).to_pylist()]
+            if docs:
+                df += np.bincount(counted(docs)[1], minlength=TERMS)
+            rows, size = rows + len(docs), size + sum(map(len, docs))
         term = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(term, [-1, -2])), pa.array(np.append(df[term], [rows, size]))], ["term", "n"])
 
-    found = {r["term"]: r["n"] for r in map_batches(coded.select("codes"), count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # one row an id of the vocabulary
-    n, size = found.pop(-1, 0), found.pop(-2, 0)
+    found = map_batches(coded.select("codes"), count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    found = {r["term"]: r["n"] for r in found.collect()}  # one row an id of the vocabulary
+    rows, size = found.pop(-1, 0), found.pop(-2, 0)
     df = np.zeros(TERMS, np.int64)
     df[list(found)] = list(found.values())
-    idf, mean = inverse(df, n), size / max(1, n)
+    idf = inverse(df, rows)
     idf[END] = 0
-    share = min(0.5, mean / sequence)
-    codes = codes.withColumn("is_seed", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)))
-
-    def blocks(batches):
-        held: dict[bool, tuple[list, list]] = {False: ([], []), True: ([], [])}
-        size = {False: 0, True: 0}
-
-        def block(seed):
-            rows, ids = held[seed]
-            sizes = [len(x) for x in ids]
-            index = BM25(ids, idf, mean)
-            held[seed], size[seed] = ([], []), 0
-            on = index.weight > 0
-            data = {"rows": np.array(rows), "size": np.array(sizes), "doc": index.doc[on], "term": index.term[on], "tf": index.tf[on]}
-            return pa.RecordBatch.from_arrays([pa.array([seed]), *(pa.array([data[k].astype(t).tobytes()], pa.binary()) for k, t in PARTS.items())], ["seed", *PARTS])
-
-        for b in batches:
-            for row, ids, seed in zip(*(b.column(i).to_pylist() for i in range(3))):
-                held[seed][0].append(row)
-                held[seed][1].append(np.frombuffer(ids, np.uint16))
-                size[seed] += len(held[seed][1][-1])
-                if len(held[seed][0]) == BLOCK or size[seed] > BLOCK_IDS:
-                    yield block(seed)
-        for seed in (False, True):
-            if held[seed][0]:
-                yield block(seed)
-
-    schema, path = "seed boolean, " + ", ".join(f"{k} binary" for k in PARTS), work_dir(spark, "packing-blocks")
-    ranged = codes.repartitionByRange(max(1, -(-size // (8 << 20))), "key", "row").sortWithinPartitions("key", "row")
-    map_batches(ranged.select("row", "codes", "is_seed"), blocks, schema).write.parquet(path)
-    table = spark.read.schema(schema).parquet(path)
-    one = [F.col(k).alias(f"d_{k}") for k in PARTS]
-    pairs = table.where("not seed").select(*one).crossJoin(table.where("seed").select("rows", "doc", "term"))
-
-    def nearest(batches):
-        for b in batches:
-            for x in b.to_pylist():
-                d = {k: np.frombuffer(x[f"d_{k}"], t) for k, t in PARTS.items()}
-                s = {k: np.frombuffer(x[k], PARTS[k]) for k in ("rows", "doc", "term")}
-                norm = K1 * (1 - B + B * d["size"] / max(1.0, mean))
-                d["weight"] = (idf[d["term"]] * d["tf"] * (K1 + 1) / (d["tf"] + norm[d["doc"]])).astype(np.float32)
-                best, score = best_seeds(d, s)
-                on = score > 0
-                yield pa.RecordBatch.from_arrays([pa.array(d["rows"][on]), pa.array(score[on]), pa.array(s["rows"][best[on]])], ["row", "score", "seed"])
-
-    near = map_batches(pairs, nearest, "row long, score float, seed long").groupBy("row").agg(F.max(F.struct("score", "seed"))["seed"].alias("seed"))
-    return near, idf, mean
-
-
-def pack(docs: list[np.ndarray], sequence: int = SEQUENCE, idf: np.ndarray | None = None, mean: float | None = None) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (document, start, length, sequence, offset). Every sequence is full, but that the ids left in the
-    end are cut into sequences whose lengths are powers of two.
-    """
-    if not docs:
-        return []
-    index, n = BM25(docs, idf, mean), len(docs)
-    free = np.ones(n, bool)
-    out: list[tuple[int, int, int, int, int]] = []
-    number, used, following = 0, 0, 0
-    while True:
-        while following < n and not free[following]:
-            following += 1
-        if following == n:
-            break
-        seed, start, scores = following, 0, None
-        free[seed] = False
-        while seed is not None:  # fill windows from this seed until one ends with a document
-            doc = seed
-            while True:
-                length = min(len(docs[doc]) - start, sequence - used)
-                out.append((doc, start, length, number, used))
-                used, start = used + length, start + length
-                if used == sequence:
-                    number, used = number + 1, 0
-                    seed = doc if start < len(docs[doc]) else None  # what is left begins the next window
-                    scores = None
-                    break
-                if scores is None:
-                    scores = index.scores(seed)
-                    scores[~free] = -1
-                scores[doc] = -1
-                doc = int(scores.argmax())
-                if scores[doc] < 0:
-                    seed = None  # no document is left
-                    break
-                free[doc], start = False, 0
-    if used:  # the last window isn't full
-        last = len(out)
-        while out[last - 1][3] == number:
-            last -= 1
-            if not last:
-                break
-        tail, out = out[last:], out[:last]
-        room, offset = 1 << (used.bit_length() - 1), 0
-        for doc, start, length, _, _ in tail:
-            while length:
-                take = min(length, room - offset)
-                out.append((doc, start, take, number, offset))
-                used, start, length, offset = used - take, start + take, length - take, offset + take
-                if offset == room:
-                    number, offset = number + 1, 0
-                    room = 1 << (used.bit_length() - 1) if used else 0
-    return out
+    return idf, size / max(1, rows), size, rows
 
 
-def packed(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str = "byte_bpe_50k", id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def packed(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str = "byte_bpe_50k", id_col: str = "doc_id", text_col: str = "text", pivots: int = PIVOTS, shard_ids: int = SHARD_IDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     Null and empty texts are documents of the end id only. Null ids and repeated rows are kept, each row packed as a
-    document of its own. An empty table gives an empty table. Other columns are not carried.
+    document of its own; a text of any length is cut into as many windows as it needs. Ties of scores go to the
+    document that comes first in its shard. An empty table gives an empty table. Other columns are not carried.
+
+    At most `pivots` documents, drawn by hash, tell where a document belongs: its nearest pivots by BM25 over all its
+    terms, nearest first, are its key. Ranges of keys are tasks, so that documents with like words meet wherever they
+    were, and a key that very many rows share is spread by their hash and place. A task cuts its range into shards of bounded size.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
     def code(batches):
         bpe, end = byte_bpe(tokenizer), np.array([END], np.uint16)
         for b in batches:
-            found = [np.concatenate([bpe.encode(x), end]) for x in b.column(2).to_pylist()]
-            often = [np.bincount(x[x >= 512], minlength=1).argmax() for x in found]  # not single bytes
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(often, pa.int64()), pa.array([len(x.encode()) for x in b.column(2).to_pylist()], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["row", "doc_id", "key", "size", "codes"])
-
-    coded = stored(map_batches(rows, code, "row long, doc_id long, key long, size long, codes binary"), "packing")
-    total = coded.agg(F.sum("size")).first()[0] or 0
-    n_shards = max(partitions(docs), -(-total // shard_bytes), 1)
-    near, idf, mean = grouped(coded, sequence)
-    near = stored(near, "packing-near")
-    few = near.count() <= BROADCAST_ROWS
-    rows = coded.join(F.broadcast(near) if few else near, "row", "left").withColumn("seed", F.coalesce("seed", "row"))
-    most = shard_bytes // 4  # a larger group is dealt out among several shards
-    hot = stored(coded.select("row", "size").join(near, "row", "left").groupBy(F.coalesce("seed", "row").alias("seed")).agg(F.sum("size").alias("bytes")).where(F.col("bytes") > most), "packing-hot")
-    rows = rows.join(F.broadcast(hot), "seed", "left")
-    salt = F.coalesce(F.pmod(F.xxhash64("row"), F.ceil(F.col("bytes") / most)), F.lit(0))
-    shard = F.pmod(F.xxhash64("seed", salt), F.lit(n_shards)).cast("int")
-    rows = rows.select("doc_id", "seed", "row", "codes", shard.alias("shard"))
-    rows = rows.repartitionById(n_shards, "shard").drop("shard")
+            found = [np.concatenate([bpe.encode(x), end]).tobytes() for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["row", "doc_id", "codes"])
+
+    coded = stored(map_batches(rows, code, "row long, doc_id long, codes binary"), "packing")
+    idf, mean, size, n_rows = statistics(coded)
+    drawn = coded.where(F.octet_length("codes") <= 2 * PIVOT_IDS).select(F.xxhash64(F.lit(5), "codes").alias("draw"), "codes").distinct()
+    drawn = [np.frombuffer(r["codes"], np.uint16) for r in drawn.orderBy("draw").limit(min(pivots, PIVOTS)).collect()]  # bounded in number and size
+    found = Pivots(drawn, idf, mean)
+
+    def place(batches):
+        for b in batches:
+            keys = found.keys([np.frombuffer(x, np.uint16) for x in b.column(2).to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *b.columns], ["key", "row", "doc_id", "codes"])
+
+    placed = map_batches(coded, place, "key long, row long, doc_id long, codes binary").withColumn("hash", F.xxhash64("codes"))
+    placed = stored(placed, "packing-placed")  # Spark reads it twice, to find the ranges and to deal
+    n_tasks = max(partitions(docs), -(-2 * size // TASK_BYTES), -(-n_rows // TASK_ROWS))
+    ranged = placed.repartitionByRange(n_tasks, "key", "hash", "row").sortWithinPartitions("key", "hash", "row")
 
     def run(batches):
         from pyspark import TaskContext
 
-        ids, seeds, found = [], [], []
+        task, packer = TaskContext.get().partitionId(), Packer(sequence, idf, mean)
+        names, held, size = [], [], 0
+
+        def batch(pieces):
+            doc, start, ids, tokens, number, offset = zip(*pieces)
+            columns = [pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array(tokens, pa.int64()), pa.array([(task << 40) + x for x in number], pa.int64()), pa.array(offset, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+
+        def shard():
+            out = []
+            for window in packer.pack(names, held):
+                out += window
+                if len(out) > 2000:
+                    yield batch(out)
+                    out = []
+            if out:
+                yield batch(out)
+
         for b in batches:
-            ids += b.column(0).to_pylist()
-            seeds += zip(b.column(1).to_pylist(), b.column(2).to_pylist())
-            found += [np.frombuffer(x, np.uint16) for x in b.column(3).to_pylist()]
-        order = sorted(range(len(ids)), key=lambda i: (seeds[i][0], seeds[i][0] != seeds[i][1], seeds[i][1]))  # groups, each by its seed and then by row
-        ids, found = [ids[i] for i in order], [found[i] for i in order]
-        shard, names = TaskContext.get().partitionId(), ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-        pieces = pack(found, sequence, idf, mean)
-        for at in range(0, len(pieces), 2000):
-            part = pieces[at : at + 2000]
-            doc, start, length, number, offset = (np.array(x, np.int64) for x in zip(*part))
-            tokens = pa.array([found[d][s : s + n].astype("<u4").tobytes() for d, s, n, _, _ in part], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d in doc], pa.int64()), pa.array(start), pa.array(length), tokens, pa.array([len(found[d]) for d in doc], pa.int64()), pa.array((shard << 40) + number), pa.array(offset)], names)
-
-    return map_batches(rows, run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+            for doc_id, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids = np.frombuffer(x, np.uint16)
+                if held and (size + len(ids) > shard_ids or len(held) == shard_rows):
+                    yield from shard()
+                    names, held, size = [], [], 0
+                names.append(doc_id)
+                held.append(ids)
+                size += len(ids)
+        if held:
+            yield from shard()
+        last = packer.finish()
+        if last:
+            yield batch(last)
+
+    return map_batches(ranged.select("doc_id", "codes"), run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

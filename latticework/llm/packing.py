@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import map_batches, partitions, stored
+from latticework.llm.common import U64, map_batches, mix, partitions, stored
 from latticework.llm.tokens import byte_bpe
 
 SEQUENCE = 2048
@@ -26,6 +26,8 @@ TERMS = 65536
 PIVOTS, NEAREST = 64, 8
 #: Ids of the pivots that are scored: whole texts, but texts of at most so many ids are drawn.
 PIVOT_IDS = 8192
+#: Rows whose places set the bounds of the tasks, about so many for each task.
+SAMPLE_PER_TASK = 200
 
 
 def inverse(df: np.ndarray, n: int) -> np.ndarray:
@@ -214,19 +216,38 @@ def packed(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str = "byte_bpe
 
     coded = stored(map_batches(rows, code, "row long, doc_id long, codes binary"), "packing")
     idf, mean, size, n_rows = statistics(coded)
-    drawn = coded.where(F.octet_length("codes") <= 2 * PIVOT_IDS).select(F.xxhash64(F.lit(5), "codes").alias("draw"), "codes").distinct()
-    drawn = [np.frombuffer(r["codes"], np.uint16) for r in drawn.orderBy("draw").limit(min(pivots, PIVOTS)).collect()]  # bounded in number and size
-    found = Pivots(drawn, idf, mean)
+    short = coded.where(F.octet_length("codes") <= 2 * PIVOT_IDS).groupBy(F.xxhash64(F.lit(5), "codes").alias("draw")).agg(F.min("row").alias("row"))
+    drawn = [r["row"] for r in short.orderBy("draw").limit(min(pivots, PIVOTS)).collect()]  # bounded in number, and each in size
+    drawn = sorted((r["row"], r["codes"]) for r in coded.where(F.col("row").isin(drawn)).select("row", "codes").collect())
+    found = Pivots([np.frombuffer(x, np.uint16) for _, x in drawn], idf, mean)
+    n_tasks = max(partitions(docs), -(-2 * size // TASK_BYTES), -(-n_rows // TASK_ROWS))
+
+    def places(batch):
+        """A number by which rows are ordered: the key, then some bits of the ids' hash, so that copies lie side by side."""
+        return (found.keys([np.frombuffer(x, np.uint16) for x in batch.column(1).to_pylist()]) << 14) | (batch.column(2).to_numpy() & 0x3FFF)
+
+    def sample(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(places(b))], ["place"])
+
+    keyed = coded.select("row", "codes", F.xxhash64("codes").alias("hash"), "doc_id")
+    if n_tasks > 1:
+        share = min(1.0, n_tasks * SAMPLE_PER_TASK / max(1, n_rows))
+        some = keyed.where(F.pmod(F.xxhash64(F.lit(9), "row"), F.lit(1 << 40)) < int(share * (1 << 40)))
+        places_seen = map_batches(some, sample, "place long")
+        bounds = np.array(places_seen.stat.approxQuantile("place", [i / n_tasks for i in range(1, n_tasks)], 1 / (4 * n_tasks)), float)  # one for each task
+    else:
+        bounds = np.zeros(0)
 
     def place(batches):
         for b in batches:
-            keys = found.keys([np.frombuffer(x, np.uint16) for x in b.column(2).to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *b.columns], ["key", "row", "doc_id", "codes"])
+            at = places(b)
+            low, high = (np.searchsorted(bounds, at.astype(float), side) for side in ("left", "right"))
+            spread = mix(b.column(0).to_numpy().astype(U64)) % (high - low + 1).astype(U64)  # a place that several tasks share
+            yield pa.RecordBatch.from_arrays([pa.array((low + spread.astype(np.int64)).astype(np.int32)), pa.array(at), b.column(0), b.column(3), b.column(1)], ["task", "place", "row", "doc_id", "codes"])
 
-    placed = map_batches(coded, place, "key long, row long, doc_id long, codes binary").withColumn("hash", F.xxhash64("codes"))
-    placed = stored(placed, "packing-placed")  # Spark reads it twice, to find the ranges and to deal
-    n_tasks = max(partitions(docs), -(-2 * size // TASK_BYTES), -(-n_rows // TASK_ROWS))
-    ranged = placed.repartitionByRange(n_tasks, "key", "hash", "row").sortWithinPartitions("key", "hash", "row")
+    placed = map_batches(keyed, place, "task int, place long, row long, doc_id long, codes binary")
+    ranged = placed.repartitionById(n_tasks, "task").sortWithinPartitions("place", "row")
 
     def run(batches):
         from pyspark import TaskContext

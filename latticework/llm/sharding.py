@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from latticework.llm.common import partitions, work_dir
+from latticework.llm.common import partitions, stored, work_dir
 
 #: Bytes of text that a bucket holds on average; a task holds one bucket at a time.
 BUCKET_BYTES = 16 << 20
-#: Rows alike in id and text beyond which the scattering goes by row instead of by content.
-MANY_ALIKE = 10_000
+#: Copies of a row that one task writes out at a time.
+COPIES = 1 << 16
+#: Buckets whose rows are counted up together; rows that a broadcast of repeated rows or of bucket offsets may have (at most 100 bytes each).
+RUN, BROADCAST_ROWS = 4096, 100_000
 
 
 def text_size(text: Column) -> Column:
@@ -32,23 +37,44 @@ def fisher_yates(n: int, seed: list[int]) -> np.ndarray:
     return order
 
 
+def apart(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The rows (doc_id, text and more that they decide), each with a number `copy` among its like, and their bytes.
+
+    Rows alike are one and the same, so those that repeat are kept once and written out again by their number: in
+    no task do more than COPIES of them come from one row.
+    """
+    keys = ["doc_id", "size", "one", "two"]
+    rows = rows.withColumns({"one": F.xxhash64("text"), "two": F.xxhash64(F.lit(1), "text")})
+    alike = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    again = stored(alike.where("n > 1"), "shuffle-repeated")
+    n_again = again.count()
+    total = alike.agg(F.sum(F.col("size") * F.col("n"))).first()[0] or 0
+    if not n_again:
+        return rows.withColumn("copy", F.lit(0).cast("long")).drop("one", "two"), total
+    again = F.broadcast(again) if n_again <= BROADCAST_ROWS else again
+    on = [rows[k].eqNullSafe(again[k]) for k in keys]
+    single = rows.join(again, on, "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    kept = rows.join(again.select(*(F.col(k).alias(f"again_{k}") for k in keys), "n"), [rows[k].eqNullSafe(F.col(f"again_{k}")) for k in keys])
+    kept = kept.groupBy(*keys, "text_crc32").agg(F.first("text").alias("text"), F.first("n").alias("n"))
+    kept = kept.withColumn("first", F.explode(F.expr(f"sequence(0L, n - 1, {COPIES}L)"))).repartition(partitions(rows), *keys, "first")
+    kept = kept.withColumn("copy", F.explode(F.expr(f"sequence(first, least(n, first + {COPIES}L) - 1)")))
+    return single.select("doc_id", "text", "size", "text_crc32", "copy").unionByName(kept.select("doc_id", "text", "size", "text_crc32", "copy")), total
+
+
 def shuffle_into_shards(docs: DataFrame, n_shards: int = 8, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Shuffle all rows uniformly, in an order that seed and content decide, and deal the order into
     `n_shards` shards whose row counts differ by one at most. Returns doc_id, text, size, text_crc32, shard, slot;
     slots are gapless from 0 in each shard.
 
-    Null texts are kept and count one byte. Null ids are kept. Repeated rows are kept, each with a slot of its
-    own; rows alike in id and text are told apart by their place in the scan only where there are very many.
-    An empty table gives an empty table. Other columns are not carried.
+    Null texts are kept and count one byte; so are null ids. Repeated rows are kept, each drawn for itself and with a slot
+    of its own; how the table is split or ordered changes nothing. An empty table gives an empty table. Other columns are not carried.
     """
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     rows = rows.withColumns({"size": text_size(F.col("text")), "text_crc32": text_crc32(F.col("text"))})
-    alike = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
-    total = alike.agg(F.sum(F.col("size") * F.col("n")).alias("bytes"), F.max("n").alias("alike")).first()
-    n_buckets = max(partitions(docs), -(-(total["bytes"] or 0) // bucket_bytes), 1)
-    own = F.monotonically_increasing_id() if (total["alike"] or 0) > MANY_ALIKE else F.lit(0).cast("long")
-    rows = rows.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size", own))
+    rows, total = apart(rows)
+    n_buckets = max(partitions(docs), -(-total // bucket_bytes), 1)
+    rows = rows.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size", "copy")).drop("copy")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("draw"), F.lit(n_buckets)).cast("int"))
 
     def deal(keys: tuple[pa.Scalar, ...], bucket: pa.Table) -> pa.Table:
@@ -62,15 +88,15 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 8, seed: int = 7, id_co
     dealt.write.parquet(path)
     dealt = spark.read.schema(fields).parquet(path)
 
-    counts = sorted(dealt.groupBy("bucket").agg(F.count("*").alias("n")).collect())  # a row for each bucket
-    n_rows, starts, before = sum(r["n"] for r in counts), [], 0
-    for r in counts:
-        starts.append((r["bucket"], before))
-        before += r["n"]
-    if len(starts) <= 100_000:  # bytes of a broadcast row: 12
-        offsets = F.broadcast(spark.createDataFrame(starts, "bucket int, before long"))
-    else:
-        offsets = spark.createDataFrame(starts, "bucket int, before long")
+    # Where each bucket begins: counted up within runs of buckets, and over the runs.
+    counts = stored(dealt.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("run", F.expr(f"bucket div {RUN}")), "shuffle-counts")
+    runs = sorted(counts.groupBy("run").agg(F.sum("n").alias("n")).collect())  # one row for 64 GB of text
+    before = list(accumulate([r["n"] for r in runs], initial=0))
+    n_rows = before[-1]
+    starts = F.broadcast(spark.createDataFrame([(r["run"], b) for r, b in zip(runs, before)], "run long, start long"))
+    inside = F.sum("n").over(W.partitionBy("run").orderBy("bucket")) - F.col("n")
+    offsets = counts.withColumn("inside", inside).join(starts, "run").select("bucket", (F.col("start") + F.col("inside")).alias("before"))
+    offsets = F.broadcast(offsets) if n_buckets <= BROADCAST_ROWS else offsets
     at = F.col("before") + F.col("place")
     shard = F.expr(f"((before + place) * {n_shards}L) div {max(n_rows, 1)}L").cast("int")
     out = dealt.join(offsets, "bucket").withColumn("shard", shard)

@@ -36,8 +36,22 @@ def test_shards_odd(odd, none, monkeypatch):
     assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r["doc_id"], r["text"]) for r in odd.collect())
     assert [r["size"] for r in got if r["text"] is None] == [1, 1]
     assert sharding.shuffle_into_shards(none).count() == 0
-    monkeypatch.setattr(sharding, "MANY_ALIKE", 1)
-    assert sharding.shuffle_into_shards(odd, 3).count() == odd.count()
+    want = sorted(map(str, got))
+    monkeypatch.setattr(sharding, "RUN", 2)
+    monkeypatch.setattr(sharding, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, sharding.shuffle_into_shards(odd.repartition(5), 3).collect())) == want
+
+
+@pytest.mark.parametrize("n", [9_999, 10_000, 10_001])
+def test_shards_very_many_alike(spark, monkeypatch, n):
+    """Copies of one row are dealt like other rows: over all buckets and shards, however the table is split."""
+    monkeypatch.setattr(sharding, "COPIES", 1000)
+    rows = spark.range(n).selectExpr("5L doc_id", "'the same' text").unionByName(spark.range(20).selectExpr("id doc_id", "'another' text"))
+    got = sharding.shuffle_into_shards(rows.repartition(6), 8, bucket_bytes=1 << 13).groupBy("shard", "doc_id", "text").count().collect()
+    assert sum(r["count"] for r in got) == n + 20
+    assert all(abs(r["count"] - n / 8) < n / 40 for r in got if r["text"] == "the same")
+    again = sharding.shuffle_into_shards(rows.coalesce(1), 8, bucket_bytes=1 << 13).groupBy("shard", "doc_id", "text").count().collect()
+    assert sorted(got) == sorted(again)
 
 
 def sets_and_links(rows):

@@ -75,16 +75,43 @@ def test_toxicity_held_out(spark):
 
 def test_toxicity_nearest_is_exact():
     rng = np.random.default_rng(3)
-    e = toxicity.Examples(terms={str(i): i for i in range(30)}, idf=rng.random(30) + 0.1)
-    keys = {tuple(sorted(set(rng.integers(0, 30, rng.integers(0, 6)).tolist()))) for _ in range(400)}
-    e.vectors = [e.vector(k, (1,) * len(k)) for k in sorted(keys)]
-    e.votes, e.ids = np.ones((len(e.vectors), 2)), [[i] for i in range(len(e.vectors))]
-    e.build()
+    e = toxicity.Examples(terms={str(i): i for i in range(30)}, weight=rng.random(30) + 0.1)
+    keys = sorted({tuple(sorted(set(rng.integers(0, 30, rng.integers(0, 6)).tolist()))) for _ in range(400)})
+    vector = lambda k: e.vector(np.array(k, np.int32), np.arange(1, len(k) + 1))
+    e.build([vector(k) for k in keys], np.ones((len(keys), 2)), [[k] for k in keys])
     for _ in range(100):
-        k = tuple(sorted(set(rng.integers(0, 30, 4).tolist())))
-        q = e.vector(k, (2,) * len(k))
-        cosines = sorted((round(sum(q.get(t, 0) * w for t, w in v.items()), 9) for v in e.vectors), reverse=True)[: toxicity.NEAREST]
-        assert [round(s, 9) for s, _ in e.nearest(q)] == [c for c in cosines if c > 0]
+        at, q = vector(sorted(set(rng.integers(0, 30, 4).tolist())))
+        weight = dict(zip(at.tolist(), q.tolist()))
+        by_hand = [sum(weight.get(t, 0) * w for t, w in zip(*vector(k[0]))) for k in e.ids]
+        for without in (-1, int(np.argmax(by_hand))):
+            cosines = sorted((round(c, 9) for i, c in enumerate(by_hand) if i != without), reverse=True)[: toxicity.NEAREST]
+            found, cosine = e.nearest(at, q, without=without)
+            assert np.allclose(cosine, [c for c in cosines if c > 0]) and np.allclose(cosine, np.array(by_hand)[found])
+
+
+def test_toxicity_curve_is_monotone():
+    rng = np.random.default_rng(4)
+    share = rng.random(3000)
+    label = (rng.random(3000) < share**2).astype(float)
+    e = toxicity.Examples()
+    e.calibrate(share, label, np.ones(3000))
+    x, y = e.curve
+    assert (np.diff(x) >= 0).all() and (np.diff(y) >= 0).all()
+    for low in np.arange(0, 1, 0.1):  # what is called p comes true in about p of the cases
+        inside = (share >= low) & (share < low + 0.1)
+        assert abs(np.interp(share[inside], x, y).mean() - label[inside].mean()) < 0.05
+
+
+def test_toxicity_scores_are_calibrated(spark):
+    """Held out, in bins: the share of toxic documents is about the score."""
+    sf = "/root/testdata/sf0.1"
+    got = queries.op2_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    for low, high in ((0.0, 0.2), (0.2, 0.8), (0.8, 1.01)):
+        rows = [r for r in got if low <= r["score"] < high]
+        if len(rows) >= 30:
+            assert abs(np.mean([r["score"] for r in rows]) - np.mean([r["toxic"] for r in rows])) < 0.1
+    hit = sum(r["predicted"] == 1 and r["toxic"] == 1 for r in got)
+    assert hit >= 0.9 * sum(r["toxic"] for r in got) and hit >= 0.9 * sum(r["predicted"] for r in got)
 
 
 def test_toxicity_odd(odd, none, spark):

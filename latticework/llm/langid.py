@@ -20,8 +20,10 @@ SAMPLE_PER_LANG = 1500
 EPOCHS, BATCH, RATE = 12, 128, 0.01
 LEAST_STEPS = 600  # of training, where the sample is small
 MOST_PIECES = 8  # windows of one text, where few texts are labelled
-#: Texts whose language gets a lower score than this are rejected by the filter.
-MIN_SCORE = 0.35
+DRAWS = 1 << 62
+#: Scores up to which fewer labelled texts than this share are told right are too low for the filter; judged on about so
+#: many labelled rows, by steps of a thousandth.
+RIGHT, JUDGED_ROWS = 0.5, 20_000
 #: Capital ASCII letters read as small ones.
 FOLD = np.arange(256)
 FOLD[65:91] += 32
@@ -141,8 +143,8 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # a row for each language
     if not counts:
         return ByteNet([])
-    draw = F.pmod(F.xxhash64(F.lit(seed), id_col, F.octet_length(text_col)), F.lit(1_000_000))
-    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(1_000_000 * min(1, per_lang / n)))))
+    draw = F.pmod(F.xxhash64(F.lit(seed), id_col, F.octet_length(text_col)), F.lit(DRAWS))
+    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(DRAWS * min(1.0, per_lang / n)))))
     text = F.col(text_col)
     pieces = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, max(1, min(MOST_PIECES, per_lang // n)))))
     start = 1 + F.pmod(F.xxhash64(F.lit(seed + 1), id_col, "piece"), F.greatest(F.lit(1), F.length(text) - WINDOW)).cast("int")
@@ -174,7 +176,9 @@ def predicted(net: ByteNet, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def identify(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of every row, from all windows of its whole text.
 
-    `und` with score 0 where the text is null or has no letter, or the network knows no language.
+    `und` with score 0 where the text is null or has no letter, or the network knows no language. Of languages with equal
+    scores the first by name is told. Null ids and repeated rows are kept, an empty table gives an empty table; other
+    columns, whatever their names, aren't carried.
     """
 
     def run(batches):
@@ -186,8 +190,38 @@ def identify(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: st
     return map_batches(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), run, "doc_id long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, net: ByteNet, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of `docs`, all columns, in a language that the network recognises."""
+def least_score(labelled: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", right: float = RIGHT, rows: int = JUDGED_ROWS, seed: int = 6) -> float:
+    """The score from which the network is to be believed: up to there fewer than `right` of the labelled texts are told right.
+
+    Judged on about `rows` rows of `labelled` with a text and a language; 0 without any, or where all are told right.
+    """
+    rows_ = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    n = rows_.count()
+    if not n or not net.langs:
+        return 0.0
+    draw = F.pmod(F.xxhash64(F.lit(seed), id_col, F.octet_length(text_col)), F.lit(DRAWS))
+    some = rows_.where(draw < int(DRAWS * min(1.0, rows / n))).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+
+    def judge(batches):
+        names = np.array([*net.langs, "und"], object)
+        for b in batches:
+            best, score = predicted(net, b.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array((score * 1000).astype(np.int32)), pa.array((names[best] == np.array(b.column(1).to_pylist(), object)).astype(np.int32))], ["step", "hit"])
+
+    found = sorted(map_batches(some, judge, "step int, hit int").groupBy("step").agg(F.count("*").alias("n"), F.sum("hit").alias("hits")).collect())  # a row for each thousandth
+    least, seen, hits = 0.0, 0, 0
+    for r in found:
+        seen, hits = seen + r["n"], hits + r["hits"]
+        if hits < right * seen:
+            least = (r["step"] + 1) / 1000
+    return least
+
+
+def keep_known(docs: DataFrame, net: ByteNet, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
+    """The rows of `docs`, all columns, in a language that the network recognises with at least that score.
+
+    Null texts and those without a letter go; each of repeated rows is judged alike; an empty table gives an empty table.
+    """
     where = docs.columns.index(text_col)
 
     def run(batches):

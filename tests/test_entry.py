@@ -6,6 +6,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 ROOT = str(Path(__file__).resolve().parents[1])
 
 
@@ -16,11 +18,18 @@ def names(block: str) -> set[str]:
 
 
 def test_without_llm():
-    left = names("sys.modules['latticework.llm'] = None")
+    gone = "import importlib.util as u; real = u.find_spec; u.find_spec = lambda name, package=None: None if name == 'latticework.llm' else real(name, package)"
+    left = names(gone)
     assert "where_all_of" in left and "code_findings" in left and "pipeline" not in left
     assert not any(n.startswith("op1") for n in left)
 
 
+def test_a_broken_operator_is_no_missing_one():
+    """Where the folder is there, an import that fails isn't passed over."""
+    with pytest.raises(subprocess.CalledProcessError):
+        names("sys.modules['latticework.llm.queries'] = None")
+
+
 def test_nothing_else_imports_llm():
     for p in Path(ROOT, "latticework").rglob("*.py"):
         if "llm" not in p.relative_to(ROOT).parts:

@@ -10,20 +10,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from latticework.functions.docstrings import documented
-from latticework.functions.names import conforms, visibility
+from latticework.functions.effects import IMPURE_BUILTINS, IMPURE_FUNCTIONS, MUTATORS, impure_method
+from latticework.functions.names import bare_type, conforms, visibility
 from latticework.operators.graph import affected, ancestry, chased, strong_components
 from latticework.operators.intervals import innermost
-from latticework.operators.ranking import first_by
+from latticework.operators.ranking import first_by, top_text
 from latticework.plans.evidence import HEURISTIC, all_of, any_of, field, not_, weakened_when
 from latticework.plans.relation import Relation
 from latticework.plans.rules import Part, Rule
 from latticework.sources.python_code import code_tables
 from latticework.sources.shared import stored
 
-#: Built-in functions and methods with effects, methods that change their receiver, dynamic look-ups.
-IMPURE_BUILTINS = ("print", "open", "input", "exec", "eval", "setattr", "delattr", "exit", "quit", "breakpoint", "globals", "vars")
-IMPURE_MODULES = ("os", "sys", "subprocess", "socket", "random", "time", "shutil", "requests", "logging")
-MUTATORS = ("append", "extend", "insert", "remove", "pop", "clear", "sort", "reverse", "update", "add", "discard", "setdefault", "popitem")
+#: Dynamic look-ups, builtin names, decorators that promise a pure function.
 DYNAMIC = ("getattr", "globals", "vars", "locals")
 BUILTINS = tuple(sorted(n for n in dir(__builtins__ if not isinstance(__builtins__, dict) else __import__("builtins")) if not n.startswith("_"))) + ("__name__", "__file__", "__doc__")
 PURE_DECORATORS = ("functools.lru_cache", "lru_cache", "functools.cache", "cache", "property", "cached_property", "functools.cached_property")
@@ -37,18 +35,19 @@ class Code:
 
     @cached_property
     def raw(self) -> dict[str, DataFrame]:
-        return {k: stored(v, f"code-{k}") for k, v in code_tables(self.sources).items()}
+        return code_tables(self.sources)
 
     @cached_property
     def symbols(self) -> DataFrame:
-        """One row for each declaration; the second and later of a name in a scope are marked $2, $3."""
+        """One row for each declaration; the second and later of a name in a scope are marked $2, $3. Stored: every rule reads them."""
         order = W.partitionBy("file_path", "scope_id", "name").orderBy("ord")
         n = F.row_number().over(order)
         apart = F.when(F.col("scope_kind") == "module", ":").otherwise(".")
         base = F.concat("scope_id", apart, "name")
         df = self.raw["declared"].withColumn("n", n).withColumn("symbol_id", F.when(F.col("n") > 1, F.concat(base, F.lit("$"), F.col("n").cast("string"))).otherwise(base))
         df = df.join(self.raw["files"].select("file_path", "module"), "file_path")
-        return df.select("file_path", "ord", "symbol_id", "name", "kind", visibility(F.col("name")).alias("visibility"), "line", "scope_id", "scope_kind", "docstring", "decorators", "annotation", "annotation_confidence", "imported_from", "parameters", "module", (F.col("scope_kind") == "module").alias("is_module_level"))
+        df = df.select("file_path", "ord", "symbol_id", "name", "kind", visibility(F.col("name")).alias("visibility"), "line", "scope_id", "scope_kind", "docstring", "decorators", "annotation", "annotation_confidence", "imported_from", "parameters", "module", (F.col("scope_kind") == "module").alias("is_module_level"))
+        return stored(df, "code-symbols")
 
     @cached_property
     def located(self) -> DataFrame:
@@ -83,7 +82,7 @@ class Code:
         known = self.symbols.where("is_module_level").select(F.col("symbol_id").alias("member")).distinct()
         steps = whole.withColumn("wanted", member).join(known, F.col("wanted") == F.col("member"), "left")
         steps = steps.select(F.col("symbol_id").alias("name"), F.coalesce("target", "member").alias("target")).where("target is not null")
-        return chased(steps).select(F.col("name").alias("symbol_id"), F.col("final").alias("definition"))
+        return stored(chased(steps).select(F.col("name").alias("symbol_id"), F.col("final").alias("definition")), "code-definitions")
 
     @cached_property
     def uses(self) -> DataFrame:
@@ -156,14 +155,25 @@ class Code:
 
     @cached_property
     def observations(self) -> DataFrame:
-        """What makes a function impure by itself: function_id, what, line."""
+        """What makes a function impure by itself: function_id, what, line, unsure (the receiver's kind isn't known)."""
         u = self.uses.where("function_id is not null")
-        builtin = u.where(F.col("kind") == "call").where(F.col("symbol_id").isin(*(f"<builtins>.{x}" for x in IMPURE_BUILTINS))).select("function_id", F.concat(F.lit("builtin "), "name").alias("what"), "line")
-        imported = self.symbols.where("kind = 'import'").select(F.col("symbol_id").alias("root_id"), F.substring_index("imported_from", ".", 1).alias("top")).distinct()
-        module = u.where("kind = 'attribute-call'").join(imported, "root_id").where(F.col("top").isin(*IMPURE_MODULES)).select("function_id", F.concat_ws(".", F.col("top"), "name").alias("what"), "line")
-        rebound = u.where("kind = 'global'").select("function_id", F.concat(F.lit("global "), "name").alias("what"), "line")
-        mutated = u.where("kind = 'attribute-write' and root_kind in ('parameter', 'import')").where("receiver[0] not in ('self', 'cls')").select("function_id", F.concat(F.lit("writes ."), "name").alias("what"), "line")
-        return builtin.unionByName(module).unionByName(rebound).unionByName(mutated)
+        seen = lambda df, what, unsure=None: df.select("function_id", what.alias("what"), "line", (F.lit(False) if unsure is None else unsure).alias("unsure"))
+        builtin = u.where(F.col("kind") == "call").where(F.col("symbol_id").isin(*(f"<builtins>.{x}" for x in IMPURE_BUILTINS)))
+        # What an import's name stands for, then the attributes behind it: the library's own name of what is called.
+        imported = first_by(self.symbols.where("kind = 'import'"), ["symbol_id"], ["imported_from"], ["imported_from"])
+        imported = imported.select(F.col("symbol_id").alias("import_id"), F.col("imported_from").alias("source"))
+        calls = u.where("kind in ('call', 'attribute-call')").withColumn("import_id", F.when(F.col("kind") == "call", F.col("bound")).otherwise(F.col("root_id"))).join(imported, "import_id")
+        rest = F.when(F.col("kind") == "call", F.array().cast("array<string>")).otherwise(F.concat(F.slice("receiver", 2, 1 << 20), F.array("name")))
+        library = calls.withColumn("called", F.concat_ws(".", "source", F.array_join(rest, "."))).withColumn("called", F.regexp_replace("called", r"\.$", ""))
+        library = library.where(F.col("called").isin(*IMPURE_FUNCTIONS))
+        rebound = u.where("kind = 'global'")
+        written = u.where("kind = 'attribute-write' and root_kind in ('parameter', 'import')").where("receiver[0] not in ('self', 'cls')")
+        types = first_by(self.symbols.where("annotation is not null"), ["symbol_id"], ["ord"], ["annotation"]).select(F.col("symbol_id").alias("root_id"), bare_type(F.col("annotation")).alias("receiver_type"))
+        methods = u.where("kind = 'attribute-call'").join(types, "root_id", "left")
+        kind = F.when(F.col("receiver")[0].isin("self", "cls"), "self").when(F.size("receiver") > 1, "unknown").otherwise(F.coalesce("root_kind", F.lit("unknown")))
+        methods = methods.withColumn("receiver_kind", kind).where(F.coalesce("root_kind", F.lit("")) != "import").where(impure_method(F.col("name"), F.when(F.size("receiver") == 1, F.col("receiver_type")), F.col("receiver_kind")))
+        out = seen(builtin, F.concat(F.lit("builtin "), "name")).unionByName(seen(library, F.col("called"))).unionByName(seen(rebound, F.concat(F.lit("global "), "name")))
+        return out.unionByName(seen(written, F.concat(F.lit("writes ."), "name"))).unionByName(seen(methods, F.concat(F.lit("method ."), "name"), F.col("receiver_kind") == "unknown"))
 
     @cached_property
     def impure(self) -> DataFrame:
@@ -191,7 +201,7 @@ def rules(code: Code, root: str | None = None, allow: dict[str, list[str]] | Non
     out = {"require-docstrings": Rule("require-docstrings", (Part(s.where(all_of(callable_, public, field("docstring").eq(None))), "{kind} '{name}' has no docstring", "file_path", "line"),))}
 
     dunder = field("name").startswith("__") & field("name").endswith("__")
-    named = s.where(field("kind").is_in("function", "class", "method", "variable", "parameter")).where(not_(dunder))
+    named = s.where(field("kind").is_in("function", "class", "method")).where(not_(dunder))
     stripped = F.regexp_replace("name", "^_+", "")
     upper = (F.col("kind") == "variable") & F.col("is_module_level") & stripped.rlike("^[A-Z][A-Z0-9_]*$")
     odd = named.df.where((stripped != "") & ~conforms(stripped, F.col("kind")) & ~upper)
@@ -262,8 +272,11 @@ def rules(code: Code, root: str | None = None, allow: dict[str, list[str]] | Non
     out["star-imports"] = Rule("star-imports", (Part(starred.where(field("indexed", "bool")), "'from {imported_from} import *' hides what is used", "file_path", "line"), Part(starred.where(not_(field("indexed", "bool"))).where(weakened_when(not_(field("indexed", "bool")), HEURISTIC)), "'from {imported_from} import *' of a module that isn't indexed", "file_path", "line")))
 
     functions = code.symbols.where("kind in ('function', 'method')").join(code.impure.withColumnRenamed("function", "symbol_id"), "symbol_id")
-    direct = first_by(code.observations, ["function_id"], ["line", "what"], ["what"]).withColumnRenamed("function_id", "symbol_id")
-    impure = code.relation(functions.join(direct, "symbol_id", "left").withColumn("reason", F.coalesce("what", F.lit("calls an impure function"))))
+    reasons = top_text(code.observations, ["function_id"], ["line", "what"], F.concat("what", F.lit(" (line "), F.col("line").cast("string"), F.lit(")")))
+    reasons = reasons.select(F.col("function_id").alias("symbol_id"), F.col("shown").alias("reasons"))
+    unsure = code.observations.groupBy(F.col("function_id").alias("symbol_id")).agg(F.bool_and("unsure").alias("unsure"))
+    impure = functions.join(reasons, "symbol_id", "left").join(unsure, "symbol_id", "left").withColumn("reason", F.coalesce("reasons", F.lit("calls an impure function"))).withColumn("unsure", F.coalesce("unsure", F.lit(False)))
+    impure = code.relation(impure).where(weakened_when(field("unsure", "bool"), HEURISTIC))
     out["no-impure-functions"] = Rule("no-impure-functions", (Part(impure, "{kind} '{name}' is impure: {reason}", "file_path", "line"),))
     contract = Relation(impure.df.where(F.exists("decorators", lambda d: F.substring_index(d, "(", 1).isin(*PURE_DECORATORS))), impure.anchor, impure.order, impure.fields)
     out["pure-decorator-contracts"] = Rule("pure-decorator-contracts", (Part(contract, "{kind} '{name}' should be pure: {reason}", "file_path", "line"),))

@@ -34,7 +34,7 @@ class Model:
 
 @functools.lru_cache
 def size(path: str) -> int:
-    return len(os.listdir(path))
+    return len(path) if os.path.exists(path) else 0
 
 
 def helper(items, box):

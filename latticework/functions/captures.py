@@ -16,14 +16,14 @@ def nonempty_lines(text: Column) -> Column:
 
 
 def detect_format(text: Column) -> Column:
-    """json, diff, pytest, search or text, by the first sign found in that order."""
+    """diff, json, pytest, search or text, by the first sign found in that order."""
     lines = nonempty_lines(text)
     hits = F.size(F.filter(lines, lambda x: F.regexp_like(x, F.lit(SEARCH_LINE))))
     body = F.trim(text)
     is_json = (body.startswith("{") | body.startswith("[")) & F.try_parse_json(body).isNotNull()
     is_diff = F.regexp_like(text, F.lit(r"(?m)^diff --git |^@@ -\d+"))
     is_pytest = F.regexp_like(text, F.lit(r"(?m)^=+ .*(?:passed|failed|error).* =+$|^=+ test session starts =+$"))
-    return F.when(is_json, "json").when(is_diff, "diff").when(is_pytest, "pytest").when((F.size(lines) > 0) & (hits >= SEARCH_SHARE * F.size(lines)), "search").otherwise("text")
+    return F.when(is_diff, "diff").when(is_json, "json").when(is_pytest, "pytest").when((F.size(lines) > 0) & (hits >= SEARCH_SHARE * F.size(lines)), "search").otherwise("text")
 
 
 def clip_line(line: Column, width: int = 120) -> Column:
@@ -75,10 +75,26 @@ def json_shape(text: Column) -> Column:
     return F.when(parsed.isNotNull(), F.schema_of_variant(parsed))
 
 
+#: Places whose amounts are added up together.
+RUN = 1000
+
+
+def running(df: DataFrame, place: Column, amount: str) -> DataFrame:
+    """The rows with `total`, the sum of the amounts up to their own by ascending place (whole numbers, one row for each).
+
+    Within runs of places, then over the runs: a task sees the places of one run, and one row for each run before it.
+    """
+    rows = df.withColumn("_place", place.cast("long")).withColumn("_run", F.floor(F.col("_place") / RUN))
+    runs = rows.groupBy("_run").agg(F.sum(amount).alias("_sum"))
+    runs = runs.select("_run", (F.sum("_sum").over(W.orderBy("_run")) - F.col("_sum")).alias("_before"))
+    inside = F.sum(amount).over(W.partitionBy("_run").orderBy("_place"))
+    return rows.withColumn("_inside", inside).join(runs, "_run").withColumn("total", F.col("_before") + F.col("_inside")).drop("_place", "_run", "_inside", "_before")
+
+
 def evicted(blobs: DataFrame, stored_at: str, bytes_: str, now: Column, ttl_days: int, most_bytes: int) -> DataFrame:
     """What goes from a store: what is older than the time to live, then whole days, oldest first, beyond the size limit."""
     day = F.to_date(stored_at)
     old = F.col(stored_at) < now - F.make_dt_interval(F.lit(ttl_days))
-    days = blobs.where(~old).groupBy(day.alias("_day")).agg(F.sum(bytes_).alias("_b"))  # a row for each day
-    kept = days.withColumn("_total", F.sum("_b").over(W.orderBy(F.desc("_day")))).where(F.col("_total") <= most_bytes).select("_day")
+    days = blobs.where(~old).groupBy(day.alias("_day")).agg(F.sum(bytes_).alias("_b"))
+    kept = running(days, -F.unix_date("_day"), "_b").where(F.col("total") <= most_bytes).select("_day")
     return blobs.withColumn("_day", F.when(~old, day)).join(kept, "_day", "left_anti").drop("_day")

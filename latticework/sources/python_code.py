@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latticework.sources.shared import stored
+
 DECLARED_FIELDS = "file_path string, ord int, scope_id string, scope_kind string, name string, kind string, line int, docstring string, decorators array<string>, annotation string, annotation_confidence string, imported_from string, parameters array<string>"
 SCOPE_FIELDS = "file_path string, ord int, scope_id string, name string, kind string, chain array<string>, start_line int, end_line int"
 REF_FIELDS = "file_path string, ord int, name string, kind string, line int, col int, scope_id string, chain array<string>, function_id string, at_import boolean, receiver array<string>, used boolean"
@@ -31,9 +33,10 @@ class Walk(ast.NodeVisitor):
         self.stack: list[tuple[str, str]] = []  # scope id, kind
         self.function: str | None = None
         self.loose: set[int] = set()  # calls whose result nobody takes
+        self.outer: list[dict[str, int]] = []  # of each open scope, the names it declares for another: that one's place
 
-    def declare(self, name, kind, node, docstring=None, decorators=(), annotation=None, sure=None, source=None, parameters=None):
-        scope, scope_kind = self.stack[-1]
+    def declare(self, name, kind, node, docstring=None, decorators=(), annotation=None, sure=None, source=None, parameters=None, place=-1):
+        scope, scope_kind = self.stack[self.outer[-1].get(name, place) if place == -1 else place]
         self.rows["declared"].append((self.path, len(self.rows["declared"]), scope, scope_kind, name, kind, node.lineno, docstring, list(decorators), annotation, sure, source, parameters))
 
     def refer(self, name, kind, node, receiver=None, used=True):
@@ -45,6 +48,7 @@ class Walk(ast.NodeVisitor):
         top, top_kind = self.stack[-1] if self.stack else ("", "")
         scope = self.module if not self.stack else f"{top}{':' if top_kind == 'module' else '.'}{name}"
         self.stack.append((scope, kind))
+        self.outer.append({})
         self.rows["scopes"].append((self.path, len(self.rows["scopes"]), scope, name, kind, [s for s, _ in reversed(self.stack)], getattr(node, "lineno", 1), getattr(node, "end_lineno", 1) or 1))
         before = self.function
         if kind == "function":
@@ -53,6 +57,7 @@ class Walk(ast.NodeVisitor):
             self.visit(x)
         self.function = before
         self.stack.pop()
+        self.outer.pop()
 
     def visit_Module(self, node):
         self.enter(self.module, "module", node, node.body)
@@ -61,7 +66,7 @@ class Walk(ast.NodeVisitor):
         self.declare(node.name, "class", node, ast.get_docstring(node), map(ast.unparse, node.decorator_list), parameters=[ast.unparse(b) for b in node.bases])
         for x in [*node.decorator_list, *node.bases, *node.keywords]:
             self.visit(x)
-        self.enter(node.name, "class", node, node.body)
+        self.enter(node.name, "class", node, [*getattr(node, "type_params", ()), *node.body])
 
     def visit_FunctionDef(self, node):
         a = node.args
@@ -70,7 +75,7 @@ class Walk(ast.NodeVisitor):
         self.declare(node.name, kind, node, ast.get_docstring(node), map(ast.unparse, node.decorator_list), node.returns and ast.unparse(node.returns), node.returns and "declared", None, [x.arg for x in given])
         for x in [*node.decorator_list, *a.defaults, *filter(None, a.kw_defaults), *filter(None, [node.returns]), *filter(None, (x.annotation for x in given))]:
             self.visit(x)
-        self.enter(node.name, "function", node, [*given, *node.body])
+        self.enter(node.name, "function", node, [*getattr(node, "type_params", ()), *given, *node.body])
 
     visit_AsyncFunctionDef = visit_FunctionDef
 
@@ -78,7 +83,50 @@ class Walk(ast.NodeVisitor):
         self.declare(node.arg, "parameter", node, annotation=node.annotation and ast.unparse(node.annotation), sure=node.annotation and "declared")
 
     def visit_Lambda(self, node):
-        self.enter(f"<lambda:{node.lineno}>", "lambda", node, [*node.args.args, node.body])
+        a = node.args
+        for x in [*a.defaults, *filter(None, a.kw_defaults)]:
+            self.visit(x)
+        given = [*a.posonlyargs, *a.args, *filter(None, [a.vararg]), *a.kwonlyargs, *filter(None, [a.kwarg])]
+        self.enter(f"<lambda:{node.lineno}>", "lambda", node, [*given, node.body])
+
+    def visit_TypeVar(self, node):
+        self.declare(node.name, "type_parameter", node)
+        if getattr(node, "bound", None):
+            self.visit(node.bound)
+
+    visit_ParamSpec = visit_TypeVarTuple = visit_TypeVar
+
+    def visit_TypeAlias(self, node):
+        self.declare(node.name.id, "variable", node, annotation="type", sure="declared")
+        self.enter(node.name.id, "type_params", node, [*node.type_params, node.value])
+
+    def visit_ExceptHandler(self, node):
+        if node.type:
+            self.visit(node.type)
+        if node.name:
+            self.declare(node.name, "variable", node)
+            self.refer(node.name, "write", node)
+        for x in node.body:
+            self.visit(x)
+
+    def captured(self, node):
+        name = node.rest if isinstance(node, ast.MatchMapping) else node.name
+        if name:
+            self.declare(name, "variable", node)
+            self.refer(name, "write", node)
+        self.generic_visit(node)
+
+    visit_MatchAs = visit_MatchStar = visit_MatchMapping = captured
+
+    def visit_NamedExpr(self, node):
+        """Inside comprehensions the name is bound in the scope around them."""
+        place = len(self.stack) - 1
+        while self.stack[place][1] == "comprehension":
+            place -= 1
+        place = self.outer[place].get(node.target.id, place)
+        self.declare(node.target.id, "variable", node.target, place=place)
+        self.refer(node.target.id, "write", node.target)
+        self.visit(node.value)
 
     def comprehension(self, node):
         self.visit(node.generators[0].iter)
@@ -105,6 +153,14 @@ class Walk(ast.NodeVisitor):
     def visit_Global(self, node):
         for name in node.names:
             self.refer(name, "global", node)
+            self.outer[-1][name] = 0
+
+    def visit_Nonlocal(self, node):
+        for name in node.names:
+            self.refer(name, "nonlocal", node)
+            functions = [i for i, (_, k) in enumerate(self.stack[:-1]) if k in ("function", "lambda")]
+            own = {(r[2], r[4]) for r in self.rows["declared"]}
+            self.outer[-1][name] = next((i for i in reversed(functions) if (self.stack[i][0], name) in own), functions[-1] if functions else 0)
 
     def visit_Name(self, node):
         if isinstance(node.ctx, ast.Store):
@@ -200,21 +256,25 @@ def read_sources(spark: SparkSession, folder: str, per_task: int = 200) -> DataF
 def code_tables(sources: DataFrame) -> dict[str, DataFrame]:
     """declared, scopes, refs, files of all sources (path, content); a file that can't be parsed has errors and no rows.
 
-    Each file is read by one task alone; each table is a scan of its own, of the columns it needs.
+    Each file is parsed once, by one task alone: its rows of all tables leave together, are stored, and each table is a
+    scan of its own part.
     """
-    out = {}
-    for name, fields in FIELDS.items():
-
-        def run(batches, name=name, fields=fields):
-            for b in batches:
-                rows = [r for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if p is not None for r in parsed(p, c or b"").get(name, ())]
-                names = [f.split()[0] for f in fields.split(", ")]
-                kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
-                columns = list(zip(*rows)) if rows else [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, kinds[f.split()[1]]) for c, f in zip(columns, fields.split(", "))], names)
-
-        out[name] = sources.select("path", F.col("content").cast("binary")).mapInArrow(run, fields)
-    return out
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    columns = {t: [tuple(f.split()) for f in fields.split(", ")] for t, fields in FIELDS.items()}
+    every = list(dict.fromkeys(c for t in columns.values() for c in t))
+
+    def run(batches):
+        for b in batches:
+            files = [parsed(p, c or b"") for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if p is not None]
+            for table, own in columns.items():
+                rows = [r for f in files for r in f.get(table, ())]
+                if rows:
+                    found = dict(zip((n for n, _ in own), zip(*rows)))
+                    yield pa.RecordBatch.from_arrays([pa.array([table] * len(rows)), *(pa.array(found.get(n, [None] * len(rows)), kinds[k]) for n, k in every)], ["part", *(n for n, _ in every)])
+
+    all_ = sources.select("path", F.col("content").cast("binary")).mapInArrow(run, "part string, " + ", ".join(f"{n} {k}" for n, k in every))
+    all_ = stored(all_, "code", "part")
+    return {t: all_.where(F.col("part") == t).select(*(n for n, _ in own)) for t, own in columns.items()}
 
 
 def stale(sources: DataFrame, known: DataFrame) -> DataFrame:

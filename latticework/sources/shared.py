@@ -8,16 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where it is unset, as in tests, one of our own."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, one of our own if all tasks run on this machine, as in
+    tests; on a cluster that is an error, as the executors would each write to a disk of their own.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex[:12]}")
         top = spark.sparkContext.getCheckpointDir()
     return top.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write the rows to the shared folder and read them again."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Cut the lineage: write the rows to the shared folder, in a part for each value of `by`, and read them again."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

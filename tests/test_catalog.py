@@ -7,7 +7,9 @@ import math
 import duckdb
 import pytest
 
-from latticework.catalog.queries import QUERIES, SQL
+from latticework.catalog import queries, shop
+
+QUERIES, SQL = queries.QUERIES | shop.QUERIES, queries.SQL | shop.SQL
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()

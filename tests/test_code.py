@@ -67,7 +67,7 @@ EXPECTED = {
     "no-import-cycles": [],
     "star-imports": [("web/view.py", 3, "'from app.core.store import *' hides what is used", "declared")],
     "under-exposed-access": [("web/view.py", 8, "protected '_private' of app.core.model is used outside it", "declared")],
-    "pure-decorator-contracts": [("core/model.py", 27, "function 'size' should be pure: os.listdir", "declared")],
+    "pure-decorator-contracts": [("core/model.py", 27, "function 'size' should be pure: os.path.exists (line 28)", "declared")],
     "over-exposed-module-symbol": [("web/plain.py", 1, "function 'used_here' is used only in app.web.plain", "declared")],
     "test-only-production-code": [("core/store.py", 10, "function 'reset' is used by tests only", "declared")],
     "docstring-drift": [("core/model.py", 13, "'save' documents 'mode', which it doesn't take", "declared")],
@@ -97,6 +97,82 @@ def test_unused_public(found):
     assert not any("Model" in x[2] for x in lines(found["unused-public-symbol"]))
 
 
+BINDER = """
+def f(a, b):
+    try:
+        g = lambda *args, k=1, **kw: (args, k, kw)
+    except (ValueError, OSError) as err:
+        print(err)
+    match a:
+        case [first, *rest]:
+            return first, rest
+        case {"x": y, **more}:
+            return y, more
+        case str() as text:
+            return text
+    if any((last := x) for x in b):
+        return last
+
+def outer():
+    n = 0
+    def inner():
+        nonlocal n
+        n = 1
+    return inner
+
+def rebinding():
+    global total
+    total = 1
+
+class Box[T]:
+    def put(self, item: T) -> T:
+        return item
+
+type Pair[U] = tuple[U, U]
+"""
+
+
+def test_binder(spark):
+    code = Code(spark.createDataFrame([("src/b.py", BINDER.encode())], "path string, content binary"))
+    got = {r["symbol_id"]: r["kind"] for r in code.symbols.collect()}
+    for name in ("b:f.err", "b:f.first", "b:f.rest", "b:f.y", "b:f.more", "b:f.text", "b:f.last"):
+        assert got[name] == "variable", name
+    for name in ("args", "k", "kw"):
+        assert any(i.endswith(f"<lambda:4>.{name}") and k == "parameter" for i, k in got.items())
+    assert got["b:Box.T"] == "type_parameter" and got["b:Pair.U"] == "type_parameter"
+    assert "b:outer.inner.n" not in got and got["b:outer.n$2"] == "variable"  # bound in the scope that nonlocal names
+    assert "b:rebinding.total" not in got and got["b:total"] == "variable"
+    assert rules(code)["no-unresolved-refs"].findings().count() == 0
+
+
+def test_effects_by_receiver(spark):
+    text = """
+import os
+from os import path as p, system
+from pathlib import Path
+
+def a(x: str): return x.replace("a", "b")
+def b(x: Path): return x.exists()
+def c(x): x.append(1)
+def d():
+    own = []
+    own.append(1)
+    return own
+def e(): return os.path.join("a", "b")
+def f(): return p.isfile("a")
+def g(): system("ls")
+def h(x): return x.y.write(1)
+def i(x: Path): return x.joinpath("a")
+def j(): return Path("a").read_text()
+def k(): return compile("1", "a", "eval")
+"""
+    code = Code(spark.createDataFrame([("src/q.py", text.encode())], "path string, content binary"))
+    assert {r["function"] for r in code.impure.collect()} == {f"q:{x}" for x in "bcfghjk"}
+    told = {r["message"]: r["confidence"] for r in rules(code)["no-impure-functions"].findings().collect()}
+    assert told["function 'h' is impure: method .write (line 16)"] == "heuristic"
+    assert told["function 'c' is impure: method .append (line 8)"] == "declared"
+
+
 def test_import_time(found):
     assert {(x[0], x[1]) for x in lines(found["import-time-side-effects"])} == {("web/view.py", 7)}
 

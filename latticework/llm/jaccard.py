@@ -20,8 +20,10 @@ SIMILARITY = Fraction(4, 5)
 TREES, LONGEST_PREFIX, RECALL = 32, 8, 0.99999
 #: Candidates are verified in blocks of so many sets, and of so many bytes of shingles.
 BLOCK_SETS, BLOCK_BYTES = 1024, 8 << 20
-#: Ids of at most so many documents are broadcast to pick their texts (16 bytes each); more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: So many documents are named in a broadcast at most (some 100 bytes each in memory); more are joined by shuffle.
+BROADCAST_IDS = 200_000
+#: What tells texts apart: the document's id and two hashes of the text.
+NAMED = ["doc_id", "t1", "t2"]
 #: Texts of one round: their numbers go into the upper 16 bits of a shingle.
 ROUND_TEXTS = 50_000
 
@@ -78,13 +80,19 @@ def signatures(shingles: np.ndarray, first: np.ndarray, trees: int, prefix: int)
     return keys
 
 
+def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The texts that have an id, with what tells them apart."""
+    rows = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    return rows.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
+
+
 def sketched(docs: DataFrame, words: int, trees: int, prefix: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, the identity of its set (128 bits), the set's size and keys; rows without an id or a word are left out."""
+    """A number of each row, its name, the identity of its set (128 bits), the set's size and keys; rows without an id or a word are left out."""
 
     def run(batches):
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for i, j, shingles, first in sets_of(b.column(1), words):
+            own = [b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3, 4)]
+            for i, j, shingles, first in sets_of(b.column(0), words):
                 size = np.diff(first)
                 sums = [np.concatenate([[U64(0)], np.cumsum(mix(shingles + U64(k)))]) for k in (11, 23)]
                 one, two = (s[first[1:]] - s[first[:-1]] for s in sums)
@@ -92,10 +100,11 @@ def sketched(docs: DataFrame, words: int, trees: int, prefix: int, id_col: str,
                 keep = size > 0
                 flat = pa.array(keys[keep].ravel().view(np.int64))
                 at = pa.array(np.arange(0, trees * int(keep.sum()) + 1, trees, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][keep]), pa.array(one[keep].view(np.int64)), pa.array(two[keep].view(np.int64)), pa.array(size[keep].astype(np.int64)), pa.ListArray.from_arrays(at, flat)], ["doc_id", "s1", "s2", "n", "keys"])
+                names = [pa.array(x[i:j][keep]) for x in own]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(one[keep].view(np.int64)), pa.array(two[keep].view(np.int64)), pa.array(size[keep].astype(np.int64)), pa.ListArray.from_arrays(at, flat)], ["row", *NAMED, "s1", "s2", "n", "keys"])
 
-    rows = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return map_batches(rows, run, "doc_id long, s1 long, s2 long, n long, keys array<long>")
+    rows = named(docs, id_col, text_col).select("text", F.monotonically_increasing_id().alias("row"), *NAMED)
+    return map_batches(rows, run, "row long, doc_id long, t1 long, t2 long, s1 long, s2 long, n long, keys array<long>")
 
 
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -182,34 +191,27 @@ def verify(unit: dict[str, list], similarity: Fraction) -> list[tuple[int, int |
     return out
 
 
-def jaccard_join(docs: DataFrame, similarity: Fraction = SIMILARITY, words: int = WORDS, trees: int = TREES, longest_prefix: int = LONGEST_PREFIX, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of `docs`: doc_id, class_id (the least doc_id of its connected group), copy_id (the least
-    doc_id of those with the same set of n-grams), n_links (other rows at least that similar), n_shingles.
-
-    Texts of fewer than `words` words have one n-gram, all their words. Rows without a word or an id are linked with
-    nothing and are their own class. Repeated rows count as copies of each other. An empty table gives an empty table.
-
-    Copies are one set. In each tree the sets that share a prefix of their signature meet, each with the least of them; groups
-    of candidates so joined are verified whole, in blocks where they are large, by counting common n-grams. Sets meet
-    in no tree with probability 1 - recall at most; nothing is capped.
-    """
+def classified(docs: DataFrame, similarity: Fraction = SIMILARITY, words: int = WORDS, trees: int = TREES, longest_prefix: int = LONGEST_PREFIX, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each row with an id and a word its name, the number of its class, and what jaccard_join tells of it."""
     prefix = prefix_length(float(similarity), trees, longest_prefix, recall)
     sketch = stored(sketched(docs, words, trees, prefix, id_col, text_col), "jaccard-sketch")
-    members = stored(sketch.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n")), "jaccard-sets")
-    distinct = sketch.join(members.select("s1", "s2", F.col("rep").alias("doc_id")), ["s1", "s2", "doc_id"], "left_semi")
-    keyed = distinct.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
+    # A set goes by the number of its first row: two texts of one document are two sets.
+    members = sketch.groupBy("s1", "s2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"), F.min_by(F.struct(*NAMED), "row").alias("named"))
+    members = stored(members, "jaccard-sets")
+    distinct = sketch.join(members.select("s1", "s2", F.col("rep").alias("row")), ["s1", "s2", "row"], "left_semi")
+    keyed = distinct.select(F.col("row").alias("rep"), F.explode("keys").alias("key"))
     met = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("other")).where("hub < other").select("key", "hub")
     met = stored(met, "jaccard-met")  # a plain table: then Spark splits keys that very many sets share
     edges = keyed.join(met, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     groups = components(edges, "jaccard-candidates")
-    groups = groups.join(members.select(F.col("rep").alias("node"), "copies", "n"), "node")
+    groups = groups.join(members.select(F.col("rep").alias("node"), "copies", "n", "named.*"), "node")
     size = groups.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
     size = size.select("component", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
-    groups = stored(groups.join(size, "component").select(F.col("node").alias("rep"), "component", "copies", "blocks"), "jaccard-groups")
+    groups = stored(groups.join(size, "component").select(F.col("node").alias("rep"), "component", "copies", "blocks", *NAMED), "jaccard-groups")
     n_groups = groups.count()
 
     chosen = F.broadcast(groups) if n_groups <= BROADCAST_IDS else groups
-    texts = docs.select(docs[id_col].cast("long").alias("rep"), docs[text_col].cast("string").alias("text")).join(chosen, "rep")
+    texts = named(docs, id_col, text_col).join(chosen, NAMED)
     n_words = words
 
     def shingle(batches):
@@ -247,29 +249,65 @@ def jaccard_join(docs: DataFrame, similarity: Fraction = SIMILARITY, words: int
 
     found = stored(map_batches(units, check, "rep long, other long, links long, many boolean"), "jaccard-links")
     links = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = found.where("other is not null and not many").select(F.col("other").alias("rep"), F.col("rep").alias("class_id"))
+    classes = found.where("other is not null and not many").select(F.col("other").alias("rep"), F.col("rep").alias("class"))
     joined = found.where("other is not null and many").select(F.col("rep").alias("a"), F.col("other").alias("b"))
     if not joined.isEmpty():
-        classes = classes.unionByName(components(joined, "jaccard-classes").select(F.col("node").alias("rep"), F.col("component").alias("class_id")))
-    known = members.join(links, "rep", "left").join(classes, "rep", "left")
-    known = known.select("s1", "s2", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class_id", "rep").alias("class_id"), "n")
-    out = sketch.select("doc_id", "s1", "s2").join(known, ["s1", "s2"])
-    out = out.select("doc_id", "class_id", F.col("rep").alias("copy_id"), (F.col("copies") - 1 + F.col("links")).alias("n_links"), F.col("n").alias("n_shingles"))
+        classes = classes.unionByName(components(joined, "jaccard-classes").select(F.col("node").alias("rep"), F.col("component").alias("class")))
+    whole = classes.unionByName(classes.select(F.col("class").alias("rep"), "class").distinct()).distinct()
+    least = whole.join(members.select("rep", "least"), "rep").groupBy("class").agg(F.min("least").alias("class_id"))
+    whole = stored(whole.join(least, "class"), "jaccard-members")
+    known = members.join(links, "rep", "left").join(whole, "rep", "left")
+    known = known.select("s1", "s2", F.col("least").alias("copy_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class", "rep").alias("class"), F.coalesce("class_id", "least").alias("class_id"), "n")
+    out = sketch.select(*NAMED, "s1", "s2").join(known, ["s1", "s2"])
+    return out.select(*NAMED, "class", "class_id", "copy_id", (F.col("copies") - 1 + F.col("links")).alias("n_links"), F.col("n").alias("n_shingles"))
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row for each row of `docs`: doc_id, class_id (the least doc_id of its connected group), copy_id (the least
+    doc_id of those with the same set of n-grams), n_links (other rows at least that similar), n_shingles.
+
+    Texts of fewer than `words` words have one n-gram, all their words. Rows without a word or an id are linked with
+    nothing and are their own class. Repeated rows count as copies of each other; two texts under one id are two sets.
+    An empty table gives an empty table. Other columns aren't carried, whatever their names.
+
+    Copies are one set. In each tree the sets that share a prefix of their signature meet, each with the first of them; groups
+    of candidates so joined are verified whole, in blocks where they are large, by counting common n-grams. Sets meet
+    in no tree with probability 1 - recall at most; nothing is capped.
+    """
+    out = classified(docs, id_col=id_col, text_col=text_col, **options).select("doc_id", "class_id", "copy_id", "n_links", "n_shingles")
     wordless = ~F.coalesce(docs[text_col].cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    alone = docs.where(docs[id_col].isNull() | wordless).select(docs[id_col].cast("long").alias("doc_id"), docs[id_col].cast("long").alias("class_id"), docs[id_col].cast("long").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_shingles"))
+    own, none = docs[id_col].cast("long"), F.lit(0).cast("long")
+    alone = docs.where(docs[id_col].isNull() | wordless).select(own.alias("doc_id"), own.alias("class_id"), own.alias("copy_id"), none.alias("n_links"), none.alias("n_shingles"))
     return out.unionByName(alone)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of `docs`, all columns, without those near an earlier id: of each class the least id stays.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs`, all columns, but one of each class of near copies: the one of least id, then of least hash.
 
-    Of rows with one id, the one whose other columns come first stays if the id is kept; rows without an id all stay.
+    Two texts under one id are judged each on its own. Of rows alike in id and text the one stays whose columns, as JSON,
+    come first. Rows without an id or a word all stay, and rows of equal columns are one.
     """
-    classes = jaccard_join(docs, id_col=id_col, **options)
-    gone = stored(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct(), "jaccard-gone")
-    few = gone.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
-    again = docs.where(docs[id_col].isNotNull()).groupBy(id_col).count().where("count > 1")
-    if not again.isEmpty():
-        kept = kept.where(kept[id_col].isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(kept[id_col].isNull()))
+    rows = stored(classified(docs, id_col=id_col, text_col=text_col, **options).select("class", *NAMED), "jaccard-rows")
+    first = rows.groupBy("class").agg(F.min(F.struct(*NAMED)).alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = rows.join(first.select("class", "first"), "class").where(F.struct(*NAMED) != F.col("first")).select(*NAMED).distinct()
+    again = rows.join(first.select("class", "first"), "class").where(F.struct(*NAMED) == F.col("first")).groupBy(*NAMED).agg(F.count("*").alias("n")).where("n > 1").select(*NAMED)
+
+    def those(which: DataFrame, name: str) -> tuple[DataFrame, int]:
+        which = stored(which, name).toDF(*(f"{name}_{i}" for i in range(3)))
+        n = which.count()
+        return (F.broadcast(which) if n <= BROADCAST_IDS else which), n
+
+    def same(df: DataFrame, which: DataFrame):
+        text = df[text_col].cast("string")
+        met = [df[id_col].cast("long"), F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+        return [a == which[c] for a, c in zip(met, which.columns)]
+
+    gone, _ = those(gone, "jaccard-gone")
+    again, n_again = those(again, "jaccard-again")
+    kept = docs.join(gone, same(docs, gone), "left_anti")
+    if n_again:
+        once = kept.join(again, same(kept, again), "left_semi")
+        text = once[text_col].cast("string")
+        once = once.groupBy(once[id_col].cast("long"), F.xxhash64(text), F.xxhash64(F.lit(1), text)).agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias("r")).select("r.*")
+        kept = kept.join(again, same(kept, again), "left_anti").unionByName(once)
     return kept

@@ -112,6 +112,20 @@ def test_jaccard_odd(odd, none):
     assert jaccard.jaccard_join(none).count() == 0 and jaccard.keep_one(none).count() == 0
 
 
+def test_two_texts_under_one_id(spark):
+    """Each is a set of its own: neither loses its links, and of each class one row stays."""
+    rng = np.random.default_rng(2)
+    a, b = (" ".join("".join(rng.choice(list("abcdef"), 5)) for _ in range(60)) for _ in range(2))
+    rows = [(1, a, "x"), (1, b, "y"), (2, a + " more", "z"), (3, b + " other", "v"), (3, b + " other", "u"), (4, None, "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, again string")
+    got = sorted((r["doc_id"], r["n_links"], r["class_id"]) for r in jaccard.jaccard_join(df).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (3, 2, 1), (4, 0, 4)]
+    kept = {(r["doc_id"], r["text"], r["again"]) for r in jaccard.keep_one(df).collect()}
+    assert kept == {(1, a, "x"), (1, b, "y"), (4, None, "w")}
+    only = spark.createDataFrame(rows[3:5] + rows[5:], df.schema)
+    assert {(r["doc_id"], r["again"]) for r in jaccard.keep_one(only).collect()} == {(3, "u"), (4, "w")}
+
+
 @pytest.mark.parametrize("few", [True, False])
 def test_overlaps(few):
     rng = np.random.default_rng(5)

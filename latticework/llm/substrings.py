@@ -21,8 +21,10 @@ SLICE_BYTES = 8 << 20
 ARRAY_BYTES, TASK_BYTES = 1 << 20, 4 << 20
 #: Contexts of one anchor that go to one task together; of more, blocks of so many meet in pairs.
 TOGETHER = 8192
-#: Ids of at most so many documents are broadcast to pick texts (16 bytes each); more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: So many texts are named in a broadcast at most (some 100 bytes each in memory); more are joined by shuffle.
+BROADCAST_IDS = 200_000
+#: What tells texts apart: the document's id, by which they are judged, and a hash of the text.
+NAMED = ["doc_id", "tag"]
 
 RUN = np.dtype([("first", "<u4"), ("count", "u1")])
 ASK = np.dtype([("key", "<i8"), ("first", "<u4"), ("count", "u1"), ("block", "<u4"), ("blocks", "<u4")])
@@ -35,11 +37,12 @@ def by_value(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[new], np.append(new, len(values))
 
 
-def runs_by_doc(doc: np.ndarray, table: np.ndarray) -> list[tuple[int, bytes]]:
-    order = np.argsort(doc, kind="stable")
-    ids, at = by_value(doc[order])
-    table = table[order]
-    return [(int(i), table[a:b].tobytes()) for i, a, b in zip(ids, at[:-1], at[1:])]
+def runs_by_doc(doc: np.ndarray, tag: np.ndarray, table: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """The part of `table` of each text, by document and tag."""
+    order = np.lexsort((tag, doc))
+    doc, tag, table = doc[order], tag[order], table[order]
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])) if len(doc) else np.zeros(0, np.int64)
+    return [(int(doc[a]), int(tag[a]), table[a:b].tobytes()) for a, b in zip(new, np.append(new[1:], len(doc)))]
 
 
 def records(column: pa.Array, window: int) -> dict[str, np.ndarray]:
@@ -65,8 +68,8 @@ def records(column: pa.Array, window: int) -> dict[str, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch):
-    """Parts of a batch of (id, text) of SLICE_BYTES of text or one longer text, and of few enough rows for their 16-bit numbers."""
-    _, at = buffers(batch.column(1))
+    """Parts of a batch of (id, tag, text) of SLICE_BYTES of text or one longer text, and of few enough rows for their 16-bit numbers."""
+    _, at = buffers(batch.column(2))
     for i, j in rounds(at, SLICE_BYTES):
         for k in range(i, j, 60_000):
             yield batch.slice(k, min(j - k, 60_000))
@@ -78,18 +81,19 @@ def scatter(rows: DataFrame, window: int, n_buckets: int) -> DataFrame:
     def run(batches):
         for whole in batches:
             for b in slices(whole):
-                ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                r = records(b.column(1), window)
+                ids, tags = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+                r = records(b.column(2), window)
                 same = mix(r["key"].astype(U64) ^ mix(r["context"].astype(U64) + U64(5)))
                 order = np.lexsort((ids[r["row"].astype(np.int64)], same))
-                r, doc = {k: v[order] for k, v in r.items()}, ids[r["row"].astype(np.int64)[order]]
+                r = {k: v[order] for k, v in r.items()}
+                doc, tag = (x[r["row"].astype(np.int64)] for x in (ids, tags))
                 _, begin = by_value(same[order])
                 least = np.repeat(doc[begin[:-1]], np.diff(begin))
-                out: list[tuple[int, int | None, bytes]] = []
+                out: list[tuple[int, int | None, int | None, bytes]] = []
                 later = doc > least
                 runs = np.empty(int(later.sum()), RUN)
                 runs["first"], runs["count"] = r["first"][later], r["count"][later]
-                out += [(i % n_buckets, i, x) for i, x in runs_by_doc(doc[later], runs)]
+                out += [(i % n_buckets, i, t, x) for i, t, x in runs_by_doc(doc[later], tag[later], runs)]
                 r = {k: v[~later] for k, v in r.items()}
                 bucket = (r["key"] % U64(n_buckets)).astype(np.int64)
                 order = np.lexsort((r["first"], r["row"], bucket))
@@ -97,28 +101,30 @@ def scatter(rows: DataFrame, window: int, n_buckets: int) -> DataFrame:
                 numbers, begin = by_value(bucket[order])
                 for k, i, j in zip(numbers, begin[:-1], begin[1:]):
                     rows_, number = np.unique(r["row"][i:j], return_inverse=True)
-                    head = np.array([j - i, len(rows_)], "<u4").tobytes() + ids[rows_].astype("<i8").tobytes()
-                    out.append((int(k), None, head + b"".join((number.astype("<u2") if n == "row" else r[n][i:j]).tobytes() for n, _ in FIELDS)))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["bucket", "doc_id", "packed"])
+                    head = np.array([j - i, len(rows_)], "<u4").tobytes() + ids[rows_].astype("<i8").tobytes() + tags[rows_].astype("<i8").tobytes()
+                    out.append((int(k), None, None, head + b"".join((number.astype("<u2") if n == "row" else r[n][i:j]).tobytes() for n, _ in FIELDS)))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[k] for x in out], pa.int64()) for k in (1, 2)), pa.array([x[3] for x in out], pa.binary())], ["bucket", "doc_id", "tag", "packed"])
 
-    return map_batches(rows, run, "bucket int, doc_id long, packed binary")
+    return map_batches(rows, run, "bucket int, doc_id long, tag long, packed binary")
 
 
 def unpacked(blobs: list[bytes]) -> dict[str, np.ndarray]:
-    parts: dict[str, list] = {n: [] for n, _ in FIELDS} | {"doc": []}
+    parts: dict[str, list] = {n: [] for n, _ in FIELDS} | {"doc": [], "tag": []}
     for x in blobs:
         n, n_docs = np.frombuffer(x, "<u4", 2)
-        ids, at = np.frombuffer(x, "<i8", n_docs, 8), 8 + 8 * int(n_docs)
+        ids, tags = np.frombuffer(x, "<i8", 2 * n_docs, 8).reshape(2, -1)
+        at = 8 + 16 * int(n_docs)
         for name, kind in FIELDS:
             parts[name].append(np.frombuffer(x, kind, n, at))
             at += int(n) * np.dtype(kind).itemsize
         parts["doc"].append(ids[parts["row"][-1]])
+        parts["tag"].append(tags[parts["row"][-1]])
     del parts["row"]
     return {k: np.concatenate(v) for k, v in parts.items()}
 
 
-def judge(r: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the anchors of a bucket: runs whose whole context an earlier document has, and what must be compared byte by byte."""
+def judge(r: dict[str, np.ndarray]) -> tuple[list[tuple[int, int, bytes]], list[tuple[int, int, bytes]]]:
+    """Of the anchors of a bucket, by text: runs whose whole context an earlier document has, and what must be compared byte by byte."""
     whole = mix(r["context"].astype(U64) | (r["left"].astype(U64) << U64(32)) | (r["right"].astype(U64) << U64(48)))
     order = np.lexsort((r["doc"], whole, r["key"]))
     r, whole = {k: v[order] for k, v in r.items()}, whole[order]
@@ -151,7 +157,8 @@ def judge(r: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     size = np.diff(begin)
     asks["block"] = (np.arange(len(at)) - np.repeat(begin[:-1], size)) // TOGETHER
     asks["blocks"] = np.repeat(-(-size // TOGETHER), size)
-    return doc[covered], runs, doc[at], asks
+    tag = r["tag"]
+    return runs_by_doc(doc[covered], tag[covered], runs), runs_by_doc(doc[at], tag[at], asks)
 
 
 def match(scattered: DataFrame, n_buckets: int) -> DataFrame:
@@ -162,55 +169,53 @@ def match(scattered: DataFrame, n_buckets: int) -> DataFrame:
         none = pa.nulls
         for b in batches:
             own = b.column(1).is_valid()
-            yield pa.RecordBatch.from_arrays([b.column(1).filter(own), b.column(2).filter(own), none(own.true_count, pa.binary())], ["doc_id", "runs", "asks"])
-            blobs += b.column(2).filter(b.column(1).is_null()).to_pylist()
+            yield pa.RecordBatch.from_arrays([*(b.column(k).filter(own) for k in (1, 2, 3)), none(own.true_count, pa.binary())], [*NAMED, "runs", "asks"])
+            blobs += b.column(3).filter(b.column(1).is_null()).to_pylist()
         if blobs:
-            doc, runs, asker, asks = judge(unpacked(blobs))
-            for found, at in ((runs_by_doc(doc, runs), 1), (runs_by_doc(asker, asks), 2)):
+            for found, at in zip(judge(unpacked(blobs)), (1, 2)):
                 for i in range(0, len(found), 50_000):
                     part = found[i : i + 50_000]
-                    packed, empty = pa.array([x for _, x in part], pa.binary()), none(len(part), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.int64()), *((packed, empty) if at == 1 else (empty, packed))], ["doc_id", "runs", "asks"])
+                    packed, empty = pa.array([x[2] for x in part], pa.binary()), none(len(part), pa.binary())
+                    yield pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in part], pa.int64()) for k in (0, 1)), *((packed, empty) if at == 1 else (empty, packed))], [*NAMED, "runs", "asks"])
 
-    return map_batches(rows, run, "doc_id long, runs binary, asks binary")
+    return map_batches(rows, run, "doc_id long, tag long, runs binary, asks binary")
 
 
 def contexts(asked: DataFrame, window: int) -> DataFrame:
-    """The bytes around each anchor asked for, for each pair of blocks it takes part in; asked: doc_id, text, asks."""
+    """The bytes around each anchor asked for, for each pair of blocks it takes part in; asked: doc_id, tag, text, asks."""
 
     def run(batches):
         for b in batches:
             out: list[tuple] = []
-            for doc, text, asks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for doc, tag, text, asks in zip(*(b.column(k).to_pylist() for k in range(4))):
                 data = text.encode()
                 for x in asks:
                     for key, first, count, block, blocks in np.frombuffer(x, ASK).tolist():
                         piece = data[first : first + count - 1 + window]
                         for other in range(blocks):
-                            out.append((key * 31 + min(block, other) * 1009 + max(block, other), doc, first, piece))
+                            out.append((key * 31 + min(block, other) * 1009 + max(block, other), doc, tag, first, piece))
                 if len(out) > 50_000:
                     yield batch(out)
                     out = []
             yield batch(out)
 
     def batch(out):
-        return pa.RecordBatch.from_arrays([pa.array([(x[0] + (1 << 63)) % (1 << 64) - (1 << 63) for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.binary())], ["unit", "doc_id", "first", "bytes"])
+        return pa.RecordBatch.from_arrays([pa.array([(x[0] + (1 << 63)) % (1 << 64) - (1 << 63) for x in out], pa.int64()), *(pa.array([x[k] for x in out], pa.int64()) for k in (1, 2, 3)), pa.array([x[4] for x in out], pa.binary())], ["unit", "doc_id", "tag", "first", "bytes"])
 
-    return map_batches(asked, run, "unit long, doc_id long, first long, bytes binary")
+    return map_batches(asked, run, "unit long, doc_id long, tag long, first long, bytes binary")
 
 
 def compare(shards: DataFrame, window: int) -> DataFrame:
     """Runs of windows that an earlier document's context in the shard has too, by suffix arrays of its parts."""
 
     def run(batches):
-        doc, first, pieces = [], [], []
+        doc, tag, first, pieces = [], [], [], []
         for b in batches:
-            doc += b.column(1).to_pylist()
-            first += b.column(2).to_pylist()
-            pieces += b.column(3).to_pylist()
+            for k, held in enumerate((doc, tag, first, pieces)):
+                held += b.column(k + 1).to_pylist()
         if not pieces:
             return
-        doc, first = np.array(doc, np.int64), np.array(first, np.int64)
+        doc, tag, first = (np.array(x, np.int64) for x in (doc, tag, first))
         size = np.array([len(x) for x in pieces])
         ends = np.cumsum(size)
         part = ends // ARRAY_BYTES
@@ -225,10 +230,10 @@ def compare(shards: DataFrame, window: int) -> DataFrame:
             piece = np.searchsorted(at, t.place[hit], "right") - 1
             runs = np.empty(len(hit), RUN)
             runs["first"], runs["count"] = first[i:j][piece] + t.place[hit] - at[piece], 1
-            found = runs_by_doc(doc[i:j][piece], runs)
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["doc_id", "runs"])
+            found = runs_by_doc(doc[i:j][piece], tag[i:j][piece], runs)
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)), pa.array([x[2] for x in found], pa.binary())], [*NAMED, "runs"])
 
-    return map_batches(shards, run, "doc_id long, runs binary")
+    return map_batches(shards, run, "doc_id long, tag long, runs binary")
 
 
 def cut(found: DataFrame, window: int, whole_letters: bool) -> DataFrame:
@@ -257,10 +262,10 @@ def cut(found: DataFrame, window: int, whole_letters: bool) -> DataFrame:
     return map_batches(found, run, T.StructType([*numbers, T.StructField("kept", T.BinaryType()), found.schema["rest"]]))
 
 
-def picked(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The rows of `docs` whose doc_id is, or isn't, among the distinct `ids`."""
-    ids = ids if ids.count() > BROADCAST_IDS else F.broadcast(ids)
-    return docs.join(ids, "doc_id", how)
+def picked(docs: DataFrame, names: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of `docs` whose text is, or isn't, among the distinct `names`."""
+    names = names if names.count() > BROADCAST_IDS else F.broadcast(names)
+    return docs.join(names, NAMED, how)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", whole_letters: bool = False) -> DataFrame:
@@ -268,49 +273,37 @@ def dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_co
 
     A byte goes if a string of `window` bytes covers it that also starts in a document with a smaller id; strings are
     judged on the whole input. Null texts count as empty. Rows without an id lose nothing and remove nothing.
-    Rows alike in id and text get the same result; of different texts under one id only the one of least hash is
-    compared with others, the rest stay whole. An empty table gives an empty table.
+    Rows alike in id and text get the same result; different texts under one id are judged each for itself, and
+    remove nothing of each other. An empty table gives an empty table.
 
     Equal windows have equal anchors, so documents meet by anchor: whole contexts alike need no more; others' bytes
     are brought together by anchor and compared by suffix arrays of bounded size, merged by binary search.
     """
     rest = F.struct(*(docs[c] for c in docs.columns if c != text_col))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
-    one, two = F.xxhash64("text"), F.xxhash64(F.lit(1), "text", F.octet_length("text"))
-    hashes = stored(rows.where("doc_id is not null").select("doc_id", one.alias("one"), two.alias("two"), F.octet_length("text").cast("long").alias("n")), "dedup-hashes")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), rest.alias("rest")).withColumn("tag", F.xxhash64("text"))
+    two = F.xxhash64(F.lit(1), "text", F.octet_length("text"))
+    hashes = stored(rows.where("doc_id is not null").select("doc_id", "tag", two.alias("two"), F.octet_length("text").cast("long").alias("n")), "dedup-hashes")
     total = hashes.agg(F.sum("n")).first()[0] or 0
-    again = hashes.groupBy("doc_id").agg(F.min(F.struct("one", "two")).alias("a"), F.max(F.struct("one", "two")).alias("b")).where("a <> b")
-    strange = stored(again.select("doc_id", F.col("a.one").alias("only")), "dedup-strange")
-    odd = not strange.isEmpty()
-    rows = rows.withColumn("one", one)
-    if odd:
-        rows = rows.join(strange, "doc_id", "left").withColumn("aside", F.coalesce(F.col("one") != F.col("only"), F.col("doc_id").isNull()))
-        hashes = hashes.join(strange, "doc_id", "left").where("only is null or only = one").drop("only")
-    else:
-        rows = rows.withColumn("aside", F.col("doc_id").isNull())
-    least = hashes.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    copies = stored(hashes.join(least, ["one", "two"]).where("doc_id > least").select("doc_id").distinct(), "dedup-copies")
-    n_copies = copies.count()
-    mark = F.broadcast(copies) if n_copies <= BROADCAST_IDS else copies
-    rows = rows.join(mark.withColumn("copy", F.lit(True)), "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False)) & ~F.col("aside"))
-    own = rows.where("not copy and not aside").select("doc_id", "text", "rest")
+    least = hashes.groupBy("tag", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    copies = stored(hashes.join(least, ["tag", "two"]).where("doc_id > least").select(*NAMED).distinct(), "dedup-copies")
+    mark = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
+    rows = rows.join(mark.withColumn("copy", F.lit(True)), NAMED, "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
+    own = rows.where("not copy and doc_id is not null").select(*NAMED, "text", "rest")
 
     n_buckets = max(partitions(docs), -(-total // BUCKET_BYTES), 1)
-    found = stored(match(scatter(own.select("doc_id", "text"), window, n_buckets), n_buckets), "dedup-matches")
-    asks = found.where("asks is not null").groupBy("doc_id").agg(F.collect_list("asks").alias("asks"))
+    found = stored(match(scatter(own.select(*NAMED, "text"), window, n_buckets), n_buckets), "dedup-matches")
+    asks = found.where("asks is not null").groupBy(*NAMED).agg(F.collect_list("asks").alias("asks"))
     asks = stored(asks, "dedup-asks")
     weight = asks.agg(F.sum(F.expr("aggregate(asks, 0L, (a, x) -> a + octet_length(x))")).alias("n")).first()["n"] or 0
     n_shards = max(partitions(docs), -(-(weight // ASK.itemsize * (window + 32)) // TASK_BYTES), 1)
-    pieces = contexts(picked(own, asks.select("doc_id")).join(asks, "doc_id").select("doc_id", "text", "asks"), window)
+    pieces = contexts(picked(own, asks.select(*NAMED)).join(asks, NAMED).select(*NAMED, "text", "asks"), window)
     pieces = pieces.repartitionById(n_shards, F.pmod(F.xxhash64("unit"), F.lit(n_shards)).cast("int"))
-    runs = found.where("runs is not null").select("doc_id", "runs").unionByName(compare(pieces, window))
-    runs = stored(runs.groupBy("doc_id").agg(F.collect_list("runs").alias("runs")), "dedup-runs")
-
-    ids = runs.select("doc_id")
-    touched = cut(picked(own, ids).join(runs, "doc_id").select("doc_id", "text", "runs", "rest"), window, whole_letters)
-    whole = picked(rows.where("not aside or doc_id is null").select("doc_id", "text", "copy", "rest"), ids, "left_anti")
-    if odd:
-        whole = whole.unionByName(rows.where("aside and doc_id is not null").select("doc_id", "text", "copy", "rest"))
+    runs = found.where("runs is not null").select(*NAMED, "runs").unionByName(compare(pieces, window))
+    runs = stored(runs.groupBy(*NAMED).agg(F.collect_list("runs").alias("runs")), "dedup-runs")
+
+    names = runs.select(*NAMED)
+    touched = cut(picked(own, names).join(runs, NAMED).select("doc_id", "text", "runs", "rest"), window, whole_letters)
+    whole = picked(rows.select(*NAMED, "text", "copy", "rest"), names, "left_anti")
     size = F.octet_length("text").cast("long")
     gone = F.col("copy") & (size >= window)
     none = F.lit(0).cast("long")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from latticework.llm import fingerprint, htmltext, jaccard, langid, packing, pieces, quality, sharding, substrings, toxicity
 from latticework.llm.common import held_out, table
+from latticework.llm.oracles import oracle_sql  # noqa: F401
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +73,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_html_extraction": op9_html_extraction,
         "op10_quality": op10_quality,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,9 @@ BATCH_BYTES = 6 << 20
 #: Distinct words whose ids a worker remembers from earlier batches.
 REMEMBERED = 400_000
 END = 0xFF  # no byte of UTF-8: ends each word in the index
+#: Words of more letters are joined by a heap each, shorter ones all together, an edge of each at a time: the ids are the same.
+LONG = 400
+NONE = 1 << 62
 
 
 class Pieces:
@@ -94,7 +99,7 @@ class Pieces:
         following = np.arange(1, n + 1)  # the next symbol; an end of word stops it
         alive = letter.copy()
         end = ends.copy()  # where each symbol ends
-        none = np.int64(1) << 62
+        none = np.int64(NONE)
 
         def rank(i: np.ndarray) -> np.ndarray:
             """Priority of joining symbols i with those after them."""
@@ -110,6 +115,11 @@ class Pieces:
         at = np.flatnonzero(letter)
         best[at] = rank(at)
         before = np.arange(-1, n - 1)
+        letters = np.bincount(word[at], minlength=len(words))
+        for w in np.flatnonzero(letters > LONG):
+            first = int(at[np.searchsorted(word[at], w)])
+            self.join_long(slice(first, first + int(letters[w])), starts, key, piece, best, end, following, alive)
+        at = at[letters[word[at]] <= LONG]
         busy = at[np.isin(word[at], np.unique(word[at][best[at] < none]))]
         while len(busy):
             bound = np.flatnonzero(np.concatenate([[True], word[busy[1:]] != word[busy[:-1]]]))
@@ -144,6 +154,45 @@ class Pieces:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
+    def join_long(self, own: slice, starts, key, piece, best, end, following, alive) -> None:
+        """Join the letters of one word, the edge of best priority first, leftmost first; a heap finds it."""
+        n, first = own.stop - own.start, own.start
+        begin, stop, least = starts[own].tolist(), end[own].tolist(), best[own].tolist()
+        after, before, there = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+        low, high = (int(np.searchsorted(key, x)) for x in (begin[0] * 64, stop[-1] * 64))
+        keys, pieces_, n_keys = key[low:high], piece[low:high], high - low
+        heap = [x for x in least if x < NONE]
+        heapify(heap)
+
+        def rank(i: int) -> int:
+            j = after[i]
+            if j < n:
+                size = stop[j] - begin[i]
+                if size < 64:
+                    wanted = begin[i] * 64 + size
+                    at = bisect_left(keys, wanted)
+                    if at < n_keys and keys[at] == wanted:
+                        return int(self.priority[pieces_[at]]) * (1 << 34) + first + i
+            return NONE
+
+        while heap:
+            x = heappop(heap)
+            i = (x & ((1 << 34) - 1)) - first
+            if least[i] != x:
+                continue  # one of the two has been joined since
+            gone = after[i]
+            stop[i], after[i], there[gone], least[gone] = stop[gone], after[gone], False, NONE
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (i, before[i]):
+                if k >= 0:
+                    least[k] = rank(k)
+                    if least[k] < NONE:
+                        heappush(heap, least[k])
+        end[own], alive[own] = stop, there
+        following[own] = [first + k for k in after]
+        best[own] = NONE  # nothing is left to join
+
     def words_of(self, text: str) -> list[str]:
         """The words, each without the mark before it."""
         if not text:

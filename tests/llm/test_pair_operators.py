@@ -168,6 +168,30 @@ def test_pieces(spark, documents, odd, none):
     assert {r["doc_id"]: r["text"] for r in pieces.decoded(pieces.coded(documents)).collect()} == {r["doc_id"]: r["text"] for r in documents.collect()}
 
 
+def test_long_words(monkeypatch):
+    """Ids of words of any length are the library's, in time that grows with the length."""
+    import random
+    import time
+
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    p, rng = pieces.Pieces("piece_bpe_32k"), random.Random(1)
+    for n in (pieces.LONG - 1, pieces.LONG, pieces.LONG + 1, 5000):
+        for letters in ("ab", "etaoinshrdlu", "aé漢x"):
+            word = "".join(rng.choice(letters) for _ in range(n))
+            text = f"the {word} and {word[:50]} ends"
+            assert p.encode([text])[0].tolist() == model.encode(text)
+    times = []
+    for n in (20_000, 80_000):
+        word = "".join(rng.choice("etaoinshrdlu0123456789") for _ in range(n))
+        began = time.perf_counter()
+        assert p.encode([word])[0].tolist() == model.encode(word)
+        times.append(time.perf_counter() - began)
+    assert times[1] < 10 * times[0]
+
+
 def cut_by_hand(rows, window=50):
     first, out = {}, {}
     for i, t in sorted(rows, key=lambda r: r[0]):

@@ -94,13 +94,15 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     The edited text has the last third of its code points replaced by the first as many of the next document's,
     by descending id; after the last comes the first. near_next compares with that next document. Null texts count as
-    empty; null ids come last; rows with one id are ordered by text. One row alone is its own next. An empty table gives none.
+    empty; null ids come last, by a hash of their text, so that they don't all meet in one range; rows with one id are ordered
+    by hash and text. One row alone is its own next. Texts of any length are read whole; repeated rows each have a result. An
+    empty table gives none. Other columns aren't carried, whatever their names.
 
     Neighbours meet by ranges of ids; where a range ends, the first text of the following range comes along.
     """
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    order = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+    order = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)) + F.shiftrightunsigned(F.xxhash64("text"), 20))
     rows = rows.withColumn("at", order)
     n = partitions(docs)
     # Bounds of the ranges: one number for each partition.

@@ -147,6 +147,36 @@ def test_fingerprint_likeness():
             assert abs(fingerprint.likeness(x, y) - len(s & t) / len(s | t)) < 0.15
 
 
+def test_fingerprint_likeness_by_hand(documents, texts):
+    """Both likenesses are those of the fingerprints' smallest hashes, taken as sets."""
+    import base64
+
+    def kept(s):
+        return set(np.frombuffer(base64.b64decode(s), "<u4").tolist())
+
+    def by_hand(a, b):
+        both = sorted(a | b)[: fingerprint.KEPT]
+        return sum(x in a and x in b for x in both) / len(both) if both else 1.0
+
+    ids = sorted(texts, reverse=True)
+    follows = dict(zip(ids, ids[1:] + ids[:1]))
+    rows = {r["doc_id"]: r for r in fingerprint.edited_and_next(documents).collect()}
+    for i, r in rows.items():
+        own = kept(r["fingerprint"])
+        assert r["near_edited"] == pytest.approx(by_hand(own, kept(r["edited_fingerprint"])))
+        assert r["near_next"] == pytest.approx(by_hand(own, kept(rows[follows[i]]["fingerprint"])))
+
+
+def test_fingerprints_of_one_row_and_null_ids(spark):
+    text = "a text that is the only one " * 9
+    (only,) = fingerprint.edited_and_next(spark.createDataFrame([(7, text)], "doc_id long, text string")).collect()
+    third = len(text) // 3
+    assert only["edited_text"] == text[: len(text) - third] + text[:third] and only["near_next"] == 1.0
+    rows = [(None, f"{k} " * 40) for k in range(60)] + [(k, f"{k} word " * 30) for k in range(20)]
+    got = fingerprint.edited_and_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 80 and Counter(r["doc_id"] for r in got)[None] == 60
+
+
 def test_fingerprints_odd(odd, none):
     got = fingerprint.edited_and_next(odd).collect()
     assert len(got) == odd.count()

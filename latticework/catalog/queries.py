@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from latticework.catalog.tables import relation, table
 from latticework.functions import captures, names
-from latticework.operators import graph, intervals, ranking, tree
+from latticework.operators import graph, intervals, layers, ranking, tree
 from latticework.plans.evidence import DECLARED, HEURISTIC, INFERRED, all_of, any_of, constant, field, not_, opaque, weakened_when
 from latticework.plans.relation import decisions
 from latticework.plans.rules import Part, Rule, beyond_baseline, fixed_since, identity
@@ -346,9 +346,7 @@ SELECT x.file, CAST(x.n AS BIGINT) AS first, CAST(y.n AS BIGINT) AS second FROM
 def edit_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of edits of one file whose half-open spans overlap; a file's edits are few."""
     edits = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").cast("long").alias("n"), F.col("l_quantity").cast("long").alias("a"), (F.col("l_quantity").cast("long") + F.col("l_partkey") % 7).alias("b"))
-    x, y = edits.alias("x"), edits.alias("y")
-    met = x.join(y, (F.col("x.file") == F.col("y.file")) & (F.col("x.n") < F.col("y.n")) & (F.col("x.a") < F.col("y.b")) & (F.col("y.a") < F.col("x.b")))
-    return met.select(F.col("x.file").alias("file"), F.col("x.n").alias("first"), F.col("y.n").alias("second"))
+    return layers.overlapping(edits, "file", "n", "a", "b")
 
 
 @query("""SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 10 <> 0 UNION ALL SELECT s_suppkey, upper(s_name) FROM supplier WHERE s_suppkey % 10 = 0 AND s_suppkey % 20 <> 0""")
@@ -356,7 +354,7 @@ def overlay_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A what-if layer over a base: rewritten rows stand before the base's, deleted ones hide them."""
     base = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     layer = base.where("s_suppkey % 10 = 0").select("s_suppkey", F.upper("s_name").alias("s_name"), (F.col("s_suppkey") % 20 == 0).alias("deleted"))
-    return base.join(layer, "s_suppkey", "left_anti").unionByName(layer.where("not deleted").drop("deleted"))
+    return layers.overlaid(base, layer, "s_suppkey", "deleted")
 
 
 @query("""SELECT event_id FROM events WHERE event_id % 3 = 0 OR event_id % 4 = 0""")
@@ -364,7 +362,7 @@ def incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose content digest differs from the stored one, or that the store lacks."""
     now = table(spark, sf_dir, "events").select("event_id", F.sha2(F.col("props").cast("binary"), 256).alias("digest"))
     kept = now.where("event_id % 4 <> 0").withColumn("digest", F.when(F.col("event_id") % 3 == 0, F.lit("old")).otherwise(F.col("digest")))
-    return now.join(kept, ["event_id", "digest"], "left_anti").select("event_id")
+    return layers.changed(now, kept, "event_id", "digest")
 
 
 @query("""SELECT doc_id, CAST(bytes AS BIGINT) AS bytes FROM (SELECT doc_id, strlen(text) AS bytes, sum(strlen(text)) OVER (ORDER BY doc_id // 100 DESC) AS total FROM documents) WHERE total <= 500000""")
@@ -381,3 +379,34 @@ def derivation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why a row has its value: the derivation tree as JSON."""
     r = relation(spark, sf_dir, "customer", "c_custkey", "c_mktsegment")
     return r.with_why("derivation", field("c_mktsegment", "str").eq("BUILDING")).project("c_custkey", "derivation").frame(None)
+
+
+@query("""WITH p AS (SELECT unnest(string_split(n, '.')) AS part, n, unnest(range(1, len(string_split(n, '.')) + 1)) AS i FROM (SELECT replace(replace(split_part(url, '?', 1), '://', '.'), '/', '.') AS n, page_id FROM pages)),
+q AS (SELECT array_to_string(list_slice(string_split(n, '.'), 1, i), '.') AS node, i FROM p)
+SELECT node, CASE WHEN i > 1 THEN regexp_replace(node, '\\.[^.]*$', '') END AS parent, CAST(i - 1 AS INTEGER) AS depth, count(*) AS members FROM q GROUP BY node, i""")
+def package_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree that the pages' addresses make, read as dotted names."""
+    return layers.package_tree(_dotted(spark, sf_dir), "n")
+
+
+def _dotted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = F.replace(F.replace(F.split_part(F.col("url"), F.lit("?"), F.lit(1)), F.lit("://"), F.lit(".")), F.lit("/"), F.lit("."))
+    return table(spark, sf_dir, "pages").select("page_id", plain.alias("n"))
+
+
+@query("""WITH d AS (SELECT page_id, replace(replace(split_part(url, '?', 1), '://', '.'), '/', '.') AS n FROM pages), v AS (SELECT DISTINCT u FROM (SELECT array_to_string(list_slice(string_split(n, '.'), 1, 2), '.') AS u FROM d WHERE n LIKE 'https%' UNION ALL SELECT array_to_string(list_slice(string_split(n, '.'), 1, 3), '.') FROM d WHERE n LIKE '%a%'))
+SELECT page_id, (SELECT u FROM v WHERE n = u OR starts_with(n, u || '.') ORDER BY length(u) DESC LIMIT 1) AS unit FROM d""")
+def longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a vocabulary of units the longest that each name is below."""
+    d = _dotted(spark, sf_dir)
+    head = lambda k: F.array_join(F.slice(F.split("n", r"\."), 1, k), ".").alias("u")
+    units = d.where("n like 'https%'").select(head(2)).unionByName(d.where("n like '%a%'").select(head(3)))
+    return layers.longest_prefix(d, "n", units, "u").select("page_id", "unit")
+
+
+@query("""WITH o AS (SELECT p_brand, count(*) AS n FROM part WHERE p_size < 25 GROUP BY 1), w AS (SELECT p_brand, count(*) AS n FROM part WHERE p_size >= 25 GROUP BY 1)
+SELECT CASE WHEN coalesce(w.n, 0) > coalesce(o.n, 0) THEN 'new' ELSE 'old' END AS side, coalesce(o.p_brand, w.p_brand) AS p_brand, abs(coalesce(w.n, 0) - coalesce(o.n, 0)) AS n FROM o FULL JOIN w USING (p_brand) WHERE coalesce(w.n, 0) <> coalesce(o.n, 0)""")
+def multiset_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one bag of rows has oftener than another."""
+    parts = table(spark, sf_dir, "part")
+    return layers.both_ways(parts.where("p_size < 25").select("p_brand"), parts.where("p_size >= 25").select("p_brand"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from latticework.catalog.code import Code, rules
 from latticework.catalog.tables import table
+from latticework.catalog.universes import Universes
+from latticework.plans.evidence import field
 from latticework.plans.rules import rendered
 
 SUPPLIER = '''"""Supplier {k}."""
@@ -179,5 +181,57 @@ def code_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (code_symbols, code_definitions, code_impurity, code_references, code_importers, code_visible, code_findings)}
-SQL = {"code_symbols": SYMBOLS_SQL, "code_definitions": DEFINITIONS_SQL, "code_impurity": IMPURITY_SQL, "code_references": USES_SQL, "code_importers": IMPORTERS_SQL, "code_visible": VISIBLE_SQL, "code_findings": FINDINGS_SQL}
+FOLLOWED_SQL = f"""WITH {SHOP_CTES} SELECT file_path, 29::INTEGER AS line, 'Report_' || k AS name, 'call' AS kind FROM t"""
+
+
+def code_symbol_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbols -> references: where the suppliers' functions are named in their own files."""
+    u = Universes(Code(sources(spark, sf_dir)), "src/")
+    return u.follow(u["symbols"].where(field("name").startswith("Report_", "price_")), "symbols", "references").df.select("file_path", "line", "name", "kind")
+
+
+SCOPED_SQL = f"""WITH {SHOP_CTES} SELECT m || ':' || replace(d.id, '@k', k::VARCHAR) AS symbol_id FROM t, (VALUES ('price_@k.items'), ('price_@k.box'), ('Report_@k.text'), ('quiet_@k.x'), ('chain_@k.x')) d(id) UNION ALL SELECT m || ':' || d.id FROM u, (VALUES ('rate.amount'), ('log.text')) d(id)"""
+
+
+def code_scope_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scopes -> symbols, of functions: their parameters."""
+    u = Universes(Code(sources(spark, sf_dir)))
+    return u.follow(u["scopes"].where(field("kind").eq("function")), "scopes", "symbols").df.select("symbol_id")
+
+
+PARENTS_SQL = f"""WITH {SHOP_CTES} SELECT file_path, m AS scope_id FROM t UNION ALL SELECT file_path, m FROM u UNION ALL SELECT test_path, tm FROM u"""
+
+
+def code_scope_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scopes -> parent: each module that has a function, once."""
+    u = Universes(Code(sources(spark, sf_dir)))
+    return u.follow(u["scopes"].where(field("kind").eq("function")), "scopes", "parent").df.select("file_path", "scope_id")
+
+
+CALLED_SQL = f"""WITH {SHOP_CTES} SELECT m || ':Report_' || k AS symbol_id, file_path FROM t UNION ALL SELECT m || ':log', file_path FROM u UNION ALL SELECT m || d.id, file_path FROM u, (VALUES (':rate'), (':_secret')) d(id) WHERE used"""
+
+
+def code_called_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """references -> definition, of calls: what is called anywhere, in its own file."""
+    u = Universes(Code(sources(spark, sf_dir)))
+    return u.follow(u["references"].where(field("kind").eq("call")), "references", "definition").df.select("symbol_id", "file_path")
+
+
+TARGETS_SQL = f"""WITH {SHOP_CTES} SELECT m || ':log' AS symbol_id FROM u UNION ALL SELECT m || ':rate' FROM u UNION ALL SELECT m || ':_secret' FROM u WHERE used UNION ALL SELECT m || ':json' FROM t"""
+
+
+def code_import_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """imports -> target: what is imported, each once; what no source defines stands for itself."""
+    u = Universes(Code(sources(spark, sf_dir)))
+    return u.follow(u["imports"], "imports", "target").df.select("symbol_id")
+
+
+FOUND_SQL = f"""WITH {SHOP_CTES} SELECT m || ':rate' AS symbol_id, 'import' AS kind FROM t UNION ALL SELECT m || ':rate', 'function' FROM u"""
+
+
+def code_find_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Universes(Code(sources(spark, sf_dir))).find_symbol("rate").df.select("symbol_id", "kind")
+
+
+QUERIES = {f.__name__: f for f in (code_symbols, code_definitions, code_impurity, code_references, code_importers, code_visible, code_findings, code_symbol_references, code_scope_symbols, code_scope_parents, code_called_definitions, code_import_targets, code_find_symbol)}
+SQL = {"code_symbols": SYMBOLS_SQL, "code_definitions": DEFINITIONS_SQL, "code_impurity": IMPURITY_SQL, "code_references": USES_SQL, "code_importers": IMPORTERS_SQL, "code_visible": VISIBLE_SQL, "code_findings": FINDINGS_SQL, "code_symbol_references": FOLLOWED_SQL, "code_scope_symbols": SCOPED_SQL, "code_scope_parents": PARENTS_SQL, "code_called_definitions": CALLED_SQL, "code_import_targets": TARGETS_SQL, "code_find_symbol": FOUND_SQL}

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from keyword import kwlist
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from latticework.functions.glob import glob_to_regex
+
 UNRESOLVED, BUILTINS = "<unresolved>.", "<builtins>."
 
 
@@ -80,3 +84,25 @@ def package_under(module: Column, root: Column) -> Column:
     """The first name below the root, NULL outside it or at it."""
     below = F.substr(module, F.length(root) + 2)
     return F.when(module.startswith(F.concat(root, F.lit("."))), F.substring_index(below, ".", 1))
+
+
+def replace_leaf(symbol: Column, new: Column) -> Column:
+    """The identifier with another last name; what is before it stays."""
+    return F.concat(F.regexp_replace(symbol, r"[^.:]*$", ""), new)
+
+
+def forward_names(annotation: Column) -> Column:
+    """Names that stand inside quotes in an annotation, in order, each once."""
+    quoted = F.regexp_extract_all(annotation, F.lit(r"""["']([^"']*)["']"""), F.lit(1))
+    return F.array_distinct(F.flatten(F.transform(quoted, lambda q: F.regexp_extract_all(q, F.lit(r"([A-Za-z_]\w*)"), F.lit(1)))))
+
+
+def decorated_by(decorators: Column, *globs: str) -> Column:
+    """Whether any decorator, whole or up to its bracket, matches any of the globs."""
+    pattern = "|".join(f"(?:{glob_to_regex(g)})" for g in globs)
+    return F.coalesce(F.exists(decorators, lambda d: d.rlike(pattern) | F.substring_index(d, "(", 1).rlike(pattern)), F.lit(False))
+
+
+def is_identifier(name: Column) -> Column:
+    """Whether Python takes it as a name: letters, digits and underscores, no digit first, no keyword."""
+    return F.coalesce(name.rlike(r"^[\p{L}_][\p{L}\p{N}_]*$") & ~name.isin(*kwlist), F.lit(False))

@@ -7,13 +7,14 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from latticework.plans.errors import AuthoringError, DerivedField, MutationPrecondition, UnknownField, UnplannableMutation
 from latticework.plans.evidence import DECLARED, UNKNOWN, Expr, truthy, why
 
 EVIDENCE = "_ev"
 
 
-class AuthoringError(ValueError):
-    """A query that can't be right whatever the rows are."""
+#: How far an expression reads: its row's own fields, or what was looked up in the whole project.
+FILE, PROJECT = "file", "project"
 
 
 @dataclass(frozen=True)
@@ -25,6 +26,7 @@ class Relation:
     order: tuple[str, ...]
     fields: tuple[str, ...]
     lineage: tuple[str, ...] = ()
+    looked_up: frozenset[str] = frozenset()
 
     @staticmethod
     def of(df: DataFrame, anchor: str | tuple[str, ...], order: tuple[str, ...] | None = None, evidence: str | None = None) -> Relation:
@@ -36,7 +38,10 @@ class Relation:
     def _known(self, *names: str) -> None:
         for n in names:
             if n not in self.fields:
-                raise AuthoringError(f"no field {n!r} here; there are: {', '.join(sorted(self.fields))}")
+                raise UnknownField(f"no field {n!r} here; there are: {', '.join(sorted(self.fields))}", field=n)
+
+    def reach(self, e: Expr) -> str:
+        return PROJECT if self.looked_up & set(e.reads) else FILE
 
     def where(self, e: Expr) -> Relation:
         """Rows for which the expression holds; a row is then no surer than the expression."""
@@ -47,10 +52,10 @@ class Relation:
     def with_field(self, name: str, e: Expr) -> Relation:
         """One more field; drops no row, and a row is then no surer than the field."""
         if name in self.fields:
-            raise AuthoringError(f"the field {name!r} is there already")
+            raise DerivedField(f"the field {name!r} is there already", field=name)
         self._known(*e.reads)
         df = self.df.withColumns({name: F.when(e.matched, e.value), EVIDENCE: F.least(F.col(EVIDENCE), e.confidence)})
-        return replace(self, df=df, fields=(*self.fields, name), lineage=(*self.lineage, f"with_field({name})"))
+        return replace(self, df=df, fields=(*self.fields, name), lineage=(*self.lineage, f"with_field({name})"), looked_up=self.looked_up | ({name} if self.reach(e) == PROJECT else set()))
 
     def with_why(self, name: str, e: Expr) -> Relation:
         """The derivation of an expression for each row, as JSON text."""
@@ -66,11 +71,11 @@ class Relation:
         """A boolean field: the key is among the first column of `members`. NULL is in no set. Never adds rows."""
         self._known(key)
         if name in self.fields:
-            raise AuthoringError(f"the field {name!r} is there already")
+            raise DerivedField(f"the field {name!r} is there already", field=name)
         column = members.columns[0]
         members = members.select(F.col(column).alias("_member")).where("_member is not null").distinct()
         df = self.df.join(members, F.col(key) == F.col("_member"), "left").withColumn(name, F.col("_member").isNotNull()).drop("_member")
-        return replace(self, df=df, fields=(*self.fields, name), lineage=(*self.lineage, f"in_set({key})"))
+        return replace(self, df=df, fields=(*self.fields, name), lineage=(*self.lineage, f"in_set({key})"), looked_up=self.looked_up | {name})
 
     def with_lookup(self, name: str, key: str, table: DataFrame, confidence: str | None = None) -> Relation:
         """Fields `name` and `name`_conf from a table of key, value (and a confidence): absent is NULL at no confidence.
@@ -82,7 +87,7 @@ class Relation:
         sure = F.col(confidence).cast("int") if confidence else F.lit(DECLARED)
         table = table.select(F.col(k).alias("_key"), F.col(v).alias(name), sure.alias(f"{name}_conf"))
         df = self.df.join(table, F.col(key) == F.col("_key"), "left").withColumn(f"{name}_conf", F.coalesce(f"{name}_conf", F.lit(UNKNOWN))).drop("_key")
-        return replace(self, df=df, fields=(*self.fields, name, f"{name}_conf"), lineage=(*self.lineage, f"lookup({name})"))
+        return replace(self, df=df, fields=(*self.fields, name, f"{name}_conf"), lineage=(*self.lineage, f"lookup({name})"), looked_up=self.looked_up | {name, f"{name}_conf"})
 
     def follow(self, target: Relation, on: dict[str, str]) -> Relation:
         """The rows of `target` that these rows lead to, each once, as first reached in these rows' order.
@@ -117,8 +122,12 @@ def decisions(relation: Relation, name: str, floor: int, preconditions: dict[str
 
     A row below the floor of confidence is refused before any precondition is looked at; intent_id names the rest.
     """
+    if not name.isidentifier():
+        raise UnplannableMutation(f"no change can be called {name!r}", mutation=name)
     reason = F.when(F.col(EVIDENCE) < floor, F.lit("below-floor"))
     for label, e in preconditions.items():
+        if e.kind not in ("bool", "any"):
+            raise MutationPrecondition(f"the precondition {label!r} isn't true or false of a row", precondition=label)
         relation._known(*e.reads)
         reason = reason.when(~truthy(e), F.lit(label))
     anchor = F.concat_ws("/", *(F.col(c).cast("string") for c in relation.anchor))

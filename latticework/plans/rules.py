@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from latticework.plans.errors import AuthoringError, UnknownField
 from latticework.plans.evidence import LEVELS
-from latticework.plans.relation import EVIDENCE, AuthoringError, Relation
+from latticework.plans.relation import EVIDENCE, Relation
 
 SLOT = re.compile(r"\{(\w+)\}")
 
@@ -20,7 +21,7 @@ def rendered(template: str, types: dict[str, str]) -> Column:
     parts, at = [], 0
     for m in SLOT.finditer(template):
         if m[1] not in types:
-            raise AuthoringError(f"the message reads {m[1]!r}; there are: {', '.join(sorted(types))}")
+            raise UnknownField(f"the message reads {m[1]!r}; there are: {', '.join(sorted(types))}")
         text = F.initcap(F.col(m[1]).cast("string")) if types[m[1]] == "boolean" else F.col(m[1]).cast("string")
         parts += [F.lit(template[at : m.start()]), F.coalesce(text, F.lit("None"))]
         at = m.end()

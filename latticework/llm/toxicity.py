@@ -28,6 +28,7 @@ COPY_TREES, COPY_PREFIX = 4, 2
 NEAREST = 12  # distinct examples that vote
 BLOCK = 32  # examples in a block of the index
 FIRST_BLOCKS = 4  # blocks that set the least cosine
+DIRECT = 2.0  # a query with fewer postings than so many times those blocks' is looked up without them, with the same result
 SOFT = 0.05  # added to a distance before it divides a vote
 PRIOR_VOTES = 0.5
 THRESHOLD = 0.3
@@ -116,6 +117,23 @@ class Examples:
         """
         if not len(at) or not self.n:
             return np.zeros(0, np.int64), np.zeros(0)
+        def all_postings() -> tuple[np.ndarray, np.ndarray]:
+            places, size = ranges(self.start, at)
+            return top(np.bincount(self.example[places], np.repeat(q, size) * self.by_term[places], self.n))
+
+        def top(dot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if without >= 0:
+                dot[without] = 0
+            if self.n > 4 * k:
+                found = np.flatnonzero(dot >= max(np.partition(dot, -k)[-k] - 1e-9, 1e-300))
+            else:
+                found = np.flatnonzero(dot > 0)
+            found = found[np.lexsort((found, -np.round(dot[found], 12)))][:k]
+            return found, dot[found]
+
+        n_postings = int((self.start[at + 1] - self.start[at]).sum())
+        if n_postings < DIRECT * FIRST_BLOCKS * len(self.block_term) / self.n_blocks:
+            return all_postings()
         places, size = ranges(self.most_start, at)
         bound = np.bincount(self.most_block[places], np.repeat(q, size) * self.most[places], self.n_blocks)
         dense = np.zeros(len(self.weight))
@@ -125,25 +143,15 @@ class Examples:
             p, _ = ranges(self.block_start, blocks)
             return top(np.bincount(self.block_example[p], dense[self.block_term[p]] * self.block_weight[p], self.n))
 
-        def top(dot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            if without >= 0:
-                dot[without] = 0
-            found = np.flatnonzero(dot > 0)
-            if len(found) > 4 * k:
-                found = found[dot[found] >= np.partition(dot[found], -k)[-k] - 1e-9]
-            found = found[np.lexsort((found, -np.round(dot[found], 12)))][:k]
-            return found, dot[found]
-
         first = np.argpartition(-bound, min(FIRST_BLOCKS, self.n_blocks) - 1)[:FIRST_BLOCKS]
         found, cosine = best(first)
         least = cosine[-1] - 1e-9 if len(found) == k else 0.0
         blocks = np.flatnonzero((bound >= least) & (bound > 0))
         if not len(np.setdiff1d(blocks, first, assume_unique=True)):
             return found, cosine
-        if (self.block_start[blocks + 1] - self.block_start[blocks]).sum() < (self.start[at + 1] - self.start[at]).sum():
+        if (self.block_start[blocks + 1] - self.block_start[blocks]).sum() < n_postings:
             return best(blocks)
-        places, size = ranges(self.start, at)
-        return top(np.bincount(self.example[places], np.repeat(q, size) * self.by_term[places], self.n))
+        return all_postings()
 
     def share(self, at: np.ndarray, tf: np.ndarray, without: int = -1) -> tuple[float, list[int], list[float]]:
         """Share of distance-weighted votes for label 1; ids and similarities of the nearest examples."""

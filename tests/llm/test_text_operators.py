@@ -73,7 +73,9 @@ def test_toxicity_held_out(spark):
     assert hit >= 0.7 * sum(r["predicted"] for r in got)
 
 
-def test_toxicity_nearest_is_exact():
+@pytest.mark.parametrize("direct", [0.0, toxicity.DIRECT])
+def test_toxicity_nearest_is_exact(monkeypatch, direct):
+    monkeypatch.setattr(toxicity, "DIRECT", direct)
     rng = np.random.default_rng(3)
     e = toxicity.Examples(terms={str(i): i for i in range(30)}, weight=rng.random(30) + 0.1)
     keys = sorted({tuple(sorted(set(rng.integers(0, 30, rng.integers(0, 6)).tolist()))) for _ in range(400)})

@@ -7,7 +7,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm.common import BYTE_VALUE, U64, SpanHash, buffers, map_batches, mix, partitions, rounds, stored
@@ -31,7 +31,7 @@ ROUND_TEXTS = 50_000
 def prefix_length(similarity: float, trees: int, longest: int, recall: float) -> int:
     """The longest prefix at which pairs of that similarity still meet in some tree with probability `recall`."""
     for k in range(longest, 0, -1):
-        if 1 - (1 - similarity**k) ** trees >= recall:
+        if meeting(similarity, trees, k) >= recall:
             return k
     raise ValueError(f"{trees} trees can't reach a recall of {recall}")
 
@@ -54,6 +54,11 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, words: int = WORDS) -> tuple[
     return v & U64((1 << 48) - 1), np.searchsorted(v >> U64(48), np.arange(n_texts + 1))
 
 
+def meeting(similarity: float, trees: int, prefix: int) -> float:
+    """The probability that a pair of that similarity shares a prefix of that length in some tree."""
+    return 1 - (1 - similarity**prefix) ** trees
+
+
 def sets_of(column: pa.Array, words: int = WORDS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, at = buffers(column)
     for i, j in rounds(at):
@@ -80,14 +85,33 @@ def signatures(shingles: np.ndarray, first: np.ndarray, trees: int, prefix: int)
     return keys
 
 
+def minima(shingles: np.ndarray, first: np.ndarray, trees: int, longest: int) -> np.ndarray:
+    """The signature of each text: by tree, 16 bits of each of its `longest` minimum hashes. Zeros for a text without shingles."""
+    out = np.zeros((len(first) - 1, trees * longest), np.uint16)
+    has = np.flatnonzero(np.diff(first))
+    if len(has):
+        rng, mixed = np.random.Generator(np.random.PCG64(77)), mix(shingles)
+        for k in range(trees * longest):
+            a, b = rng.integers(1, 1 << 63, 2, dtype=np.uint64)
+            low = np.minimum.reduceat(mixed * (a * U64(2) + U64(1)) + b, first[:-1][has])
+            out[has, k] = (mix(low) >> U64(48)).astype(np.uint16)
+    return out
+
+
+def nodes(signature: Column, trees: int, longest: int, prefix: int) -> Column:
+    """The node at that depth of each tree's trie that a signature lies below."""
+    part = lambda t: F.substr(signature, t * (2 * longest) + 1, F.lit(2 * prefix))
+    return F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, part(t)))
+
+
 def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The texts that have an id, with what tells them apart."""
     rows = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return rows.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
 
 
-def sketched(docs: DataFrame, words: int, trees: int, prefix: int, id_col: str, text_col: str) -> DataFrame:
-    """A number of each row, its name, the identity of its set (128 bits), the set's size and keys; rows without an id or a word are left out."""
+def sketched(docs: DataFrame, words: int, trees: int, longest: int, id_col: str, text_col: str) -> DataFrame:
+    """A number of each row, its name, the identity of its set (128 bits), the set's size and signature; rows without an id or a word are left out."""
 
     def run(batches):
         for b in batches:
@@ -96,15 +120,13 @@ def sketched(docs: DataFrame, words: int, trees: int, prefix: int, id_col: str,
                 size = np.diff(first)
                 sums = [np.concatenate([[U64(0)], np.cumsum(mix(shingles + U64(k)))]) for k in (11, 23)]
                 one, two = (s[first[1:]] - s[first[:-1]] for s in sums)
-                keys = signatures(shingles, first, trees, prefix)
                 keep = size > 0
-                flat = pa.array(keys[keep].ravel().view(np.int64))
-                at = pa.array(np.arange(0, trees * int(keep.sum()) + 1, trees, dtype=np.int32))
+                signed = minima(shingles, first, trees, longest)[keep]
                 names = [pa.array(x[i:j][keep]) for x in own]
-                yield pa.RecordBatch.from_arrays([*names, pa.array(one[keep].view(np.int64)), pa.array(two[keep].view(np.int64)), pa.array(size[keep].astype(np.int64)), pa.ListArray.from_arrays(at, flat)], ["row", *NAMED, "s1", "s2", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([*names, pa.array(one[keep].view(np.int64)), pa.array(two[keep].view(np.int64)), pa.array(size[keep].astype(np.int64)), pa.array([x.tobytes() for x in signed], pa.binary())], ["row", *NAMED, "s1", "s2", "n", "signature"])
 
     rows = named(docs, id_col, text_col).select("text", F.monotonically_increasing_id().alias("row"), *NAMED)
-    return map_batches(rows, run, "row long, doc_id long, t1 long, t2 long, s1 long, s2 long, n long, keys array<long>")
+    return map_batches(rows, run, "row long, doc_id long, t1 long, t2 long, s1 long, s2 long, n long, signature binary")
 
 
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -147,16 +169,18 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
     return out
 
 
-def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: Fraction) -> np.ndarray:
-    """Which pairs are at least that similar; a set isn't linked with itself."""
+def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs are at least that similar, and the similarity of all in per cent; a set isn't linked with itself."""
     size = np.array([len(s) for s in sets], np.int64)
     both = np.rint(overlaps(sets, left, right)).astype(np.int64)
     union = size[left][:, None] + size[right][None] - both
-    return (both * similarity.denominator >= union * similarity.numerator) & (left[:, None] != right[None])
+    return (both * similarity.denominator >= union * similarity.numerator) & (left[:, None] != right[None]), 100 * both // np.maximum(1, union)
 
 
-def verify(unit: dict[str, list], similarity: Fraction) -> list[tuple[int, int | None, int]]:
-    """Links in one block of a group of candidates, or between two: (set, None, documents linked with it) and edges that join what is linked."""
+def verify(unit: dict[str, list], similarity: Fraction) -> list[tuple[int | None, int | None, int]]:
+    """Links in one block of a group of candidates, or between two: (set, None, documents linked with it), edges that join
+    what is linked, and (None, per cent, links of that similarity).
+    """
     _, keep = np.unique(np.array(unit["rep"]), return_index=True)
     reps = np.array(unit["rep"])[keep]
     copies, block = np.array(unit["copies"])[keep], np.array(unit["block"])[keep]
@@ -167,12 +191,13 @@ def verify(unit: dict[str, list], similarity: Fraction) -> list[tuple[int, int |
     left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
     if not len(left) or not len(right):
         return []
-    links = linked(sets, left, right, similarity)
+    links, cent = linked(sets, left, right, similarity)
     count = np.zeros(len(reps), np.int64)
     count[left] += links @ copies[right]
     if low != high:
         count[right] += links.T @ copies[left]
-    out: list[tuple[int, int | None, int]] = [(int(reps[i]), None, int(count[i])) for i in np.flatnonzero(count)]
+    out: list[tuple[int | None, int | None, int]] = [(int(reps[i]), None, int(count[i])) for i in np.flatnonzero(count)]
+    out += [(None, int(c), int(n)) for c, n in zip(*np.unique(cent[links if low != high else np.triu(links)], return_counts=True))]
     free = count > 0
     for i in np.flatnonzero(free):
         if not free[i]:
@@ -191,39 +216,21 @@ def verify(unit: dict[str, list], similarity: Fraction) -> list[tuple[int, int |
     return out
 
 
-def classified(docs: DataFrame, similarity: Fraction = SIMILARITY, words: int = WORDS, trees: int = TREES, longest_prefix: int = LONGEST_PREFIX, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each row with an id and a word its name, the number of its class, and what jaccard_join tells of it."""
-    prefix = prefix_length(float(similarity), trees, longest_prefix, recall)
-    sketch = stored(sketched(docs, words, trees, prefix, id_col, text_col), "jaccard-sketch")
-    # A set goes by the number of its first row: two texts of one document are two sets.
-    members = sketch.groupBy("s1", "s2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"), F.min_by(F.struct(*NAMED), "row").alias("named"))
-    members = stored(members, "jaccard-sets")
-    distinct = sketch.join(members.select("s1", "s2", F.col("rep").alias("row")), ["s1", "s2", "row"], "left_semi")
-    keyed = distinct.select(F.col("row").alias("rep"), F.explode("keys").alias("key"))
-    met = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("other")).where("hub < other").select("key", "hub")
-    met = stored(met, "jaccard-met")  # a plain table: then Spark splits keys that very many sets share
-    edges = keyed.join(met, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    groups = components(edges, "jaccard-candidates")
-    groups = groups.join(members.select(F.col("rep").alias("node"), "copies", "n", "named.*"), "node")
-    size = groups.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    size = size.select("component", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
-    groups = stored(groups.join(size, "component").select(F.col("node").alias("rep"), "component", "copies", "blocks", *NAMED), "jaccard-groups")
-    n_groups = groups.count()
-
-    chosen = F.broadcast(groups) if n_groups <= BROADCAST_IDS else groups
-    texts = named(docs, id_col, text_col).join(chosen, NAMED)
-    n_words = words
+def verified(texts: DataFrame, groups: DataFrame, similarity: Fraction, n_words: int, n_tasks: int) -> DataFrame:
+    """What verify() tells of whole groups of candidates: component, rep, other, links, many (the group has several blocks)."""
+    groups = stored(groups, "jaccard-chosen")
+    chosen = texts.join(F.broadcast(groups) if groups.count() <= BROADCAST_IDS else groups, NAMED)
 
     def shingle(batches):
         for b in batches:
             found = [s[f[k] : f[k + 1]].tobytes() for i, j, s, f in sets_of(b.column(1), n_words) for k in range(j - i)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(4), pa.array(found, pa.binary())], ["rep", "component", "copies", "blocks", "shingles"])
 
-    whole = map_batches(texts.select("rep", "text", "component", "copies", "blocks"), shingle, "rep long, component long, copies long, blocks int, shingles binary")
+    whole = map_batches(chosen.select("rep", "text", "component", "copies", "blocks"), shingle, "rep long, component long, copies long, blocks int, shingles binary")
     whole = whole.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     whole = whole.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     units = whole.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "copies", "block", "blocks", "shingles")
-    units = units.repartition(partitions(docs), "component", "low", "high").sortWithinPartitions("component", "low", "high")
+    units = units.repartition(n_tasks, "component", "low", "high").sortWithinPartitions("component", "low", "high")
     names = ["component", "low", "high", "rep", "copies", "block", "blocks", "shingles"]
 
     def check(batches):
@@ -233,7 +240,7 @@ def classified(docs: DataFrame, similarity: Fraction = SIMILARITY, words: int =
         def done():
             found = verify(held, similarity) if len(held["rep"]) > 1 else []
             many = held["blocks"][0] > 1
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64()), pa.array([many] * len(found), pa.bool_())], ["rep", "other", "links", "many"])
+            return pa.RecordBatch.from_arrays([pa.array([held["component"][0]] * len(found), pa.int64()), *(pa.array([x[k] for x in found], pa.int64()) for k in range(3)), pa.array([many] * len(found), pa.bool_())], ["component", "rep", "other", "links", "many"])
 
         for b in batches:
             columns = [b.column(i).to_pylist() for i in range(len(names))]
@@ -247,7 +254,40 @@ def classified(docs: DataFrame, similarity: Fraction = SIMILARITY, words: int =
         if key is not None:
             yield done()
 
-    found = stored(map_batches(units, check, "rep long, other long, links long, many boolean"), "jaccard-links")
+    return map_batches(units, check, "component long, rep long, other long, links long, many boolean")
+
+
+def classified(docs: DataFrame, similarity: Fraction = SIMILARITY, words: int = WORDS, trees: int = TREES, longest_prefix: int = LONGEST_PREFIX, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each row with an id and a word its name, the number of its class, and what jaccard_join tells of it."""
+    sketch = stored(sketched(docs, words, trees, longest_prefix, id_col, text_col), "jaccard-sketch")
+    # A set goes by the number of its first row: two texts of one document are two sets.
+    members = sketch.groupBy("s1", "s2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"), F.min_by(F.struct(*NAMED), "row").alias("named"))
+    members = stored(members, "jaccard-sets")
+    distinct = sketch.join(members.select("s1", "s2", F.col("rep").alias("row")), ["s1", "s2", "row"], "left_semi")
+    forest = stored(distinct.select(F.col("row").alias("rep"), "signature"), "jaccard-forest")
+    texts, found, before = named(docs, id_col, text_col), None, None
+    # From the longest prefixes on, until what they found tells that the share of links is reached; no shorter than
+    # pairs of the least similarity need.
+    for prefix in range(longest_prefix, prefix_length(float(similarity), trees, longest_prefix, recall) - 1, -1):
+        keyed = forest.select("rep", F.explode(nodes(F.col("signature"), trees, longest_prefix, prefix)).alias("key"))
+        met = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("other")).where("hub < other").select("key", "hub")
+        met = stored(met, "jaccard-met")  # a plain table: then Spark splits nodes that very many sets share
+        edges = keyed.join(met, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+        groups = components(edges, "jaccard-candidates")
+        groups = stored(groups.join(members.select(F.col("rep").alias("node"), "copies", "n", "named.*"), "node"), "jaccard-groups")
+        size = groups.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+        size = stored(size.select("component", "sets", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") * 8 / BLOCK_BYTES)).cast("int").alias("blocks")), "jaccard-sizes")
+        # Groups only grow, and go by their least set: one of the same size is the same.
+        new = size if before is None else size.join(before.select("component", "sets"), ["component", "sets"], "left_anti")
+        links = verified(texts, groups.join(new, "component").select(F.col("node").alias("rep"), "component", "copies", "blocks", *NAMED), similarity, words, partitions(docs))
+        if before is not None:
+            links = links.unionByName(found.join(size.join(before.select("component", "sets"), ["component", "sets"], "left_semi").select("component"), "component", "left_semi").select(links.columns))
+        found, before = stored(links, "jaccard-links"), size
+        cents = found.where("rep is null").groupBy("other").agg(F.sum("links").alias("n")).collect()  # a row for each per cent
+        seen, there = sum(r["n"] for r in cents), sum(r["n"] / meeting(max(r["other"] / 100, float(similarity)), trees, prefix) for r in cents)
+        if there and seen / there >= recall:
+            break
+    found = found.where("rep is not null")
     links = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
     classes = found.where("other is not null and not many").select(F.col("other").alias("rep"), F.col("rep").alias("class"))
     joined = found.where("other is not null and many").select(F.col("rep").alias("a"), F.col("other").alias("b"))
@@ -270,9 +310,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nothing and are their own class. Repeated rows count as copies of each other; two texts under one id are two sets.
     An empty table gives an empty table. Other columns aren't carried, whatever their names.
 
-    Copies are one set. In each tree the sets that share a prefix of their signature meet, each with the first of them; groups
-    of candidates so joined are verified whole, in blocks where they are large, by counting common n-grams. Sets meet
-    in no tree with probability 1 - recall at most; nothing is capped.
+    Copies are one set. Each tree is a trie of signatures, whose nodes at some depth are the prefixes of that length. Sets
+    below one node meet, each with the first of them; groups of candidates so joined are verified whole, in blocks
+    where they are large, by counting common n-grams. Prefixes are shortened, and groups that grew verified again, until the
+    similarities of the links found tell that the share of links in `recall` is reached. Nothing is capped.
     """
     out = classified(docs, id_col=id_col, text_col=text_col, **options).select("doc_id", "class_id", "copy_id", "n_links", "n_shingles")
     wordless = ~F.coalesce(docs[text_col].cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")

@@ -148,6 +148,31 @@ def test_recall_decides_the_prefix():
     assert 1 - (1 - 0.8**k) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** jaccard.TREES
 
 
+def test_prefixes_shorten_until_the_recall(spark, monkeypatch):
+    """Copies that are very near all meet by the longest prefixes; links of the least similarity need shorter ones."""
+    used, nodes = [], jaccard.nodes
+    monkeypatch.setattr(jaccard, "nodes", lambda s, trees, longest, prefix: used.append(prefix) or nodes(s, trees, longest, prefix))
+    base = [[f"w{k}_{i}" for i in range(200)] for k in range(30)]
+    near = [(2 * k + j, " ".join(b[: 200 - j])) for k, b in enumerate(base) for j in (0, 1)]
+    far = [(2 * k + j, " ".join(b[: 200 - 38 * j])) for k, b in enumerate(base) for j in (0, 1)]
+    for rows, wanted in ((near, [8]), (far, [8, 7, 6, 5])):
+        used.clear()
+        got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == sets_and_links(rows) and used == wanted[: len(used)] and len(used) >= min(2, len(wanted))
+
+
+def test_tries_by_hand(spark):
+    """Two signatures lie below one node at a depth if and only if the tree's first so many minima agree."""
+    rng = np.random.default_rng(3)
+    signs = rng.integers(0, 2, (40, 6)).astype(np.uint16)
+    df = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(signs)], "i int, s binary")
+    for depth in (1, 2, 3):
+        got = {r["i"]: r["n"] for r in df.select("i", jaccard.nodes(df["s"], 2, 3, depth).alias("n")).collect()}
+        for a in range(40):
+            for b in range(40):
+                assert [x == y for x, y in zip(got[a], got[b])] == [bool((signs[a, 3 * t : 3 * t + depth] == signs[b, 3 * t : 3 * t + depth]).all()) for t in range(2)]
+
+
 def test_pieces(spark, documents, odd, none):
     import public_tokenizers
     import sentencepiece

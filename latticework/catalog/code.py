@@ -139,6 +139,17 @@ class Code:
         """node, ancestor, depth of classes."""
         return ancestry(self.bases)
 
+    @cached_property
+    def descendants(self) -> DataFrame:
+        """node, descendant, depth of classes."""
+        return self.ancestors.select(F.col("ancestor").alias("node"), F.col("node").alias("descendant"), "depth")
+
+    @cached_property
+    def open_classes(self) -> DataFrame:
+        """Classes of whose ancestors one is not among the sources, so that what they inherit isn't known: node."""
+        known = self.located.where("kind = 'class'").select(F.col("symbol_id").alias("ancestor"))
+        return self.ancestors.join(known, "ancestor", "left_anti").select("node").distinct()
+
     @cached_property
     def overrides(self) -> DataFrame:
         """Methods and the nearest ancestors' methods of that name."""

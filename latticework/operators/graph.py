@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from latticework.sources.shared import stored
 
-#: Steps of a propagation between two writes to the shared folder.
-HOPS = 3
+#: Steps of a propagation between two writes to the shared folder; rounds after which what was found is written as one table.
+HOPS, ROUNDS = 3, 8
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, most_rounds: int = 1000) -> DataFrame:
@@ -24,6 +24,8 @@ def reachable(edges: DataFrame, seeds: DataFrame, most_rounds: int = 1000) -> Da
         if front.isEmpty():
             return seen
         seen = seen.unionByName(front)
+        if depth % ROUNDS == 0:
+            seen = stored(seen, "reachable")
     raise RuntimeError(f"no fixpoint in {most_rounds} rounds")
 
 
@@ -96,8 +98,10 @@ def strong_components(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     return found.join(size, "colour").select("node", "component")
 
 
-def ancestry(edges: DataFrame, most_depth: int = 32) -> DataFrame:
-    """node, ancestor, depth for all paths a to b, each pair at its least depth; a node in a cycle is its own ancestor."""
+def ancestry(edges: DataFrame, most_depth: int = 1000) -> DataFrame:
+    """node, ancestor, depth for all paths a to b, each pair at its least depth; a node in a cycle is its own ancestor.
+    Stops when no pair is new.
+    """
     edges = edges.select("a", "b").distinct()
     step = edges.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
     seen = front = stored(edges.select(F.col("a").alias("node"), F.col("b").alias("ancestor"), F.lit(1).alias("depth")), "ancestry")
@@ -105,6 +109,8 @@ def ancestry(edges: DataFrame, most_depth: int = 32) -> DataFrame:
         new = front.join(step, F.col("ancestor") == F.col("_a")).select("node", F.col("_b").alias("ancestor")).distinct()
         front = stored(new.join(seen, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)), "ancestry")
         if front.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(front)
-    return seen
+        if depth % ROUNDS == 0:
+            seen = stored(seen, "ancestry")
+    raise RuntimeError(f"ancestors still open at depth {most_depth}")

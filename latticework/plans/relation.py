@@ -92,13 +92,16 @@ class Relation:
     def follow(self, target: Relation, on: dict[str, str]) -> Relation:
         """The rows of `target` that these rows lead to, each once, as first reached in these rows' order.
 
-        The confidence is that of the first path. Grouping by the target's anchor pre-aggregates, so that a target
-        which very many rows reach is no single task's work.
+        The confidence is that of the first path. Rows are first grouped by what they lead to, which combines before the
+        shuffle, so that a target which very many rows reach is no single task's work.
         """
         self._known(*on)
         for c in on.values():
             target._known(c)
-        mine = self.df.select(*(F.col(c).alias(f"_on{i}") for i, c in enumerate(on)), F.struct(*(F.col(c).alias(f"s{i}") for i, c in enumerate(self.order))).alias("_from"), F.col(EVIDENCE).alias("_before"))
+        keys = [F.col(c).alias(f"_on{i}") for i, c in enumerate(on)]
+        mine = self.df.select(*keys, F.struct(*(F.col(c).alias(f"s{i}") for i, c in enumerate(self.order))).alias("_from"), F.col(EVIDENCE).alias("_before"))
+        # The first row of each key stands for all of them: targets are then joined once, not once for each path.
+        mine = mine.groupBy(*(f"_on{i}" for i in range(len(on)))).agg(F.min_by("_before", "_from").alias("_before"), F.min("_from").alias("_from"))
         rows = target.df.select(F.struct("*").alias("_row"), *(F.col(c).alias(f"_to{i}") for i, c in enumerate(on.values())))
         met = None
         for i in range(len(on)):
@@ -106,8 +109,8 @@ class Relation:
             met = same if met is None else met & same
         path = mine.join(rows, met).withColumn("_at", F.struct("_from", *(F.col("_row")[c].alias(f"t{i}") for i, c in enumerate(target.order))))
         # Whole rows with a boxed order: the least path of each anchor.
-        keys = [F.col("_row")[c].alias(f"_a{i}") for i, c in enumerate(target.anchor)]
-        first = path.groupBy(*keys).agg(F.min_by("_row", "_at").alias("_row"), F.min_by("_before", "_at").alias("_before"), F.min(F.struct("_from")).alias("_reached"))
+        anchors = [F.col("_row")[c].alias(f"_a{i}") for i, c in enumerate(target.anchor)]
+        first = path.groupBy(*anchors).agg(F.min_by("_row", "_at").alias("_row"), F.min_by("_before", "_at").alias("_before"), F.min(F.struct("_from")).alias("_reached"))
         df = first.select("_row.*", "_before").withColumn(EVIDENCE, F.least(F.col(EVIDENCE), F.col("_before"))).drop("_before")
         return Relation(df, target.anchor, target.order, target.fields, (*self.lineage, f"follow({', '.join(on.values())})"))
 

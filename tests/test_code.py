@@ -228,9 +228,18 @@ def test_hierarchy(spark):
     code = Code(spark.createDataFrame([(p, c.encode()) for p, c in files.items()], "path string, content binary"))
     got = {(r["node"], r["ancestor"], r["depth"]) for r in code.ancestors.collect()}
     assert got == {("p.b:B", "p.a:A", 1), ("p.b:C", "p.b:B", 1), ("p.b:C", "Exception", 1), ("p.b:C", "p.a:A", 2), ("p.b:D", "p.a:A", 1)}
+    assert {r["node"] for r in code.open_classes.collect()} == {"p.b:C"}
+    assert {r["descendant"] for r in code.descendants.where("node = 'p.a:A'").collect()} == {"p.b:B", "p.b:C", "p.b:D"}
     assert {(r["method"], r["overridden"]) for r in code.overrides.collect()} == {("p.b:B.f", "p.a:A.f"), ("p.b:C.f", "p.b:B.f"), ("p.b:C.g", "p.a:A.g")}
 
 
+def test_long_ancestries_end(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(35)], "a int, b int")
+    assert graph.ancestry(edges).where("node = 0").count() == 35
+    with pytest.raises(RuntimeError):
+        graph.ancestry(edges, most_depth=5)
+
+
 def test_long_chains_end(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(35)], "name int, target int")
     assert {tuple(r) for r in graph.chased(chain).collect()} == {(i, 35, 35 - i) for i in range(35)}

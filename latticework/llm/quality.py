@@ -108,7 +108,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Repetition counts and a verdict for each row of `docs`; nothing else of a row is carried.
 
     A null or empty text has no words: all counts 0, it fails the base rule. Repeated rows are judged
-    each on its own, the same way. An empty table gives an empty table.
+    each on its own, the same way; null ids are kept. A text of any length is one round of numpy of its own, as long as
+    it is. A share exactly at its bound is kept. An empty table gives an empty table; other columns' names don't matter.
     """
 
     def run(batches):

@@ -117,6 +117,7 @@ class Examples:
         """
         if not len(at) or not self.n:
             return np.zeros(0, np.int64), np.zeros(0)
+
         def all_postings() -> tuple[np.ndarray, np.ndarray]:
             places, size = ranges(self.start, at)
             return top(np.bincount(self.example[places], np.repeat(q, size) * self.by_term[places], self.n))

@@ -232,8 +232,9 @@ def packed(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str = "byte_bpe
 
     keyed = coded.select("row", "codes", F.xxhash64("codes").alias("hash"), "doc_id")
     if n_tasks > 1:
-        share = min(1.0, n_tasks * SAMPLE_PER_TASK / max(1, n_rows))
-        some = keyed.where(F.pmod(F.xxhash64(F.lit(9), "row"), F.lit(1 << 40)) < int(share * (1 << 40)))
+        # Rows are drawn half alike, half by their size, so that tasks are near equal in both.
+        share = n_tasks * SAMPLE_PER_TASK / max(1, n_rows) / 2 * (1 + F.octet_length("codes") / (2 * max(1.0, mean)))
+        some = keyed.where(F.pmod(F.xxhash64(F.lit(9), "row"), F.lit(1 << 40)) < share * (1 << 40))
         places_seen = map_batches(some, sample, "place long")
         bounds = np.array(places_seen.stat.approxQuantile("place", [i / n_tasks for i in range(1, n_tasks)], 1 / (4 * n_tasks)), float)  # one for each task
     else:

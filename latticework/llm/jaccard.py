@@ -267,8 +267,9 @@ def classified(docs: DataFrame, similarity: Fraction = SIMILARITY, words: int =
     forest = stored(distinct.select(F.col("row").alias("rep"), "signature"), "jaccard-forest")
     texts, found, before = named(docs, id_col, text_col), None, None
     # From the longest prefixes on, until what they found tells that the share of links is reached; no shorter than
-    # pairs of the least similarity need.
-    for prefix in range(longest_prefix, prefix_length(float(similarity), trees, longest_prefix, recall) - 1, -1):
+    # pairs of the least similarity need. How short the next ones must be, the links found so far tell.
+    prefix, shortest = longest_prefix, prefix_length(float(similarity), trees, longest_prefix, recall)
+    while True:
         keyed = forest.select("rep", F.explode(nodes(F.col("signature"), trees, longest_prefix, prefix)).alias("key"))
         met = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("other")).where("hub < other").select("key", "hub")
         met = stored(met, "jaccard-met")  # a plain table: then Spark splits nodes that very many sets share
@@ -284,9 +285,12 @@ def classified(docs: DataFrame, similarity: Fraction = SIMILARITY, words: int =
             links = links.unionByName(found.join(size.join(before.select("component", "sets"), ["component", "sets"], "left_semi").select("component"), "component", "left_semi").select(links.columns))
         found, before = stored(links, "jaccard-links"), size
         cents = found.where("rep is null").groupBy("other").agg(F.sum("links").alias("n")).collect()  # a row for each per cent
-        seen, there = sum(r["n"] for r in cents), sum(r["n"] / meeting(max(r["other"] / 100, float(similarity)), trees, prefix) for r in cents)
-        if there and seen / there >= recall:
+        likely = [(max(r["other"] / 100, float(similarity)), r["n"]) for r in cents]
+        there = [(c, n / meeting(c, trees, prefix)) for c, n in likely]
+        reached = lambda k: sum(n * meeting(c, trees, k) for c, n in there) >= recall * sum(n for _, n in there)  # noqa: B023, E731
+        if prefix <= shortest or there and reached(prefix):
             break
+        prefix = next((k for k in range(prefix - 1, shortest, -1) if there and reached(k)), shortest)
     found = found.where("rep is not null")
     links = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
     classes = found.where("other is not null and not many").select(F.col("other").alias("rep"), F.col("rep").alias("class"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from latticework.llm import jaccard, quality, substrings
+from latticework.llm import jaccard, quality, spelling, substrings
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 NUMBERED = f"d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {WORDS} AS ws FROM documents)"
@@ -52,5 +52,37 @@ k AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS
 SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN k USING (r)"""
 
 
+def op11_spelling() -> str:
+    """CRC-32 bit by bit; near words by equality after one code point is left out, of the longer word or of both at the same place."""
+    return rf"""WITH RECURSIVE d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents WHERE text IS NOT NULL),
+s AS (SELECT run, count(*) AS n, flatten(list_transform(string_split(concat(doc_id, ':', run), ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [(192 + unicode(c) // 64)::BIGINT, (128 + unicode(c) % 64)::BIGINT] END)) AS bytes FROM d GROUP BY doc_id, run),
+h AS (SELECT run, n, 4294967295 - list_reduce(bytes, lambda crc, byte: list_reduce(range(0, 8), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)), xor(crc, byte)), 4294967295::BIGINT) AS h FROM s),
+t AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM t WHERE length(word) >= {spelling.MIN_CHARS} GROUP BY word HAVING sum(n) >= {spelling.MIN_COUNT}),
+c AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT DISTINCT a.word AS a, b.word AS b FROM c a JOIN w b ON a.cut = b.word UNION SELECT DISTINCT a.word, b.word FROM c a JOIN c b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word),
+k AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+m AS (SELECT a, count(*) AS n_near, max(w.n) AS most FROM k JOIN w ON w.word = k.b GROUP BY a),
+f AS (SELECT m.a AS word, min(k.b) AS form, any_value(m.most) AS form_n FROM m JOIN w o ON o.word = m.a JOIN k ON k.a = m.a JOIN w ON w.word = k.b AND w.n = m.most WHERE m.most >= 2 * o.n GROUP BY m.a),
+r AS (SELECT word, word AS root, 0 AS step FROM w UNION ALL SELECT r.word, f.form, r.step + 1 FROM r JOIN f ON f.word = r.root)
+SELECT w.word, f.form, e.root, w.n, coalesce(m.n_near, 0)::BIGINT AS n_near, f.form_n FROM w LEFT JOIN m ON m.a = w.word LEFT JOIN f USING (word) JOIN (SELECT word, arg_max(root, step) AS root FROM r GROUP BY word) e USING (word)"""
+
+
+def op13_filter_audit() -> str:
+    """Every document under every order, one filter after the other."""
+    return r"""WITH l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, part, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY text) AS least FROM t),
+x AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, {'A': len(ws) < 50, 'B': 100 * list_unique(ws) < 65 * len(ws),
+ 'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text), 'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(doc_id > least, false)} AS f FROM w LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, [f.A, f.B, f.C, f.D, f.E] AS fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM x GROUP BY ALL),
+o AS (SELECT a || b || c || d || e AS filter_order FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) a(a), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) b(b), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) c(c), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) d(d), (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) e(e) WHERE len(list_distinct([a, b, c, d, e])) = 5),
+k AS (SELECT filter_order, step::INTEGER AS step, substr(filter_order, step, 1) AS letter, list_transform(string_split(substr(filter_order, 1, step - 1), ''), lambda c: unicode(c) - 64) AS before, unicode(substr(filter_order, step, 1)) - 64 AS own FROM o, range(1, 6) s(step)),
+j AS (SELECT part, filter_order, step, letter, n, good, toxic, fails[own] AS fail, step > 1 AND list_bool_or(list_transform(before, lambda i: fails[i])) AS gone, len(list_filter(fails, lambda v: v)) AS n_fails FROM g, k),
+a AS (SELECT part, filter_order, step, letter, sum(CASE WHEN NOT gone AND NOT fail THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN NOT gone AND fail THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN gone AND fail THEN n ELSE 0 END)::BIGINT AS redundant,
+ sum(CASE WHEN fail AND n_fails = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN NOT gone AND fail THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN NOT gone AND fail THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM j GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, letter)::BIGINT AS shapley FROM a"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {f.__name__: f() for f in (op3_jaccard_join, op6_suffix_dedup, op10_quality)}
+    return {f.__name__: f() for f in (op3_jaccard_join, op6_suffix_dedup, op10_quality, op11_spelling, op13_filter_audit)}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm import fingerprint, htmltext, jaccard, langid, packing, pieces, quality, sharding, substrings, toxicity
+from latticework.llm import additive, audit, fingerprint, htmltext, jaccard, langid, packing, pieces, quality, sharding, spelling, substrings, toxicity
 from latticework.llm.common import held_out, table
 from latticework.llm.oracles import oracle_sql  # noqa: F401
 
@@ -60,6 +60,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = additive.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -72,4 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_html_extraction": op9_html_extraction,
         "op10_quality": op10_quality,
+        "op11_spelling": op11_spelling,
+        "op12_quality_model": op12_quality_model,
+        "op13_filter_audit": op13_filter_audit,
     }

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from latticework.catalog.members import all_members, containers, mutations, received
 from latticework.functions.docstrings import documented
 from latticework.functions.effects import IMPURE_BUILTINS, IMPURE_FUNCTIONS, MUTATORS, impure_method
 from latticework.functions.names import bare_type, conforms, visibility
@@ -21,9 +22,10 @@ from latticework.plans.rules import Part, Rule
 from latticework.sources.python_code import code_tables
 from latticework.sources.shared import stored
 
-#: Dynamic look-ups, builtin names, decorators that promise a pure function.
+#: Dynamic look-ups, builtin names, methods that change a list, decorators that promise a pure function.
 DYNAMIC = ("getattr", "globals", "vars", "locals")
 BUILTINS = tuple(sorted(n for n in dir(__builtins__ if not isinstance(__builtins__, dict) else __import__("builtins")) if not n.startswith("_"))) + ("__name__", "__file__", "__doc__")
+LIST_MUTATORS = ("append", "extend", "insert", "remove", "pop", "clear", "sort", "reverse")
 PURE_DECORATORS = ("functools.lru_cache", "lru_cache", "functools.cache", "cache", "property", "cached_property", "functools.cached_property")
 
 
@@ -52,7 +54,7 @@ class Code:
     @cached_property
     def located(self) -> DataFrame:
         """Of each symbol id the first declaration, by path."""
-        return first_by(self.symbols, ["symbol_id"], ["file_path", "ord"], ["file_path", "name", "kind", "visibility", "module", "line"])
+        return first_by(self.symbols, ["symbol_id"], ["file_path", "ord"], ["file_path", "name", "kind", "visibility", "module", "line", "scope_kind"])
 
     @cached_property
     def refs(self) -> DataFrame:
@@ -89,12 +91,23 @@ class Code:
         """References with what they mean in the end: definition, and for module.attribute the attribute's symbol."""
         d = self.definitions
         direct = self.refs.join(d, "symbol_id", "left").withColumn("definition", F.coalesce("definition", "symbol_id"))
-        roots = d.select(F.col("symbol_id").alias("root_id"), F.col("definition").alias("root_definition"))
-        both = direct.join(roots, "root_id", "left")
-        through = F.when(F.size("receiver") == 1, F.concat("root_definition", F.when(F.col("root_definition").contains(":"), ".").otherwise(":"), "name"))
-        own = self.located.select(F.col("symbol_id").alias("through"))
-        both = both.withColumn("wanted", through).join(own, F.col("wanted") == F.col("through"), "left")
-        return stored(both.withColumn("definition", F.coalesce("through", "definition")).drop("wanted", "through"), "code-uses")
+        both = direct.join(received(self.refs, self.members, self.containers, d), ["file_path", "ord"], "left")
+        return stored(both.withColumn("definition", F.coalesce("through", "definition")).drop("through"), "code-uses")
+
+    @cached_property
+    def members(self) -> DataFrame:
+        """container, name, member, own: what classes and modules declare, and what classes inherit."""
+        return stored(all_members(self.symbols, self.ancestors), "code-members")
+
+    @cached_property
+    def containers(self) -> DataFrame:
+        """symbol_id, container, sure: under what the attributes of a symbol are found."""
+        return stored(containers(self.symbols, self.located, self.definitions, self.raw["files"], self.members), "code-containers")
+
+    @cached_property
+    def mutations(self) -> DataFrame:
+        """symbol_id and three flags of each variable: written to, changed by a method, read where it may go on."""
+        return stored(mutations(self.symbols, self.uses, LIST_MUTATORS), "code-mutations")
 
     @cached_property
     def importers(self) -> DataFrame:
@@ -102,20 +115,23 @@ class Code:
         return self.symbols.where("kind = 'import'").select("symbol_id", "file_path", "line").join(self.definitions, "symbol_id")
 
     def references_to(self, definitions: DataFrame) -> DataFrame:
-        """Uses of the given definitions (one column), and how each gets there: direct, import_alias, barrel or receiver."""
+        """Uses of the given definitions (one column), and how each gets there: direct, import_alias, barrel, receiver_declared (by types that
+        are written, or by none) or receiver_inferred (by a type that what is assigned tells).
+        """
         wanted = definitions.select(F.col(definitions.columns[0]).alias("definition")).distinct()
         passed = self.symbols.where("kind = 'import' and file_path like '%__init__.py'").join(self.definitions, "symbol_id").select("definition", F.lit(True).alias("in_barrel")).distinct()
         found = self.uses.join(wanted, "definition").join(passed, "definition", "left")
         named = self.symbols.where("kind = 'import'").select(F.col("symbol_id").alias("bound"), "imported_from").distinct()
         found = found.join(first_by(named, ["bound"], ["imported_from"], ["imported_from"]), "bound", "left")
         straight = F.concat(F.regexp_replace("imported_from", r"\.[^.]*$", ""), F.lit(":"), F.substring_index("imported_from", ".", -1))
-        how = F.when(F.col("symbol_id") == F.col("definition"), "direct").when(F.col("kind").startswith("attribute-"), "receiver").when(F.col("in_barrel") & (straight != F.col("definition")), "barrel").otherwise("import_alias")
+        receiver = F.when(F.coalesce("within", F.lit(False)), "direct").when(F.col("sure"), "receiver_declared").otherwise("receiver_inferred")
+        how = F.when(F.col("symbol_id") == F.col("definition"), "direct").when(F.col("kind").startswith("attribute-"), receiver).when(F.col("in_barrel") & (straight != F.col("definition")), "barrel").otherwise("import_alias")
         return found.select("definition", "file_path", "line", "kind", how.alias("how"))
 
     def visible_at(self, places: DataFrame) -> DataFrame:
         """The names that can be read at each place (file_path, line): of each name the innermost scope's first declaration."""
         scopes = self.raw["scopes"].select("file_path", "scope_id", "chain", "start_line", "end_line")
-        at = innermost(places.select("file_path", "line"), scopes, "file_path", "line", "start_line", "end_line", "scope_id", width=50)
+        at = innermost(places.select("file_path", "line"), scopes, "file_path", "line", "start_line", "end_line", "scope_id")
         top = self.raw["files"].select("file_path", "module")
         at = at.join(top, "file_path").withColumn("scope_id", F.coalesce("innermost", "module"))
         chain = at.join(scopes.select("file_path", "scope_id", "chain"), ["file_path", "scope_id"]).select("file_path", "line", F.posexplode("chain").alias("depth", "scope_id"))
@@ -186,6 +202,31 @@ class Code:
         out = seen(builtin, F.concat(F.lit("builtin "), "name")).unionByName(seen(library, F.col("called"))).unionByName(seen(rebound, F.concat(F.lit("global "), "name")))
         return out.unionByName(seen(written, F.concat(F.lit("writes ."), "name"))).unionByName(seen(methods, F.concat(F.lit("method ."), "name"), F.col("receiver_kind") == "unknown"))
 
+    @cached_property
+    def stars(self) -> DataFrame:
+        """Star imports with indexed (the module is among the sources), alone (in its file), used_names and name_count: each name
+        that nothing in the file binds goes to the first star, in the file's order, whose module declares it in public.
+        """
+        files = self.raw["files"].groupBy("module").agg(F.max("file_path").alias("path"))  # of two files of one module the last
+        star = self.symbols.where("kind = 'star'").withColumn("alone", F.count("*").over(W.partitionBy("file_path")) == 1)
+        star = star.join(files.select(F.col("module").alias("imported_from"), F.col("path").alias("target")), "imported_from", "left").withColumn("indexed", F.col("target").isNotNull())
+        surface = self.symbols.where("is_module_level and kind <> 'star' and not startswith(name, '_')").select(F.col("file_path").alias("target"), "name").distinct()
+        loose = self.refs.where("not resolved and not startswith(kind, 'attribute-') and kind not in ('global', 'nonlocal') and not startswith(name, '_')").select("file_path", "name").distinct()
+        met = star.where("indexed").select("file_path", "ord", "target").join(loose, "file_path").join(surface, ["target", "name"])
+        first = met.groupBy("file_path", "name").agg(F.min("ord").alias("ord"))
+        names = first.groupBy("file_path", "ord").agg(F.array_sort(F.collect_set("name")).alias("names"))
+        out = star.join(names, ["file_path", "ord"], "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+        return out.withColumn("used_names", F.array_join("names", ", ")).withColumn("name_count", F.size("names")).drop("names", "target")
+
+    @cached_property
+    def rebinds(self) -> DataFrame:
+        """Variables of a module that a function binds by `global`, with the innermost function around: function_id. Those in a lambda have none."""
+        scopes = self.raw["scopes"].where("kind in ('function', 'lambda')").select("file_path", "scope_id", "start_line", "end_line")
+        bound = self.symbols.where("kind = 'variable' and is_module_level").select("file_path", "ord", "symbol_id", "name", "line")
+        at = innermost(bound, scopes, "file_path", "line", "start_line", "end_line", "scope_id").where("innermost is not null")
+        owners = self.symbols.where("kind in ('function', 'method')").select("file_path", F.col("symbol_id").alias("function_id")).distinct()
+        return at.withColumnRenamed("innermost", "function_id").join(owners, ["file_path", "function_id"])
+
     @cached_property
     def impure(self) -> DataFrame:
         """function, depth: impure functions, and how many calls away the effect is."""
@@ -278,9 +319,16 @@ def rules(code: Code, root: str | None = None, allow: dict[str, list[str]] | Non
     told = first_by(inside, ["component"], ["a", "line"], ["file_path", "line"]).join(members, "component")
     out["no-import-cycles"] = Rule("no-import-cycles", (Part(Relation.of(told, "component"), "modules import each other: {members}", "file_path", "line"),))
 
-    stars = code.symbols.where("kind = 'star'").join(code.raw["files"].select(F.col("module").alias("imported_from"), F.lit(True).alias("indexed")).distinct(), "imported_from", "left").withColumn("indexed", F.coalesce("indexed", F.lit(False)))
-    starred = code.relation(stars)
-    out["star-imports"] = Rule("star-imports", (Part(starred.where(field("indexed", "bool")), "'from {imported_from} import *' hides what is used", "file_path", "line"), Part(starred.where(not_(field("indexed", "bool"))).where(weakened_when(not_(field("indexed", "bool")), HEURISTIC)), "'from {imported_from} import *' of a module that isn't indexed", "file_path", "line")))
+    starred = code.relation(code.stars)
+    indexed, supplied = field("indexed", "bool"), field("name_count")
+    several = weakened_when(field("alone", "bool").eq(False), HEURISTIC)
+    hides = "'from {imported_from} import *' supplies "
+    out["star-imports"] = Rule("star-imports", (
+        Part(starred.where(not_(indexed)).where(weakened_when(not_(indexed), HEURISTIC)), "'from {imported_from} import *' of a module that isn't indexed", "file_path", "line"),
+        Part(starred.where(all_of(indexed, supplied.eq(0))).where(several), hides + "nothing that is used", "file_path", "line"),
+        Part(starred.where(all_of(indexed, supplied.eq(1))).where(several), hides + "only '{used_names}'", "file_path", "line"),
+        Part(starred.where(all_of(indexed, not_(supplied.is_in(0, 1)))).where(several), hides + "{name_count} names: {used_names}", "file_path", "line"),
+    ))
 
     functions = code.symbols.where("kind in ('function', 'method')").join(code.impure.withColumnRenamed("function", "symbol_id"), "symbol_id")
     reasons = top_text(code.observations, ["function_id"], ["line", "what"], F.concat("what", F.lit(" (line "), F.col("line").cast("string"), F.lit(")")))
@@ -305,13 +353,24 @@ def rules(code: Code, root: str | None = None, allow: dict[str, list[str]] | Non
     setting = refs.where(all_of(field("bound_kind").eq("parameter"), field("kind").eq("subscript-write")))
     out["no-argument-mutation"] = Rule("no-argument-mutation", (Part(mutating, "argument '{receiver_name}' is changed by .{name}()", "file_path", "line"), Part(writing, "argument '{receiver_name}' gets a new .{name}", "file_path", "line"), Part(setting, "argument '{name}' gets a new item", "file_path", "line")))
 
-    outer = code.uses.where("function_id is not null and kind = 'global'")
-    grown = code.uses.where("function_id is not null and kind = 'attribute-call' and root_kind = 'variable'").where(F.col("name").isin(*MUTATORS)).join(code.symbols.where("is_module_level and kind = 'variable'").select(F.col("symbol_id").alias("root_id")).distinct(), "root_id").withColumn("receiver_name", F.col("receiver")[0])
-    out["no-hidden-global-mutation"] = Rule("no-hidden-global-mutation", (Part(code.relation(outer, "file_path"), "global '{name}' is bound anew in a function", "file_path", "line"), Part(code.relation(grown, "file_path"), "global '{receiver_name}' is changed by .{name}()", "file_path", "line")))
+    module_level = code.symbols.where("is_module_level and kind = 'variable'").select(F.col("symbol_id").alias("module_variable")).distinct()
+    inside = code.uses.where("function_id is not null")
+    written = inside.where("kind in ('augment', 'subscript-write')").join(module_level, F.col("bound") == F.col("module_variable"))
+    grown = inside.where("kind = 'attribute-call'").where(F.col("name").isin(*MUTATORS)).join(module_level, F.col("root_id") == F.col("module_variable")).withColumn("receiver_name", F.col("receiver")[0])
+    foreign = inside.where("kind = 'attribute-write' and root_kind = 'import'").withColumn("receiver_name", F.col("receiver")[0])
+    out["no-hidden-global-mutation"] = Rule("no-hidden-global-mutation", (
+        Part(code.relation(written, "file_path"), "'{function_id}' writes into global '{name}'", "file_path", "line"),
+        Part(code.relation(code.rebinds), "global '{name}' is bound anew in '{function_id}'", "file_path", "line"),
+        Part(code.relation(grown, "file_path"), "global '{receiver_name}' is changed by .{name}()", "file_path", "line"),
+        Part(code.relation(foreign, "file_path"), "'{function_id}' sets .{name} of the imported '{receiver_name}'", "file_path", "line"),
+    ))
 
     made = code.uses.where("kind in ('call', 'attribute-call')").groupBy(F.col("definition").alias("symbol_id")).agg(F.count("*").alias("n_calls"), F.bool_or("used").alias("any_used"))
-    returning = code.symbols.where("kind in ('function', 'method') and annotation is not null and annotation not in ('None', 'NoReturn')").join(made, "symbol_id").where("not any_used")
-    out["unused-return-value"] = Rule("unused-return-value", (Part(code.relation(returning), "the result of '{name}' is never used in {n_calls} calls", "file_path", "line"),))
+    passed_on = code.uses.where("kind in ('read', 'attribute-read')").select("definition")
+    promised = ~F.regexp_replace("annotation", "[\"']", "").isin("None", "NoReturn") & ~F.col("name").rlike("^__.*__$")
+    returning = code.symbols.where("kind in ('function', 'method')").where(promised)
+    returning = code.relation(returning.join(made, "symbol_id").where("not any_used")).with_membership("passed_on", "symbol_id", passed_on)
+    out["unused-return-value"] = Rule("unused-return-value", (Part(returning.where(not_(field("passed_on", "bool"))), "the result of '{name}' is never used in {n_calls} calls", "file_path", "line"),))
 
     signature = F.filter("parameters", lambda p: ~p.isin("self", "cls"))
     told = code.symbols.where("kind in ('function', 'method')").withColumn("told", documented(F.col("docstring"))).where(F.size("told") > 0)
@@ -322,9 +381,9 @@ def rules(code: Code, root: str | None = None, allow: dict[str, list[str]] | Non
         parts.append(Part(code.relation(lacking), "'{name}' doesn't document '{lacking}'", "file_path", "line"))
     out["docstring-drift"] = Rule("docstring-drift", tuple(parts))
 
-    changed = code.uses.where("kind in ('augment', 'subscript-write', 'delete')").select(F.col("bound").alias("changed")).union(code.uses.where("kind = 'attribute-call'").where(F.col("name").isin(*MUTATORS)).select("root_id"))
-    lists = code.relation(code.symbols.where("kind = 'variable' and scope_kind in ('function', 'lambda') and annotation = 'list' and annotation_confidence = 'inferred'")).with_membership("changed", "symbol_id", changed)
-    out["prefer-tuple"] = Rule("prefer-tuple", (Part(lists.where(not_(field("changed", "bool"))).where(weakened_when(field("name").ne(None), HEURISTIC)), "'{name}' is never changed: a tuple would do", "file_path", "line"),))
+    touched = code.mutations.where("has_write_ref or mutator_call or escaping_read").select("symbol_id")
+    lists = code.relation(code.symbols.where("kind = 'variable' and scope_kind in ('function', 'lambda') and annotation = 'list' and annotation_confidence = 'inferred'")).with_membership("touched", "symbol_id", touched)
+    out["prefer-tuple"] = Rule("prefer-tuple", (Part(lists.where(not_(field("touched", "bool"))).where(weakened_when(field("name").ne(None), HEURISTIC)), "'{name}' is never changed: a tuple would do", "file_path", "line"),))
 
     if root:
         pairs = [(a, b) for a, bs in (allow or {}).items() for b in bs]

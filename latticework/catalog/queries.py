@@ -253,7 +253,7 @@ def innermost_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").withColumn("t", F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).cast("double"))
     spans = lines.where("l_quantity = 50").groupBy(F.col("l_suppkey").alias("g"), F.concat("l_returnflag", "l_linestatus").alias("name")).agg(F.min("t").alias("a"), F.max("t").alias("b"))
     points = lines.where("l_discount = 0.1").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.col("l_suppkey").alias("g"), "t")
-    return intervals.innermost(points, spans, "g", "t", "a", "b", "name", width=86400.0 * 180).select("l_orderkey", "l_linenumber", "innermost")
+    return intervals.innermost(points, spans, "g", "t", "a", "b", "name").select("l_orderkey", "l_linenumber", "innermost")
 
 
 TRADE = "SELECT DISTINCT s_nationkey AS a, c_nationkey AS b FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_quantity >= 50 AND l_discount >= 0.09"

@@ -68,12 +68,14 @@ def test_log():
 ROOT = "shop"
 
 
+def written(df: DataFrame, path: str, text: str) -> DataFrame:
+    """A file for each row: its path and content, with the row's columns filled in."""
+    return df.select(rendered(path, dict(df.dtypes)).alias("path"), rendered(text, dict(df.dtypes)).cast("binary").alias("content"))
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content of the project's files."""
 
-    def written(df: DataFrame, path: str, text: str) -> DataFrame:
-        return df.select(rendered(path, dict(df.dtypes)).alias("path"), rendered(text, dict(df.dtypes)).cast("binary").alias("content"))
-
     body = F.when(F.col("s_acctbal") < 0, "missing_name").otherwise("json.dumps(x)")
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"), body.alias("body"))
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"))

@@ -13,7 +13,7 @@ from latticework.sources.shared import stored
 
 DECLARED_FIELDS = "file_path string, ord int, scope_id string, scope_kind string, name string, kind string, line int, docstring string, decorators array<string>, annotation string, annotation_confidence string, imported_from string, parameters array<string>"
 SCOPE_FIELDS = "file_path string, ord int, scope_id string, name string, kind string, chain array<string>, start_line int, end_line int"
-REF_FIELDS = "file_path string, ord int, name string, kind string, line int, col int, scope_id string, chain array<string>, function_id string, at_import boolean, receiver array<string>, used boolean"
+REF_FIELDS = "file_path string, ord int, name string, kind string, line int, col int, scope_id string, chain array<string>, function_id string, at_import boolean, receiver array<string>, used boolean, escapes boolean"
 FILE_FIELDS = "file_path string, module string, has_errors boolean"
 FIELDS = {"declared": DECLARED_FIELDS, "scopes": SCOPE_FIELDS, "refs": REF_FIELDS, "files": FILE_FIELDS}
 
@@ -34,15 +34,18 @@ class Walk(ast.NodeVisitor):
         self.function: str | None = None
         self.loose: set[int] = set()  # calls whose result nobody takes
         self.outer: list[dict[str, int]] = []  # of each open scope, the names it declares for another: that one's place
+        self.known: set[tuple[str, str]] = set()  # scope and name of all declarations so far
+        self.local: set[int] = set()  # names read where a tuple would do as well as a list
 
     def declare(self, name, kind, node, docstring=None, decorators=(), annotation=None, sure=None, source=None, parameters=None, place=-1):
         scope, scope_kind = self.stack[self.outer[-1].get(name, place) if place == -1 else place]
+        self.known.add((scope, name))
         self.rows["declared"].append((self.path, len(self.rows["declared"]), scope, scope_kind, name, kind, node.lineno, docstring, list(decorators), annotation, sure, source, parameters))
 
     def refer(self, name, kind, node, receiver=None, used=True):
         chain = [s for i, (s, k) in enumerate(reversed(self.stack)) if i == 0 or k != "class"]
         at_import = all(k in ("module", "class") for _, k in self.stack)
-        self.rows["refs"].append((self.path, len(self.rows["refs"]), name, kind, node.lineno, node.col_offset, self.stack[-1][0], chain, self.function, at_import, receiver, used))
+        self.rows["refs"].append((self.path, len(self.rows["refs"]), name, kind, node.lineno, node.col_offset, self.stack[-1][0], chain, self.function, at_import, receiver, used, kind.endswith("read") and id(node) not in self.local))
 
     def enter(self, name, kind, node, bodies):
         top, top_kind = self.stack[-1] if self.stack else ("", "")
@@ -159,20 +162,30 @@ class Walk(ast.NodeVisitor):
         for name in node.names:
             self.refer(name, "nonlocal", node)
             functions = [i for i, (_, k) in enumerate(self.stack[:-1]) if k in ("function", "lambda")]
-            own = {(r[2], r[4]) for r in self.rows["declared"]}
-            self.outer[-1][name] = next((i for i in reversed(functions) if (self.stack[i][0], name) in own), functions[-1] if functions else 0)
+            self.outer[-1][name] = next((i for i in reversed(functions) if (self.stack[i][0], name) in self.known), functions[-1] if functions else 0)
 
     def visit_Name(self, node):
         if isinstance(node.ctx, ast.Store):
             self.declare(node.id, "variable", node)
         self.refer(node.id, {ast.Load: "read", ast.Store: "write", ast.Del: "delete"}[type(node.ctx)], node)
 
+    def member(self, target, annotation=None, sure=None):
+        """self.x and cls.x, when first stored to, are members of the class around."""
+        if isinstance(target, ast.Attribute) and isinstance(target.value, ast.Name) and target.value.id in ("self", "cls"):
+            place = next((i for i in reversed(range(len(self.stack))) if self.stack[i][1] == "class"), None)
+            if place is not None and (self.stack[place][0], target.attr) not in self.known:
+                self.declare(target.attr, "variable", target, annotation=annotation, sure=sure, place=place)
+
     def visit_Assign(self, node):
-        before = len(self.rows["declared"])
-        self.generic_visit(node)
-        kind = "list" if isinstance(node.value, (ast.List, ast.ListComp)) else ast.unparse(node.value.func) if isinstance(node.value, ast.Call) else None
-        if kind:
-            self.rows["declared"][before:] = [(*r[:9], kind, "inferred", *r[11:]) if r[5] == "variable" and r[9] is None else r for r in self.rows["declared"][before:]]
+        """A name or member that is given a list or what a call returns has its type inferred from that; parts of a tuple haven't."""
+        kind = "list" if isinstance(node.value, (ast.List, ast.ListComp)) else ast.unparse(node.value.func) if isinstance(node.value, ast.Call) and dotted(node.value.func) else None
+        for target in node.targets:
+            before = len(self.rows["declared"])
+            self.member(target)
+            self.visit(target)
+            if kind and isinstance(target, (ast.Name, ast.Attribute)):
+                self.rows["declared"][before:] = [(*r[:9], kind, "inferred", *r[11:]) if r[5] == "variable" and r[9] is None else r for r in self.rows["declared"][before:]]
+        self.visit(node.value)
 
     def visit_AugAssign(self, node):
         if isinstance(node.target, ast.Name):
@@ -184,6 +197,9 @@ class Walk(ast.NodeVisitor):
     def visit_AnnAssign(self, node):
         if isinstance(node.target, ast.Name):
             self.declare(node.target.id, "variable", node, annotation=ast.unparse(node.annotation), sure="declared")
+        else:
+            self.member(node.target, ast.unparse(node.annotation), "declared")
+            self.visit(node.target)
         for x in [node.annotation, *filter(None, [node.value])]:
             self.visit(x)
 
@@ -219,11 +235,42 @@ class Walk(ast.NodeVisitor):
             self.visit(x)
 
     def visit_Subscript(self, node):
-        if isinstance(node.ctx, ast.Store) and isinstance(node.value, ast.Name):
-            self.refer(node.value.id, "subscript-write", node)
+        """x[i] = v and x[i][j] = v write x; a.b[i] = v writes a.b."""
+        if isinstance(node.ctx, ast.Store):
+            root = node.value
+            while isinstance(root, ast.Subscript):
+                root = root.value
+            if isinstance(root, ast.Name):
+                self.refer(root.id, "subscript-write", node)
+            elif isinstance(root, ast.Attribute):
+                root.ctx = ast.Store()
         self.generic_visit(node)
 
 
+def dotted(node: ast.AST) -> bool:
+    """A name, or attributes of one."""
+    while isinstance(node, ast.Attribute):
+        node = node.value
+    return isinstance(node, ast.Name)
+
+
+def looked_into(tree: ast.AST) -> set[int]:
+    """Names that are iterated over, looked up in, indexed or asked whether they are empty: what is read stays where it is."""
+    out = set()
+    for node in ast.walk(tree):
+        if isinstance(node, (ast.For, ast.AsyncFor, ast.comprehension)):
+            out.add(id(node.iter))
+        elif isinstance(node, ast.Subscript):
+            out.add(id(node.value))
+        elif isinstance(node, (ast.If, ast.While, ast.Assert)):
+            out.add(id(node.test))
+        elif isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
+            out.add(id(node.operand))
+        elif isinstance(node, ast.Compare) and any(isinstance(o, (ast.In, ast.NotIn)) for o in node.ops):
+            out.add(id(node.comparators[-1]))
+    return out
+
+
 def parsed(path: str, content: bytes) -> dict[str, list[tuple]]:
     module = module_name(path)
     try:
@@ -231,6 +278,7 @@ def parsed(path: str, content: bytes) -> dict[str, list[tuple]]:
     except (SyntaxError, ValueError):
         return {"files": [(path, module or path, True)]}
     walk = Walk(path, module or path, path.endswith("__init__.py"))
+    walk.local = looked_into(tree)
     walk.visit(tree)
     return walk.rows | {"files": [(path, module or path, False)]}
 

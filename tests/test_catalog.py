@@ -7,9 +7,9 @@ import math
 import duckdb
 import pytest
 
-from latticework.catalog import queries, shop
+from latticework.catalog import depot, queries, shop
 
-QUERIES, SQL = queries.QUERIES | shop.QUERIES, queries.SQL | shop.SQL
+QUERIES, SQL = queries.QUERIES | shop.QUERIES | depot.QUERIES, queries.SQL | shop.SQL | depot.SQL
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()

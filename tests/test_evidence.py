@@ -166,7 +166,7 @@ def test_chase_ends_at_the_repeated_name(spark):
 def test_innermost_ties(spark):
     points = spark.createDataFrame([("f", 5), ("f", 99), ("g", 5)], "f string, p int")
     spans = spark.createDataFrame([("f", 1, 9, "outer"), ("f", 4, 6, "b"), ("f", 4, 6, "a"), ("f", 5, 7, "later")], "f string, s int, e int, n string")
-    got = {(r["f"], r["p"]): r["innermost"] for r in intervals.innermost(points, spans, "f", "p", "s", "e", "n", width=3).collect()}
+    got = {(r["f"], r["p"]): r["innermost"] for r in intervals.innermost(points, spans, "f", "p", "s", "e", "n").collect()}
     assert got == {("f", 5): "a", ("f", 99): None, ("g", 5): None}
 
 

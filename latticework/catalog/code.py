@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from latticework.catalog.members import all_members, containers, mutations, received
 from latticework.functions.docstrings import documented
 from latticework.functions.effects import IMPURE_BUILTINS, IMPURE_FUNCTIONS, MUTATORS, impure_method
-from latticework.functions.names import bare_type, conforms, visibility
+from latticework.functions.names import bare_type, conforms, forward_names, visibility
 from latticework.operators.graph import affected, ancestry, chased, strong_components
 from latticework.operators.intervals import innermost
 from latticework.operators.ranking import first_by, top_text
@@ -178,7 +178,7 @@ class Code:
     def calls(self) -> DataFrame:
         """Edges of the call graph: a, b."""
         made = self.uses.where("kind in ('call', 'attribute-call') and function_id is not null")
-        return made.join(self.located.where("kind in ('function', 'method')").select(F.col("symbol_id").alias("definition")), "definition").select(F.col("function_id").alias("a"), F.col("definition").alias("b")).distinct()
+        return made.join(self.located.where("kind in ('function', 'method')").select(F.col("symbol_id").alias("definition")), "definition").select(F.col("function_id").alias("a"), F.col("definition").alias("b")).where("a <> b").distinct()
 
     @cached_property
     def observations(self) -> DataFrame:
@@ -265,7 +265,12 @@ def rules(code: Code, root: str | None = None, allow: dict[str, list[str]] | Non
 
     dynamic = code.uses.where(F.col("name").isin(*DYNAMIC)).where("kind = 'call'").select("module").distinct()
     bound = code.refs.where("bound is not null and kind <> 'write'").select(F.col("bound").alias("used")).union(code.refs.where("root_id is not null").select("root_id"))
+    # A file with __all__ passes its imports on by their names' texts; a dotted import binds no name of its own; quoted annotations read names.
+    listed = code.symbols.where("name = '__all__'").select("file_path").distinct()
+    quoted = code.symbols.where("annotation is not null").select("file_path", F.explode(forward_names(F.col("annotation"))).alias("name")).distinct()
+    dotted = code.raw["refs"].where("kind = 'imports' and contains(name, '.')").select("file_path", "line", F.substring_index("name", ".", 1).alias("imported_from")).distinct()
     imports = code.symbols.where("kind = 'import' and not file_path like '%__init__.py' and not startswith(imported_from, '__future__')")
+    imports = imports.join(listed, "file_path", "left_anti").join(quoted, ["file_path", "name"], "left_anti").join(dotted, ["file_path", "line", "imported_from"], "left_anti")
     unused = code.relation(imports).with_membership("used", "symbol_id", bound).with_membership("dynamic", "module", dynamic)
     unused = unused.where(not_(field("used", "bool"))).where(weakened_when(field("dynamic", "bool"), HEURISTIC))
     out["unused-imports"] = Rule("unused-imports", (Part(unused, "'{name}' is imported but unused", "file_path", "line"),))

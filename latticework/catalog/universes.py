@@ -55,7 +55,7 @@ class Universes:
         return df.where(F.col("file_path").startswith(self.root)) if self.root else df
 
     def __getitem__(self, name: str) -> Relation:
-        anchor = {"references": ("file_path", "ord"), "modules": ("file_path",), "scopes": ("file_path", "scope_id")}.get(name, ("symbol_id",))
+        anchor = {"references": ("file_path", "ord"), "modules": ("file_path",), "scopes": ("file_path", "scope_id")}.get(name, ("symbol_id", "file_path"))
         df = self.table(name)
         return Relation.of(df, anchor, ("file_path", "ord") if "ord" in df.columns else ("file_path",))
 

@@ -57,8 +57,9 @@ def module_path(path: Column) -> Column:
 
 
 def snake_case(name: Column) -> Column:
+    """Words apart by one underscore, also where there were several signs between them."""
     apart = F.regexp_replace(F.regexp_replace(name, r"([A-Z]+)([A-Z][a-z])", "$1_$2"), r"([a-z0-9])([A-Z])", "$1_$2")
-    return F.lower(F.regexp_replace(apart, r"[-\s#.]+", "_"))
+    return F.lower(F.regexp_replace(apart, r"[-_\s#.]+", "_"))
 
 
 def pascal_case(name: Column) -> Column:
@@ -93,7 +94,7 @@ def replace_leaf(symbol: Column, new: Column) -> Column:
 
 def forward_names(annotation: Column) -> Column:
     """Names that stand inside quotes in an annotation, in order, each once."""
-    quoted = F.regexp_extract_all(annotation, F.lit(r"""["']([^"']*)["']"""), F.lit(1))
+    quoted = F.regexp_extract_all(annotation, F.lit(r"""(["'])(.*?)\1"""), F.lit(2))
     return F.array_distinct(F.flatten(F.transform(quoted, lambda q: F.regexp_extract_all(q, F.lit(r"([A-Za-z_]\w*)"), F.lit(1)))))
 
 

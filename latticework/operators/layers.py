@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def overlaid(base: DataFrame, layer: DataFrame, key: str, deleted: str) -> DataFrame:
-    """What is seen through a layer: its rows stand before the base's of that key, those marked deleted hide it."""
-    return base.join(layer, key, "left_anti").unionByName(layer.where(~F.col(deleted)).select(*base.columns))
+    """What is seen through a layer: its rows stand before the base's of that key, those marked deleted hide it; no mark is none."""
+    return base.join(layer, key, "left_anti").unionByName(layer.where(~F.coalesce(deleted, F.lit(False))).select(*base.columns))
 
 
 def changed(now: DataFrame, known: DataFrame, key: str, digest: str) -> DataFrame:
@@ -30,6 +34,40 @@ def overlapping(edits: DataFrame, group: str, number: str, start: str, end: str)
     return x.join(y, met).select(F.col(f"x.{group}").alias(group), F.col(f"x.{number}").alias("first"), F.col(f"y.{number}").alias("second"))
 
 
+def claimed(edits: DataFrame, group: str, start: str, end: str, order: list[str]) -> DataFrame:
+    """The rows with `kept`: whether a span was free when its turn came. Spans (half-open) of a group are gone through by `order`,
+    which names a row within its group; one is kept if it overlaps none that was kept before it. Empty spans and rows without a group, start or end
+    overlap nothing and are kept.
+
+    Spans that overlap none before them begin a new run, and runs don't touch each other: a run is a group of its own, so that
+    a wide group is as many tasks' work as it has runs. Within a run the kept spans are a sorted list.
+    """
+    real = F.coalesce(F.col(start) < F.col(end), F.lit(False)) & F.col(group).isNotNull()
+    place = W.partitionBy(group).orderBy(start, end, *order)
+    reach = F.max(end).over(place.rowsBetween(W.unboundedPreceding, -1))
+    rows = edits.where(real).withColumn("_new", F.coalesce(F.col(start) >= reach, F.lit(True)).cast("long")).withColumn("_run", F.sum("_new").over(place))
+    rows = rows.repartition(group, "_run").sortWithinPartitions(group, "_run", *order)
+
+    columns = list(edits.columns)
+
+    def keep(batches):
+        now, kept = None, []
+        for b in batches:
+            out = []
+            for g, run, a, z in zip(*(b.column(k).to_pylist() for k in (group, "_run", start, end))):
+                if (g, run) != now:
+                    now, kept = (g, run), []
+                i = bisect_left(kept, (a,))
+                free = (i == len(kept) or kept[i][0] >= z) and (i == 0 or kept[i - 1][1] <= a)
+                if free:
+                    kept.insert(i, (a, z))
+                out.append(free)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(out, pa.bool_())], [*columns, "kept"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in edits.schema)
+    return rows.mapInArrow(keep, f"{fields}, kept boolean").unionByName(edits.where(~real).withColumn("kept", F.lit(True)))
+
+
 def prefixes(name: Column) -> Column:
     """a.b.c -> [a, a.b, a.b.c]."""
     parts = F.split(name, r"\.")

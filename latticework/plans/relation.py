@@ -13,6 +13,13 @@ from latticework.plans.evidence import DECLARED, UNKNOWN, Expr, truthy, why
 EVIDENCE = "_ev"
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or one behind it that no column has."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 #: How far an expression reads: its row's own fields, or what was looked up in the whole project.
 FILE, PROJECT = "file", "project"
 
@@ -73,20 +80,24 @@ class Relation:
         if name in self.fields:
             raise DerivedField(f"the field {name!r} is there already", field=name)
         column = members.columns[0]
-        members = members.select(F.col(column).alias("_member")).where("_member is not null").distinct()
-        df = self.df.join(members, F.col(key) == F.col("_member"), "left").withColumn(name, F.col("_member").isNotNull()).drop("_member")
+        own = fresh(self.df, "_member")
+        members = members.select(F.col(column).alias(own)).where(F.col(own).isNotNull()).distinct()
+        df = self.df.join(members, F.col(key) == F.col(own), "left").withColumn(name, F.col(own).isNotNull()).drop(own)
         return replace(self, df=df, fields=(*self.fields, name), lineage=(*self.lineage, f"in_set({key})"), looked_up=self.looked_up | {name})
 
     def with_lookup(self, name: str, key: str, table: DataFrame, confidence: str | None = None) -> Relation:
         """Fields `name` and `name`_conf from a table of key, value (and a confidence): absent is NULL at no confidence.
 
-        The table has one row for each key; it may be about another entity than the row's own: any key field will do.
+        Of several rows of a key the least value counts, so that no row becomes two. The table may be about another entity than
+        the row's own: any key field will do.
         """
         self._known(key)
         k, v = table.columns[:2]
         sure = F.col(confidence).cast("int") if confidence else F.lit(DECLARED)
-        table = table.select(F.col(k).alias("_key"), F.col(v).alias(name), sure.alias(f"{name}_conf"))
-        df = self.df.join(table, F.col(key) == F.col("_key"), "left").withColumn(f"{name}_conf", F.coalesce(f"{name}_conf", F.lit(UNKNOWN))).drop("_key")
+        own = fresh(self.df, "_key")
+        one = table.groupBy(F.col(k).alias(own)).agg(F.min(F.struct(F.col(v).alias("v"), sure.alias("s"))).alias("_one"))
+        table = one.select(own, F.col("_one.v").alias(name), F.col("_one.s").alias(f"{name}_conf"))
+        df = self.df.join(table, F.col(key) == F.col(own), "left").withColumn(f"{name}_conf", F.coalesce(f"{name}_conf", F.lit(UNKNOWN))).drop(own)
         return replace(self, df=df, fields=(*self.fields, name, f"{name}_conf"), lineage=(*self.lineage, f"lookup({name})"), looked_up=self.looked_up | {name, f"{name}_conf"})
 
     def follow(self, target: Relation, on: dict[str, str]) -> Relation:

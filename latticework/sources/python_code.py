@@ -54,8 +54,8 @@ class Walk(ast.NodeVisitor):
         self.outer.append({})
         self.rows["scopes"].append((self.path, len(self.rows["scopes"]), scope, name, kind, [s for s, _ in reversed(self.stack)], getattr(node, "lineno", 1), getattr(node, "end_lineno", 1) or 1))
         before = self.function
-        if kind == "function":
-            self.function = scope
+        if kind in ("function", "lambda"):  # what a lambda does is done when it is called
+            self.function = scope if kind == "function" else None
         for x in bodies:
             self.visit(x)
         self.function = before

@@ -40,15 +40,20 @@ FOR_WORDS = frozenset("article articlebody body content entry main post story te
 #: Log odds of content by feature, fitted by fit() on pages of layouts.page() with the seeds of FITTED_ON.
 FITTED_ON = range(3000)
 FEATURES = ("bias", "against", "against_more", "favoured", "outside_favoured", "link_share", "log_words", "ends_sentence", "no_sentence", "heading", "in_list", "rights")
-WEIGHTS: tuple[float, ...] = (0.04, -17.6, -0.0, 5.78, -10.49, -7.88, 1.32, 1.69, -1.66, 0.68, 3.2, -9.67)
+WEIGHTS: tuple[float, ...] = (0.55, -10.5, -0.0, 3.48, -5.88, -6.63, 0.55, 1.34, -0.79, 0.45, 2.14, -5.51)
 #: Smoothness, chosen by tune() on the same pages: of blocks that follow each other, by their distance in the tree, and of
 #: the next blocks under one parent.
-NEIGHBOURS, SIBLINGS = 6.0, 2.0
+NEIGHBOURS, SIBLINGS = 12.0, 0.5
 
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 TAG_END = re.compile(r"[>\"']")
-ATTRIBUTES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|itemprop|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]*))?""", re.I)
+#: One attribute after the other, so that nothing inside a quoted value is taken for one.
+ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]*))?|["'/=]""")
 WORD = re.compile(r"[a-z]+")
+#: Words with which a name says what a page or text has or is, not what the element is.
+DESCRIBES = frozenset("has no not with without is js type tag category format status theme template layout enable disable show hide".split())
+#: Share of a page's plain text from which an element is too much of it to be what its name says: by a part of the name, by all of it.
+MOST, NEARLY_ALL = 0.5, 0.9
 SENTENCE_END = re.compile(r"[.!?…:;。！？][\"'”’»)]*$")
 RIGHTS = re.compile(r"\W{0,3}(?:©|\(c\)|copyright\b)", re.I)
 SENTENCE = re.compile(r"[.!?…。！？](?:\s|$)")
@@ -57,6 +62,7 @@ SENTENCE = re.compile(r"[.!?…。！？](?:\s|$)")
 @dataclass(slots=True)
 class Block:
     parent: int
+    element: int
     against: int
     favour: int
     heading: bool
@@ -70,26 +76,81 @@ class Block:
 class Open:
     number: int  # of the element, or for a leaf that of what it stands in
     tag: str
-    against: int = 0
-    favour: int = 0
+    element: int = -1
     unseen: bool = False
     in_list: bool = False
 
 
-def marks(tag: str, attributes: str) -> tuple[bool, bool]:
-    against, favour = tag in AGAINST_TAGS, tag in FOR_TAGS
-    if attributes:
-        for name, value in ATTRIBUTES.findall(attributes):
-            name, value = name.lower(), value.strip("\"'").lower()
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-                against = True
-            elif name in ("class", "id", "role", "itemprop"):
-                words = WORD.findall(value)
-                if tag not in ("body", "html") and not AGAINST_WORDS.isdisjoint(words):
-                    against = True
+@dataclass(slots=True)
+class Element:
+    """What an element tells about the text in it: by itself (sure), or by a name that may be about something else (named; whole: all of a name)."""
+
+    parent: int
+    sure: bool = False
+    named: bool = False
+    whole: bool = False
+    favour: bool = False
+    size: int = 0  # of the text below that is no link
+    against: int = 0  # with those around it
+    favours: int = 0
+
+
+def marks(tag: str, attributes: str, parent: int) -> Element:
+    out = Element(parent, sure=tag in AGAINST_TAGS and tag != "form", named=tag == "form", favour=tag in FOR_TAGS)
+    begins_for = begins_against = False
+    for name, value in ATTRIBUTE.findall(attributes) if attributes else ():
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+            out.sure = True
+        elif name in ("class", "id", "role", "itemprop") and tag not in ("body", "html"):
+            for part in value.split():
+                words = WORD.findall(part)
+                if not words or words[0] in DESCRIBES:
+                    continue
+                begins_for |= words[0] in FOR_WORDS
+                begins_against |= words[0] in AGAINST_WORDS
+                if not AGAINST_WORDS.isdisjoint(words):
+                    out.named = True
+                    out.whole |= len(words) == 1
                 elif not FOR_WORDS.isdisjoint(words):
-                    favour = True
-    return against, favour
+                    out.favour = True
+    if out.favour and tag in FOR_TAGS:
+        out.named &= begins_against and not begins_for  # an article's names tell what it is about
+    if out.named and not (tag in FOR_TAGS):
+        out.favour = False
+    return out
+
+
+def weighed(elements: list[Element]) -> None:
+    """Which names count, and against and favours with those of the elements around.
+
+    A name doesn't count against an element that holds the page's main element (the innermost that holds half of the text of the largest
+    favoured one), nor against one that holds most of the page's text while nothing favoured stands outside it.
+    """
+    for i in range(len(elements) - 1, 0, -1):
+        elements[elements[i].parent].size += elements[i].size
+    total = elements[0].size
+    clean = [i for i, e in enumerate(elements) if e.favour and not e.named and not e.sure]
+    largest = max((elements[i].size for i in clean), default=0)
+    main = max((i for i in clean if 2 * elements[i].size >= largest), default=None)
+    around = set()
+    while main is not None and main >= 0:
+        around.add(main)
+        main = elements[main].parent
+    inside: dict[int, int] = Counter()  # favoured text below each element
+    for i in clean:
+        up = i
+        while up >= 0:
+            inside[up] = max(inside[up], elements[i].size)
+            up = elements[up].parent
+    for i, e in enumerate(elements):
+        above = elements[e.parent] if e.parent >= 0 else None
+        if e.named and i:
+            most = e.size > (NEARLY_ALL if e.whole else MOST) * total and (inside[i] == largest or not clean)
+            if i in around or most:
+                e.named = False
+        e.against = (above.against if above else 0) + (e.sure or e.named)
+        e.favours = (above.favours if above else 0) + e.favour
 
 
 def tokens(html: str) -> Iterable[tuple[str, str, str]]:
@@ -152,7 +213,8 @@ def tokens(html: str) -> Iterable[tuple[str, str, str]]:
 def blocks_of(html: str) -> list[Block]:
     """Runs of text that no block element interrupts, with what their elements tell."""
     out: list[Block] = []
-    stack = [Open(0, "")]
+    elements = [Element(-1)]
+    stack = [Open(0, "", 0)]
     open_tags: Counter = Counter()
     number, links, block, low, depth = 0, 0, None, 0, 0
 
@@ -171,12 +233,14 @@ def blocks_of(html: str) -> list[Block]:
             if block is None:
                 if not name.strip():
                     continue
-                block = Block(top.number, top.against, top.favour, top.tag in HEADINGS, top.in_list, depth + len(stack) - 2 * low)
+                block = Block(top.number, top.element, 0, 0, top.tag in HEADINGS, top.in_list, depth + len(stack) - 2 * low)
                 low = depth = len(stack)
                 out.append(block)
             block.parts.append(unescape(name) if "&" in name else name)
             if links:
                 block.linked += len(name)
+            else:
+                elements[top.element].size += len(name.strip())
             continue
         closing, tag = kind == "/", name or kind
         if tag == "a":
@@ -205,10 +269,13 @@ def blocks_of(html: str) -> list[Block]:
                 if stack[i].tag in LIMITS:
                     break
         number += 1
-        against, favour = marks(tag, attributes)
         top = stack[-1]
-        stack.append(Open(top.number if tag in LEAVES else number, tag, top.against + against, top.favour + favour, top.unseen or tag in UNSEEN, top.in_list or tag in ("li", "dt", "dd", "td", "th")))
+        elements.append(marks(tag, attributes, top.element))
+        stack.append(Open(top.number if tag in LEAVES else number, tag, len(elements) - 1, top.unseen or tag in UNSEEN, top.in_list or tag in ("li", "dt", "dd", "td", "th")))
         open_tags[tag] += 1
+    weighed(elements)
+    for b in out:
+        b.against, b.favour = elements[b.element].against, elements[b.element].favours
     return out
 
 
@@ -331,7 +398,7 @@ def labelled(html: str, main: list[str]) -> tuple[list[Block], list[str], np.nda
     return blocks, texts, label
 
 
-def fit(pages: Iterable[tuple[str, list[str]]], decay: float = 1e-5, rounds: int = 60) -> np.ndarray:
+def fit(pages: Iterable[tuple[str, list[str]]], decay: float = 1e-4, rounds: int = 60) -> np.ndarray:
     """Weights of the log odds by logistic regression (Newton's method), from pages and their main blocks."""
     found = [labelled(*p) for p in pages]
     x, y = np.vstack([features(b, t) for b, t, _ in found]), np.concatenate([k for _, _, k in found]).astype(float)
@@ -343,7 +410,7 @@ def fit(pages: Iterable[tuple[str, list[str]]], decay: float = 1e-5, rounds: int
     return w
 
 
-def tune(pages: Iterable[tuple[str, list[str]]], weights, grid=(0.5, 1.0, 2.0, 3.0, 4.0, 6.0)) -> tuple[float, float]:
+def tune(pages: Iterable[tuple[str, list[str]]], weights, grid=(0.5, 1.0, 2.0, 4.0, 8.0, 12.0, 16.0, 24.0)) -> tuple[float, float]:
     """The smoothness under which the cut mislabels the fewest blocks; of equal ones the least."""
     found = [labelled(*p) for p in pages]
     wrong = {(a, b): sum(int((np.array(content(x, t, weights, a, b)) != k).sum()) for x, t, k in found) for a in grid for b in grid}
@@ -354,8 +421,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """page_id, url and main text of every row of `pages`; null or empty html gives an empty text.
 
     Null ids and urls are kept, repeated rows too, each judged on its own; an empty table gives an empty table. Pages of any
-    length are read whole, in time that grows with their length; one without blocks has an empty text. Other columns are not
-    carried, whatever their names.
+    length are read whole, in time that grows with their length; one without blocks has an empty text. A name in a class, id or role tells
+    against the text in its element, but not where the element holds the page's main one or most of its text. Other
+    columns are not carried, whatever their names.
     """
 
     def run(batches):

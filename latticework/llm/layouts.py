@@ -9,6 +9,7 @@ import random
 
 PARTS = "b c d f g h k l m n p r s t v w st tr pl gr".split()
 ENDS = "a e i o u an el ir os um".split()
+WRAPPED = "sidebar comments footer top share menu social header promo widgets".split()
 STYLES = ("elements", "classes", "bare")
 
 
@@ -104,7 +105,11 @@ class Page:
             body.append(self.element("form", "newsletter", f"<label>{self.words(1, 4)}</label><input><button>{self.word()}</button>"))
         if r.random() < 0.8:
             body.append(self.element("footer", "footer", f"<p>&copy; {self.words(1, 3)}{' ' + self.prose(2) if r.random() < 0.3 else ''}</p>" + self.links(r.randint(2, 6))))
-        return f"<!DOCTYPE html><html><head><title>{self.main[0]}</title><script>var a = '<p>';</script></head><body>{''.join(body)}</body></html>"
+        inside = "".join(body)
+        if r.random() < 0.3:  # names of what the page has or is, round all of it
+            told = r.choice(("has", "no", "with", "page", "site", "x")) + "-" + r.choice(WRAPPED)
+            inside = r.choice((f'<div class="layout {told}">{inside}</div>', f'<div id="{told}">{inside}</div>', f'<form id="{told}">{inside}</form>', f'<div id="{r.choice(WRAPPED)}">{inside}</div>'))
+        return f"<!DOCTYPE html><html><head><title>{self.main[0]}</title><script>var a = '<p>';</script></head><body>{inside}</body></html>"
 
 
 def page(seed: int, style: str | None = None) -> tuple[str, list[str]]:

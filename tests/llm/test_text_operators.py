@@ -268,6 +268,35 @@ def test_broken_pages_end(piece):
     assert times[1] < max(0.5, 12 * times[0])
 
 
+PROSE = "One two three four five six seven eight nine ten words here. And more of it, as prose goes on."
+WRAPPERS = [
+    '<div class="layout has-sidebar"><article>', '<div class="page no-comments"><main>', '<div id="top"><div class="content">', '<div class="share-enabled"><article class="post">', '<div class="site with-footer"><article>',
+    '<article class="tag-social category-news">', '<article id="post-1" class="type-post sidebar-right">', "<form id=aspnetForm><div>", '<article title="the hidden truth">', '<article data-id="x role=menu">',
+]
+
+
+def wrapped(begin):
+    ends = "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", begin)))
+    return f'<html><body><nav><ul><li><a href="/">Home</a></li><li><a href="/a">About us</a></li></ul></nav>{begin}<p>{PROSE}</p><p>{PROSE}</p>{ends}<footer><p>&copy; us all</p></footer></body></html>'
+
+
+@pytest.mark.parametrize("begin", WRAPPERS)
+def test_names_round_an_article(begin):
+    assert htmltext.main_text(wrapped(begin)) == f"{PROSE} {PROSE}"
+
+
+@pytest.mark.parametrize("shape", ['<div class="x-{}"><article>', '<div class="{}-x"><main>', '<div id="{}"><article>', '<div class="page-{}"><div>', '<div class="{} page"><div class="entry-content">'])
+def test_no_listed_word_loses_an_article(shape):
+    assert [w for w in sorted(htmltext.AGAINST_WORDS) if htmltext.main_text(wrapped(shape.format(w))) != f"{PROSE} {PROSE}"] == []
+
+
+def test_names_beside_an_article_still_tell():
+    """Comments, also as articles of their own, sidebars with articles and long notices stay out."""
+    comment = f'<article class="comment-body"><p>{PROSE}</p></article>'
+    page = wrapped('<div class="has-sidebar"><article>').replace("<footer>", f'<div class="comments">{comment * 3}</div><aside><article><p>{PROSE}</p></article></aside><div class="cookie-notice"><p>{PROSE}</p></div><footer>')
+    assert htmltext.main_text(page) == f"{PROSE} {PROSE}"
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     html = {r["page_id"]: r["html"] for r in pages.collect()}

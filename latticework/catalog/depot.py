@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.catalog.code import Code, rules
+from latticework.catalog.renames import conflicts
 from latticework.catalog.shop import written
 from latticework.catalog.tables import table
+from latticework.catalog.units import Boundaries
+from latticework.plans.rules import rendered
 
 REGION = '''class Base{r}:
     def say(self):
@@ -257,5 +260,79 @@ def flow_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (receiver_impurity, self_members, inherited_members, receiver_references, variable_mutations, star_attribution, global_rebinds, flow_findings)}
-SQL = {"receiver_impurity": IMPURITY_SQL, "self_members": MEMBERS_SQL, "inherited_members": INHERITED_SQL, "receiver_references": USES_SQL, "variable_mutations": MUTATION_SQL, "star_attribution": STARS_SQL, "global_rebinds": REBINDS_SQL, "flow_findings": FINDINGS_SQL}
+DOMAIN = '''def rate{n}(amount):
+    return amount
+
+
+def cost{n}(amount):
+    return amount
+'''
+BARREL = '''from firm.domain.r{r}.n{n} import cost{n}
+'''
+APP = '''from firm.domain.r{r}.n{n} import rate{n}
+from firm.domain import cost{n}
+import json
+
+
+def price{k}(amount):
+    total = rate{n}(amount)
+    return [total + step for step in json.loads(cost{n}(amount))]
+'''
+ALLOW = {"app": ("domain", "domain.r0", "domain.r1", "store"), "domain": ("domain.r0", "domain.r1", "domain.r2")}
+BOUNDARIES = Boundaries(ALLOW, root="firm")
+
+
+def firm(spark: SparkSession, sf_dir: str) -> Code:
+    """Units in two levels: a part of the domain for each region, a package that passes one name of each nation on, an app module for each supplier."""
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"), F.col("n_regionkey").alias("r"))
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n")).join(nations, "n")
+    line = rendered(BARREL, dict(nations.dtypes))
+    package = nations.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "").alias("all"))  # one line a nation
+    out = written(nations, "src/firm/domain/r{r}/n{n}.py", DOMAIN).unionByName(written(package, "src/firm/domain/__init__.py", "{all}"))
+    return Code(out.unionByName(written(suppliers, "src/firm/app/s{k}.py", APP)))
+
+
+FIRM_CTES = """d AS (SELECT n_nationkey AS n, n_regionkey AS r, CASE WHEN n_regionkey < 3 THEN 'domain.r' || n_regionkey ELSE 'domain' END AS unit FROM nation),
+t AS (SELECT s_suppkey AS k, d.* FROM supplier JOIN d ON n = s_nationkey)"""
+
+BOUNDARY_SQL = f"""WITH {FIRM_CTES}
+SELECT 'src/firm/app/s' || k || '.py' AS path, x.line::INTEGER AS line, 'package ''app'' may not import ''' || unit || ''' (' || x.detail || ' ''firm.domain.' || CASE WHEN x.line = 1 THEN 'r' || r || '.n' || n || '.rate' ELSE 'cost' END || n || ''')' AS message FROM t, (VALUES (1, 'via'), (2, 'via re-export')) x(line, detail) WHERE unit = 'domain.r2'
+UNION ALL SELECT 'src/firm/domain/r' || r || '/n' || min(n::VARCHAR) || '.py', 1, 'package ''' || unit || ''' is not declared' FROM d WHERE unit <> 'domain' GROUP BY r, unit
+UNION ALL SELECT 'pyproject.toml', 1, '''app'' may import ''store'' but never does' UNION ALL SELECT 'pyproject.toml', 1, '''app'' may import ''domain'' but never does' WHERE NOT EXISTS (SELECT 1 FROM t WHERE unit = 'domain')"""
+
+
+def boundary_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports over the bounds of nested units, units that nobody declared, allowances that nothing uses."""
+    return BOUNDARIES.rule(firm(spark, sf_dir)).findings().select("path", "line", "message")
+
+
+CENSUS_SQL = f"""WITH {FIRM_CTES}
+SELECT unit, false AS declared, min('src/firm/domain/r' || r || '/n' || n || '.py') AS file_path FROM d WHERE unit <> 'domain' GROUP BY unit
+UNION ALL SELECT 'domain', true, 'src/firm/domain/__init__.py' UNION ALL SELECT 'app', true, min('src/firm/app/s' || k || '.py') FROM t"""
+
+
+def unit_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every unit, whether it is declared, and the file that stands for it."""
+    return BOUNDARIES.units(firm(spark, sf_dir)).select("unit", "declared", "file_path")
+
+
+RENAMES_SQL = f"""WITH {FIRM_CTES}
+SELECT CASE WHEN x.id = 'nothing' THEN 'firm.app.s' || k || ':nothing' ELSE 'firm.app.s' || k || ':' || replace(x.id, '@k', k::VARCHAR) END AS symbol_id, replace(x.new, '@n', n::VARCHAR) AS new_name, x.reason FROM t, (VALUES
+ ('price@k.total', 'total', 'new-name-differs'), ('price@k.total', 'for', 'valid-identifier'), ('price@k.total', 'amount', 'no-scope-name-conflict'), ('price@k.total', 'step', 'captured-by-inner-scope'), ('price@k.total', 'cost@n', 'captures-outer-name'),
+ ('price@k.total', 'sum', ''), ('price@k', 'json', 'no-scope-name-conflict'), ('json', 'other', ''), ('json', 'step', ''), ('nothing', 'x', 'symbol-resolves-uniquely')) x(id, new, reason)"""
+
+
+def rename_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of new names proposed for the names of each app module."""
+    code = firm(spark, sf_dir)
+    at = code.raw["files"].where("file_path like 'src/firm/app/%'").select("module", F.regexp_extract("module", r"(\d+)$", 1).alias("k"))
+    costs = code.symbols.where("kind = 'import' and name like 'cost%'").select("module", F.regexp_extract("name", r"(\d+)$", 1).alias("n"))
+    new = [("price@k.total", x) for x in ("total", "for", "amount", "step", "cost@n", "sum")] + [("price@k", "json"), ("json", "other"), ("json", "step"), ("nothing", "x")]
+    asked = F.explode(F.array(*(F.struct(F.lit(i).alias("id"), F.lit(x).alias("new")) for i, x in new)))
+    full = lambda c: F.replace(F.replace(F.col(c), F.lit("@k"), F.col("k")), F.lit("@n"), F.col("n"))
+    proposals = at.join(costs, "module").select("module", "k", "n", asked.alias("x")).select("*", "x.*")
+    return conflicts(code, proposals.select(F.concat("module", F.lit(":"), full("id")).alias("symbol_id"), full("new").alias("new_name")))
+
+
+QUERIES = {f.__name__: f for f in (receiver_impurity, self_members, inherited_members, receiver_references, variable_mutations, star_attribution, global_rebinds, flow_findings, boundary_findings, unit_census, rename_conflicts)}
+SQL = {"receiver_impurity": IMPURITY_SQL, "self_members": MEMBERS_SQL, "inherited_members": INHERITED_SQL, "receiver_references": USES_SQL, "variable_mutations": MUTATION_SQL, "star_attribution": STARS_SQL, "global_rebinds": REBINDS_SQL, "flow_findings": FINDINGS_SQL, "boundary_findings": BOUNDARY_SQL, "unit_census": CENSUS_SQL, "rename_conflicts": RENAMES_SQL}

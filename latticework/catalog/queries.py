@@ -349,6 +349,17 @@ def edit_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.overlapping(edits, "file", "n", "a", "b")
 
 
+@query("""WITH p AS (SELECT l_suppkey AS file, l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS n, CAST(l_quantity * 100 AS BIGINT) + l_partkey % 100 AS a, CAST(l_quantity * 100 AS BIGINT) + l_partkey % 100 + l_orderkey % 13 AS b FROM lineitem),
+g AS (SELECT file, list_reduce(list({'n': n, 'a': a, 'b': b} ORDER BY n) FILTER (a < b), lambda k, x: CASE WHEN len(list_filter(k, lambda y: y.a < x.b AND x.a < y.b)) = 0 THEN list_append(k, x) ELSE k END, CAST([] AS STRUCT(n BIGINT, a BIGINT, b BIGINT)[])) AS k FROM p GROUP BY file)
+SELECT p.file, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, a >= b OR list_contains(list_transform(k, lambda y: y.n), n) AS kept FROM p JOIN g USING (file)""")
+def claimed_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which edits of a file go through when each, in order, is refused where it overlaps one that went through."""
+    at = (F.col("l_quantity") * 100).cast("long") + F.col("l_partkey") % 100
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    edits = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("file"), *order, at.alias("a"), (at + F.col("l_orderkey") % 13).alias("b"))
+    return layers.claimed(edits, "file", "a", "b", order).select("file", "l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_partkey", "kept")
+
+
 @query("""SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 10 <> 0 UNION ALL SELECT s_suppkey, upper(s_name) FROM supplier WHERE s_suppkey % 10 = 0 AND s_suppkey % 20 <> 0""")
 def overlay_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A what-if layer over a base: rewritten rows stand before the base's, deleted ones hide them."""

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from dataclasses import field as field_
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -17,6 +19,7 @@ from latticework.operators.graph import affected, ancestry, chased, strong_compo
 from latticework.operators.intervals import innermost
 from latticework.operators.ranking import first_by, top_text
 from latticework.plans.evidence import HEURISTIC, all_of, any_of, field, not_, weakened_when
+from latticework.plans.kept import Kept
 from latticework.plans.relation import Relation
 from latticework.plans.rules import Part, Rule
 from latticework.sources.python_code import code_tables
@@ -34,6 +37,7 @@ class Code:
     """The tables of a set of sources (path, content), each built when it is asked for."""
 
     sources: DataFrame
+    kept: Kept = field_(default_factory=Kept, compare=False, repr=False)
 
     @cached_property
     def raw(self) -> dict[str, DataFrame]:
@@ -263,7 +267,8 @@ def rules(code: Code, root: str | None = None, allow: dict[str, list[str]] | Non
     missing = r.where(all_of(not_(field("resolved", "bool")), not_(field("symbol_id").startswith("<unresolved>.")), field("kind").is_in("read", "call")))
     out["no-unresolved-refs"] = Rule("no-unresolved-refs", (Part(missing, "'{name}' is not defined", "file_path", "line"),))
 
-    dynamic = code.uses.where(F.col("name").isin(*DYNAMIC)).where("kind = 'call'").select("module").distinct()
+    kept = code.kept
+    dynamic = code.uses.where(F.col("name").isin(*DYNAMIC)).where("kind = 'call'").select("module")
     bound = code.refs.where("bound is not null and kind <> 'write'").select(F.col("bound").alias("used")).union(code.refs.where("root_id is not null").select("root_id"))
     # A file with __all__ passes its imports on by their names' texts; a dotted import binds no name of its own; quoted annotations read names.
     listed = code.symbols.where("name = '__all__'").select("file_path").distinct()
@@ -271,15 +276,16 @@ def rules(code: Code, root: str | None = None, allow: dict[str, list[str]] | Non
     dotted = code.raw["refs"].where("kind = 'imports' and contains(name, '.')").select("file_path", "line", F.substring_index("name", ".", 1).alias("imported_from")).distinct()
     imports = code.symbols.where("kind = 'import' and not file_path like '%__init__.py' and not startswith(imported_from, '__future__')")
     imports = imports.join(listed, "file_path", "left_anti").join(quoted, ["file_path", "name"], "left_anti").join(dotted, ["file_path", "line", "imported_from"], "left_anti")
-    unused = code.relation(imports).with_membership("used", "symbol_id", bound).with_membership("dynamic", "module", dynamic)
+    unused = code.relation(imports).with_membership("used", "symbol_id", bound).with_membership("dynamic", "module", dynamic, kept)
     unused = unused.where(not_(field("used", "bool"))).where(weakened_when(field("dynamic", "bool"), HEURISTIC))
     out["unused-imports"] = Rule("unused-imports", (Part(unused, "'{name}' is imported but unused", "file_path", "line"),))
 
-    elsewhere = code.uses.where("kind <> 'write'").select("definition", "module", "file_path")
+    elsewhere = kept.once(code.uses.where("kind <> 'write'").select("definition", "module", "file_path").distinct(), "used-where")
     exports = code.symbols.where("kind = 'import' and file_path like '%__init__.py'").join(code.definitions, "symbol_id").select("definition").distinct()
     base = code.symbols.where("is_module_level and kind in ('function', 'class') and name <> 'main' and not file_path like '%__main__.py'")
-    candidates = code.relation(base).with_membership("referenced", "symbol_id", elsewhere.select("definition")).with_membership("exported", "symbol_id", exports).with_membership("dynamic", "module", dynamic)
+    candidates = code.relation(base).with_membership("referenced", "symbol_id", elsewhere.select("definition")).with_membership("exported", "symbol_id", exports).with_membership("dynamic", "module", dynamic, kept)
     candidates = candidates.where(all_of(public, not_(field("exported", "bool"))))
+    candidates = replace(candidates, df=kept.once(candidates.df, "candidates"))
     dead = candidates.where(not_(field("referenced", "bool"))).where(weakened_when(field("dynamic", "bool"), HEURISTIC))
     out["unused-public-symbol"] = Rule("unused-public-symbol", (Part(dead, "{kind} '{name}' is never used", "file_path", "line"),))
 
@@ -294,7 +300,7 @@ def rules(code: Code, root: str | None = None, allow: dict[str, list[str]] | Non
     # What a package's __init__ passes on, and who uses it from outside the package.
     passed = code.symbols.where("kind = 'import' and file_path like '%__init__.py'").join(code.definitions, "symbol_id")
     package = F.col("module")
-    inside = passed.where(F.col("definition").startswith(F.concat(package, F.lit("."))))
+    inside = kept.once(passed.where(F.col("definition").startswith(F.concat(package, F.lit(".")))), "exports")
     users = elsewhere.select("definition", F.col("module").alias("user")).distinct()
     outside = inside.select("definition", F.col("module").alias("owner")).join(users, "definition").where((F.col("user") != F.col("owner")) & ~F.col("user").startswith(F.concat("owner", F.lit(".")))).select(F.concat_ws("|", "owner", "definition").alias("key")).distinct()
     exported = Relation.of(inside.withColumn("key", F.concat_ws("|", "module", "definition")), "symbol_id", ("file_path", "ord")).with_membership("outside", "key", outside)
@@ -340,7 +346,7 @@ def rules(code: Code, root: str | None = None, allow: dict[str, list[str]] | Non
     reasons = reasons.select(F.col("function_id").alias("symbol_id"), F.col("shown").alias("reasons"))
     unsure = code.observations.groupBy(F.col("function_id").alias("symbol_id")).agg(F.bool_and("unsure").alias("unsure"))
     impure = functions.join(reasons, "symbol_id", "left").join(unsure, "symbol_id", "left").withColumn("reason", F.coalesce("reasons", F.lit("calls an impure function"))).withColumn("unsure", F.coalesce("unsure", F.lit(False)))
-    impure = code.relation(impure).where(weakened_when(field("unsure", "bool"), HEURISTIC))
+    impure = code.relation(kept.once(impure, "impure")).where(weakened_when(field("unsure", "bool"), HEURISTIC))
     out["no-impure-functions"] = Rule("no-impure-functions", (Part(impure, "{kind} '{name}' is impure: {reason}", "file_path", "line"),))
     contract = Relation(impure.df.where(F.exists("decorators", lambda d: F.substring_index(d, "(", 1).isin(*PURE_DECORATORS))), impure.anchor, impure.order, impure.fields)
     out["pure-decorator-contracts"] = Rule("pure-decorator-contracts", (Part(contract, "{kind} '{name}' should be pure: {reason}", "file_path", "line"),))

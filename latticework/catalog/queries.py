@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from latticework.catalog.tables import relation, table
-from latticework.functions import captures, names
+from latticework.functions import captures, names, summaries
 from latticework.operators import graph, intervals, layers, ranking, tree
 from latticework.plans.evidence import DECLARED, HEURISTIC, INFERRED, all_of, any_of, constant, field, not_, opaque, weakened_when
 from latticework.plans.relation import decisions
@@ -421,3 +421,32 @@ def multiset_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What one bag of rows has oftener than another."""
     parts = table(spark, sf_dir, "part")
     return layers.both_ways(parts.where("p_size < 25").select("p_brand"), parts.where("p_size >= 25").select("p_brand"))
+
+
+@query("""WITH o AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS section, 'p' || l_partkey || '.py' AS path, CAST(l_quantity AS BIGINT) % 5 AS added, l_suppkey % 4 AS removed, 1 + l_partkey % 2 AS hunks, CASE WHEN l_partkey % 3 = 0 THEN 2 ELSE 3 END AS heads FROM lineitem),
+n AS (SELECT *, heads + hunks + added + removed AS size FROM o)
+SELECT l_orderkey, section::INTEGER AS section, path, added, removed, hunks, (1 + CASE WHEN section = 1 AND heads = 2 THEN 1 ELSE 0 END + sum(size) OVER w - size + CASE WHEN section > 1 AND heads = 2 THEN 1 ELSE 0 END)::INTEGER AS first_line, (sum(size) OVER w + CASE WHEN lead(heads) OVER w = 2 THEN 1 ELSE 0 END)::INTEGER AS last_line FROM n WINDOW w AS (PARTITION BY l_orderkey ORDER BY section)""")
+def diff_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of a diff for each order, with and without a header of git."""
+    return summaries.diff_sections(_diffs(spark, sf_dir), "text", "l_orderkey")
+
+
+def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's lines as a diff: a file for each, some with a header of git; hunks, added and removed lines by its numbers."""
+    path = F.concat(F.lit("p"), F.col("l_partkey").cast("string"), F.lit(".py"))
+    git = F.when(F.col("l_partkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n")))
+    times = lambda text, n: F.repeat(F.lit(text), n.cast("int"))
+    body = F.concat(git, F.lit("--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n"), times("@@ -1 +1 @@\n", 1 + F.col("l_partkey") % 2), times("+new\n", F.col("l_quantity").cast("long") % 5), times("-old\n", F.col("l_suppkey") % 4))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_quantity", body.alias("body")).alias("line"))
+    return lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["body"]), "").alias("text"))  # an order has few lines
+
+
+@query("""WITH t AS (SELECT l_suppkey, 'part' || l_partkey || '.py' AS path, count(*) AS n FROM lineitem GROUP BY 1, 2), g AS (SELECT l_suppkey, sum(n)::INTEGER AS lines, len(list(path))::INTEGER AS paths, list({'path': path, 'matches': n} ORDER BY n DESC, path) AS m FROM t GROUP BY 1),
+c AS (SELECT l_suppkey, k, CAST(to_json({'format': 'search', 'lines': lines, 'paths': paths, 'shown': list_slice(m, 1, k)}) AS VARCHAR) AS summary FROM g, (VALUES (8), (4), (2), (1)) v(k)
+ UNION ALL SELECT l_suppkey, 0, CAST(to_json({'format': 'search', 'lines': lines, 'paths': paths}) AS VARCHAR) FROM g)
+SELECT l_suppkey, 'search' AS format, arg_max(summary, k) FILTER (strlen(summary) <= 180 OR k = 0) AS summary FROM c GROUP BY l_suppkey""")
+def search_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search's output for each supplier, summed up in 180 bytes: as many of the paths with most matches as fit."""
+    line = F.concat(F.lit("part"), F.col("l_partkey").cast("string"), F.lit(".py:"), F.col("l_linenumber").cast("string"), F.lit(": found"))
+    found = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.array_join(F.collect_list(line), "\n").alias("text"))
+    return summaries.summaries(found, "text", "l_suppkey", most_bytes=180)

@@ -39,8 +39,8 @@ def excerpt(text: Column, head: int, tail: int) -> Column:
 
 
 def pytest_tally(text: Column, outcome: str) -> Column:
-    """The number before the outcome's name in the last summary line."""
-    return F.coalesce(F.nullif(F.regexp_extract(text, rf"(?s).*\b(\d+) {outcome}", 1), F.lit("")).cast("long"), F.lit(0).cast("long"))
+    """The number before the outcome's name in the last summary line. Anchored, so that a text without one is gone through once."""
+    return F.coalesce(F.nullif(F.regexp_extract(text, rf"(?s)\A.*\b(\d+) {outcome}", 1), F.lit("")).cast("long"), F.lit(0).cast("long"))
 
 
 def search_tally(captures: DataFrame, text_col: str, id_col: str) -> DataFrame:

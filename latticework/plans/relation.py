@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from latticework.plans.errors import AuthoringError, DerivedField, MutationPrecondition, UnknownField, UnplannableMutation
 from latticework.plans.evidence import DECLARED, UNKNOWN, Expr, truthy, why
+from latticework.plans.kept import Kept
 
 EVIDENCE = "_ev"
 
@@ -74,14 +75,17 @@ class Relation:
         self._known(*names)
         return replace(self, fields=names, lineage=(*self.lineage, f"project({', '.join(names)})"))
 
-    def with_membership(self, name: str, key: str, members: DataFrame) -> Relation:
-        """A boolean field: the key is among the first column of `members`. NULL is in no set. Never adds rows."""
+    def with_membership(self, name: str, key: str, members: DataFrame, kept: Kept | None = None) -> Relation:
+        """A boolean field: the key is among the first column of `members`. NULL is in no set. Never adds rows. A set that others ask
+        for too is stored once, where `kept` is given.
+        """
         self._known(key)
         if name in self.fields:
             raise DerivedField(f"the field {name!r} is there already", field=name)
         column = members.columns[0]
         own = fresh(self.df, "_member")
-        members = members.select(F.col(column).alias(own)).where(F.col(own).isNotNull()).distinct()
+        members = members.select(F.col(column).alias("member")).where("member is not null").distinct()
+        members = (kept.once(members, "set") if kept else members).select(F.col("member").alias(own))
         df = self.df.join(members, F.col(key) == F.col(own), "left").withColumn(name, F.col(own).isNotNull()).drop(own)
         return replace(self, df=df, fields=(*self.fields, name), lineage=(*self.lineage, f"in_set({key})"), looked_up=self.looked_up | {name})
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 from latticework.catalog.code import Code, rules
 from latticework.catalog.universes import Universes
 from latticework.functions.docstrings import documented
+from latticework.functions import summaries
 from latticework.functions.names import snake_case
 from latticework.operators import intervals, layers
 from latticework.plans.evidence import field
+from latticework.plans.kept import Kept
 from latticework.plans.relation import Relation
 
 
@@ -241,3 +244,78 @@ def test_receivers(spark):
     assert sure == {(14, "receiver_inferred"), (15, "receiver_declared")}
     members = {r["member"] for r in code.members.where("own and container = 'app:Svc'").collect()}
     assert members == {f"app:Svc.{n}" for n in ("store", "first", "second", "kept", "found")}
+
+
+def test_equal_sets_are_stored_once(spark):
+    """Plans of one meaning are one table, however they came about; other plans are others."""
+    kept = Kept()
+    rows = spark.createDataFrame([(i, i % 3) for i in range(9)], "a long, b long")
+    one = kept.once(rows.where("a > 2").select("b").distinct())
+    two = kept.once(rows.where(F.col("a") > 2).select("b").distinct())
+    other = kept.once(rows.where("a > 6").select("b").distinct())
+    assert (kept.asked, kept.built) == (3, 2)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect())) == [(0,), (1,), (2,)] and len(other.collect()) == 2
+
+
+def test_rules_build_each_shared_set_once(spark):
+    code = project(spark, CLASSES)
+    first = rules(code)
+    built = code.kept.built
+    assert 0 < built < code.kept.asked  # several rules ask for one set
+    again = rules(code)
+    assert code.kept.built == built
+    assert sorted(map(repr, again["no-impure-functions"].findings().collect())) == sorted(map(repr, first["no-impure-functions"].findings().collect()))
+
+
+DIFF = """noise
+@@ nowhere @@
+--- a/old.py
++++ b/new.py\t2020
+@@ -1 +1 @@
++a
+-b
+--- a/x.py
++++ b/x.py
+@@ -1 +1 @@
+@@ -9 +9 @@
+ c
+diff --git a/p.py b/q.py
+similarity index 100%
+diff --git a/r.py b/r.py
+--- /dev/null
++++ b/r2.py
++d
+++++ e
+"""
+
+
+def test_sections_of_a_diff(spark):
+    rows = spark.createDataFrame([(1, DIFF), (2, "nothing\n"), (3, None), (None, DIFF)], "id long, text string")
+    got = [tuple(r) for r in summaries.diff_sections(rows, "text", "id").orderBy("section").collect()]
+    assert got == [(1, 1, "new.py", 1, 1, 1, 4, 8), (1, 2, "x.py", 0, 0, 2, 9, 12), (1, 3, "q.py", 0, 0, 0, 13, 14), (1, 4, "r2.py", 2, 0, 0, 15, 19)]
+
+
+def test_summaries_fit(spark):
+    """Every format is cut until it fits, and what claims a format without having it is a text."""
+    long_ = "\n".join(f"line {i} " + "x" * (i % 200) for i in range(300))
+    texts = {
+        "diff": "\n".join(f"diff --git a/f{i}.py b/f{i}.py\n@@ -1 +1 @@\n+a" for i in range(40)),
+        "search": "\n".join(f"some/path/file{i % 30}.py:{i}: hit" for i in range(90)),
+        "pytest": "===== test session starts =====\n...\n===== 3 passed, 1 failed in 0.1s =====",
+        "json": '{"a": [1, 2], "b": "c"}',
+        "text": long_,
+        "claims": "@@ -1 +1 @@\nno file begins",
+        "empty": "",
+        "null": None,
+    }
+    rows = spark.createDataFrame(list(texts.items()), "id string, text string")
+    for most in (4096, 600, 200):
+        got = {r["id"]: (r["format"], json.loads(r["summary"])) for r in summaries.summaries(rows, "text", "id", most_bytes=most).collect()}
+        assert {k: f for k, (f, _) in got.items()} == {k: k if k in ("diff", "search", "pytest", "json") else "text" for k in texts}
+        assert all(len(json.dumps(s, separators=(",", ":")).encode()) <= most for k, (_, s) in got.items())
+        assert got["diff"][1]["files"] == 40 and got["diff"][1]["added"] == 40 and got["search"][1]["paths"] == 30
+        assert (got["pytest"][1]["passed"], got["pytest"][1]["failed"]) == (3, 1) and got["empty"][1]["lines"] == 0
+    fine = {r["id"]: json.loads(r["summary"]) for r in summaries.summaries(rows, "text", "id", most_bytes=4096).collect()}
+    assert [x["path"] for x in fine["diff"]["shown"]] == [f"f{i}.py" for i in range(8)]
+    assert fine["search"]["shown"][0] == {"path": "some/path/file0.py", "matches": 3} and len(fine["search"]["shown"]) == 8
+    assert fine["text"]["head"][0] == "line 0 " and fine["text"]["tail"][-1].startswith("line 299 ")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from latticework.catalog.members import all_members, containers, mutations, received
 from latticework.functions.docstrings import documented
 from latticework.functions.effects import IMPURE_BUILTINS, IMPURE_FUNCTIONS, MUTATORS, impure_method
-from latticework.functions.names import bare_type, conforms, forward_names, visibility
+from latticework.functions.names import bare_type, conforms, forward_names, package_under, visibility
 from latticework.operators.graph import affected, ancestry, chased, strong_components
 from latticework.operators.intervals import innermost
 from latticework.operators.ranking import first_by, top_text
@@ -52,7 +52,7 @@ class Code:
         base = F.concat("scope_id", apart, "name")
         df = self.raw["declared"].withColumn("n", n).withColumn("symbol_id", F.when(F.col("n") > 1, F.concat(base, F.lit("$"), F.col("n").cast("string"))).otherwise(base))
         df = df.join(self.raw["files"].select("file_path", "module"), "file_path")
-        df = df.select("file_path", "ord", "symbol_id", "name", "kind", visibility(F.col("name")).alias("visibility"), "line", "scope_id", "scope_kind", "docstring", "decorators", "annotation", "annotation_confidence", "imported_from", "parameters", "module", (F.col("scope_kind") == "module").alias("is_module_level"))
+        df = df.select("file_path", "ord", "symbol_id", "name", "kind", visibility(F.col("name")).alias("visibility"), "line", "scope_id", "scope_kind", "docstring", "decorators", "annotation", "annotation_confidence", "imported_from", "import_confidence", "parameters", "module", (F.col("scope_kind") == "module").alias("is_module_level"))
         return stored(df, "code-symbols")
 
     @cached_property
@@ -247,9 +247,10 @@ class Code:
         return Relation.of(df, anchor, ("file_path", "ord") if "ord" in df.columns else None)
 
 
-def rules(code: Code, root: str | None = None, allow: dict[str, list[str]] | None = None, recorded: DataFrame | None = None, complete_docstrings: bool = False) -> dict[str, Rule]:
+def rules(code: Code, root: str | None = None, allow: dict[str, list[str]] | None = None, recorded: DataFrame | None = None, complete_docstrings: bool = False, library: bool = False, public_roots: tuple[str, ...] = ()) -> dict[str, Rule]:
     """The rules by name. root and allow: the package whose parts may import only what is allowed. recorded: public
     symbols known before (symbol_id), which arms the rule on new ones. complete_docstrings: all parameters must be told.
+    library: what the packages below public_roots (or all packages) export is for others, and never over-exposed.
     """
     s = code.relation(code.symbols)
     callable_ = field("kind").is_in("function", "class", "method")
@@ -274,7 +275,7 @@ def rules(code: Code, root: str | None = None, allow: dict[str, list[str]] | Non
     listed = code.symbols.where("name = '__all__'").select("file_path").distinct()
     quoted = code.symbols.where("annotation is not null").select("file_path", F.explode(forward_names(F.col("annotation"))).alias("name")).distinct()
     dotted = code.raw["refs"].where("kind = 'imports' and contains(name, '.')").select("file_path", "line", F.substring_index("name", ".", 1).alias("imported_from")).distinct()
-    imports = code.symbols.where("kind = 'import' and not file_path like '%__init__.py' and not startswith(imported_from, '__future__')")
+    imports = code.symbols.where("kind = 'import' and not file_path like '%__init__.py' and not startswith(imported_from, '__future__') and import_confidence is null")
     imports = imports.join(listed, "file_path", "left_anti").join(quoted, ["file_path", "name"], "left_anti").join(dotted, ["file_path", "line", "imported_from"], "left_anti")
     unused = code.relation(imports).with_membership("used", "symbol_id", bound).with_membership("dynamic", "module", dynamic, kept)
     unused = unused.where(not_(field("used", "bool"))).where(weakened_when(field("dynamic", "bool"), HEURISTIC))
@@ -303,15 +304,23 @@ def rules(code: Code, root: str | None = None, allow: dict[str, list[str]] | Non
     inside = kept.once(passed.where(F.col("definition").startswith(F.concat(package, F.lit(".")))), "exports")
     users = elsewhere.select("definition", F.col("module").alias("user")).distinct()
     outside = inside.select("definition", F.col("module").alias("owner")).join(users, "definition").where((F.col("user") != F.col("owner")) & ~F.col("user").startswith(F.concat("owner", F.lit(".")))).select(F.concat_ws("|", "owner", "definition").alias("key")).distinct()
+    if library:
+        within = F.lit(not public_roots)
+        for root_ in public_roots:
+            within = within | (F.col("module") == root_) | F.col("module").startswith(f"{root_}.")
+        inside = inside.join(passed.where(within).select("definition").distinct(), "definition", "left_anti")
     exported = Relation.of(inside.withColumn("key", F.concat_ws("|", "module", "definition")), "symbol_id", ("file_path", "ord")).with_membership("outside", "key", outside)
     out["over-exposed-export"] = Rule("over-exposed-export", (Part(exported.where(not_(field("outside", "bool"))), "'{name}' is exported by {module} but not used outside it", "file_path", "line"),))
 
-    # Imports from a module of what its package exports.
-    barrels = first_by(inside.withColumnRenamed("module", "barrel"), ["definition"], ["barrel"], ["barrel"])
-    direct = code.symbols.where("kind = 'import' and not file_path like '%__init__.py'").join(code.definitions, "symbol_id").join(barrels, "definition")
-    source = F.regexp_replace("imported_from", r"\.[^.]*$", "")
-    past = direct.withColumn("target", source).where((source != F.col("barrel")) & ~(F.col("module") == F.col("barrel")) & ~F.col("module").startswith(F.concat("barrel", F.lit("."))))
-    out["barrel-only"] = Rule("barrel-only", (Part(code.relation(past), "import '{name}' from {barrel}, not from {target}", "file_path", "line"),))
+    # Imports, past the package of another part of the root, of what its __init__ exports; only one with __all__ is a barrel.
+    barrels = code.symbols.where("file_path like '%__init__.py' and name = '__all__' and kind = 'variable'").select("file_path", F.col("module").alias("barrel"))
+    exports_ = barrels.join(passed.select("file_path", "definition"), "file_path").select("barrel", "definition").distinct()
+    top = F.lit(root) if root else F.substring_index("module", ".", 1)
+    target, below = F.regexp_replace("imported_from", r"\.[^.]*$", ""), lambda c: package_under(c, F.col("top"))
+    direct = code.symbols.where("kind = 'import' and not file_path like '%__init__.py' and import_confidence is null and contains(imported_from, '.')").join(code.definitions, "symbol_id")
+    direct = direct.withColumn("top", top).withColumn("target", target).withColumn("part", below(F.col("target"))).where(F.col("part") != below(F.col("module")))
+    past = direct.withColumn("barrel", F.concat_ws(".", "top", "part")).where("barrel <> target").withColumn("imported_name", F.substring_index("imported_from", ".", -1)).join(exports_, ["barrel", "definition"])
+    out["barrel-only"] = Rule("barrel-only", (Part(code.relation(past), "import '{imported_name}' from {barrel}, not from {target}", "file_path", "line"),))
 
     test_path = F.col("file_path").rlike(r"(^|/)(tests?/|test_[^/]*\.py$)")
     tested = elsewhere.where(test_path).select("definition").distinct()

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latticework.catalog import shop
 from latticework.catalog.code import Code, rules
 from latticework.catalog.renames import conflicts
 from latticework.catalog.shop import written
@@ -272,6 +273,8 @@ BARREL = '''from firm.domain.r{r}.n{n} import cost{n}
 APP = '''from firm.domain.r{r}.n{n} import rate{n}
 from firm.domain import cost{n}
 import json
+from firm.domain.r{r}.n{n} import cost{n} as deep{n}
+__import__("firm.domain.r{r}.late")
 
 
 def price{k}(amount):
@@ -288,7 +291,7 @@ def firm(spark: SparkSession, sf_dir: str) -> Code:
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n")).join(nations, "n")
     line = rendered(BARREL, dict(nations.dtypes))
     package = nations.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "").alias("all"))  # one line a nation
-    out = written(nations, "src/firm/domain/r{r}/n{n}.py", DOMAIN).unionByName(written(package, "src/firm/domain/__init__.py", "{all}"))
+    out = written(nations, "src/firm/domain/r{r}/n{n}.py", DOMAIN).unionByName(written(package, "src/firm/domain/__init__.py", "{all}__all__ = []\n"))
     return Code(out.unionByName(written(suppliers, "src/firm/app/s{k}.py", APP)))
 
 
@@ -296,14 +299,36 @@ FIRM_CTES = """d AS (SELECT n_nationkey AS n, n_regionkey AS r, CASE WHEN n_regi
 t AS (SELECT s_suppkey AS k, d.* FROM supplier JOIN d ON n = s_nationkey)"""
 
 BOUNDARY_SQL = f"""WITH {FIRM_CTES}
-SELECT 'src/firm/app/s' || k || '.py' AS path, x.line::INTEGER AS line, 'package ''app'' may not import ''' || unit || ''' (' || x.detail || ' ''firm.domain.' || CASE WHEN x.line = 1 THEN 'r' || r || '.n' || n || '.rate' ELSE 'cost' END || n || ''')' AS message FROM t, (VALUES (1, 'via'), (2, 'via re-export')) x(line, detail) WHERE unit = 'domain.r2'
-UNION ALL SELECT 'src/firm/domain/r' || r || '/n' || min(n::VARCHAR) || '.py', 1, 'package ''' || unit || ''' is not declared' FROM d WHERE unit <> 'domain' GROUP BY r, unit
-UNION ALL SELECT 'pyproject.toml', 1, '''app'' may import ''store'' but never does' UNION ALL SELECT 'pyproject.toml', 1, '''app'' may import ''domain'' but never does' WHERE NOT EXISTS (SELECT 1 FROM t WHERE unit = 'domain')"""
+SELECT 'src/firm/app/s' || k || '.py' AS path, x.line::INTEGER AS line, 'package ''app'' may not import ''' || unit || ''' (' || x.detail || ' ''firm.domain.' || replace(replace(x.name, '@r', r::VARCHAR), '@n', n::VARCHAR) || ''')' AS message, x.confidence FROM t,
+ (VALUES (1, 'via', 'r@r.n@n.rate@n', 'declared'), (2, 'via re-export', 'cost@n', 'declared'), (4, 'via', 'r@r.n@n.cost@n', 'declared'), (5, 'via', 'r@r.late', 'heuristic')) x(line, detail, name, confidence) WHERE unit = 'domain.r2'
+UNION ALL SELECT 'src/firm/domain/r' || r || '/n' || min(n::VARCHAR) || '.py', 1, 'package ''' || unit || ''' is not declared', 'declared' FROM d WHERE unit <> 'domain' GROUP BY r, unit
+UNION ALL SELECT 'pyproject.toml', 1, '''app'' may import ''store'' but never does', 'declared' UNION ALL SELECT 'pyproject.toml', 1, '''app'' may import ''domain'' but never does', 'declared' WHERE NOT EXISTS (SELECT 1 FROM t WHERE unit = 'domain')"""
 
 
 def boundary_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imports over the bounds of nested units, units that nobody declared, allowances that nothing uses."""
-    return BOUNDARIES.rule(firm(spark, sf_dir)).findings().select("path", "line", "message")
+    return BOUNDARIES.rule(firm(spark, sf_dir)).findings().select("path", "line", "message", "confidence")
+
+
+BARRELS_SQL = f"""WITH {FIRM_CTES}
+SELECT 'src/firm/app/s' || k || '.py' AS path, 4::INTEGER AS line, 'import ''cost' || n || ''' from firm.domain, not from firm.domain.r' || r || '.n' || n AS message FROM t"""
+
+
+def barrel_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports past a package that exports the name; the first of each file's names isn't exported, the second comes through the package."""
+    return rules(firm(spark, sf_dir))["barrel-only"].findings().select("path", "line", "message")
+
+
+CONTRACT_SQL = """SELECT x.mode, 'src/shop/__init__.py' AS path, (row_number() OVER (PARTITION BY x.mode ORDER BY n_nationkey))::INTEGER AS line, '''rate_' || n_nationkey || ''' is exported by shop but not used outside it' AS message FROM nation, (VALUES ('app'), ('other root')) x(mode)"""
+
+
+def export_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports that nobody outside uses: all of them in an application, none in a library whose root they are below."""
+    code, out = Code(shop.sources(spark, sf_dir)), None
+    for mode, options in {"app": {}, "library": {"library": True}, "root": {"library": True, "public_roots": ("shop",)}, "other root": {"library": True, "public_roots": ("store",)}}.items():
+        found = rules(code, **options)["over-exposed-export"].findings().select(F.lit(mode).alias("mode"), "path", "line", "message")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 CENSUS_SQL = f"""WITH {FIRM_CTES}
@@ -334,5 +359,5 @@ def rename_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conflicts(code, proposals.select(F.concat("module", F.lit(":"), full("id")).alias("symbol_id"), full("new").alias("new_name")))
 
 
-QUERIES = {f.__name__: f for f in (receiver_impurity, self_members, inherited_members, receiver_references, variable_mutations, star_attribution, global_rebinds, flow_findings, boundary_findings, unit_census, rename_conflicts)}
-SQL = {"receiver_impurity": IMPURITY_SQL, "self_members": MEMBERS_SQL, "inherited_members": INHERITED_SQL, "receiver_references": USES_SQL, "variable_mutations": MUTATION_SQL, "star_attribution": STARS_SQL, "global_rebinds": REBINDS_SQL, "flow_findings": FINDINGS_SQL, "boundary_findings": BOUNDARY_SQL, "unit_census": CENSUS_SQL, "rename_conflicts": RENAMES_SQL}
+QUERIES = {f.__name__: f for f in (receiver_impurity, self_members, inherited_members, receiver_references, variable_mutations, star_attribution, global_rebinds, flow_findings, boundary_findings, barrel_findings, export_contract, unit_census, rename_conflicts)}
+SQL = {"receiver_impurity": IMPURITY_SQL, "self_members": MEMBERS_SQL, "inherited_members": INHERITED_SQL, "receiver_references": USES_SQL, "variable_mutations": MUTATION_SQL, "star_attribution": STARS_SQL, "global_rebinds": REBINDS_SQL, "flow_findings": FINDINGS_SQL, "boundary_findings": BOUNDARY_SQL, "barrel_findings": BARRELS_SQL, "export_contract": CONTRACT_SQL, "unit_census": CENSUS_SQL, "rename_conflicts": RENAMES_SQL}

@@ -11,7 +11,7 @@ from latticework.catalog.code import Code
 from latticework.functions.names import module_of
 from latticework.operators.layers import longest_prefix
 from latticework.operators.ranking import first_by
-from latticework.plans.evidence import all_of, not_
+from latticework.plans.evidence import DECLARED, HEURISTIC, all_of, not_
 from latticework.plans.evidence import field as read
 from latticework.plans.relation import Relation
 from latticework.plans.rules import Part, Rule
@@ -61,7 +61,7 @@ class Boundaries:
         defines the name, however many packages pass it on; where that is unknown or outside the root, to the unit it is imported from.
         """
         own = self.files(code).join(self.table(code, [(u,) for u in self.allow], "importer string"), "importer")
-        rows = code.symbols.where("kind in ('import', 'star')").select("file_path", "ord", "symbol_id", "name", "line", "imported_from").join(own, "file_path")
+        rows = code.symbols.where("kind in ('import', 'star')").select("file_path", "ord", "symbol_id", "name", "line", "imported_from", "import_confidence").join(own, "file_path")
         rows = rows.join(code.definitions, "symbol_id", "left").withColumn("origin", module_of(F.col("definition")))
         rows = self.with_unit(code, self.with_unit(code, rows, "imported_from", "top", "literal"), "origin", "top", "defined")
         rows = rows.withColumn("dep", F.coalesce("defined", "literal"))
@@ -88,7 +88,8 @@ class Boundaries:
         """import-boundaries in three parts; without any configuration nothing is judged."""
         if not self.allow and not self.strict:
             return Rule("import-boundaries", ())
-        crossing = Relation.of(self.imports(code), ("file_path", "ord")).where(read("violates", "bool"))
+        judged = self.imports(code).withColumn("sure", F.when(F.col("import_confidence").isNotNull(), HEURISTIC).otherwise(DECLARED))
+        crossing = Relation.of(judged, ("file_path", "ord"), evidence="sure").where(read("violates", "bool"))
         census = Relation.of(self.units(code), "module").where(all_of(not_(read("declared", "bool")), not_(read("unit").startswith("__"))))
         idle = Relation.of(self.allowances(code), ("importer", "dep")).where(not_(read("exercised", "bool")))
         return Rule("import-boundaries", (

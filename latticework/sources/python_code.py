@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from latticework.sources.shared import stored
 
-DECLARED_FIELDS = "file_path string, ord int, scope_id string, scope_kind string, name string, kind string, line int, docstring string, decorators array<string>, annotation string, annotation_confidence string, imported_from string, parameters array<string>"
+DECLARED_FIELDS = "file_path string, ord int, scope_id string, scope_kind string, name string, kind string, line int, docstring string, decorators array<string>, annotation string, annotation_confidence string, imported_from string, import_confidence string, parameters array<string>"
 SCOPE_FIELDS = "file_path string, ord int, scope_id string, name string, kind string, chain array<string>, start_line int, end_line int"
 REF_FIELDS = "file_path string, ord int, name string, kind string, line int, col int, scope_id string, chain array<string>, function_id string, at_import boolean, receiver array<string>, used boolean, escapes boolean"
 FILE_FIELDS = "file_path string, module string, has_errors boolean"
 FIELDS = {"declared": DECLARED_FIELDS, "scopes": SCOPE_FIELDS, "refs": REF_FIELDS, "files": FILE_FIELDS}
 
+#: What imports a module by a text.
+DYNAMIC_IMPORTS = ("__import__",)
+
 
 def module_name(path: str, roots: tuple[str, ...] = ("src/", "lib/")) -> str:
     for r in roots:
@@ -37,10 +40,10 @@ class Walk(ast.NodeVisitor):
         self.known: set[tuple[str, str]] = set()  # scope and name of all declarations so far
         self.local: set[int] = set()  # names read where a tuple would do as well as a list
 
-    def declare(self, name, kind, node, docstring=None, decorators=(), annotation=None, sure=None, source=None, parameters=None, place=-1):
+    def declare(self, name, kind, node, docstring=None, decorators=(), annotation=None, sure=None, source=None, parameters=None, place=-1, import_sure=None):
         scope, scope_kind = self.stack[self.outer[-1].get(name, place) if place == -1 else place]
         self.known.add((scope, name))
-        self.rows["declared"].append((self.path, len(self.rows["declared"]), scope, scope_kind, name, kind, node.lineno, docstring, list(decorators), annotation, sure, source, parameters))
+        self.rows["declared"].append((self.path, len(self.rows["declared"]), scope, scope_kind, name, kind, node.lineno, docstring, list(decorators), annotation, sure, source, import_sure, parameters))
 
     def refer(self, name, kind, node, receiver=None, used=True):
         chain = [s for i, (s, k) in enumerate(reversed(self.stack)) if i == 0 or k != "class"]
@@ -208,8 +211,17 @@ class Walk(ast.NodeVisitor):
             self.loose.add(id(node.value))
         self.generic_visit(node)
 
+    def dynamic_import(self, node):
+        """importlib.import_module("x") and __import__("x") import x, as far as can be told; they bind no name."""
+        f, first = node.func, node.args[0] if node.args else None
+        named = isinstance(f, ast.Name) and f.id in DYNAMIC_IMPORTS
+        behind = isinstance(f, ast.Attribute) and f.attr == "import_module" and isinstance(f.value, ast.Name) and f.value.id == "importlib"
+        if (named or behind) and isinstance(first, ast.Constant) and isinstance(first.value, str) and first.value:
+            self.declare("<dynamic-import>", "import", node, source=first.value, import_sure="heuristic")
+
     def visit_Call(self, node):
         used = id(node) not in self.loose
+        self.dynamic_import(node)
         if isinstance(node.func, ast.Name):
             self.refer(node.func.id, "call", node, used=used)
         elif isinstance(node.func, ast.Attribute):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -24,12 +26,24 @@ def test_without_llm():
     assert not any(n.startswith("op1") for n in left)
 
 
+@pytest.mark.skipif(not Path(ROOT, "latticework", "llm").is_dir(), reason="the subpackage is gone")
 def test_a_broken_operator_is_no_missing_one():
     """Where the folder is there, an import that fails isn't passed over."""
     with pytest.raises(subprocess.CalledProcessError):
         names("sys.modules['latticework.llm.queries'] = None")
 
 
+def test_a_copy_without_them(tmp_path):
+    """Without the operators' two folders and the pipeline, the entry and all other tests can be imported."""
+    copy = tmp_path / "copy"
+    shutil.copytree(ROOT, copy, ignore=lambda folder, files: {f for f in files if f in ("llm", "corpus_pipeline.py", ".git", "__pycache__", ".pytest_cache")})
+    run = lambda *args: subprocess.run([sys.executable, *args], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True, timeout=300)
+    found = run("-c", "import __spark_entry__ as e; print('NAMES', *e.queries())")
+    assert "code_findings" in found.stdout and "op1_" not in found.stdout and "pipeline" not in found.stdout.partition("NAMES")[2], found.stderr
+    collected = run("-m", "pytest", "tests", "--collect-only", "-q", "-p", "no:cacheprovider")
+    assert collected.returncode == 0 and "test_wrong_answers" in collected.stdout, collected.stdout
+
+
 def test_nothing_else_imports_llm():
     for p in Path(ROOT, "latticework").rglob("*.py"):
         if "llm" not in p.relative_to(ROOT).parts:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from latticework.catalog.members import all_members, containers, mutations, received
 from latticework.functions.docstrings import documented
-from latticework.functions.effects import IMPURE_BUILTINS, IMPURE_FUNCTIONS, MUTATORS, impure_method
+from latticework.functions.effects import Policy, impure_method
 from latticework.functions.names import bare_type, conforms, forward_names, package_under, visibility
 from latticework.operators.graph import affected, ancestry, chased, strong_components
 from latticework.operators.intervals import innermost
@@ -38,6 +38,7 @@ class Code:
 
     sources: DataFrame
     kept: Kept = field_(default_factory=Kept, compare=False, repr=False)
+    policy: Policy = field_(default_factory=Policy)
 
     @cached_property
     def raw(self) -> dict[str, DataFrame]:
@@ -113,6 +114,32 @@ class Code:
         """symbol_id and three flags of each variable: written to, changed by a method, read where it may go on."""
         return stored(mutations(self.symbols, self.uses, LIST_MUTATORS), "code-mutations")
 
+    @cached_property
+    def call_sites(self) -> DataFrame:
+        """Of everything that is called: n_calls, any_used, escapes (it is also read as a value), and the first three sites."""
+        calls = self.uses.where("kind in ('call', 'attribute-call')").select(F.col("definition").alias("symbol_id"), "file_path", "line", "ord", "used")
+        passed = self.uses.where("kind in ('read', 'attribute-read')").select(F.col("definition").alias("symbol_id"), F.lit(True).alias("escapes")).distinct()
+        used = calls.groupBy("symbol_id").agg(F.bool_or("used").alias("any_used"))
+        sites = top_text(calls, ["symbol_id"], ["file_path", "ord"], F.concat("file_path", F.lit(":"), F.col("line").cast("string")))
+        out = sites.join(used, "symbol_id").join(passed, "symbol_id", "left")
+        return out.select("symbol_id", F.col("n").alias("n_calls"), "any_used", F.coalesce("escapes", F.lit(False)).alias("escapes"), "shown")
+
+    @cached_property
+    def inline_scopes(self) -> DataFrame:
+        """owner, scope_id, file_path: the scopes that run when a function does, its own and those below that are in no function or lambda of their own."""
+        scopes = self.raw["scopes"].select("file_path", "scope_id", "kind", F.posexplode("chain").alias("depth", "at"))
+        runs = self.raw["scopes"].where("kind in ('function', 'lambda')").select("file_path", F.col("scope_id").alias("at"), F.col("kind").alias("runs")).distinct()
+        first = first_by(scopes.join(runs, ["file_path", "at"]), ["file_path", "scope_id"], ["depth"], ["at", "runs"])
+        return first.where("runs = 'function'").select(F.col("at").alias("owner"), "scope_id", "file_path")
+
+    @cached_property
+    def file_flags(self) -> DataFrame:
+        """Of each file that can be read: has_all, dynamic_access (it looks names up as it runs)."""
+        listed = self.symbols.where("name = '__all__'").select("file_path", F.lit(True).alias("has_all")).distinct()
+        dynamic = self.refs.where("kind = 'call'").where(F.col("name").isin(*DYNAMIC)).select("file_path", F.lit(True).alias("dynamic_access")).distinct()
+        out = self.raw["files"].where("not has_errors").select("file_path", "module").join(listed, "file_path", "left").join(dynamic, "file_path", "left")
+        return out.fillna(False, ["has_all", "dynamic_access"])
+
     @cached_property
     def importers(self) -> DataFrame:
         """Every import with what it means in the end: definition, symbol_id, file_path, line."""
@@ -189,20 +216,20 @@ class Code:
         """What makes a function impure by itself: function_id, what, line, unsure (the receiver's kind isn't known)."""
         u = self.uses.where("function_id is not null")
         seen = lambda df, what, unsure=None: df.select("function_id", what.alias("what"), "line", (F.lit(False) if unsure is None else unsure).alias("unsure"))
-        builtin = u.where(F.col("kind") == "call").where(F.col("symbol_id").isin(*(f"<builtins>.{x}" for x in IMPURE_BUILTINS)))
+        builtin = u.where(F.col("kind") == "call").where(F.col("name").isin(*self.policy.builtins) & F.col("bound").isNull())  # by a name that nothing in the file binds
         # What an import's name stands for, then the attributes behind it: the library's own name of what is called.
         imported = first_by(self.symbols.where("kind = 'import'"), ["symbol_id"], ["imported_from"], ["imported_from"])
         imported = imported.select(F.col("symbol_id").alias("import_id"), F.col("imported_from").alias("source"))
         calls = u.where("kind in ('call', 'attribute-call')").withColumn("import_id", F.when(F.col("kind") == "call", F.col("bound")).otherwise(F.col("root_id"))).join(imported, "import_id")
         rest = F.when(F.col("kind") == "call", F.array().cast("array<string>")).otherwise(F.concat(F.slice("receiver", 2, 1 << 20), F.array("name")))
         library = calls.withColumn("called", F.concat_ws(".", "source", F.array_join(rest, "."))).withColumn("called", F.regexp_replace("called", r"\.$", ""))
-        library = library.where(F.col("called").isin(*IMPURE_FUNCTIONS))
+        library = library.where(F.col("called").isin(*self.policy.functions))
         rebound = u.where("kind = 'global'")
         written = u.where("kind = 'attribute-write' and root_kind in ('parameter', 'import')").where("receiver[0] not in ('self', 'cls')")
         types = first_by(self.symbols.where("annotation is not null"), ["symbol_id"], ["ord"], ["annotation"]).select(F.col("symbol_id").alias("root_id"), bare_type(F.col("annotation")).alias("receiver_type"))
         methods = u.where("kind = 'attribute-call'").join(types, "root_id", "left")
         kind = F.when(F.col("receiver")[0].isin("self", "cls"), "self").when(F.size("receiver") > 1, "unknown").otherwise(F.coalesce("root_kind", F.lit("unknown")))
-        methods = methods.withColumn("receiver_kind", kind).where(F.coalesce("root_kind", F.lit("")) != "import").where(impure_method(F.col("name"), F.when(F.size("receiver") == 1, F.col("receiver_type")), F.col("receiver_kind")))
+        methods = methods.withColumn("receiver_kind", kind).where(F.coalesce("root_kind", F.lit("")) != "import").where(impure_method(F.col("name"), F.when(F.size("receiver") == 1, F.col("receiver_type")), F.col("receiver_kind"), self.policy))
         out = seen(builtin, F.concat(F.lit("builtin "), "name")).unionByName(seen(library, F.col("called"))).unionByName(seen(rebound, F.concat(F.lit("global "), "name")))
         return out.unionByName(seen(written, F.concat(F.lit("writes ."), "name"))).unionByName(seen(methods, F.concat(F.lit("method ."), "name"), F.col("receiver_kind") == "unknown"))
 
@@ -362,13 +389,13 @@ def rules(code: Code, root: str | None = None, allow: dict[str, list[str]] | Non
 
     loaded = code.uses.where("at_import and kind in ('call', 'attribute-call')")
     effects = code.impure.select(F.col("function").alias("definition"), F.lit(True).alias("effect"))
-    at_load = loaded.join(effects, "definition", "left").where(F.col("effect").isNotNull() | F.col("symbol_id").isin(*(f"<builtins>.{x}" for x in IMPURE_BUILTINS)))
+    at_load = loaded.join(effects, "definition", "left").where(F.col("effect").isNotNull() | F.col("symbol_id").isin(*(f"<builtins>.{x}" for x in code.policy.builtins)))
     out["import-time-side-effects"] = Rule("import-time-side-effects", (Part(code.relation(at_load, "file_path"), "'{name}' runs when the module is imported", "file_path", "line"),))
 
     on_parameter = any_of(field("root_kind").eq("parameter"))
     own = not_(field("receiver_name").is_in("self", "cls"))
     refs = code.relation(code.uses.withColumn("receiver_name", F.col("receiver")[0]), "file_path")
-    mutating = refs.where(all_of(on_parameter, own, field("kind").eq("attribute-call"), field("name").is_in(*MUTATORS)))
+    mutating = refs.where(all_of(on_parameter, own, field("kind").eq("attribute-call"), field("name").is_in(*code.policy.mutators)))
     writing = refs.where(all_of(on_parameter, own, field("kind").eq("attribute-write")))
     setting = refs.where(all_of(field("bound_kind").eq("parameter"), field("kind").eq("subscript-write")))
     out["no-argument-mutation"] = Rule("no-argument-mutation", (Part(mutating, "argument '{receiver_name}' is changed by .{name}()", "file_path", "line"), Part(writing, "argument '{receiver_name}' gets a new .{name}", "file_path", "line"), Part(setting, "argument '{name}' gets a new item", "file_path", "line")))
@@ -376,7 +403,7 @@ def rules(code: Code, root: str | None = None, allow: dict[str, list[str]] | Non
     module_level = code.symbols.where("is_module_level and kind = 'variable'").select(F.col("symbol_id").alias("module_variable")).distinct()
     inside = code.uses.where("function_id is not null")
     written = inside.where("kind in ('augment', 'subscript-write')").join(module_level, F.col("bound") == F.col("module_variable"))
-    grown = inside.where("kind = 'attribute-call'").where(F.col("name").isin(*MUTATORS)).join(module_level, F.col("root_id") == F.col("module_variable")).withColumn("receiver_name", F.col("receiver")[0])
+    grown = inside.where("kind = 'attribute-call'").where(F.col("name").isin(*code.policy.mutators)).join(module_level, F.col("root_id") == F.col("module_variable")).withColumn("receiver_name", F.col("receiver")[0])
     foreign = inside.where("kind = 'attribute-write' and root_kind = 'import'").withColumn("receiver_name", F.col("receiver")[0])
     out["no-hidden-global-mutation"] = Rule("no-hidden-global-mutation", (
         Part(code.relation(written, "file_path"), "'{function_id}' writes into global '{name}'", "file_path", "line"),

@@ -13,6 +13,7 @@ from latticework.catalog.renames import conflicts
 from latticework.catalog.shop import written
 from latticework.catalog.tables import table
 from latticework.catalog.units import Boundaries
+from latticework.functions.effects import Policy
 from latticework.plans.rules import rendered
 
 REGION = '''class Base{r}:
@@ -359,5 +360,111 @@ def rename_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conflicts(code, proposals.select(F.concat("module", F.lit(":"), full("id")).alias("symbol_id"), full("new").alias("new_name")))
 
 
-QUERIES = {f.__name__: f for f in (receiver_impurity, self_members, inherited_members, receiver_references, variable_mutations, star_attribution, global_rebinds, flow_findings, boundary_findings, barrel_findings, export_contract, unit_census, rename_conflicts)}
-SQL = {"receiver_impurity": IMPURITY_SQL, "self_members": MEMBERS_SQL, "inherited_members": INHERITED_SQL, "receiver_references": USES_SQL, "variable_mutations": MUTATION_SQL, "star_attribution": STARS_SQL, "global_rebinds": REBINDS_SQL, "flow_findings": FINDINGS_SQL, "boundary_findings": BOUNDARY_SQL, "barrel_findings": BARRELS_SQL, "export_contract": CONTRACT_SQL, "unit_census": CENSUS_SQL, "rename_conflicts": RENAMES_SQL}
+YARD_A = '''import functools
+from yard.b{r} import back{r}
+print("loaded")
+
+
+@functools.lru_cache
+def cached{r}(x):
+    print(x)
+    return x
+
+
+def local{r}():
+    return 1
+
+
+def other{r}(x):
+    return local{r}() + x.part.count
+
+
+def unsure{r}(x):
+    x.part.write(1)
+
+
+def both{r}(x):
+    x.part.write(1)
+    print(x)
+
+
+def later{r}():
+    return [lambda: print(i) for i in (1, 2)]
+
+
+def passed{r}():
+    audit(passed{r})
+'''
+YARD_B = '''from yard.a{r} import other{r}
+
+
+def back{r}():
+    return other{r}(1)
+'''
+
+
+def yard(spark: SparkSession, sf_dir: str, policy: Policy | None = None) -> Code:
+    """Two modules for each region that import each other."""
+    regions = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("r"))
+    files = written(regions, "src/yard/a{r}.py", YARD_A).unionByName(written(regions, "src/yard/b{r}.py", YARD_B))
+    return Code(files, policy=policy) if policy else Code(files)
+
+
+YARD_CTE = "r AS (SELECT r_regionkey AS r, 'src/yard/a' || r_regionkey || '.py' AS path FROM region)"
+YARD_SQL = f"""WITH {YARD_CTE}
+SELECT x.rule, path, x.line::INTEGER AS line, replace(x.message, '@r', r::VARCHAR) AS message, x.confidence FROM r, (VALUES
+ ('no-import-cycles', 2, 'modules import each other: yard.a@r, yard.b@r', 'declared'), ('pure-decorator-contracts', 7, 'function ''cached@r'' should be pure: builtin print (line 8)', 'declared'), ('import-time-side-effects', 3, '''print'' runs when the module is imported', 'declared'),
+ ('no-impure-functions', 7, 'function ''cached@r'' is impure: builtin print (line 8)', 'declared'), ('no-impure-functions', 20, 'function ''unsure@r'' is impure: method .write (line 21)', 'heuristic'),
+ ('no-impure-functions', 24, 'function ''both@r'' is impure: method .write (line 25), builtin print (line 26)', 'declared')) x(rule, line, message, confidence)
+UNION ALL SELECT 'born-private', path, 12, 'new function ''local' || r || ''' is used only in yard.a' || r || ': begin it with an underscore', 'declared' FROM r WHERE r > 0
+UNION ALL SELECT 'born-private', path, 33, 'new function ''passed' || r || ''' is used only in yard.a' || r || ': begin it with an underscore', 'declared' FROM r"""
+
+
+def yard_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycles, contracts of decorators, effects of an import, new symbols, and how sure effects are; the first region's symbol is known before."""
+    code = yard(spark, sf_dir)
+    known = table(spark, sf_dir, "region").where("r_regionkey = 0").select(F.format_string("yard.a%d:local%d", "r_regionkey", "r_regionkey").alias("symbol_id"))
+    found, out = rules(code, recorded=known), None
+    for name in ("no-import-cycles", "pure-decorator-contracts", "import-time-side-effects", "no-impure-functions", "born-private"):
+        out = found[name].findings() if out is None else out.unionByName(found[name].findings())
+    return out
+
+
+POLICY_SQL = f"""WITH {YARD_CTE} SELECT 'yard.a' || r || ':' || x.f || r AS function, 0::INTEGER AS depth FROM r, (VALUES ('unsure'), ('both'), ('passed')) x(f)"""
+
+
+def impurity_by_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With one more builtin that has effects, and one that hasn't."""
+    return yard(spark, sf_dir, Policy().extended(builtins=("audit",), allow=("print",))).impure
+
+
+SITES_SQL = f"""WITH {CTES}
+SELECT m || ':promise' AS symbol_id, 1::BIGINT AS n_calls, false AS any_used, false AS escapes, file_path || ':70' AS shown FROM t UNION ALL SELECT m || ':shown', 1, false, true, file_path || ':78' FROM t"""
+
+
+def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the functions that promise a number: calls, whether any result is used, whether they are passed on, the first sites."""
+    code = Code(sources(spark, sf_dir))
+    return code.call_sites.join(code.located.where("name in ('promise', 'shown')").select("symbol_id"), "symbol_id")
+
+
+INLINE_SQL = f"""WITH {YARD_CTE} SELECT 'yard.a' || r || ':' || x.owner || r AS owner, 'yard.a' || r || ':' || replace(x.scope, '@', r::VARCHAR) AS scope_id FROM r, (VALUES ('cached', 'cached@'), ('local', 'local@'), ('other', 'other@'), ('unsure', 'unsure@'), ('both', 'both@'), ('later', 'later@'), ('later', 'later@.<comp:30>'), ('passed', 'passed@')) x(owner, scope)
+UNION ALL SELECT 'yard.b' || r || ':back' || r, 'yard.b' || r || ':back' || r FROM r"""
+
+
+def inline_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scopes that run when a function does: comprehensions, but no lambdas."""
+    return yard(spark, sf_dir).inline_scopes.select("owner", "scope_id")
+
+
+FLAGS_SQL = f"""WITH {CTES} SELECT file_path, false AS has_all, false AS dynamic_access FROM t UNION ALL SELECT file_path, false, false FROM u UNION ALL SELECT file_path, false, false FROM v
+UNION ALL SELECT 'src/depot/' || x.f || r || '.py', false, false FROM v, (VALUES ('other'), ('star')) x(f)"""
+
+
+def file_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each file: whether it has __all__, whether it looks names up as it runs."""
+    return Code(sources(spark, sf_dir)).file_flags.select("file_path", "has_all", "dynamic_access")
+
+
+QUERIES = {f.__name__: f for f in (receiver_impurity, self_members, inherited_members, receiver_references, variable_mutations, star_attribution, global_rebinds, flow_findings, boundary_findings, barrel_findings, export_contract, unit_census, rename_conflicts, yard_findings, impurity_by_policy, call_sites, inline_scopes, file_flags)}
+SQL = {"receiver_impurity": IMPURITY_SQL, "self_members": MEMBERS_SQL, "inherited_members": INHERITED_SQL, "receiver_references": USES_SQL, "variable_mutations": MUTATION_SQL, "star_attribution": STARS_SQL, "global_rebinds": REBINDS_SQL, "flow_findings": FINDINGS_SQL, "boundary_findings": BOUNDARY_SQL, "barrel_findings": BARRELS_SQL, "export_contract": CONTRACT_SQL, "unit_census": CENSUS_SQL, "rename_conflicts": RENAMES_SQL, "yard_findings": YARD_SQL, "impurity_by_policy": POLICY_SQL, "call_sites": SITES_SQL, "inline_scopes": INLINE_SQL, "file_flags": FLAGS_SQL}

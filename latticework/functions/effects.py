@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,10 +58,28 @@ IMPURE_METHODS = {
 IMMUTABLE_TYPES = ("str", "bytes", "int", "float", "bool", "complex", "tuple", "frozenset", "NoneType")
 
 
-def impure_method(method: Column, receiver_type: Column, receiver_kind: Column) -> Column:
+@dataclass(frozen=True)
+class Policy:
+    """What counts as an effect."""
+
+    builtins: tuple[str, ...] = IMPURE_BUILTINS
+    functions: tuple[str, ...] = IMPURE_FUNCTIONS
+    io_methods: tuple[str, ...] = IO_METHODS
+    mutators: tuple[str, ...] = MUTATORS
+    typed: dict[str, tuple[str, ...]] = field(default_factory=lambda: IMPURE_METHODS)
+
+    def extended(self, builtins: Iterable[str] = (), functions: Iterable[str] = (), io_methods: Iterable[str] = (), allow: Iterable[str] = ()) -> Policy:
+        """With more names, and without those that are allowed, whatever list they are in."""
+        allowed = set(allow)
+        less = lambda names, more=(): tuple(n for n in dict.fromkeys((*names, *more)) if n not in allowed)
+        return Policy(less(self.builtins, builtins), less(self.functions, functions), less(self.io_methods, io_methods), less(self.mutators), {t: less(m) for t, m in self.typed.items()})
+
+
+def impure_method(method: Column, receiver_type: Column, receiver_kind: Column, policy: Policy | None = None) -> Column:
     """Whether a call of a method has effects: by the receiver's type where that says, else any tracked method of a parameter, else methods of input and output."""
-    tracked = method.isin(*IO_METHODS, *MUTATORS, *(m for methods in IMPURE_METHODS.values() for m in methods))
+    policy = policy or Policy()
+    tracked = method.isin(*policy.io_methods, *policy.mutators, *(m for methods in policy.typed.values() for m in methods))
     out = F.when(receiver_type.isin(*IMMUTABLE_TYPES), False)
-    for name, methods in IMPURE_METHODS.items():
+    for name, methods in policy.typed.items():
         out = out.when(receiver_type == name, method.isin(*methods))
-    return F.coalesce(out.when(receiver_kind == "parameter", tracked).otherwise(method.isin(*IO_METHODS)), F.lit(False))
+    return F.coalesce(out.when(receiver_kind == "parameter", tracked).otherwise(method.isin(*policy.io_methods)), F.lit(False))

@@ -4,6 +4,23 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def glob_column(pattern: Column) -> Column:
+    """glob_to_regex for patterns that are a column: first the classes are set apart, then all other signs are read."""
+    parts = F.regexp_extract_all(pattern, F.lit(r"(?s)(\[!?\]?[^\]]*\]|.)"), F.lit(1))
+
+    def read(part: Column) -> Column:
+        inside = F.substr(part, F.lit(2), F.length(part) - 2)
+        negated = inside.startswith("!")
+        body = F.regexp_replace(F.when(negated, F.substr(inside, F.lit(2))).otherwise(inside), r"([\\\[\^&])", r"\\$1")
+        class_ = F.concat(F.when(negated, F.lit("[^")).otherwise(F.lit("[")), body, F.lit("]"))
+        return F.when(part == "*", F.lit(".*")).when(part == "?", F.lit(".")).when(F.length(part) > 1, class_).otherwise(F.regexp_replace(part, r"([^A-Za-z0-9_\s])", r"\\$1"))
+
+    return F.concat(F.lit(r"(?s)\A"), F.array_join(F.transform(parts, read), ""), F.lit(r"\z"))
+
 
 def glob_to_regex(pattern: str) -> str:
     """The whole string must match: * any characters, ? one, [..] a class, [!..] its complement."""

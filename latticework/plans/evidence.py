@@ -12,7 +12,7 @@ from dataclasses import dataclass, field as dataclass_field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from latticework.functions.glob import glob_to_regex
+from latticework.functions.glob import glob_column, glob_to_regex
 
 UNKNOWN, HEURISTIC, INFERRED, DECLARED = 0, 1, 2, 3
 LEVELS = ("unknown", "heuristic", "inferred", "declared")
@@ -44,8 +44,10 @@ class Expr:
             inside = inside | self.value.isNull()
         return self.tested("is_in", inside, values=", ".join(map(str, values)))
 
-    def matches(self, pattern: str) -> Expr:
-        """Shell glob over the whole string; `*` crosses every character."""
+    def matches(self, pattern: str | Expr) -> Expr:
+        """Shell glob over the whole string; `*` crosses every character. The pattern may be each row's own; NULL matches nothing."""
+        if isinstance(pattern, Expr):
+            return compare("matches", self, pattern, lambda a, b: F.coalesce(F.regexp_like(a, glob_column(b)), F.lit(False)))
         return self.tested("matches", F.coalesce(self.value.rlike(glob_to_regex(pattern)), F.lit(False)), pattern=pattern)
 
     def startswith(self, *prefixes: str) -> Expr:

@@ -60,6 +60,11 @@ def identity() -> Column:
     return F.concat_ws("|", "rule", "path", F.regexp_replace("message", r"\s*\(line \d+\)", ""))
 
 
+def ordered(findings: DataFrame) -> DataFrame:
+    """As they are told: by path, line, rule and message."""
+    return findings.orderBy("path", "line", "rule", "message")
+
+
 def beyond_baseline(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     """Of each identity, the last findings beyond its count in the baseline; baseline: identity, count."""
     order = W.partitionBy("identity").orderBy("path", "line", "message")

@@ -41,10 +41,12 @@ def weights(tf: np.ndarray, size: np.ndarray, idf: np.ndarray, mean: float) -> n
 
 def counted(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, term and count of every term of every document, by document and term."""
-    key = np.concatenate(docs).astype(np.int64) + (np.repeat(np.arange(len(docs)), [len(d) for d in docs]) << 16)
+    kind = np.uint32 if len(docs) <= 1 << 16 else np.int64  # half the bytes to sort, where they hold both numbers
+    key = np.repeat(np.arange(len(docs), dtype=kind) << kind(16), [len(d) for d in docs]) | np.concatenate(docs)
     key.sort()
     head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return key[head] >> 16, key[head] & 0xFFFF, np.diff(np.append(head, len(key)))
+    found = key[head].astype(np.int64)
+    return found >> 16, found & 0xFFFF, np.diff(np.append(head, len(key)))
 
 
 class BM25:

@@ -28,6 +28,7 @@ COPY_TREES, COPY_PREFIX = 4, 2
 NEAREST = 12  # distinct examples that vote
 BLOCK = 32  # examples in a block of the index
 FIRST_BLOCKS = 4  # blocks that set the least cosine
+FREQUENT = 8  # terms that one in so many examples has are rows of weights, so that a posting of theirs costs about as little
 DIRECT = 2.0  # a query with fewer postings than so many times those blocks' is looked up without them, with the same result
 SOFT = 0.05  # added to a distance before it divides a vote
 PRIOR_VOTES = 0.5
@@ -49,11 +50,13 @@ class Known(dict):
 
     def __init__(self, vocabulary: dict[str, int], most: int = 300_000) -> None:
         self.vocabulary, self.most = vocabulary, most
+        self.heads = {t[: PREFIXES[0]] for t in vocabulary if t.endswith("*")}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= self.most:
             self.clear()
-        found = self[word] = tuple(self.vocabulary[t] for t in (word, *beginnings(word)) if t in self.vocabulary)
+        terms = (word, *beginnings(word)) if word[: PREFIXES[0]] in self.heads else (word,)
+        found = self[word] = tuple(self.vocabulary[t] for t in terms if t in self.vocabulary)
         return found
 
     def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -109,8 +112,26 @@ class Examples:
         run = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (self.example[1:] // BLOCK != self.example[:-1] // BLOCK)])) if len(term) else np.zeros(0, np.int64)
         self.most = np.maximum.reduceat(self.by_term, run) if len(run) else np.zeros(0)
         self.most_block, self.most_start = self.example[run] // BLOCK, np.searchsorted(term[run], np.arange(n_terms + 1))
+        self.tables = None
         return self
 
+    def full(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What a worker unfolds of the index when it first needs it: the greatest weight by term and block; the weights of terms that
+        at least one in FREQUENT examples has, a row for each; the number of each term's row, or -1. Bounded as the sample is.
+        """
+        if self.tables is None:
+            n_terms, size = len(self.weight), np.diff(self.start)
+            most = np.zeros((n_terms, self.n_blocks), np.float32)
+            most[np.repeat(np.arange(n_terms), np.diff(self.most_start)), self.most_block] = np.nextafter(self.most.astype(np.float32), np.float32(np.inf))
+            frequent = np.flatnonzero(size * FREQUENT >= max(1, self.n))
+            number = np.full(n_terms, -1)
+            number[frequent] = np.arange(len(frequent))
+            rows = np.zeros((len(frequent), self.n))
+            places, sizes = ranges(self.start, frequent)
+            rows[np.repeat(np.arange(len(frequent)), sizes), self.example[places]] = self.by_term[places]
+            self.tables = most, rows, number
+        return self.tables
+
     def nearest(self, at: np.ndarray, q: np.ndarray, k: int = NEAREST, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k examples of greatest cosine above 0, exactly: the blocks of greatest bounds set a
         least cosine, then all blocks whose bound reaches it are looked through, or all postings where those are fewer.
@@ -118,9 +139,13 @@ class Examples:
         if not len(at) or not self.n:
             return np.zeros(0, np.int64), np.zeros(0)
 
+        most, rows, number = self.full()
+        row = number[at]
+        rare = row < 0
+
         def all_postings() -> tuple[np.ndarray, np.ndarray]:
-            places, size = ranges(self.start, at)
-            return top(np.bincount(self.example[places], np.repeat(q, size) * self.by_term[places], self.n))
+            places, size = ranges(self.start, at[rare])
+            return top(np.bincount(self.example[places], np.repeat(q[rare], size) * self.by_term[places], self.n) + q[~rare] @ rows[row[~rare]])
 
         def top(dot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if without >= 0:
@@ -132,11 +157,10 @@ class Examples:
             found = found[np.lexsort((found, -np.round(dot[found], 12)))][:k]
             return found, dot[found]
 
-        n_postings = int((self.start[at + 1] - self.start[at]).sum())
+        n_postings = int((self.start[at + 1] - self.start[at])[rare].sum()) + (len(at) - int(rare.sum())) * self.n // FREQUENT
         if n_postings < DIRECT * FIRST_BLOCKS * len(self.block_term) / self.n_blocks:
             return all_postings()
-        places, size = ranges(self.most_start, at)
-        bound = np.bincount(self.most_block[places], np.repeat(q, size) * self.most[places], self.n_blocks)
+        bound = q @ most[at] * (1 + 1e-6)
         dense = np.zeros(len(self.weight))
         dense[at] = q
 

@@ -13,7 +13,10 @@ from latticework.catalog.renames import conflicts
 from latticework.catalog.shop import written
 from latticework.catalog.tables import table
 from latticework.catalog.units import Boundaries
+from latticework.catalog.universes import Universes
+from latticework.functions import names
 from latticework.functions.effects import Policy
+from latticework.plans.evidence import field
 from latticework.plans.rules import rendered
 
 REGION = '''class Base{r}:
@@ -466,5 +469,49 @@ def file_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Code(sources(spark, sf_dir)).file_flags.select("file_path", "has_all", "dynamic_access")
 
 
-QUERIES = {f.__name__: f for f in (receiver_impurity, self_members, inherited_members, receiver_references, variable_mutations, star_attribution, global_rebinds, flow_findings, boundary_findings, barrel_findings, export_contract, unit_census, rename_conflicts, yard_findings, impurity_by_policy, call_sites, inline_scopes, file_flags)}
-SQL = {"receiver_impurity": IMPURITY_SQL, "self_members": MEMBERS_SQL, "inherited_members": INHERITED_SQL, "receiver_references": USES_SQL, "variable_mutations": MUTATION_SQL, "star_attribution": STARS_SQL, "global_rebinds": REBINDS_SQL, "flow_findings": FINDINGS_SQL, "boundary_findings": BOUNDARY_SQL, "barrel_findings": BARRELS_SQL, "export_contract": CONTRACT_SQL, "unit_census": CENSUS_SQL, "rename_conflicts": RENAMES_SQL, "yard_findings": YARD_SQL, "impurity_by_policy": POLICY_SQL, "call_sites": SITES_SQL, "inline_scopes": INLINE_SQL, "file_flags": FLAGS_SQL}
+STEPS_SQL = f"""WITH {YARD_CTE}
+SELECT x.step, 'src/yard/' || x.file || r || '.py' AS file_path, replace(x.id, '@', r::VARCHAR) AS id FROM r, (VALUES ('symbols.scope', 'a', 'yard.a@'), ('symbols.module', 'a', 'yard.a@'), ('symbols.definition', 'b', 'yard.b@:back@'), ('references.symbol', 'a', 'yard.a@:local@'), ('references.scope', 'a', 'yard.a@:other@'),
+ ('modules.symbols', 'b', 'yard.b@:other@'), ('modules.symbols', 'b', 'yard.b@:back@'), ('modules.scopes', 'b', 'yard.b@'), ('modules.scopes', 'b', 'yard.b@:back@'), ('modules.imports', 'b', 'yard.b@:other@'), ('imports.module', 'b', 'yard.b@')) x(step, file, id)"""
+
+
+def named_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the steps between universes lead to, each from a few rows of its universe."""
+    u, out = Universes(yard(spark, sf_dir)), None
+    begin = lambda universe, name, of="name": u[universe].where(field(of).startswith(name))
+    symbols, calls, modules = begin("symbols", "cached"), begin("references", "local"), begin("modules", "yard.b", "module")
+    back = begin("symbols", "back").where(field("kind").eq("import"))
+    for start, universe, step, column in (
+        (symbols, "symbols", "scope", "scope_id"), (symbols, "symbols", "module", "module"), (back, "symbols", "definition", "symbol_id"), (calls, "references", "symbol", "symbol_id"), (calls, "references", "scope", "scope_id"),
+        (modules, "modules", "symbols", "symbol_id"), (modules, "modules", "scopes", "scope_id"), (modules, "modules", "imports", "symbol_id"), (begin("imports", "other"), "imports", "module", "module"),
+    ):
+        rows = u.follow(start, universe, step).df.select(F.lit(f"{universe}.{step}").alias("step"), "file_path", F.col(column).alias("id"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+ANCESTRY_SQL = f"""WITH {CTES} SELECT m || ':Store' || n AS node, 'depot.base' || r || ':Base' || r AS ancestor, 1::INTEGER AS depth FROM u"""
+
+
+def class_ancestry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes and those they are made of, over files."""
+    return Code(sources(spark, sf_dir)).ancestors
+
+
+ALGEBRA_SQL = f"""WITH {CTES}
+SELECT m || x.id AS symbol_id, m AS module, x.leaf, m || x.plain AS plain, x.shadow, m || x.renamed AS renamed, x.inside, m AS by_path, CASE WHEN x.inside THEN 'Store' || n END AS type FROM t,
+ (VALUES (':count', 'count', ':count', NULL::INTEGER, ':new', false), (':count$2', 'count$2', ':count', 2, ':new', false), (':Office.built', 'built', ':Office.built', NULL, ':Office.new', true)) x(id, leaf, plain, shadow, renamed, inside)"""
+
+
+def identifier_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of symbols' ids: module, last name, shadow, what they are called with another last name, whether they are inside a class."""
+    rows = Code(sources(spark, sf_dir)).symbols.where("kind = 'variable' and name in ('count', 'built')")
+    s = F.col("symbol_id")
+    inside = names.affects(s, F.concat("module", F.lit(":Office")))
+    return rows.select(
+        "symbol_id", names.module_of(s).alias("module"), names.leaf_name(s).alias("leaf"), names.strip_shadow(s).alias("plain"), names.shadow_suffix(s).alias("shadow"),
+        names.replace_leaf(s, F.lit("new")).alias("renamed"), inside.alias("inside"), names.module_path(F.col("file_path")).alias("by_path"), names.bare_type(F.col("annotation")).alias("type"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (receiver_impurity, self_members, inherited_members, receiver_references, variable_mutations, star_attribution, global_rebinds, flow_findings, boundary_findings, barrel_findings, export_contract, unit_census, rename_conflicts, yard_findings, impurity_by_policy, call_sites, inline_scopes, file_flags, named_steps, class_ancestry, identifier_algebra)}
+SQL = {"receiver_impurity": IMPURITY_SQL, "self_members": MEMBERS_SQL, "inherited_members": INHERITED_SQL, "receiver_references": USES_SQL, "variable_mutations": MUTATION_SQL, "star_attribution": STARS_SQL, "global_rebinds": REBINDS_SQL, "flow_findings": FINDINGS_SQL, "boundary_findings": BOUNDARY_SQL, "barrel_findings": BARRELS_SQL, "export_contract": CONTRACT_SQL, "unit_census": CENSUS_SQL, "rename_conflicts": RENAMES_SQL, "yard_findings": YARD_SQL, "impurity_by_policy": POLICY_SQL, "call_sites": SITES_SQL, "inline_scopes": INLINE_SQL, "file_flags": FLAGS_SQL, "named_steps": STEPS_SQL, "class_ancestry": ANCESTRY_SQL, "identifier_algebra": ALGEBRA_SQL}

@@ -200,11 +200,18 @@ def test_refresh(spark, tmp_path):
 
 
 def test_barrel_only(spark):
-    files = {"src/p/__init__.py": "from p.a import f, g\n", "src/p/a.py": "def f(): pass\ndef g(): pass\n", "src/q.py": "from p.a import f\nfrom p import g\nf()\ng()\n"}
-    code = Code(spark.createDataFrame([(p, c.encode()) for p, c in files.items()], "path string, content binary"))
-    found = rules(code)
-    assert [(r["path"], r["line"], r["message"]) for r in found["barrel-only"].findings().collect()] == [("src/q.py", 1, "import 'f' from p, not from p.a")]
-    assert found["over-exposed-export"].findings().count() == 0
+    """Only imports from another part of the root, past a package with __all__, of what it exports."""
+    q = "from w.p.a import f\nfrom w.p import g\nfrom w.p.a import h\nf()\ng()\n"
+    files = {"src/w/p/__init__.py": "from w.p.a import f, g\n__all__ = []\n", "src/w/p/a.py": "def f(): pass\ndef g(): pass\ndef h(): pass\n", "src/w/p/b.py": "from w.p.a import f\n", "src/w/q.py": q, "src/other.py": "from w.p.a import f\n"}
+
+    def found(files):
+        out = rules(Code(spark.createDataFrame([(p, c.encode()) for p, c in files.items()], "path string, content binary")))
+        return out, [(r["path"], r["line"], r["message"]) for r in out["barrel-only"].findings().collect()]
+
+    out, got = found(files)
+    assert got == [("src/w/q.py", 1, "import 'f' from w.p, not from w.p.a")]
+    assert out["over-exposed-export"].findings().count() == 0
+    assert found(files | {"src/w/p/__init__.py": "from w.p.a import f, g\n"})[1] == []  # no barrel without __all__
 
 
 def test_docstring_styles(spark):

@@ -350,7 +350,7 @@ def score(docs: DataFrame, examples: Examples, threshold: float = THRESHOLD, id_
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """Scores of all rows of `docs`; null ids and repeated rows are kept, of equal texts the scores are equal, texts of any length
-    are read whole, an empty table gives an empty table.
+    are read whole, an empty table gives an empty table. Of examples of equal cosine those that come first in the index vote.
     """
     columns = {k: v for k, v in options.items() if k in ("id_col", "text_col")}
     return score(docs, learn(docs, labels, **options), threshold, **columns)

@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from latticework.catalog import code, sample, shop
 from latticework.catalog.code import Code, rules
 from latticework.catalog.universes import Universes
 from latticework.functions.docstrings import documented
@@ -319,3 +320,21 @@ def test_summaries_fit(spark):
     assert [x["path"] for x in fine["diff"]["shown"]] == [f"f{i}.py" for i in range(8)]
     assert fine["search"]["shown"][0] == {"path": "some/path/file0.py", "matches": 3} and len(fine["search"]["shown"]) == 8
     assert fine["text"]["head"][0] == "line 0 " and fine["text"]["tail"][-1].startswith("line 299 ")
+
+
+def test_sources_are_dealt_out_before_they_grow(spark):
+    rows = spark.range(1200).coalesce(1).select(F.col("id").alias("k"))
+    files = shop.written(rows, "src/m{k}.py", "a = {k}\n")
+    assert files.rdd.getNumPartitions() == -(-1200 // shop.FILES_PER_TASK) > 1
+    assert {(r["path"], bytes(r["content"])) for r in files.collect()} == {(f"src/m{k}.py", f"a = {k}\n".encode()) for k in range(1200)}
+    assert shop.written(rows.limit(0), "src/m{k}.py", "").count() == 0
+
+
+def test_import_cycles_are_found_once(spark, monkeypatch):
+    found = []
+    real = code.strong_components
+    monkeypatch.setattr(code, "strong_components", lambda edges: found.append(1) or real(edges))
+    one = Code(sample.sources(spark))
+    rules(one)
+    rules(one, library=True)
+    assert len(found) == 1

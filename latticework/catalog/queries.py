@@ -433,12 +433,16 @@ def diff_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order's lines as a diff: a file for each, some with a header of git; hunks, added and removed lines by its numbers."""
-    path = F.concat(F.lit("p"), F.col("l_partkey").cast("string"), F.lit(".py"))
-    git = F.when(F.col("l_partkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n")))
     times = lambda text, n: F.repeat(F.lit(text), n.cast("int"))
-    body = F.concat(git, F.lit("--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n"), times("@@ -1 +1 @@\n", 1 + F.col("l_partkey") % 2), times("+new\n", F.col("l_quantity").cast("long") % 5), times("-old\n", F.col("l_suppkey") % 4))
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_quantity", body.alias("body")).alias("line"))
-    return lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["body"]), "").alias("text"))  # an order has few lines
+
+    def body(x):
+        path = F.concat(F.lit("p"), x["l_partkey"].cast("string"), F.lit(".py"))
+        git = F.when(x["l_partkey"] % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n")))
+        return F.concat(git, F.lit("--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n"), times("@@ -1 +1 @@\n", 1 + x["l_partkey"] % 2), times("+new\n", x["l_quantity"].cast("long") % 5), times("-old\n", x["removed"]))
+
+    # Numbers meet, not texts; of equal ones the shorter text comes first. An order has few lines.
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_quantity", (F.col("l_suppkey") % 4).alias("removed")).alias("line"))
+    return lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("line")), body), "").alias("text"))
 
 
 @query("""WITH t AS (SELECT l_suppkey, 'part' || l_partkey || '.py' AS path, count(*) AS n FROM lineitem GROUP BY 1, 2), g AS (SELECT l_suppkey, sum(n)::INTEGER AS lines, len(list(path))::INTEGER AS paths, list({'path': path, 'matches': n} ORDER BY n DESC, path) AS m FROM t GROUP BY 1),

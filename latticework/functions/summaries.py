@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from latticework.functions.captures import clip_line, detect_format, json_shape, nonempty_lines, pytest_tally
 
@@ -15,33 +18,61 @@ ROUNDS, LEAST_CHARS = 6, 80
 TALLIES = ("passed", "failed", "skipped")
 
 
+#: The path of a file in a diff. As in Java's patterns a dot is none of the line terminators, and one may stand at the end.
+DOT, END = r"[^\n\r\x85\u2028\u2029]", r"(?=[\r\x85\u2028\u2029]?\Z)"
+GIT, PLUS = re.compile(rf"diff --git a/{DOT}+? b/({DOT}+){END}"), re.compile(rf"\+\+\+ (?:b/)?({DOT}+?)(?:\t{DOT}*)?{END}")
+
+
+def sections_of(text: str) -> list[list]:
+    """section, path, added, removed, hunks, first_line, last_line of each file in one diff."""
+    out, now, event, n = [], None, "hunk", 0
+    for n, line in enumerate(text.split("\n"), 1):
+        plus, hunk = line.startswith("+++ "), line.startswith("@@")
+        git = GIT.match(line) if line.startswith("diff") else None
+        if git or (plus and event == "hunk"):
+            if now:
+                now[6] = n - 1
+            now = [len(out) + 1, None, 0, 0, 0, n, n]
+            out.append(now)
+        event = "git" if git else "plus" if plus else "hunk" if hunk else event
+        if not now:
+            continue
+        if plus:
+            path = PLUS.match(line)
+            now[1] = path[1] if path else "?"
+        elif git:
+            now[1] = git[1]
+        elif line.startswith("+"):
+            now[2] += 1
+        elif line.startswith("-") and not line.startswith("---"):
+            now[3] += 1
+        elif hunk:
+            now[4] += 1
+    if now:
+        now[6] = n
+    return out
+
+
 def diff_sections(captures: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """id, section (from 1), path, added, removed, hunks, first_line, last_line of each file in each diff.
 
     A file begins at `diff --git`, or at a line of +++ where a hunk, or nothing, came before it: the running count of such lines
     numbers the sections. Other lines of +++ name the path anew. What stands before the first file counts for none. Null ids and texts have no section.
+    A text is read in its own row, so that a task holds one batch of texts and no lines to sort; rows of equal ids have sections of their own.
     """
-    rows = captures.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.posexplode(F.split(F.regexp_replace(text_col, "\n$", ""), "\n")).alias("_n", "line"))
-    line, place = F.col("line"), W.partitionBy("_id").orderBy("_n")
-    git = F.regexp_extract(line, r"^diff --git a/.+? b/(.+)$", 1)
-    plus, hunk = line.startswith("+++ "), line.startswith("@@")
-    rows = rows.withColumn("_event", F.when(git != "", "git").when(plus, "plus").when(hunk, "hunk"))
-    before = F.last("_event", ignorenulls=True).over(place.rowsBetween(W.unboundedPreceding, -1))
-    begins = (F.col("_event") == "git") | ((F.col("_event") == "plus") & (F.coalesce(F.col("_before"), F.lit("hunk")) == "hunk"))
-    rows = rows.withColumn("_before", before).withColumn("_begins", F.coalesce(begins, F.lit(False)))
-    rows = rows.withColumn("section", F.sum(F.col("_begins").cast("int")).over(place)).where("section > 0")
-    named = F.when(plus, F.coalesce(F.nullif(F.regexp_extract(line, r"^\+\+\+ (?:b/)?(.+?)(?:\t.*)?$", 1), F.lit("")), F.lit("?"))).when(git != "", git)
-    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    last_named = F.max_by(named, F.when(named.isNotNull(), F.col("_n")))
-    out = rows.groupBy("_id", "section").agg(
-        last_named.alias("path"),
-        count(line.startswith("+") & ~plus).alias("added"),
-        count(line.startswith("-") & ~line.startswith("---")).alias("removed"),
-        count(hunk).alias("hunks"),
-        (F.min("_n") + 1).alias("first_line"),
-        (F.max("_n") + 1).alias("last_line"),
-    )
-    return out.withColumnRenamed("_id", id_col)
+    rows = captures.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.regexp_replace(text_col, "\n$", "").alias("_text")).where("_text is not null")
+    whole, short = (pa.int64(), T.LongType()), (pa.int32(), T.IntegerType())
+    fields = {"section": whole, "path": (pa.string(), T.StringType()), "added": whole, "removed": whole, "hunks": whole, "first_line": short, "last_line": short}
+
+    def run(batches):
+        for b in batches:
+            found = [(i, *s) for i, text in enumerate(b.column(1).to_pylist()) for s in sections_of(text)]
+            if found:
+                at, *columns = zip(*found)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *(pa.array(c, t) for c, (t, _) in zip(columns, fields.values()))], ["_id", *fields])
+
+    schema = T.StructType([rows.schema["_id"], *(T.StructField(name, t) for name, (_, t) in fields.items())])
+    return rows.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 
 
 def ranked_matches(captures: DataFrame, text_col: str, id_col: str) -> DataFrame:

@@ -338,3 +338,13 @@ def test_import_cycles_are_found_once(spark, monkeypatch):
     rules(one)
     rules(one, library=True)
     assert len(found) == 1
+
+
+def test_sections_of_odd_diffs(spark):
+    """Sections are told as the patterns of Spark tell them, without a sort of all lines."""
+    text = "+before\ndiff --git a/x b/y z\r\n--- a/x\n+++ b/y z\t2024\n@@ -1 +1 @@\n+a\n-b\n+++ b/\n+++ more\n@@\n--gone\n\n\n"
+    rows = spark.createDataFrame([(1, text), (2, None), (None, text), (3, ""), (4, "no diff"), (5, "+++ \n")], "id long, text string")
+    found = summaries.diff_sections(rows, "text", "id")
+    assert [tuple(r) for r in found.orderBy("id", "section").collect()] == [(1, 1, "y z", 1, 1, 1, 2, 7), (1, 2, "more", 0, 1, 1, 8, 12), (5, 1, "?", 0, 0, 0, 1, 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Window" not in plan

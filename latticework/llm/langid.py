@@ -21,9 +21,9 @@ EPOCHS, BATCH, RATE = 12, 128, 0.01
 LEAST_STEPS = 600  # of training, where the sample is small
 MOST_PIECES = 8  # windows of one text, where few texts are labelled
 DRAWS = 1 << 62
-#: Scores up to which fewer labelled texts than this share are told right are too low for the filter; judged on about so
-#: many labelled rows, by steps of a thousandth.
-RIGHT, JUDGED_ROWS = 0.5, 20_000
+#: Scores up to which fewer labelled texts than this share are told right are too low for the filter; judged on all labelled
+#: rows, by steps of a thousandth.
+RIGHT = 0.5
 #: Capital ASCII letters read as small ones.
 FOLD = np.arange(256)
 FOLD[65:91] += 32
@@ -190,17 +190,14 @@ def identify(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: st
     return map_batches(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), run, "doc_id long, lang_pred string, score double")
 
 
-def least_score(labelled: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", right: float = RIGHT, rows: int = JUDGED_ROWS, seed: int = 6) -> float:
+def least_score(labelled: DataFrame, net: ByteNet, text_col: str = "text", lang_col: str = "lang", right: float = RIGHT) -> float:
     """The score from which the network is to be believed: up to there fewer than `right` of the labelled texts are told right.
 
-    Judged on about `rows` rows of `labelled` with a text and a language; 0 without any, or where all are told right.
+    Judged on every row of `labelled` with a text and a language; 0 without any, or where all are told right.
     """
-    rows_ = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = rows_.count()
-    if not n or not net.langs:
+    if not net.langs:
         return 0.0
-    draw = F.pmod(F.xxhash64(F.lit(seed), id_col, F.octet_length(text_col)), F.lit(DRAWS))
-    some = rows_.where(draw < int(DRAWS * min(1.0, rows / n))).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
 
     def judge(batches):
         names = np.array([*net.langs, "und"], object)
@@ -208,7 +205,7 @@ def least_score(labelled: DataFrame, net: ByteNet, id_col: str = "doc_id", text_
             best, score = predicted(net, b.column(0))
             yield pa.RecordBatch.from_arrays([pa.array((score * 1000).astype(np.int32)), pa.array((names[best] == np.array(b.column(1).to_pylist(), object)).astype(np.int32))], ["step", "hit"])
 
-    found = sorted(map_batches(some, judge, "step int, hit int").groupBy("step").agg(F.count("*").alias("n"), F.sum("hit").alias("hits")).collect())  # a row for each thousandth
+    found = sorted(map_batches(known, judge, "step int, hit int").groupBy("step").agg(F.count("*").alias("n"), F.sum("hit").alias("hits")).collect())  # a row for each thousandth
     least, seen, hits = 0.0, 0, 0
     for r in found:
         seen, hits = seen + r["n"], hits + r["hits"]

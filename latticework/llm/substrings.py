@@ -18,7 +18,7 @@ BUCKET_BYTES = 16 << 20
 #: Bytes of text whose anchors a task holds at a time before they are dealt out.
 SLICE_BYTES = 8 << 20
 #: Bytes of contexts in one suffix array, and in one task.
-ARRAY_BYTES, TASK_BYTES = 1 << 20, 4 << 20
+ARRAY_BYTES, TASK_BYTES = 1 << 20, 2 << 20
 #: Contexts of one anchor that go to one task together; of more, blocks of so many meet in pairs.
 TOGETHER = 8192
 #: So many texts are named in a broadcast at most (some 100 bytes each in memory); more are joined by shuffle.

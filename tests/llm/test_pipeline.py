@@ -78,3 +78,20 @@ def test_doubtful_languages_are_learnt(spark):
     wrong = spark.createDataFrame([(i, t, "b" if v == "a" else "a") for i, t, v in rows], df.schema)
     assert abs(langid.least_score(wrong, net) - score.max()) < 0.01
     assert langid.least_score(df.limit(0), net) == 0.0
+
+
+def test_the_threshold_is_judged_on_all_rows(spark):
+    """Every labelled text is looked at, however many there are."""
+    rows = [(i, "abc def ghi " * 8, "a") for i in range(30_000)] + [(40_000 + i, "xyz uvw rst " * 8, "b") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    judged = spark.sparkContext.accumulator(0)
+
+    class Counted(langid.ByteNet):
+        def probabilities(self, windows):
+            judged.add(len(windows))
+            return super().probabilities(windows)
+
+    net = langid.learn(df)
+    counted_net = Counted(**{k: v for k, v in net.__dict__.items() if not k.startswith("_")})
+    langid.least_score(df, counted_net)
+    assert judged.value == len(rows)

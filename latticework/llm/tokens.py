@@ -13,8 +13,8 @@ SPECIAL = "<|endoftext|>"
 class ByteBPE:
     """encode() gives the ids that `tokenizers` gives with add_special_tokens=False.
 
-    The same vocabulary as ranks gives the same ids in a sixth of the time; texts with the special string go to
-    `tokenizers` itself.
+    The same vocabulary as ranks gives the same ids in a sixth of the time, as an array without a Python number for each
+    id; texts with the special string go to `tokenizers` itself.
     """
 
     def __init__(self, name: str = "byte_bpe_50k") -> None:
@@ -24,7 +24,7 @@ class ByteBPE:
         self.json = public_tokenizers.path(f"{name}.json")
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.ranked = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.ranked = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: max(ranks.values()) + 1})
         self.exact = None
 
     def encode(self, text: str) -> np.ndarray:
@@ -34,7 +34,7 @@ class ByteBPE:
 
                 self.exact = Tokenizer.from_file(self.json)
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint16)
-        return np.array(self.ranked.encode_ordinary(text), np.uint16)
+        return self.ranked.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype(np.uint16)
 
 
 _loaded: dict[str, ByteBPE] = {}

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from latticework.catalog import code, sample, shop
+from latticework.catalog import code, depot, sample, shop
 from latticework.catalog.code import Code, rules
 from latticework.catalog.universes import Universes
 from latticework.functions.docstrings import documented
@@ -348,3 +348,10 @@ def test_sections_of_odd_diffs(spark):
     assert [tuple(r) for r in found.orderBy("id", "section").collect()] == [(1, 1, "y z", 1, 1, 1, 2, 7), (1, 2, "more", 0, 1, 1, 8, 12), (5, 1, "?", 0, 0, 0, 1, 1)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Sort" not in plan and "Window" not in plan
+
+
+def test_the_contract_of_exports_builds_no_other_rule(spark, monkeypatch):
+    monkeypatch.setattr(code, "strong_components", None)
+    monkeypatch.setattr(code, "affected", None)
+    found = depot.export_contract(spark, "/root/testdata/sf0.001").collect()
+    assert {r["mode"] for r in found} == {"app", "other root"} and len(found) == 50

@@ -21,6 +21,10 @@ SHARD_IDS, SHARD_ROWS = 1 << 20, 8192
 #: Bytes of ids in a task, and rows; a task packs one shard after another.
 TASK_BYTES, TASK_ROWS = 16 << 20, 200_000
 K1, B = 1.2, 0.75
+#: An id that one in so many documents of a shard has gets a row over all of them: at most so many numbers for a posting.
+COMMON = 4
+#: An index drops used documents when only this share of those it holds is unused.
+DROP_AT = 0.8
 TERMS = 65536
 #: Bound of the pivots: so many documents, drawn by hash; each document's nearest of them, in order, are its key.
 PIVOTS, NEAREST = 64, 8
@@ -50,23 +54,47 @@ def counted(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 class BM25:
-    """Postings of a shard's documents by token id, weighted by idf and mean size of the whole table."""
+    """Weights of a shard's documents by token id, from idf and mean size of the whole table: a row over all documents for
+    each id that one in COMMON of them has, postings for the others.
+    """
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
-        self.n = len(docs)
+        self.n, self.number = len(docs), np.arange(len(docs))  # number: of the documents in rows and postings
         doc, term, tf = counted(docs)
         weight = weights(tf, np.array([len(d) for d in docs])[doc], idf[term], mean)
         self.of, self.of_start = term, np.searchsorted(doc, np.arange(self.n + 1))
-        by_term = np.argsort(term, kind="stable")
+        common = np.flatnonzero(np.bincount(term, minlength=TERMS) * COMMON >= max(1, self.n))
+        self.row = np.full(TERMS, -1)
+        self.row[common] = np.arange(len(common))
+        self.rows, row = np.zeros((len(common), self.n)), self.row[term]
+        self.rows[row[row >= 0], doc[row >= 0]] = weight[row >= 0]
+        self.read = np.empty_like(self.rows)
+        doc, term, weight = doc[row < 0], term[row < 0], weight[row < 0]
+        by_term = np.argsort(term.astype(np.uint16), kind="stable")  # by their digits, as they have 16 bits
         self.doc, self.weight = doc[by_term], weight[by_term]
         self.start = np.searchsorted(term[by_term], np.arange(TERMS + 1))
 
     def scores(self, seed: int) -> np.ndarray:
-        """Of every document, by all terms of the seed."""
+        """Of every document, by all terms of the seed; -1 of those that were dropped."""
         terms = self.of[self.of_start[seed] : self.of_start[seed + 1]]
+        row = self.row[terms]
+        common, terms = row[row >= 0], terms[row < 0]
+        found = np.add.reduce(np.take(self.rows, common, 0, self.read[: len(common)], "clip"), 0)
         first, size = self.start[terms], self.start[terms + 1] - self.start[terms]
         at = np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)
-        return np.bincount(self.doc[at], self.weight[at], self.n)
+        found += np.bincount(self.doc[at], self.weight[at], len(found))
+        out = np.full(self.n, -1.0)
+        out[self.number] = found
+        return out
+
+    def drop(self, gone: np.ndarray) -> None:
+        """Documents that nobody asks for any more go; the scores of the others stay what they are."""
+        left = ~gone[self.number]
+        self.number, self.rows = self.number[left], np.ascontiguousarray(self.rows[:, left])
+        self.read = np.empty_like(self.rows)
+        kept = left[self.doc]
+        self.start = np.concatenate([[0], np.cumsum(kept)])[self.start]
+        self.doc, self.weight = (np.cumsum(left) - 1)[self.doc[kept]], self.weight[kept]
 
 
 class Pivots:
@@ -86,7 +114,7 @@ class Pivots:
         for i, d in enumerate(docs):
             self.table[np.unique(d), i] = 1
 
-    def keys(self, docs: list[np.ndarray], most: int = 1 << 15) -> np.ndarray:
+    def keys(self, docs: list[np.ndarray], most: int = 1 << 12) -> np.ndarray:
         """For each document the numbers of its nearest pivots, nearest first, by BM25 over all its terms, as one number."""
         n = self.table.shape[1]
         out = np.zeros(len(docs), np.int64)
@@ -133,13 +161,13 @@ class Packer:
         """
         index, n = BM25(docs, self.idf, self.mean), len(docs)
         free = np.ones(n, bool)
-        following = 0
+        following, left = 0, n
         while True:
             while following < n and not free[following]:
                 following += 1
             if following == n:
                 return
-            seed, start = following, 0
+            seed, start, left = following, 0, left - 1
             free[seed] = False
             while seed is not None:
                 doc, scores = seed, None
@@ -150,13 +178,15 @@ class Packer:
                         seed = doc if start < len(docs[doc]) else None
                         break
                     if scores is None:
+                        if left < DROP_AT * len(index.number):
+                            index.drop(~free)
                         scores = index.scores(seed)
                         scores[~free] = -1
                     doc = int(scores.argmax())
                     if scores[doc] < 0:
                         seed = None  # no document of the shard is left
                         break
-                    free[doc], scores[doc], start = False, -1, 0
+                    free[doc], scores[doc], start, left = False, -1, 0, left - 1
 
     def finish(self) -> list[tuple]:
         """What no window was full of, in sequences whose lengths are powers of two."""

@@ -337,6 +337,18 @@ def test_scores_are_bm25_over_all_terms():
         assert np.allclose(index.scores(seed), bm25_by_hand(docs, idf, mean, seed))
 
 
+def test_dropped_documents_change_no_other_score():
+    docs, idf, mean = shard(np.random.default_rng(11))
+    index, gone = packing.BM25(docs, idf, mean), np.zeros(90, bool)
+    postings = sum(len(np.unique(d)) for d in docs)
+    for some in (range(0, 90, 3), range(1, 90, 3)):
+        gone[list(some)] = True
+        index.drop(gone)
+        assert index.rows.size <= packing.COMMON * postings and len(index.doc) < postings / 2
+        for seed in (0, 17, 89):
+            assert np.allclose(index.scores(seed), np.where(gone, -1, bm25_by_hand(docs, idf, mean, seed)))
+
+
 def test_windows_take_the_nearest_unused():
     docs, idf, mean = shard(np.random.default_rng(7))
     packer = packing.Packer(256, idf, mean)

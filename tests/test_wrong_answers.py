@@ -18,6 +18,7 @@ from latticework.operators import intervals, layers
 from latticework.plans.evidence import field
 from latticework.plans.kept import Kept
 from latticework.plans.relation import Relation
+from latticework.sources import python_code
 
 
 def project(spark, files):
@@ -355,3 +356,20 @@ def test_the_contract_of_exports_builds_no_other_rule(spark, monkeypatch):
     monkeypatch.setattr(code, "affected", None)
     found = depot.export_contract(spark, "/root/testdata/sf0.001").collect()
     assert {r["mode"] for r in found} == {"app", "other root"} and len(found) == 50
+
+
+def test_shuffles_grow_in_number_with_the_sources(spark, monkeypatch):
+    """Parts of a shuffle hold a bounded number of references; where there are few, the session's own number stays."""
+    files = [(f"src/m{i}.py", f"import os\n\n\ndef f{i}(x):\n    return os.path.join(x, str(x))\n".encode()) for i in range(40)]
+    rows = lambda: sorted(map(tuple, Code(spark.createDataFrame(files, "path string, content binary")).uses.select("file_path", "ord", "name", "definition").collect()))
+    before = rows()
+    assert spark.conf.get(python_code.FIRST_PARTS, None) is None
+    monkeypatch.setattr(python_code, "REFS_PER_PART", 8)
+    try:
+        assert rows() == before
+        n = Code(spark.createDataFrame(files, "path string, content binary")).raw["refs"].count()
+        assert int(spark.conf.get(python_code.FIRST_PARTS)) == -(-n // 8) > 4
+        python_code.deal_finer(spark, 5)
+        assert int(spark.conf.get(python_code.FIRST_PARTS)) == -(-n // 8)
+    finally:
+        spark.conf.unset(python_code.FIRST_PARTS)

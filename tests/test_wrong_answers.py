@@ -18,7 +18,7 @@ from latticework.operators import intervals, layers
 from latticework.plans.evidence import field
 from latticework.plans.kept import Kept
 from latticework.plans.relation import Relation
-from latticework.sources import python_code
+from latticework.sources import python_code, shared
 
 
 def project(spark, files):
@@ -373,3 +373,12 @@ def test_shuffles_grow_in_number_with_the_sources(spark, monkeypatch):
         assert int(spark.conf.get(python_code.FIRST_PARTS)) == -(-n // 8)
     finally:
         spark.conf.unset(python_code.FIRST_PARTS)
+
+
+def test_a_task_reads_few_rows_of_a_stored_table(spark, monkeypatch):
+    """Rows that are small on disk are read by as many tasks as their number asks for."""
+    monkeypatch.setattr(shared, "ROWS_PER_FILE", 10)
+    for by in (None, "part"):
+        again = shared.stored(spark.range(2000).withColumn("part", F.lit("a")).coalesce(1), "few", by)
+        assert sorted(r["id"] for r in again.collect()) == list(range(2000))
+        assert again.groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0] <= 32 * 10

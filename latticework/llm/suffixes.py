@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+from numpy.lib.stride_tricks import sliding_window_view
 
 from latticework.llm.anchors import eights
 
 
-def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Order and ranks of all suffixes, and the ranks by their first 8, 16, ... bytes alone.
+def suffix_array(data: np.ndarray, deepest: int | None = None) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Order and ranks of all suffixes, and the ranks by their first 8, 16, ... bytes alone, up to `deepest` bytes: others aren't kept.
 
     Groups of suffixes alike in their first h bytes are split by the rank of what follows h bytes on, h doubling;
     suffixes already alone are left as they are.
@@ -39,7 +40,8 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[i
         rank = rank.copy()
         rank[order] = np.repeat(start, np.diff(np.append(start, n)))
         h *= 2
-        levels.append((h, rank.copy()))
+        if deepest is None or h <= deepest:
+            levels.append((h, rank.copy()))
     return order, rank, levels
 
 
@@ -83,7 +85,7 @@ class WindowTable:
         self.owner = owner[text]
         starts = np.zeros(len(data), bool)
         starts[self.place] = True
-        order, _, levels = suffix_array(data)
+        order, _, levels = suffix_array(data, window)
         shared = common_prefixes(data, order, levels, window)
         ours = np.flatnonzero(starts[order])
         # Two windows are alike if every neighbour between them shares a whole window.
@@ -96,7 +98,7 @@ class WindowTable:
         self.least = np.full(int(new.sum()), np.iinfo(np.int64).max)
         np.minimum.at(self.least, self.kind, self.owner)
         first = order[ours][new]
-        self.strings = np.ascontiguousarray(data[first[:, None] + np.arange(window)]).view(f"S{window}").ravel() if len(first) else np.zeros(0, f"S{window}")
+        self.strings = sliding_window_view(data, window)[first].view(f"S{window}").ravel() if len(first) else np.zeros(0, f"S{window}")
 
 
 def merge(tables: list[WindowTable]) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -279,6 +280,19 @@ def test_suffix_array():
             assert shared[k] == min(n, 50)
 
 
+def test_a_table_of_windows_holds_no_number_for_each_of_their_bytes():
+    """Memory by byte of text: windows are taken as bytes, and of texts that repeat themselves no ranks deeper than a window are kept."""
+    data = np.random.default_rng(5).integers(97, 123, 100_000).astype(np.uint8)
+    for text in (data, np.tile(data[:10_000], 10)):
+        tracemalloc.start()
+        table = suffixes.WindowTable(text, np.array([0, len(text)]), np.array([1]), 50)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 260 * len(text)
+        raw = text.tobytes()
+        assert table.strings.tolist() == sorted({raw[i : i + 50] for i in range(len(raw) - 49)})
+
+
 def whole(rows, texts):
     from tokenizers import Tokenizer
 

@@ -6,8 +6,12 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
-os.environ["PYTHONPATH"] = os.pathsep.join([str(Path(__file__).resolve().parents[1]), os.environ.get("PYTHONPATH", "")])
+ROOT = Path(__file__).resolve().parents[1]
+# Tests that run in a copy of this folder have a PYTHONPATH of their own: what can be imported here from elsewhere can be there too.
+ELSEWHERE = os.environ.setdefault("LATTICEWORK_TEST_PATH", os.pathsep.join(p for p in sys.path if p and Path(p).resolve() != ROOT))
+sys.path += [p for p in ELSEWHERE.split(os.pathsep) if p and p not in sys.path]
+sys.path.insert(0, str(ROOT))
+os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), os.environ.get("PYTHONPATH", "")])
 
 
 @pytest.fixture(scope="session")
